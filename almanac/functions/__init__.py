@@ -7,6 +7,7 @@ from almanac.functions.dates import (
     format_month_key,
     month_key,
     parse_day,
+    parse_day_key,
     parse_month,
 )
 from almanac.functions.nulls import (
@@ -42,6 +43,7 @@ __all__ = [
     "month_key",
     "nan_to_null",
     "parse_day",
+    "parse_day_key",
     "parse_month",
     "sum_of_present",
     "tenths",

@@ -31,6 +31,11 @@ def format_day_key(key: Column) -> Column:
     return F.concat_ws("-", F.substring(text, 1, 2), F.substring(text, 3, 2))
 
 
+def parse_day_key(text: Column) -> Column:
+    """'02-29' -> 229."""
+    return (F.substring(text, 1, 2).cast("int") * 100 + F.substring(text, 4, 2).cast("int"))
+
+
 def format_month_key(key: Column) -> Column:
     """199602 -> '1996-02'."""
     text = F.lpad(key.cast("string"), 6, "0")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.functions import nan_to_null, parse_day
+from almanac.functions import day_key, nan_to_null, parse_day, parse_day_key
 from almanac.operators.statistics import Day
 
 
@@ -27,23 +27,38 @@ def calendar_spine(stations: DataFrame, start: Day, end: Day) -> DataFrame:
     return stations.select(*stations.columns, F.explode(days).alias("DATE"))
 
 
-def with_day_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("DATE_MD", F.date_format("DATE", "MM-dd"))
-
-
 def station_calendar(bounds: DataFrame, start: Day, end: Day) -> DataFrame:
     """Every day of the interval for each station of ``bounds`` (STATION, last_date).
 
     ``in_data_range`` tells the days up to the station's last day of data from those after it.
+    Further columns of ``bounds`` are repeated.
     """
-    spine = calendar_spine(bounds.select("STATION", "last_date"), start, end)
+    spine = calendar_spine(bounds.drop("first_date"), start, end)
     in_range = F.col("DATE") <= F.col("last_date")
-    return spine.select("STATION", "DATE", in_range.alias("in_data_range"))
+    return spine.withColumn("in_data_range", in_range).drop("last_date")
+
+
+def with_day_key(df: DataFrame) -> DataFrame:
+    """The calendar day of DATE: as text, and as the integer the joins below use.
+
+    Both joins by calendar day take ``_day`` from here, so a series with climate and records is
+    shuffled once for the two.
+    """
+    return df.withColumns({"DATE_MD": F.date_format("DATE", "MM-dd"), "_day": day_key(F.col("DATE"))})
+
+
+def join_by_day(df: DataFrame, days: DataFrame) -> DataFrame:
+    """Left join on station and integer calendar day; a ``_day`` the rows bring is kept."""
+    if "_day" in df.columns:
+        return df.join(days, ["STATION", "_day"], "left")
+    keyed = df.withColumn("_day", day_key(F.col("DATE")))
+    return keyed.join(days, ["STATION", "_day"], "left").drop("_day")
 
 
 def join_climatology(spine: DataFrame, climatology: DataFrame) -> DataFrame:
     """Climate statistics of each spine day; null where the station has no such day."""
-    return spine.join(climatology, ["STATION", "DATE_MD"], "left")
+    days = climatology.withColumn("_day", parse_day_key(F.col("DATE_MD"))).drop("DATE_MD")
+    return join_by_day(spine, days)
 
 
 def join_observations(spine: DataFrame, observations: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import day_key, format_day_key
+from almanac.operators.calendar import join_by_day
 
 
 def record_extremes(df: DataFrame) -> DataFrame:
@@ -14,28 +15,37 @@ def record_extremes(df: DataFrame) -> DataFrame:
     Grouping and joining back reduces the history before any shuffle; a window over it would
     sort every row.
     """
+    text = format_day_key(F.col("_day")).alias("DATE_MD")
+    return _extremes(df).select("STATION", text, "record_max", "record_min")
+
+
+def _extremes(df: DataFrame) -> DataFrame:
     return (
         df.where(F.col("DATE").isNotNull())
         .groupBy("STATION", day_key(F.col("DATE")).alias("_day"))
         .agg(F.max("TMEAN").alias("record_max"), F.min("TMEAN").alias("record_min"))
-        .select("STATION", format_day_key(F.col("_day")).alias("DATE_MD"), "record_max", "record_min")
     )
 
 
-def record_flags(df: DataFrame, records: DataFrame) -> DataFrame:
-    """Flag the days that equal a record. Ties are all flagged, a missing mean never is."""
+def flag_records(df: DataFrame, history: DataFrame) -> DataFrame:
+    """Flag the days of ``df`` that equal a record of ``history``. Ties are all flagged, a
+    missing mean never is.
+
+    The join uses the integer day key the records are grouped by, so they are not shuffled
+    again for it.
+    """
     equals = {
         "is_record_high": F.col("TMEAN") == F.col("record_max"),
         "is_record_low": F.col("TMEAN") == F.col("record_min"),
     }
     return (
-        df.join(records, ["STATION", "DATE_MD"], "left")
+        join_by_day(df, _extremes(history))
         .withColumns({c: F.coalesce(e, F.lit(False)) for c, e in equals.items()})
         .drop("record_max", "record_min")
     )
 
 
-def record_days(df: DataFrame, records: DataFrame) -> DataFrame:
+def record_days(df: DataFrame, history: DataFrame) -> DataFrame:
     """Only the rows that set or tie a record."""
-    flagged = record_flags(df, records)
+    flagged = flag_records(df, history)
     return flagged.where(F.col("is_record_high") | F.col("is_record_low"))

@@ -24,23 +24,28 @@ def impute_feb29(climatology: DataFrame) -> DataFrame:
     """Add the row of 29 February: per statistic the mean of the neighbours that are there.
 
     A row the input may have for that day is replaced. Each station's first row carries the new
-    one along, so the climatology is computed once and not a second time for a union.
+    one along, so the climatology is computed once and not a second time for a union. The old
+    row is dropped here and not by a filter: that would be pushed below the grouping, where it
+    formats the date of every input row.
     """
     names = _statistics(climatology)
     station = Window.partitionBy("STATION")
     is_neighbour = F.col("DATE_MD").isin(*LEAP_DAY_NEIGHBOURS)
-    own = F.struct("DATE_MD", *names)
-    imputed = F.struct(
-        F.lit(LEAP_DAY_TEXT).alias("DATE_MD"),
-        *(F.avg(F.when(is_neighbour, F.col(c))).over(station).alias(c) for c in names),
+    own = F.array(F.struct("DATE_MD", *names))
+    imputed = F.array(
+        F.struct(
+            F.lit(LEAP_DAY_TEXT).alias("DATE_MD"),
+            *(F.avg(F.when(is_neighbour, F.col(c))).over(station).alias(c) for c in names),
+        )
     )
-    position = F.row_number().over(station.orderBy("DATE_MD"))
-    rows = F.when(position == 1, F.array(own, imputed)).otherwise(F.array(own))
-    return (
-        climatology.where(F.col("DATE_MD") != LEAP_DAY_TEXT)
-        .select("STATION", rows.alias("_rows"))
-        .select("STATION", F.inline("_rows"))
+    is_first = F.row_number().over(station.orderBy("DATE_MD")) == 1
+    is_old = F.col("DATE_MD") == LEAP_DAY_TEXT
+    rows = (
+        F.when(is_first & is_old, imputed)
+        .when(is_first, F.concat(own, imputed))
+        .when(~is_old, own)
     )
+    return climatology.select("STATION", rows.alias("_rows")).select("STATION", F.inline("_rows"))
 
 
 def circular_mean(climatology: DataFrame, window: int = 7, strict: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import millimetres_to_centimetres
@@ -24,12 +24,15 @@ def cumulative_snowfall(df: DataFrame) -> DataFrame:
     )
 
 
+def last_snow_day(within: Column | bool = True) -> Column:
+    """Aggregate: the last day with snowfall among the rows that are ``within``; null if none."""
+    return F.max(F.when((F.col(SNOW) > 0) & F.lit(within), F.col("DATE")))
+
+
 def split_at_last_snowfall(df: DataFrame) -> DataFrame:
-    """The last day with snowfall in the range and the two parts it cuts the range into. The day
-    itself is in both; without snowfall the date is null and no row is in either part."""
-    station = Window.partitionBy("STATION")
-    last = F.max(F.when(F.col(SNOW) > 0, F.col("DATE"))).over(station)
-    return df.withColumn("last_snow_date", last).withColumns(
+    """The two parts that ``last_snow_date`` cuts the range into. The day itself is in both;
+    without snowfall no row is in either."""
+    return df.withColumns(
         {
             "until_last_snow": F.coalesce(F.col("DATE") <= F.col("last_snow_date"), F.lit(False)),
             "from_last_snow": F.coalesce(F.col("DATE") >= F.col("last_snow_date"), F.lit(False)),
@@ -38,4 +41,10 @@ def split_at_last_snowfall(df: DataFrame) -> DataFrame:
 
 
 def snow_accumulation(df: DataFrame) -> DataFrame:
-    return df.transform(cumulative_snowfall).transform(split_at_last_snowfall)
+    """Cumulative snowfall of the rows, the last day with snowfall, and the parts it makes."""
+    last = last_snow_day().over(Window.partitionBy("STATION"))
+    return (
+        df.transform(cumulative_snowfall)
+        .withColumn("last_snow_date", last)
+        .transform(split_at_last_snowfall)
+    )

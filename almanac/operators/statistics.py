@@ -136,12 +136,12 @@ def monthly_climate_over_years(df: DataFrame) -> DataFrame:
     )
 
 
-def date_bounds(df: DataFrame) -> DataFrame:
-    """First and last day of each station."""
+def date_bounds(df: DataFrame, *more: Column) -> DataFrame:
+    """First and last day of each station, and further aggregates of the same pass."""
     return (
         df.where(F.col("DATE").isNotNull())
         .groupBy("STATION")
-        .agg(F.min("DATE").alias("first_date"), F.max("DATE").alias("last_date"))
+        .agg(F.min("DATE").alias("first_date"), F.max("DATE").alias("last_date"), *more)
     )
 
 

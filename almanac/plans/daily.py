@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions import parse_day
 from almanac.operators.bands import envelopes, std_bands
 from almanac.operators.calendar import (
     join_climatology,
@@ -14,9 +15,13 @@ from almanac.operators.calendar import (
     with_day_key,
 )
 from almanac.operators.prepare import ensure_prepared
-from almanac.operators.records import record_extremes, record_flags
+from almanac.operators.records import flag_records
 from almanac.operators.smoothing import circular_mean, impute_feb29
-from almanac.operators.snow import snow_accumulation
+from almanac.operators.snow import (
+    cumulative_snowfall,
+    last_snow_day,
+    split_at_last_snowfall,
+)
 from almanac.operators.statistics import (
     BASELINE_END,
     BASELINE_START,
@@ -69,22 +74,26 @@ def daily_series(
     missing from the climatology an error.
     """
     df = ensure_prepared(df)
-    measures = ["PRCP", "TMAX", "TMIN", "TMEAN"]
-    with_snow = snow and SNOW in df.columns
-    if with_snow:
-        measures.append(SNOW)
-
-    spine = station_calendar(date_bounds(df), start, end)
-    observed = between_days(df, start, end).select("STATION", "DATE", *measures)
-    out = join_observations(spine, observed)
-    if with_snow:
-        out = snow_accumulation(out)
-    out = join_climatology(with_day_key(out), climatology.withColumn("_in_climate", F.lit(True)))
+    observed = between_days(df, start, end)
+    columns = ["STATION", "DATE", "PRCP", "TMAX", "TMIN", "TMEAN"]
+    if snow and SNOW in df.columns:
+        # The running total is made on the rows that exist, not on the whole calendar, and the
+        # last day with snowfall comes with the bounds, so neither needs the joined rows.
+        observed = cumulative_snowfall(observed.select(*columns, SNOW))
+        within = F.col("DATE").between(F.lit(parse_day(start)), F.lit(parse_day(end)))
+        bounds = date_bounds(df, last_snow_day(within).alias("last_snow_date"))
+        spine = split_at_last_snowfall(station_calendar(bounds, start, end))
+    else:
+        observed = observed.select(*columns)
+        spine = station_calendar(date_bounds(df), start, end)
+    out = join_observations(with_day_key(spine), observed)
+    out = join_climatology(out, climatology.withColumn("_in_climate", F.lit(True)))
     if strict:
         missing = F.raise_error(F.concat(F.lit("no climate for "), "STATION", F.lit(" "), "DATE_MD"))
         out = out.withColumn("_in_climate", F.coalesce("_in_climate", missing.cast("boolean")))
         out = out.where("_in_climate")
     out = out.drop("_in_climate")
     if records:
-        out = record_flags(out, record_extremes(df))
+        out = flag_records(out, df)
+    out = out.drop("_day")
     return out.transform(std_bands).transform(envelopes).transform(no_data_flags)

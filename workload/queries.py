@@ -123,7 +123,7 @@ def observed_vs_climate(daily):
     observed = daily.select("STATION", "DATE", "PRCP", "TMEAN")
     joined = calendar.join_observations(calendar.with_day_key(spine), observed)
     mean = _climatology(daily).select("STATION", "DATE_MD", "tmean_doy_mean", "tmean_doy_std")
-    return calendar.no_data_flags(calendar.join_climatology(joined, mean))
+    return calendar.no_data_flags(calendar.join_climatology(joined, mean)).drop("_day")
 
 
 def std_bands(daily):
@@ -148,7 +148,7 @@ def record_extremes(daily):
 def record_days(daily):
     daily = prepare_daily(daily)
     observed = statistics.between_days(daily, *t.YEAR).select("STATION", "DATE", "DATE_MD", "TMEAN")
-    return records.record_days(observed, records.record_extremes(daily))
+    return records.record_days(observed, daily)
 
 
 def snow_accumulation(daily):
