@@ -34,13 +34,14 @@ def missing_days(
     archive: DataFrame, stations: DataFrame, start: Day, end: Day, padded: bool = True
 ) -> DataFrame:
     """Requested days the archive does not have."""
-    spine = calendar_spine(stations.select("STATION"), start, end)
-    present = days_present(archive, start, end, padded)
+    spine = calendar_spine(stations.select("STATION").distinct(), start, end)
+    present = days_present(archive, start, end, padded).distinct()
     return spine.join(present, ["STATION", "DATE"], "left_anti")
 
 
 def contiguous_ranges(days: DataFrame) -> DataFrame:
-    """Runs of consecutive days: first and last day of each. Days must be distinct."""
+    """Runs of consecutive days: first and last day of each."""
+    days = days.select("STATION", "DATE").distinct()
     by_day = Window.partitionBy("STATION").orderBy("DATE")
     run = F.date_sub("DATE", F.row_number().over(by_day))
     return (

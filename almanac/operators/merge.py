@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators.calendar import calendar_spine
 from almanac.operators.prepare import conform_daily
-from almanac.operators.statistics import Day
+from almanac.operators.statistics import Day, between_days
 
 KEYS = ["STATION", "DATE"]
 
@@ -20,25 +20,32 @@ def union_records(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def padding_rows(
+    stations: DataFrame, taken: DataFrame, start: Day, end: Day
+) -> DataFrame:
+    """Empty rows for the days of the range that ``taken`` (STATION, DATE) does not have."""
+    spine = calendar_spine(stations.select("STATION", "NAME"), start, end)
+    return conform_daily(spine.join(taken.distinct(), KEYS, "left_anti"))
+
+
 def pad_calendar(rows: DataFrame, stations: DataFrame, start: Day, end: Day) -> DataFrame:
     """The rows plus an empty row for every station and day of the range they lack.
 
-    ``stations`` gives the label (NAME) of the empty rows; rows outside the range stay.
+    ``stations`` (STATION, NAME) gives the label of the empty rows; rows outside the range stay.
+    This is the full outer join of rows and calendar, made of two parts so that the rows
+    themselves are not shuffled: only their distinct keys meet the calendar.
     """
     rows = conform_daily(rows)
-    spine = calendar_spine(
-        stations.select("STATION", F.col("NAME").alias("_name")), start, end
-    )
-    padded = rows.join(spine, KEYS, "full")
-    name = F.coalesce("NAME", "_name").alias("NAME")
-    return padded.select(*(name if c == "NAME" else c for c in rows.columns))
+    taken = between_days(rows, start, end).select(*KEYS)
+    return union_records(rows, padding_rows(stations, taken, start, end))
 
 
 def keep_last(rows: DataFrame, order: str) -> DataFrame:
     """One row per station and day, the one with the highest ``order``.
 
     Rows of equal order are told apart by their values, so the result does not depend on how
-    the data happens to be split.
+    the data happens to be split. Spark keeps the first row of each group before the shuffle
+    already (window group limit), so a day with very many copies does not end up in one task.
     """
     values = [F.col(c).desc_nulls_last() for c in rows.columns if c not in (*KEYS, order)]
     latest = Window.partitionBy(*KEYS).orderBy(F.col(order).desc(), *values)
@@ -76,11 +83,3 @@ def label_stations(rows: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.join(labels, "STATION", "left").select(
         *(name if c == "NAME" else c for c in rows.columns)
     )
-
-
-def padding_rows(
-    stations: DataFrame, taken: DataFrame, start: Day, end: Day
-) -> DataFrame:
-    """Empty rows for the days of the range that ``taken`` (STATION, DATE) does not have."""
-    spine = calendar_spine(stations.select("STATION", "NAME"), start, end)
-    return conform_daily(spine.join(taken, KEYS, "left_anti"))

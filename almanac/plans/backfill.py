@@ -52,7 +52,6 @@ def upsert_daily(
     merged = upsert_rows(archive, fetched, archive_is_unique)
     if not pad:
         return merged
-    taken = union_records(
-        *(between_days(conform_daily(p), start, end).select(*KEYS) for p in (archive, fetched))
-    )
+    parts = (between_days(conform_daily(p), start, end) for p in (archive, fetched))
+    taken = union_records(*(p.select(*KEYS) for p in parts))
     return union_records(merged, padding_rows(stations, taken, start, end))

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from almanac.schema import SERVICE_RECORD
 
-CORRUPT = "_corrupt_record"
-
 
 def read_service_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All records of all landed files. An empty or malformed body adds no rows."""
@@ -22,16 +20,13 @@ def read_service_records(spark: SparkSession, path: str | list[str]) -> DataFram
 
 
 def rejected_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The bodies that ``read_service_records`` skips, with the file each is from."""
-    schema = T.StructType([*SERVICE_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
+    """The bodies that are blank or malformed, with the file each is from. Spark does not open
+    files of zero bytes, so those are not listed."""
+    records = F.from_json("value", T.ArrayType(SERVICE_RECORD))
     return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .select(F.input_file_name().alias("file"), F.col(CORRUPT).alias("body"))
-        .where(F.col("body").isNotNull())
+        spark.read.text(path, wholetext=True)
+        .where(records.isNull())
+        .select(F.input_file_name().alias("file"), F.col("value").alias("body"))
     )
 
 

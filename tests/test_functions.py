@@ -1,0 +1,89 @@
+"""Null rules, keys and arguments on hand-made rows."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from almanac.functions import (
+    format_day_key,
+    format_month_key,
+    greatest_or_null,
+    least_or_null,
+    parse_day,
+    parse_day_key,
+    parse_month,
+    sum_of_present,
+    to_measure,
+)
+from almanac.functions.units import kelvin_to_celsius, metres_to_millimetres
+from almanac.operators import prepare
+
+from conftest import rows_of
+
+
+def test_daily_mean_takes_the_side_that_is_there(daily):
+    df = daily(
+        [
+            {"DATE": "2000-01-01", "TMIN": 2, "TMAX": 5},
+            {"DATE": "2000-01-02", "TMIN": 2},
+            {"DATE": "2000-01-03", "TMAX": 5},
+            {"DATE": "2000-01-04"},
+        ]
+    )
+    got = rows_of(prepare.prepare_daily(df), "DATE", "TMEAN")
+    assert [v for _, v in got] == [3.5, 2.0, 5.0, None]
+
+
+def test_nan_is_missing(spark, daily):
+    df = daily([{"DATE": "2000-01-01", "TMIN": float("nan"), "TMAX": 5, "PRCP": float("nan")}])
+    assert rows_of(prepare.prepare_daily(df), "TMIN", "TMEAN", "PRCP") == [(None, 5.0, None)]
+
+
+def test_guarded_extremes_and_sum(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, None), (None, None)], "a double, b double")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(greatest_or_null(a, b), least_or_null(a, b), sum_of_present(a, b)).collect()
+    assert [tuple(r) for r in got] == [(2.0, 1.0, 3.0), (None, None, 1.0), (None, None, 0.0)]
+
+
+def test_measure_from_text(spark):
+    df = spark.createDataFrame([("1.5",), (" 2 ",), ("",), ("nan",), ("None",), (None,)], "v string")
+    got = [r[0] for r in df.select(to_measure(F.col("v"), df.schema["v"].dataType)).collect()]
+    assert got == [1.5, 2.0, None, None, None, None]
+
+
+def test_measure_from_bad_text_is_an_error(spark):
+    df = spark.createDataFrame([("abc",)], "v string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(to_measure(F.col("v"), df.schema["v"].dataType)).collect()
+
+
+def test_keys_as_text(spark):
+    df = spark.createDataFrame([(229, 199602), (1231, 812)], "d int, m int")
+    text = df.select(format_day_key(F.col("d")).alias("d"), format_month_key(F.col("m")).alias("m"))
+    assert [tuple(r) for r in text.collect()] == [("02-29", "1996-02"), ("12-31", "0008-12")]
+    assert [r[0] for r in text.select(parse_day_key(F.col("d"))).collect()] == [229, 1231]
+
+
+def test_units(spark):
+    df = spark.range(1).select(
+        kelvin_to_celsius(F.lit(273.15)), metres_to_millimetres(F.lit(0.5))
+    )
+    assert tuple(df.first()) == (0.0, 500.0)
+
+
+@pytest.mark.parametrize(
+    "value", ["2000-02-29", dt.date(2000, 2, 29), dt.datetime(2000, 2, 29, 12)]
+)
+def test_day_argument(value):
+    assert parse_day(value) == dt.date(2000, 2, 29)
+
+
+def test_bad_arguments():
+    with pytest.raises(ValueError):
+        parse_day("29.02.2000")
+    with pytest.raises(ValueError):
+        parse_day(20000229)
+    assert parse_month("2000-02") == dt.date(2000, 2, 1)
+    assert parse_month(dt.date(2000, 2, 9)) == dt.date(2000, 2, 1)

@@ -366,7 +366,7 @@ ON_TABLES: dict[str, Query] = {
 
 
 def _on(level: str, query: OnDaily) -> Query:
-    return lambda spark, sf_dir: rounded(query(t.station_daily(spark, sf_dir, level)))
+    return lambda spark, sf_dir: rounded(query(t.stored_daily(spark, sf_dir, level)))
 
 
 def queries() -> dict[str, Query]:
