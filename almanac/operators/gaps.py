@@ -56,31 +56,58 @@ def _length():
     return F.datediff("range_end", "range_start") + 1
 
 
+def runs_within_months(days: DataFrame) -> DataFrame:
+    """Runs of consecutive days, cut at the ends of months: one bit per day of a month, grouped
+    by station and month.
+
+    The bits are combined before the shuffle, so what is shuffled and sorted later is about one
+    row per station and month instead of one per day, and copies of a day vanish on the way.
+    """
+    bit = F.expr("shiftleft(1L, dayofmonth(DATE) - 1)")
+    months = days.groupBy("STATION", F.trunc("DATE", "month").alias("_month")).agg(
+        F.bit_or(bit).alias("_bits")
+    )
+    firsts = F.expr("_bits & ~shiftleft(_bits, 1)")
+    lasts = F.expr("_bits & ~shiftright(_bits, 1)")
+
+    def days_of(bits):
+        return F.filter(F.sequence(F.lit(0), F.lit(30)), lambda d: F.getbit(bits, d) == 1)
+
+    runs = F.arrays_zip(days_of(firsts).alias("first"), days_of(lasts).alias("last"))
+    return months.select("STATION", "_month", F.inline(runs)).select(
+        "STATION",
+        F.date_add("_month", F.col("first")).alias("run_start"),
+        F.date_add("_month", F.col("last")).alias("run_end"),
+    )
+
+
 def missing_ranges(
     archive: DataFrame, stations: DataFrame, start: Day, end: Day, padded: bool = True
 ) -> DataFrame:
-    """Runs of missing days, read off as the gaps between the days that are there.
+    """Runs of missing days, read off as the gaps between the runs of days that are there.
 
     Equals ``contiguous_ranges(missing_days(...))`` but never builds the calendar: each station
     adds the days before and after the range as sentinels, and one window compares neighbours.
-    Days are made distinct first, so copies of rows cannot pile up in a station's window.
     """
     wanted = stations.select("STATION").distinct()
     first, last = F.lit(parse_day(start)), F.lit(parse_day(end))
-    sentinels = wanted.select(
-        "STATION", F.explode(F.array(F.date_sub(first, 1), F.date_add(last, 1))).alias("DATE")
-    ).where(first <= last)
-    present = days_present(archive, start, end, padded).distinct()
+    outside = F.explode(F.array(F.date_sub(first, 1), F.date_add(last, 1)))
+    sentinels = (
+        wanted.where(first <= last)
+        .select("STATION", outside.alias("run_start"))
+        .withColumn("run_end", F.col("run_start"))
+    )
+    present = runs_within_months(days_present(archive, start, end, padded))
     present = present.join(wanted, "STATION", "left_semi")
-    previous = F.lag("DATE").over(Window.partitionBy("STATION").orderBy("DATE"))
+    previous = F.lag("run_end").over(Window.partitionBy("STATION").orderBy("run_start"))
     return (
         present.unionByName(sentinels)
-        .select("STATION", "DATE", previous.alias("_previous"))
-        .where(F.datediff("DATE", "_previous") > 1)
+        .select("STATION", "run_start", previous.alias("_previous"))
+        .where(F.datediff("run_start", "_previous") > 1)
         .select(
             "STATION",
             F.date_add("_previous", 1).alias("range_start"),
-            F.date_sub("DATE", 1).alias("range_end"),
+            F.date_sub("run_start", 1).alias("range_end"),
         )
         .withColumn("n_days", _length())
     )

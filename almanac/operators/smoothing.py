@@ -31,21 +31,24 @@ def impute_feb29(climatology: DataFrame) -> DataFrame:
     names = _statistics(climatology)
     station = Window.partitionBy("STATION")
     is_neighbour = F.col("DATE_MD").isin(*LEAP_DAY_NEIGHBOURS)
-    own = F.array(F.struct("DATE_MD", *names))
-    imputed = F.array(
-        F.struct(
-            F.lit(LEAP_DAY_TEXT).alias("DATE_MD"),
-            *(F.avg(F.when(is_neighbour, F.col(c))).over(station).alias(c) for c in names),
-        )
-    )
+    imputed = {f"_{c}": F.avg(F.when(is_neighbour, F.col(c))).over(station) for c in names}
     is_first = F.row_number().over(station.orderBy("DATE_MD")) == 1
     is_old = F.col("DATE_MD") == LEAP_DAY_TEXT
-    rows = (
-        F.when(is_first & is_old, imputed)
-        .when(is_first, F.concat(own, imputed))
-        .when(~is_old, own)
+    own, new = F.lit(False), F.lit(True)
+    copies = (
+        F.when(is_first & is_old, F.array(new))
+        .when(is_first, F.array(own, new))
+        .when(~is_old, F.array(own))
+    )
+    return (
+        climatology.withColumns(imputed | {"_copies": copies})
+        .select("STATION", "DATE_MD", *names, *imputed, F.explode("_copies").alias("_new"))
+        .select(
+            "STATION",
+            F.when(F.col("_new"), F.lit(LEAP_DAY_TEXT)).otherwise(F.col("DATE_MD")).alias("DATE_MD"),
+            *(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names),
+        )
     )
-    return climatology.select("STATION", rows.alias("_rows")).select("STATION", F.inline("_rows"))
 
 
 def circular_mean(climatology: DataFrame, window: int = 7, strict: bool = False) -> DataFrame:
