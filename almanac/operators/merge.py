@@ -54,7 +54,8 @@ def keep_last(rows: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _distinct_days(rows: DataFrame) -> DataFrame:
+def unique_days(rows: DataFrame) -> DataFrame:
+    """One row per station and day, for tables that may hold copies."""
     return keep_last(rows.withColumn("_order", F.lit(0)), "_order").drop("_order")
 
 
@@ -69,8 +70,8 @@ def upsert_rows(
     """
     archive, fetched = conform_daily(archive), conform_daily(fetched)
     archive = archive.where(F.col("STATION").isNotNull())
-    new = _distinct_days(fetched)
-    old = archive if archive_is_unique else _distinct_days(archive)
+    new = unique_days(fetched)
+    old = archive if archive_is_unique else unique_days(archive)
     kept = old.join(new.select(*KEYS), KEYS, "left_anti")
     return union_records(kept, new)
 
