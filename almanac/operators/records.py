@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.functions import day_key, format_day_key
+from almanac.functions import day_key, format_day_key, parse_day_key
 from almanac.operators.calendar import join_by_day
 
 
@@ -13,13 +13,15 @@ def record_extremes(df: DataFrame) -> DataFrame:
     """Highest and lowest TMEAN per station and calendar day over all rows, leap days included.
 
     Grouping and joining back reduces the history before any shuffle; a window over it would
-    sort every row.
+    sort every row. Like a climatology, the result is worth storing for use with many series.
     """
     text = format_day_key(F.col("_day")).alias("DATE_MD")
-    return _extremes(df).select("STATION", text, "record_max", "record_min")
+    return extremes_by_day(df).select("STATION", text, "record_max", "record_min")
 
 
-def _extremes(df: DataFrame) -> DataFrame:
+def extremes_by_day(df: DataFrame) -> DataFrame:
+    """The same with the day as integer ``_day``, the key it was grouped by: in one plan with
+    ``flag_records`` it is not shuffled again for the join."""
     return (
         df.where(F.col("DATE").isNotNull())
         .groupBy("STATION", day_key(F.col("DATE")).alias("_day"))
@@ -27,25 +29,26 @@ def _extremes(df: DataFrame) -> DataFrame:
     )
 
 
-def flag_records(df: DataFrame, history: DataFrame) -> DataFrame:
-    """Flag the days of ``df`` that equal a record of ``history``. Ties are all flagged, a
-    missing mean never is.
+def flag_records(df: DataFrame, extremes: DataFrame) -> DataFrame:
+    """Flag the days that equal a record. Ties are all flagged, a missing mean never is.
 
-    The join uses the integer day key the records are grouped by, so they are not shuffled
-    again for it.
+    ``extremes`` comes from either function above.
     """
+    if "_day" not in extremes.columns:
+        key = parse_day_key(F.col("DATE_MD"))
+        extremes = extremes.withColumn("_day", key).drop("DATE_MD")
     equals = {
         "is_record_high": F.col("TMEAN") == F.col("record_max"),
         "is_record_low": F.col("TMEAN") == F.col("record_min"),
     }
     return (
-        join_by_day(df, _extremes(history))
+        join_by_day(df, extremes)
         .withColumns({c: F.coalesce(e, F.lit(False)) for c, e in equals.items()})
         .drop("record_max", "record_min")
     )
 
 
-def record_days(df: DataFrame, history: DataFrame) -> DataFrame:
+def record_days(df: DataFrame, extremes: DataFrame) -> DataFrame:
     """Only the rows that set or tie a record."""
-    flagged = flag_records(df, history)
+    flagged = flag_records(df, extremes)
     return flagged.where(F.col("is_record_high") | F.col("is_record_low"))

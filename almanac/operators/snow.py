@@ -24,9 +24,13 @@ def cumulative_snowfall(df: DataFrame) -> DataFrame:
     )
 
 
-def last_snow_day(within: Column | bool = True) -> Column:
-    """Aggregate: the last day with snowfall among the rows that are ``within``; null if none."""
-    return F.max(F.when((F.col(SNOW) > 0) & F.lit(within), F.col("DATE")))
+def _last_day() -> Column:
+    return F.max(F.when(F.col(SNOW) > 0, F.col("DATE")))
+
+
+def last_snowfall(df: DataFrame) -> DataFrame:
+    """The last day with snowfall of each station (``last_snow_date``); null if none."""
+    return df.groupBy("STATION").agg(_last_day().alias("last_snow_date"))
 
 
 def split_at_last_snowfall(df: DataFrame) -> DataFrame:
@@ -42,7 +46,7 @@ def split_at_last_snowfall(df: DataFrame) -> DataFrame:
 
 def snow_accumulation(df: DataFrame) -> DataFrame:
     """Cumulative snowfall of the rows, the last day with snowfall, and the parts it makes."""
-    last = last_snow_day().over(Window.partitionBy("STATION"))
+    last = _last_day().over(Window.partitionBy("STATION"))
     return (
         df.transform(cumulative_snowfall)
         .withColumn("last_snow_date", last)

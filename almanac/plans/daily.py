@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.functions import parse_day
 from almanac.operators.bands import envelopes, std_bands
 from almanac.operators.calendar import (
     join_climatology,
@@ -15,11 +14,11 @@ from almanac.operators.calendar import (
     with_day_key,
 )
 from almanac.operators.prepare import ensure_prepared
-from almanac.operators.records import flag_records
+from almanac.operators.records import extremes_by_day, flag_records
 from almanac.operators.smoothing import circular_mean, impute_feb29
 from almanac.operators.snow import (
     cumulative_snowfall,
-    last_snow_day,
+    last_snowfall,
     split_at_last_snowfall,
 )
 from almanac.operators.statistics import (
@@ -62,30 +61,31 @@ def daily_series(
     climatology: DataFrame,
     start: Day,
     end: Day,
-    records: bool = True,
+    records: bool | DataFrame = True,
     snow: bool = True,
     strict: bool = False,
 ) -> DataFrame:
     """Every station and day of the range with observation, climate, bands, envelopes, no-data
     flags and, if wanted, record flags and cumulative snowfall.
 
-    Days after a station's last row have climate values but ``in_data_range`` is false. Snow
-    columns are left out if the table has no SNOW. ``strict`` makes a calendar day that is
-    missing from the climatology an error.
+    ``records`` may be a stored table of record extremes; with ``True`` they are computed from the
+    whole history. Days after a station's last row have climate values but ``in_data_range`` is
+    false. Snow columns are left out if the table has no SNOW. ``strict`` makes a calendar day
+    that is missing from the climatology an error.
     """
     df = ensure_prepared(df)
     observed = between_days(df, start, end)
     columns = ["STATION", "DATE", "PRCP", "TMAX", "TMIN", "TMEAN"]
+    bounds = date_bounds(df)
     if snow and SNOW in df.columns:
-        # The running total is made on the rows that exist, not on the whole calendar, and the
-        # last day with snowfall comes with the bounds, so neither needs the joined rows.
+        # The last day with snowfall goes along with the bounds, and the running total is made on
+        # the rows that exist: neither needs a window over the whole calendar.
+        bounds = bounds.join(last_snowfall(observed), "STATION", "left")
         observed = cumulative_snowfall(observed.select(*columns, SNOW))
-        within = F.col("DATE").between(F.lit(parse_day(start)), F.lit(parse_day(end)))
-        bounds = date_bounds(df, last_snow_day(within).alias("last_snow_date"))
         spine = split_at_last_snowfall(station_calendar(bounds, start, end))
     else:
         observed = observed.select(*columns)
-        spine = station_calendar(date_bounds(df), start, end)
+        spine = station_calendar(bounds, start, end)
     out = join_observations(with_day_key(spine), observed)
     out = join_climatology(out, climatology.withColumn("_in_climate", F.lit(True)))
     if strict:
@@ -93,7 +93,9 @@ def daily_series(
         out = out.withColumn("_in_climate", F.coalesce("_in_climate", missing.cast("boolean")))
         out = out.where("_in_climate")
     out = out.drop("_in_climate")
-    if records:
-        out = flag_records(out, df)
+    if isinstance(records, DataFrame):
+        out = flag_records(out, records)
+    elif records:
+        out = flag_records(out, extremes_by_day(df))
     out = out.drop("_day")
     return out.transform(std_bands).transform(envelopes).transform(no_data_flags)

@@ -15,6 +15,8 @@ from almanac.schema import STRAY_INDEX_COLUMN
 from almanac.sources.landing import read_service_records
 
 FORMATS = ("parquet", "csv", "json")
+# Folder column of an archive written by year; not part of the table.
+YEAR = "YEAR"
 
 
 def _within(df: DataFrame, start: Day | None, end: Day | None) -> DataFrame:
@@ -22,8 +24,13 @@ def _within(df: DataFrame, start: Day | None, end: Day | None) -> DataFrame:
 
     Archives may hold the date as ISO text. Such text sorts like the dates, with or without a
     time of day, so the bounds are compared as text: casting the column would keep the filter
-    from the scan.
+    from the scan. An archive with folders per year is read from the years of the range only.
     """
+    if YEAR in df.columns:
+        if start is not None:
+            df = df.where(F.col(YEAR) >= parse_day(start).year)
+        if end is not None:
+            df = df.where(F.col(YEAR) <= parse_day(end).year)
     if not isinstance(df.schema["DATE"].dataType, T.StringType):
         return between_days(df, start, end)
     if start is not None:
@@ -61,16 +68,26 @@ def read_archive(spark: SparkSession, path: str, format: str = "parquet") -> Dat
     return read_daily(spark, path, format).dropna(subset=["STATION"])
 
 
-def write_daily(df: DataFrame, path: str, clustered: bool = False) -> None:
+def write_daily(
+    df: DataFrame, path: str, clustered: bool = False, by_year: bool = False
+) -> None:
     """Write the table as Parquet, replacing what is at ``path``.
 
     Never give the path the frame is read from: write next to it and switch. ``clustered`` sorts
-    the files by station and day, so that later scans skip row groups by both; the ranges are cut
-    by station *and* day, so a large station spreads over several files.
+    the files by station and day, so that later scans skip what they do not need by both; the
+    ranges are cut by station *and* day, so a large station spreads over several files.
+    ``by_year`` makes a folder per year, for archives that are mostly read for a range of days.
     """
-    if clustered:
-        df = df.repartitionByRange("STATION", "DATE").sortWithinPartitions("STATION", "DATE")
-    df.write.mode("overwrite").parquet(path)
+    order = ["STATION", "DATE"]
+    if by_year:
+        df = df.withColumn(YEAR, F.year("DATE"))
+        order = [YEAR, *order]
+    if clustered or by_year:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = df.write.mode("overwrite")
+    if by_year:
+        writer = writer.partitionBy(YEAR)
+    writer.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:

@@ -104,12 +104,13 @@ def test_ties_are_all_records_and_missing_is_none(daily):
             ]
         )
     )
-    got = rows_of(records.flag_records(df, df), "DATE", "is_record_high", "is_record_low")
+    extremes = records.record_extremes(df)
+    got = rows_of(records.flag_records(df, extremes), "DATE", "is_record_high", "is_record_low")
     assert got == [
         ("2000-02-29", True, True), ("2000-05-01", True, False), ("2001-05-01", True, False),
         ("2002-05-01", False, True), ("2003-05-01", False, False),
     ]
-    assert records.record_days(df, df).count() == 4
+    assert records.record_days(df, extremes).count() == 4
 
 
 def test_records_look_at_the_whole_history(daily):
@@ -117,6 +118,9 @@ def test_records_look_at_the_whole_history(daily):
     clim = daily_climatology(df, "2000-01-01", "2001-12-31", window=1)
     out = daily_series(df, clim, "2001-05-01", "2001-05-01", snow=False)
     assert rows_of(out, "is_record_high", "is_record_low") == [(False, False)]
+    stored = records.record_extremes(prepare_daily(df))
+    same = daily_series(df, clim, "2001-05-01", "2001-05-01", records=stored, snow=False)
+    assert rows_of(same, *out.columns) == rows_of(out, *out.columns)
 
 
 def test_cumulative_snowfall_skips_missing_days(daily):

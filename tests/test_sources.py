@@ -57,6 +57,16 @@ def test_parquet_with_text_dates_and_saved_index(spark, tmp_path):
     assert "GreaterThanOrEqual(DATE,2001-01-02)" in plan_of(cut)
 
 
+def test_folders_per_year_are_pruned(spark, daily, tmp_path):
+    df = daily([{"DATE": f"{y}-06-01", "PRCP": y} for y in range(1990, 2000)] + [{"DATE": None}])
+    path = str(tmp_path / "years")
+    write_daily(df, path, by_year=True)
+    assert rows_of(read_daily(spark, path), *df.columns) == rows_of(df, *df.columns)
+    cut = read_daily(spark, path, start="1993-06-01", end="1994-12-31")
+    assert rows_of(cut, "DATE") == [("1993-06-01",), ("1994-06-01",)]
+    assert "PartitionFilters: [isnotnull(YEAR" in plan_of(cut)
+
+
 @pytest.mark.parametrize("quote_all", [True, False])
 def test_csv_round_trip(spark, sample, tmp_path, quote_all):
     path = str(tmp_path / "csv")

@@ -148,7 +148,7 @@ def record_extremes(daily):
 def record_days(daily):
     daily = prepare_daily(daily)
     observed = statistics.between_days(daily, *t.YEAR).select("STATION", "DATE", "DATE_MD", "TMEAN")
-    return records.record_days(observed, daily)
+    return records.record_days(observed, records.extremes_by_day(daily))
 
 
 def snow_accumulation(daily):
