@@ -44,7 +44,9 @@ def with_day_key(df: DataFrame) -> DataFrame:
     Both joins by calendar day take ``_day`` from here, so a series with climate and records is
     shuffled once for the two.
     """
-    return df.withColumns({"DATE_MD": F.date_format("DATE", "MM-dd"), "_day": day_key(F.col("DATE"))})
+    return df.withColumns(
+        {"DATE_MD": F.date_format("DATE", "MM-dd"), "_day": day_key(F.col("DATE"))}
+    )
 
 
 def join_by_day(df: DataFrame, days: DataFrame) -> DataFrame:

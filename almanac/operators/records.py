@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import day_key, format_day_key, parse_day_key
 from almanac.operators.calendar import join_by_day
+from almanac.operators.statistics import keyed
 
 
 def record_extremes(df: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def extremes_by_day(df: DataFrame) -> DataFrame:
     """The same with the day as integer ``_day``, the key it was grouped by: in one plan with
     ``flag_records`` it is not shuffled again for the join."""
     return (
-        df.where(F.col("DATE").isNotNull())
+        keyed(df)
         .groupBy("STATION", day_key(F.col("DATE")).alias("_day"))
         .agg(F.max("TMEAN").alias("record_max"), F.min("TMEAN").alias("record_min"))
     )

@@ -40,13 +40,17 @@ def impute_feb29(climatology: DataFrame) -> DataFrame:
         .when(is_first, F.array(own, new))
         .when(~is_old, F.array(own))
     )
+
+    def pick(new_value, name: str):
+        return F.when(F.col("_new"), new_value).otherwise(F.col(name)).alias(name)
+
     return (
         climatology.withColumns(imputed | {"_copies": copies})
         .select("STATION", "DATE_MD", *names, *imputed, F.explode("_copies").alias("_new"))
         .select(
             "STATION",
-            F.when(F.col("_new"), F.lit(LEAP_DAY_TEXT)).otherwise(F.col("DATE_MD")).alias("DATE_MD"),
-            *(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names),
+            pick(F.lit(LEAP_DAY_TEXT), "DATE_MD"),
+            *(pick(F.col(f"_{c}"), c) for c in names),
         )
     )
 

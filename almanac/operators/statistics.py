@@ -30,6 +30,11 @@ BASELINE_END = "2010-12-31"
 DAYS_PER_CLIMATE_MONTH = 30
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """Rows that belong to a group: those with a station and a day."""
+    return df.where(F.col("STATION").isNotNull() & F.col("DATE").isNotNull())
+
+
 def between_days(df: DataFrame, start: Day | None, end: Day | None) -> DataFrame:
     """Rows in the closed date interval; an open side is None."""
     if start is not None:
@@ -66,7 +71,7 @@ def daily_statistics(df: DataFrame) -> DataFrame:
         F.max("TMEAN").alias("tmean_doy_max"),
         F.min("TMEAN").alias("tmean_doy_min"),
     ]
-    grouped = df.groupBy("STATION", day_key(F.col("DATE")).alias("_day")).agg(*stats)
+    grouped = keyed(df).groupBy("STATION", day_key(F.col("DATE")).alias("_day")).agg(*stats)
     names = [c for c in grouped.columns if c not in ("STATION", "_day")]
     return grouped.select("STATION", format_day_key(F.col("_day")).alias("DATE_MD"), *names)
 
@@ -80,7 +85,7 @@ def monthly_statistics(df: DataFrame, empty_sum: float | None = None) -> DataFra
     if empty_sum is not None:
         total = F.coalesce(total, F.lit(float(empty_sum)))
     grouped = (
-        df.where(F.col("DATE").isNotNull())
+        keyed(df)
         .groupBy("STATION", month_key(F.col("DATE")).alias("_month"))
         .agg(*_spread(df.columns), total.alias("prcp_sum"))
     )
@@ -100,7 +105,7 @@ def monthly_climate(
     stats = _spread(df.columns)
     precipitation = (F.avg("PRCP") * DAYS_PER_CLIMATE_MONTH).alias("prcp_sum")
     return (
-        baseline_days(df, start, end)
+        keyed(baseline_days(df, start, end))
         .groupBy("STATION", F.month("DATE").alias("Month"))
         .agg(*stats, precipitation)
     )
@@ -109,7 +114,7 @@ def monthly_climate(
 def distinct_years(df: DataFrame) -> DataFrame:
     """How many calendar years each station has rows in."""
     return (
-        df.where(F.col("DATE").isNotNull())
+        keyed(df)
         .select("STATION", F.year("DATE").alias("_year"))
         .distinct()
         .groupBy("STATION")
@@ -125,7 +130,7 @@ def monthly_climate_over_years(df: DataFrame) -> DataFrame:
     """
     stats = _spread(df.columns, prefix="")
     by_month = (
-        df.where(F.col("DATE").isNotNull())
+        keyed(df)
         .groupBy("STATION", F.month("DATE").alias("Month"))
         .agg(*stats, F.avg("PRCP").alias("_prcp"))
     )
@@ -139,7 +144,7 @@ def monthly_climate_over_years(df: DataFrame) -> DataFrame:
 def date_bounds(df: DataFrame) -> DataFrame:
     """First and last day of each station."""
     return (
-        df.where(F.col("DATE").isNotNull())
+        keyed(df)
         .groupBy("STATION")
         .agg(F.min("DATE").alias("first_date"), F.max("DATE").alias("last_date"))
     )

@@ -29,6 +29,7 @@ from almanac.operators.statistics import (
     between_days,
     daily_statistics,
     date_bounds,
+    keyed,
     require_baseline,
 )
 from almanac.schema import SNOW
@@ -74,7 +75,7 @@ def daily_series(
     that is missing from the climatology an error.
     """
     df = ensure_prepared(df)
-    observed = between_days(df, start, end)
+    observed = keyed(between_days(df, start, end))
     columns = ["STATION", "DATE", "PRCP", "TMAX", "TMIN", "TMEAN"]
     bounds = date_bounds(df)
     if snow and SNOW in df.columns:
@@ -89,7 +90,7 @@ def daily_series(
     out = join_observations(with_day_key(spine), observed)
     out = join_climatology(out, climatology.withColumn("_in_climate", F.lit(True)))
     if strict:
-        missing = F.raise_error(F.concat(F.lit("no climate for "), "STATION", F.lit(" "), "DATE_MD"))
+        missing = F.raise_error(F.concat_ws(" ", F.lit("no climate for"), "STATION", "DATE_MD"))
         out = out.withColumn("_in_climate", F.coalesce("_in_climate", missing.cast("boolean")))
         out = out.where("_in_climate")
     out = out.drop("_in_climate")

@@ -184,3 +184,20 @@ def test_trailing_mean_counts_rows_not_months(spark):
         ("S", "2001-01", None), ("S", "2001-03", 2.0), ("S", "2001-04", 4.0),
         ("T", "2001-01", None), ("T", "2001-02", None), ("T", "2001-03", None),
     ]
+
+
+def test_rows_without_station_or_day_are_in_no_group(daily):
+    from almanac import daily_series
+
+    df = daily(
+        [
+            {"DATE": "2001-01-01", "TMAX": 1}, {"DATE": None, "TMAX": 9},
+            {"STATION": None, "DATE": "2001-01-02", "TMAX": 9},
+        ]
+    )
+    clim = daily_climatology(df, "2001-01-01", "2001-12-31", window=1, impute=False)
+    assert rows_of(clim, "STATION", "DATE_MD") == [("A", "01-01")]
+    assert rows_of(statistics.date_bounds(df), "STATION", "last_date") == [("A", "2001-01-01")]
+    assert rows_of(daily_series(df, clim, "2001-01-01", "2001-01-02"), "STATION", "DATE") == [
+        ("A", "2001-01-01"), ("A", "2001-01-02"),
+    ]
