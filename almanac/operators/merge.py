@@ -20,9 +20,7 @@ def union_records(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def padding_rows(
-    stations: DataFrame, taken: DataFrame, start: Day, end: Day
-) -> DataFrame:
+def padding_rows(stations: DataFrame, taken: DataFrame, start: Day, end: Day) -> DataFrame:
     """Empty rows for the days of the range that ``taken`` (STATION, DATE) does not have."""
     spine = calendar_spine(stations.select("STATION", "NAME"), start, end)
     return conform_daily(spine.join(taken.distinct(), KEYS, "left_anti"))
@@ -49,9 +47,7 @@ def keep_last(rows: DataFrame, order: str) -> DataFrame:
     """
     values = [F.col(c).desc_nulls_last() for c in rows.columns if c not in (*KEYS, order)]
     latest = Window.partitionBy(*KEYS).orderBy(F.col(order).desc(), *values)
-    return (
-        rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") == 1).drop("_n")
-    )
+    return rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") == 1).drop("_n")
 
 
 def unique_days(rows: DataFrame) -> DataFrame:
@@ -60,26 +56,32 @@ def unique_days(rows: DataFrame) -> DataFrame:
 
 
 def upsert_rows(
-    archive: DataFrame, fetched: DataFrame, archive_is_unique: bool = False
+    archive: DataFrame,
+    fetched: DataFrame,
+    archive_is_unique: bool = False,
+    stations: DataFrame | None = None,
 ) -> DataFrame:
-    """Archive and fetched rows, one per station and day; fetched rows win.
+    """Archive and fetched rows, one per station and day; fetched rows win. Rows without a
+    station are left out. ``stations`` (STATION, NAME) labels the fetched rows.
 
     The archive is only filtered against the fetched keys. With ``archive_is_unique`` (true for
     any archive this function wrote) it is not shuffled at all when the fetched keys are small
     enough for Spark to broadcast; else its own copies are removed first.
     """
-    archive, fetched = conform_daily(archive), conform_daily(fetched)
-    archive = archive.where(F.col("STATION").isNotNull())
-    new = unique_days(fetched)
+    has_station = F.col("STATION").isNotNull()
+    archive = conform_daily(archive).where(has_station)
+    fetched = conform_daily(fetched).where(has_station)
     old = archive if archive_is_unique else unique_days(archive)
-    kept = old.join(new.select(*KEYS), KEYS, "left_anti")
+    new = unique_days(fetched)
+    if stations is not None:
+        new = label_stations(new, stations)
+    kept = old.join(fetched.select(*KEYS).distinct(), KEYS, "left_anti")
     return union_records(kept, new)
 
 
 def label_stations(rows: DataFrame, stations: DataFrame) -> DataFrame:
     """Put the label of ``stations`` (STATION, NAME) on rows that come without one."""
     labels = stations.select("STATION", F.col("NAME").alias("_name"))
-    rows = conform_daily(rows)
     name = F.coalesce("_name", "NAME").alias("NAME")
     return rows.join(labels, "STATION", "left").select(
         *(name if c == "NAME" else c for c in rows.columns)

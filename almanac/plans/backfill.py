@@ -7,13 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from almanac.operators.gaps import chunk_ranges, missing_ranges
-from almanac.operators.merge import (
-    KEYS,
-    label_stations,
-    padding_rows,
-    union_records,
-    upsert_rows,
-)
+from almanac.operators.merge import KEYS, padding_rows, union_records, upsert_rows
 from almanac.operators.prepare import conform_daily
 from almanac.operators.statistics import Day, between_days
 
@@ -46,10 +40,9 @@ def upsert_daily(
     Fetched rows win over archive rows, archive rows over empty ones. ``stations`` (STATION,
     NAME) gives the labels. Running it again with the same rows changes nothing.
     """
-    fetched = label_stations(fetched, stations)
     if archive is None:
         archive = fetched.limit(0)
-    merged = upsert_rows(archive, fetched, archive_is_unique)
+    merged = upsert_rows(archive, fetched, archive_is_unique, stations)
     if not pad:
         return merged
     parts = (between_days(conform_daily(p), start, end) for p in (archive, fetched))

@@ -50,10 +50,11 @@ def monthly_series(
         require_baseline(df, baseline_end)
     climate = monthly_climate(df, baseline_start, baseline_end)
     monthly = with_month_parts(monthly_aggregate(df, end=end))
+    out = departures(join_month_climate(monthly, climate))
     if metric.value_column == "prcp_diff":
+        # Keyed by station like the window below, so the two share a shuffle.
         gate = stations_with_incomplete_precipitation(climate)
-        monthly = monthly.join(gate, "STATION", "left_anti")
-    out = departures(join_month_climate(monthly, climate))
+        out = out.join(gate, "STATION", "left_anti")
     if trailing:
         out = trailing_mean(out, metric.value_column, trailing)
     out = value_class(out, metric)

@@ -99,7 +99,12 @@ def test_upsert_order_and_idempotence(daily, stations):
             {"STATION": None, "NAME": "old", "DATE": "2001-01-03"},
         ]
     )
-    fetched = daily([{"STATION": "S1", "NAME": None, "DATE": "2001-01-02", "PRCP": 20}])
+    fetched = daily(
+        [
+            {"STATION": "S1", "NAME": None, "DATE": "2001-01-02", "PRCP": 20},
+            {"STATION": None, "NAME": None, "DATE": "2001-01-01", "PRCP": 9},
+        ]
+    )
     span = ("2001-01-01", "2001-01-03")
     once = upsert_daily(archive, fetched, one, *span)
     want = [

@@ -1,0 +1,96 @@
+"""One supplier holds a third of all order lines, and half of those fall on one day."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
+from almanac import read_daily
+from almanac.operators import gaps, merge
+
+from conftest import SF_DIR, plan_of, rows_of
+from test_queries import in_order
+
+SQL = entry_points.oracle_sql()
+QUERIES = entry_points.queries()
+
+
+@pytest.fixture(scope="module")
+def skewed_dir(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("skewed")
+    for file in Path(SF_DIR).glob("*.parquet"):
+        if file.stem != "lineitem":
+            (folder / file.name).symlink_to(file)
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    turn = F.abs(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")) % 6
+    lines.withColumns(
+        {
+            "l_suppkey": F.when(turn < 2, F.lit(0).cast("bigint")).otherwise(F.col("l_suppkey")),
+            "l_shipdate": F.when(turn < 1, F.expr("timestamp_ntz'2000-01-05'")).otherwise(
+                F.col("l_shipdate")
+            ),
+        }
+    ).coalesce(1).write.parquet(str(folder / "lineitem.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "daily_climatology_smooth",
+        "daily_series",
+        "monthly_precipitation_anomaly",
+        "missing_ranges",
+        "upsert_padded",
+        "long_pivot_scaled",
+        "numeric_inference",
+    ],
+)
+def test_skewed_tables_give_the_same_as_sql(spark, skewed_dir, name):
+    duck = duckdb.connect()
+    for entry in Path(skewed_dir).iterdir():
+        files = f"{entry}/*.parquet" if entry.is_dir() else entry
+        duck.execute(f"CREATE VIEW {entry.stem} AS SELECT * FROM '{files}'")
+    df = QUERIES[name](spark, skewed_dir)
+    cursor = duck.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    want = in_order(cursor.fetchall(), names)
+    assert in_order([tuple(r) for r in df.collect()], df.columns) == want
+
+
+@pytest.fixture(scope="module")
+def copies(spark, daily, tmp_path_factory):
+    """A stored table in which one station's day has a third of all rows."""
+    rows = daily(
+        [
+            {"STATION": f"S{s}", "DATE": f"2001-01-{d:02d}", "PRCP": d}
+            for s in range(10)
+            for d in range(1, 31)
+        ]
+    )
+    hot = rows.where("STATION = 'S3' AND DATE = '2001-01-10'").crossJoin(spark.range(150))
+    path = str(tmp_path_factory.mktemp("copies") / "daily")
+    rows.unionByName(hot.withColumn("PRCP", F.col("id").cast("double")).drop("id")).write.parquet(path)
+    return read_daily(spark, path)
+
+
+def test_copies_are_reduced_before_the_shuffle(copies):
+    unique = merge.unique_days(copies)
+    assert copies.count() == 450 and unique.count() == 300
+    assert rows_of(unique.where("STATION = 'S3' AND DATE = '2001-01-10'"), "PRCP") == [(149.0,)]
+    plan = plan_of(unique)
+    order = plan[: plan.index("\n\n")]
+    assert order.count("WindowGroupLimit") == 2
+    assert order.rindex("WindowGroupLimit") > order.index("Exchange")
+
+
+def test_copies_do_not_reach_the_window_over_a_station(copies):
+    stations = copies.select("STATION", "NAME").distinct()
+    ranges = gaps.missing_ranges(copies, stations, "2001-01-01", "2001-01-31")
+    assert rows_of(ranges, "range_start", "n_days") == [("2001-01-31", 1)] * 10
+    runs = gaps.runs_within_months(copies.select("STATION", "DATE"))
+    assert runs.count() == 10
+    plan = plan_of(runs)
+    assert "partial_bit_or" in plan
