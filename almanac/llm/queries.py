@@ -4,11 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import simhash
-from almanac.llm.common import table
+from almanac.llm import bpe, simhash, toxicity
+from almanac.llm.common import fold, table
+
+TOXIC_FROM = 0.3
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from the labelled documents that are not held out."""
+    learn = docs.where(fold("doc_id", 4) != 2).select("doc_id", "text")
+    return toxicity.fit(learn.join(labels.select("doc_id", "toxic"), "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    score = toxicity.score(F.col("text"), model)
+    return docs.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score.alias("score")
+    ).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +46,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
         "op7_simhash": op7_simhash,
+        "op10_toxicity": op10_toxicity,
     }

@@ -170,3 +170,23 @@ def near_duplicates(
         "fp", F.coalesce("component", "first").alias("component_id")
     )
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id, with all its columns. Of rows
+    that share an id the one with the least text stays; rows without an id all stay."""
+    classes = stored(near_duplicates(docs, id_col, text_col), "classes")
+    ids = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("component_id").alias("component")
+    )
+    go = ids.where((F.col("doc_id") != F.col("component")) | (F.col("n") > 1))
+    again = ids.where((F.col("doc_id") == F.col("component")) & (F.col("n") > 1))
+    own = docs.where(F.col(id_col).isNotNull())
+    named = docs.columns
+    once = docs.join(go.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+    repeated = own.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    best = repeated.groupBy(id_col).agg(
+        F.min_by(F.struct(*(F.col(f"`{c}`") for c in named)), F.coalesce(text_col, F.lit("")))
+        .alias("_row")
+    )
+    return once.select(*named).unionByName(best.select("_row.*"))
