@@ -6,7 +6,8 @@ Texts are taken apart into pre-tokens (words), and each distinct word is encoded
    its words, position by position, as numbers of words. Blocks are written to the shared folder.
 2. The words of all blocks are shuffled by word, so that all copies of a word meet, and each
    distinct word is encoded once.
-3. The ids go back to the blocks and are put together by position.
+3. The ids go back to the blocks and are put together by position. The blocks are stored in buckets,
+   so that the sequences are not shuffled.
 
 One row for every position would move over ten bytes a word; a packed sequence takes one and a half
 after compression. Nothing grows with the corpus but the number of blocks and of shares of words.
@@ -31,10 +32,10 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import stored, text_bytes
+from almanac.llm.common import stored_by, text_bytes
 
 #: Words of a block: bounds the memory of a task. A longer text is a block of its own.
-BLOCK_WORDS = 6_000_000
+BLOCK_WORDS = 3_000_000
 #: Longer words are merged with a heap, in n log n.
 LONG_WORD = 256
 ROWS_OUT = 2_000
@@ -295,10 +296,11 @@ def encode(
     to the executors.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col))
-    shares = max(16, 2 * picked.rdd.getNumPartitions())
-    blocks = stored(
-        picked.mapInArrow(_pack(shares, pattern), BLOCKS), "blocks", compression="uncompressed"
-    )
+    partitions = picked.rdd.getNumPartitions()
+    shares = max(16, 2 * partitions)
+    packed = picked.mapInArrow(_pack(shares, pattern), BLOCKS)
+    # In buckets, so that the sequences stay where they are and only ids come to them.
+    blocks = stored_by(packed, "blocks", "block", max(8, partitions), compression="uncompressed")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def of_share(key, batches):

@@ -32,6 +32,17 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, buckets: int, **options: str) -> DataFrame:
+    """As ``stored``, in buckets of a key: grouping what is read by the key needs no shuffle. Spark
+    keeps buckets for tables only, so this leaves one in the catalog, over the folder."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    title = f"almanac_{path.rsplit('-', 1)[1]}"
+    writer = df.write.options(**options).bucketBy(min(buckets, 100_000), key)
+    writer.option("path", path).format("parquet").saveAsTable(title)
+    return spark.table(title)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: which rows are held out of learning."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
