@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, decontaminate, simhash, toxicity
+from almanac.llm import bpe, decontaminate, pii, simhash, toxicity
 from almanac.llm.common import fold, table
 
 TOXIC_FROM = 0.3
@@ -41,6 +41,26 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _span_text(spans: Column) -> Column:
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.concat_ws(",", F.transform(spans, one))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(
+            F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+            for k in pii.KINDS
+        ),
+        F.sha2(_span_text(base), 256).alias("base_sha256"),
+        _span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -54,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_decontamination": op4_decontamination,
+        "op5_pii": op5_pii,
         "op7_simhash": op7_simhash,
         "op10_toxicity": op10_toxicity,
     }
