@@ -50,12 +50,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(
-            F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-            for k in pii.KINDS
-        ),
+        *map(count, pii.KINDS),
         F.sha2(_span_text(base), 256).alias("base_sha256"),
         _span_text(F.col("spans")).alias("spans"),
     )
