@@ -21,9 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    """Learnt from the labelled documents that are not held out."""
+    """Learnt from the labelled documents that are not held out. Labels grow with the documents, so
+    both are shuffled, at any size."""
     learn = docs.where(fold("doc_id", 4) != 2).select("doc_id", "text")
-    return toxicity.fit(learn.join(labels.select("doc_id", "toxic"), "doc_id"))
+    return toxicity.fit(learn.join(labels.select("doc_id", "toxic").hint("merge"), "doc_id"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,14 +104,11 @@ def ratios(counts: DataFrame, order: int, discount: float = DISCOUNT) -> DataFra
     for m in range(order - 1, 0, -1):  # continuation counts, shared by both classes
         levels[m] = grams.groupBy(tail(m).alias("gram")).agg(F.count("*").alias("k"))
         grams = levels[m].select("gram")
-    letters = levels[1].agg(F.count("*").alias("letters"), F.sum("k").alias("all"))
-    # One row; the join with it is not a product of rows.
-    shared = levels[1].join(F.broadcast(letters)).select(
+    letters, total = levels[1].agg(F.count("*"), F.sum("k")).first()
+    spread = discount * letters / (letters + 1)
+    shared = levels[1].select(
         "gram",
-        (
-            (F.greatest(F.col("k") - discount, F.lit(0.0)) + discount * F.col("letters")
-             / (F.col("letters") + 1)) / F.col("all")
-        ).alias("p"),
+        ((F.greatest(F.col("k") - discount, F.lit(0.0)) + spread) / F.lit(total or 1)).alias("p"),
     )
     for m in range(2, order):
         level = levels[m].withColumns({"context": head(m - 1), "low": tail(m - 1)})
