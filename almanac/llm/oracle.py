@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+URL_FILTER = """
+WITH cut AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3)
+                         ELSE '' END AS rest
+    FROM pages
+), parts AS (
+    SELECT page_id,
+           translate(regexp_extract(rest, '^([^/?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+           regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) AS query
+    FROM cut
+), rules(rule, rule_host, rule_path, rule_verdict) AS (
+    VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+           ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), fits AS (
+    SELECT p.*, r.rule, r.rule_verdict,
+           row_number() OVER (PARTITION BY page_id, host, path, query
+                              ORDER BY length(r.rule) DESC NULLS LAST) AS place
+    FROM parts p LEFT JOIN rules r
+      ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN rule_verdict
+            WHEN regexp_matches(
+                host || path || query,
+                '(?s)^[^/?]*(spam|cheap-pills|casino|free-bets)|/wp-login|(\\.exe|\\.zip)$')
+            THEN 'block' ELSE 'allow' END AS verdict
+FROM fits WHERE place = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": URL_FILTER}

@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, decontaminate, pii, simhash, toxicity
-from almanac.llm.common import fold, table
+from almanac.llm import bpe, decontaminate, pii, simhash, toxicity, url_filter, warc
+from almanac.llm.common import fold, shared_path, table
 
 TOXIC_FROM = 0.3
+ARCHIVE_DATE = "2024-01-01T00:00:00Z"
+DOMAIN_RULES = (
+    url_filter.domain_rule("net", "/", "block"),
+    url_filter.domain_rule("example.net", "/en/", "allow"),
+    url_filter.domain_rule("example.com", "/de/", "block"),
+    url_filter.domain_rule("org", "/fr/", "allow"),
+)
+#: For URLs that no domain rule fits.
+BLOCKED_GLOBS = ("*spam**", "*cheap-pills**", "*casino**", "*free-bets**", "**/wp-login**", "**.exe", "**.zip")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +36,48 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     return toxicity.fit(learn.join(labels.select("doc_id", "toxic").hint("merge"), "doc_id"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages"), ARCHIVE_DATE), path)
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]*):", 1)
+    # Only responses have a payload; of all records the headers are enough.
+    bodies = (
+        warc.read_warc(spark, path).where("warc_type = 'response'")
+        .select(
+            F.col("record_id").alias("body"),
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+        )
+        .distinct()
+    )
+    heads = warc.read_warc(spark, path, payload=False).select(
+        page("record_id").try_cast("long").alias("page_id"),
+        F.col("warc_type").alias("record_type"),
+        F.coalesce("refers_to", "record_id").alias("body"),
+        page("refers_to").try_cast("long").alias("refers_to"),
+    )
+    return heads.join(bodies, "body").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [*DOMAIN_RULES, *url_filter.glob_rules(BLOCKED_GLOBS, "block")]
+    url = F.col("url")
+    found = table(spark, sf_dir, "pages").select(
+        "page_id", url, url_filter.judge(url, rules).alias("found")
+    )
+    own = url_filter.parts(url)
+    return found.select(
+        "page_id",
+        own["host"].alias("host"),
+        own["path"].alias("path"),
+        F.when(F.col("found.rule").isin([r.name for r in DOMAIN_RULES]), F.col("found.rule"))
+        .alias("rule"),
+        F.col("found.verdict").alias("verdict"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
@@ -78,5 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op7_simhash": op7_simhash,
+        "op8_warc": op8_warc,
+        "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
     }
