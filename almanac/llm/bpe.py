@@ -16,12 +16,13 @@ after compression. Nothing grows with the corpus but the number of blocks and of
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.common import stored_by, text_bytes
@@ -285,7 +286,8 @@ def _reassemble(block: pa.Table, shares: pa.Table) -> pa.Table:
 
 
 def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    then: Callable[[pa.Table], pa.Table] | None = None, schema: str = "doc_id long, ids binary",
 ) -> DataFrame:
     """``(doc_id, ids)``: the ids of every text as packed little-endian unsigned 32-bit numbers,
     the form training shards store; ``id_array`` makes an array of them.
@@ -293,7 +295,8 @@ def encode(
     Each match of ``pattern`` is encoded by itself, without special tokens. Missing and empty
     texts have no ids (empty binary). Every row comes back, also without an id or repeated. Other
     columns are not looked at. ``ranks`` is a rank file's content; its tokens bound what is sent
-    to the executors.
+    to the executors. ``then`` works on the tables of results where they are made, and ``schema`` is
+    that of what it makes of them; this spares another Python process for each task.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col))
     partitions = picked.rdd.getNumPartitions()
@@ -316,10 +319,18 @@ def encode(
         blocks.where("share < 0")
         .groupBy("block")
         .cogroup(words.groupBy("block"))
-        .applyInArrow(_reassemble, "doc_id long, ids binary")
+        .applyInArrow(_then(then), schema)
     )
 
 
+def _then(finish: Callable[[pa.Table], pa.Table] | None):
+    def of_block(block: pa.Table, shares: pa.Table) -> pa.Table:
+        found = _reassemble(block, shares)
+        return finish(found) if finish else found
+
+    return of_block
+
+
 def _drop_key(function):
     def of_group(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
@@ -352,36 +363,50 @@ def _token_table(data: bytes) -> tuple[pa.Array, np.ndarray]:
     return table, pc.fill_null(pc.binary_length(table), 0).to_numpy()
 
 
+def decoded(ids: list[bytes | None], ranks: bytes) -> Iterator[bytes | None]:
+    """The bytes of packed ids, joined from the table of tokens."""
+    table, length = _token_table(ranks)
+    for x in ids:
+        if not x:
+            yield x
+            continue
+        found = np.frombuffer(x, "<u4")
+        if int(found.max()) >= len(table):
+            raise ValueError(f"no token has the id {int(found.max())}")
+        piece = table.take(pa.array(found.astype(np.int64)))
+        if piece.null_count:
+            raise ValueError("an id has no token")
+        yield piece.buffers()[2].to_pybytes()[: int(length[found].sum())]
+
+
 def decode(ids: Column, ranks: bytes) -> Column:
     """The bytes of packed ids, joined from the table of tokens (its size is that of the
     vocabulary, whatever the corpus). An id outside the table is an error; missing ids stay
     missing, none give no bytes."""
+    sent = SparkSession.active().sparkContext.broadcast(ranks)
 
     @F.arrow_udf("binary")
     def of_batch(data: pa.Array) -> pa.Array:
-        table, length = _token_table(ranks)
-        out = []
-        for x in data.to_pylist():
-            if not x:
-                out.append(x)
-                continue
-            found = np.frombuffer(x, "<u4")
-            if int(found.max()) >= len(table):
-                raise ValueError(f"no token has the id {int(found.max())}")
-            piece = table.take(pa.array(found.astype(np.int64)))
-            if piece.null_count:
-                raise ValueError("an id has no token")
-            out.append(piece.buffers()[2].to_pybytes()[: int(length[found].sum())])
-        return pa.array(out, pa.binary())
+        return pa.array(decoded(data.to_pylist(), sent.value), pa.binary())
 
     return of_batch(ids)
 
 
-def digests(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """Number of tokens, and SHA-256 of the packed ids and of the decoded bytes."""
-    return encoded.select(
-        "doc_id",
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
-    )
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(sent) -> Callable[[pa.Table], pa.Table]:
+    """Number of tokens, and SHA-256 of the packed ids and of the bytes they decode to. ``sent``:
+    the ranks, as broadcast."""
+
+    def of_table(encoded: pa.Table) -> pa.Table:
+        ids = encoded.column("ids").to_pylist()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return pa.table({
+            "doc_id": encoded.column("doc_id"),
+            "n_tokens": pa.array((len(x) // 4 for x in ids), pa.int64()),
+            "ids_sha256": pa.array(map(sha, ids), pa.string()),
+            "decoded_sha256": pa.array(map(sha, decoded(ids, sent.value)), pa.string()),
+        })
+
+    return of_table

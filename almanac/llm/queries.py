@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, decontaminate, pii, simhash, toxicity, url_filter, warc
+from almanac.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    pii,
+    quality,
+    simhash,
+    toxicity,
+    url_filter,
+    warc,
+)
 from almanac.llm.common import fold, shared_path, table
 
 TOXIC_FROM = 0.3
@@ -23,10 +33,17 @@ DOMAIN_RULES = (
 BLOCKED_GLOBS = ("*spam**", "*cheap-pills**", "*casino**", "*free-bets**", "**/wp-login**", "**.exe", "**.zip")
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(docs: DataFrame) -> DataFrame:
+    """Digests of the ids of each text, and of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents")
-    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    finish = bpe.digests(docs.sparkSession.sparkContext.broadcast(ranks))
+    return bpe.encode(
+        docs, ranks, public_tokenizers.PATTERN, then=finish, schema=bpe.DIGESTS
+    )
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
@@ -87,6 +104,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
+    return docs.select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        quality.score(docs, quality.fit(docs, labels)).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -126,6 +157,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_licenses": op2_licenses,
+        "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op7_simhash": op7_simhash,
