@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm import (
     bpe,
+    cover_tree,
     decontaminate,
     licenses,
     pii,
@@ -33,13 +34,12 @@ DOMAIN_RULES = (
 BLOCKED_GLOBS = ("*spam**", "*cheap-pills**", "*casino**", "*free-bets**", "**/wp-login**", "**.exe", "**.zip")
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Digests of the ids of each text, and of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    finish = bpe.digests(docs.sparkSession.sparkContext.broadcast(ranks))
-    return bpe.encode(
-        docs, ranks, public_tokenizers.PATTERN, then=finish, schema=bpe.DIGESTS
-    )
+    finish = bpe.digests(docs.sparkSession.sparkContext.broadcast(ranks), with_ids)
+    schema = bpe.DIGESTS + (", ids binary" if with_ids else "")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, then=finish, schema=schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -161,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
+        "op6_embeddings": op6_embeddings,
         "op7_simhash": op7_simhash,
         "op8_warc": op8_warc,
         "op9_url_filter": op9_url_filter,
