@@ -395,18 +395,19 @@ def decode(ids: Column, ranks: bytes) -> Column:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(sent) -> Callable[[pa.Table], pa.Table]:
+def digests(sent, with_ids: bool = False) -> Callable[[pa.Table], pa.Table]:
     """Number of tokens, and SHA-256 of the packed ids and of the bytes they decode to. ``sent``:
-    the ranks, as broadcast."""
+    the ranks, as broadcast. The ids themselves follow if asked for."""
 
     def of_table(encoded: pa.Table) -> pa.Table:
         ids = encoded.column("ids").to_pylist()
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        return pa.table({
+        out = pa.table({
             "doc_id": encoded.column("doc_id"),
             "n_tokens": pa.array((len(x) // 4 for x in ids), pa.int64()),
             "ids_sha256": pa.array(map(sha, ids), pa.string()),
             "decoded_sha256": pa.array(map(sha, decoded(ids, sent.value)), pa.string()),
         })
+        return out.append_column("ids", encoded.column("ids")) if with_ids else out
 
     return of_table

@@ -1,23 +1,56 @@
-"""A corpus made ready for training, in stages over the documents."""
+"""A corpus made ready for training, in stages over the documents.
+
+Each stage works on all documents its predecessor kept, and is written to the shared folder before
+the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from almanac.llm import simhash
+from almanac.llm import decontaminate, pii, simhash, toxicity
 from almanac.llm.common import stored, table
+from almanac.llm.queries import TOXIC_FROM, encoded, toxicity_model
 
 #: SQL can express neither the learned stages nor the edit distance to every window.
 ORACLE_SQL = None
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxic score go."""
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.score(F.col("text"), model) < TOXIC_FROM)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id."""
     return simhash.keep_first(docs)
 
 
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kinds; the length is that of the new text."""
+    text = pii.redact(F.col("text"), pii.fit(docs))
+    clean = docs.withColumn("text", text)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, with digests of them and of what they decode to."""
+    return encoded(docs, with_ids=True)
+
+
 STAGES = [
-    ("simhash near-duplicates", near_duplicates),
+    ("toxicity", toxic_documents),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_items),
+    ("pii", personal_data),
+    ("byte-level bpe", tokens),
 ]
 
 
