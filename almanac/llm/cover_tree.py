@@ -322,7 +322,7 @@ def near_duplicates(
     total, width = points.agg(F.count("*"), F.max(F.size("vector"))).first()
     spark = vectors.sparkSession
     if not total:
-        return _result(all_rows, spark.createDataFrame([], "vec_id long, id long, n long"), None)
+        return _alone(all_rows)
     sample = points.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").toArrow()
     drawn = _unit(_matrix(sample.column(0), width))
     cells = min(MOST_CELLS, max(1, math.ceil(total / BLOCK)))
@@ -402,9 +402,13 @@ def near_duplicates(
         "vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"),
         F.col("component").alias("component_id"),
     )
-    alone = all_rows.where(~_usable(F.col("vector")) | F.col("vec_id").isNull()).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
-    )
-    return linked.unionByName(alone).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    kept = F.col("vec_id") == F.col("component_id")
+    return linked.withColumn("kept", kept).unionByName(_alone(all_rows))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Rows that link with nothing, whatever their vector."""
+    return rows.where(~_usable(F.col("vector")) | F.col("vec_id").isNull()).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+        F.lit(True).alias("kept"),
     )

@@ -1,0 +1,131 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+from conftest import SF_DIR
+from pyspark.sql import functions as F
+
+from almanac.llm import toxicity
+from almanac.llm.queries import queries
+
+
+def plain_ratios(grams, order, d=0.75):
+    """Both models in plain Python, from ``{gram: (toxic, ordinary)}``."""
+    levels, now = {}, set(grams)
+    for m in range(order - 1, 0, -1):
+        levels[m] = Counter(g[1:] for g in now)
+        now = set(levels[m])
+    k = levels[1]
+    p = {g: (n - d + d * len(k) / (len(k) + 1)) / sum(k.values()) for g, n in k.items()}
+    for m in range(2, order):
+        total, kinds = Counter(), Counter()
+        for g, n in levels[m].items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        p = {
+            g: (n - d + d * kinds[g[:-1]] * p[g[1:]]) / total[g[:-1]]
+            for g, n in levels[m].items()
+        }
+    out = {}
+    sums = [Counter(), Counter()]
+    kinds = [Counter(), Counter()]
+    for g, own in grams.items():
+        for c in (0, 1):
+            sums[c][g[:-1]] += own[c]
+            kinds[c][g[:-1]] += own[c] > 0
+    weight = lambda c, x: d * kinds[c][x] / sums[c][x] if sums[c][x] else 1.0
+    for g, own in grams.items():
+        x = g[:-1]
+        like = [
+            (max(own[c] - d, 0) / sums[c][x] if sums[c][x] else 0) + weight(c, x) * p[g[1:]]
+            for c in (0, 1)
+        ]
+        out[g] = math.log(like[0] / like[1])
+        out[x] = math.log(weight(0, x) / weight(1, x))
+    return out
+
+
+def test_ratios_equal_the_plain_models(spark):
+    draw, order = random.Random(5), 4
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 6))) for _ in range(80)]
+    grams = {}
+    for i, word in enumerate(words):
+        for g in toxicity.sequences(word, order):
+            own = grams.setdefault(g, [0, 0])
+            own[i % 3 > 0] += 1 + i % 2
+    rows = spark.createDataFrame([(g, *n) for g, n in grams.items()], "gram string, toxic long, ordinary long")
+    found = {r["key"]: r["ratio"] for r in toxicity.ratios(rows, order).collect()}
+    expected = plain_ratios(grams, order)
+    assert found.keys() == expected.keys()
+    assert all(math.isclose(found[k], expected[k], abs_tol=1e-9) for k in found)
+
+
+def test_counts_cover_all_rows(spark):
+    rows = [("bad bad word", True, 0), ("word", False, 0), ("word", False, 0), ("", True, 1), ("bad", True, 1)]
+    df = spark.createDataFrame([(t.encode(), y, p) for t, y, p in rows], "text binary, toxic boolean, part int")
+    found = {(r["gram"], r["part"]): (r["toxic"], r["ordinary"])
+             for r in toxicity.count_sequences(df.repartition(3), 3).collect()}
+    assert found["bad", 0] == (2, 0) and found["bad", 1] == (1, 0) and found["wor", 0] == (1, 2)
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    draw = random.Random(1)
+    rows = []
+    for i in range(400):
+        words = ["".join(draw.choice(("ta", "ri", "no", "sel")) for _ in range(3)) for _ in range(60)]
+        if i % 8 == 0:
+            for _ in range(3):
+                words[draw.randrange(60)] = draw.choice(("zorgux", "vexpuz", "zorguxen"))
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    rows += [(1000, None, 0), (1001, "", 1), (1002, "ta", None), (None, "ri", 0), (1003, "no", 7)]
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+
+
+def test_rare_expressions_and_edge_cases(texts, model):
+    plain = "tarino seltata " * 30
+    docs = texts([
+        (1, plain), (2, plain + "zorgux " * 3), (3, plain + "ZORGUXEN! vexpuz zorgux, " * 2 + plain), (4, None), (5, ""),
+        (6, plain * 300), (6, plain * 300 + "vexpuz " * 200), (None, plain), (1, plain),
+    ])
+    score = {}
+    for r in docs.select("doc_id", F.length("text").alias("len"), toxicity.score(F.col("text"), model).alias("s")).collect():
+        score.setdefault((r["doc_id"], r["len"]), set()).add(r["s"])
+    one = {k: next(iter(v)) for k, v in score.items()}
+    assert all(len(v) == 1 and 0 <= next(iter(v)) <= 1 for v in score.values())
+    assert one[1, 480] < 0.3 and all(s > 0.3 for (i, _), s in one.items() if i in (2, 3))
+    assert one[4, None] == one[5, 0] < 0.3
+    assert sorted(s > 0.3 for (i, _), s in one.items() if i == 6) == [False, True]
+    assert texts([]).select(toxicity.score(F.col("text"), model)).count() == 0
+
+
+def test_nothing_to_learn_from(spark, texts):
+    empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    model = toxicity.fit(empty)
+    rows = texts([(1, "some words")]).select(toxicity.score(F.col("text"), model)).collect()
+    assert 0 <= rows[0][0] <= 1
+
+
+def test_model_falls_back_to_lower_orders(spark, monkeypatch):
+    rows = [(f"{a}{b}{c}{d}{e}", 0, 1, 2) for a in "ab" for b in "ab" for c in "ab" for d in "ab" for e in "ab"]
+    counts = spark.createDataFrame(rows, "gram string, part int, toxic long, ordinary long")
+    monkeypatch.setattr(toxicity, "MAX_ENTRIES", 20)
+    assert toxicity._model(counts).order == 3
+
+
+def test_registered_on_held_out_rows(spark):
+    out = queries()["op10_toxicity"](spark, SF_DIR)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert out.where("score between 0 and 1").count() == 200
+    assert out.where("predicted != int(score >= 0.3)").count() == 0
+
+
+def test_finds_held_out_toxic_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries()["op10_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert sum(toxic) >= 0.85 * len(toxic)
+    assert sum(clean) <= 0.03 * len(clean)
