@@ -2,6 +2,50 @@
 
 from __future__ import annotations
 
+from almanac.llm.licenses import DICE, TEMPLATES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_GIVEN = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_PAIRS = (
+    "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+)
+
+LICENSES = f"""
+WITH given(template, license, text) AS (VALUES {_GIVEN}),
+templates AS (
+    SELECT template, license, {_PAIRS} AS t
+    FROM (SELECT template, license, {_WORDS.format('text')} AS w FROM given)
+), units AS (
+    SELECT doc_id, 'line' AS unit, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS number
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+    UNION ALL
+    SELECT doc_id, 'paragraph', part, number
+    FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS number
+          FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS parts
+                FROM documents))
+    WHERE contains(trim(part), chr(10))
+), own AS (
+    SELECT doc_id, unit, number, {_PAIRS} AS b
+    FROM (SELECT doc_id, unit, number, {_WORDS.format('part')} AS w FROM units)
+    WHERE len(w) > 1
+), scored AS (
+    SELECT doc_id, unit, number, license, template, len(list_intersect(b, t)) AS common,
+           2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice
+    FROM own JOIN templates
+      ON len(b) BETWEEN len(t) * {DICE} / (2 - {DICE}) - 1e-9
+                    AND len(t) * (2 - {DICE}) / {DICE} + 1e-9
+)
+SELECT doc_id, unit, number, license, common, dice
+FROM scored WHERE dice >= {DICE}
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number
+                           ORDER BY dice DESC, license, template) = 1
+"""
+
 URL_FILTER = """
 WITH cut AS (
     SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3)
@@ -35,4 +79,4 @@ FROM fits WHERE place = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": URL_FILTER}
+    return {"op2_licenses": LICENSES, "op9_url_filter": URL_FILTER}

@@ -72,7 +72,7 @@ def _vector(data: bytes, n_chars: float | None, known: dict[str, int]) -> tuple[
     for word in distinct.difference(known):
         known[word] = _slot(word)
     slots = list({known[w] for w in distinct})
-    values = [1.0 / math.sqrt(len(slots))] * len(slots)
+    values = [1.0 / math.sqrt(max(1, len(slots)))] * len(slots)
     size = max(1, len(data))
     count = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     upper, digits, symbols, marks, spaces = (count @ _CLASS / size).tolist()

@@ -4,8 +4,8 @@ Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, give
 log-likelihood ratio. The highest order counts by class. All lower orders are continuation counts
 that both classes share, so a rare expression is smoothed by how its letters continue anywhere.
 A text is judged by ratios per word, so that its length neither hides nor makes toxicity: the mean
-over all words, over the worst fiftieth of them, and of what exceeds chance. A logistic curve
-turns these into a score.
+over all words, over the worst fiftieth of them, the worst one, and what exceeds chance in the
+worst passage. A logistic curve turns these into a score.
 
 Where neither class has seen a sequence the shared part cancels, and the ratio is that of the
 weights with which both back off. So a model is one table, of seen sequences and of contexts.
@@ -37,6 +37,7 @@ CURVE_ROWS = 20_000
 #: The worst words that are looked at by themselves, and the ratio that chance rarely exceeds.
 WORST_SHARE = 0.02
 CHANCE_RATIO = 3.0
+PASSAGE_WORDS = 100
 FEATURES = 4
 WORD = re.compile(r"\w+")
 _KNOWN_WORDS = 400_000  # ratios remembered by a task
@@ -182,14 +183,15 @@ def _features(values: np.ndarray) -> tuple[float, ...]:
     if n == 0:
         return (0.0,) * FEATURES
     worst = np.partition(values, n - (k := max(1, math.ceil(WORST_SHARE * n))))[-k:]
-    excess = np.maximum(values - CHANCE_RATIO, 0.0)
-    return (
-        float(values.mean()), float(worst.mean()), float(values.max()), float(excess.mean())
-    )
+    excess = np.concatenate(([0.0], np.cumsum(np.maximum(values - CHANCE_RATIO, 0.0))))
+    size = min(n, PASSAGE_WORDS)
+    passage = float((excess[size:] - excess[:-size]).max()) / size
+    return float(values.mean()), float(worst.mean()), float(values.max()), passage
 
 
 def features(text: Column, model: Model) -> Column:
-    """Mean ratio of the words, of the worst fiftieth, of the worst one, and mean excess."""
+    """Mean ratio of the words, of the worst fiftieth, of the worst one, and the mean excess of the
+    worst passage."""
     sent = SparkSession.active().sparkContext.broadcast(model.table)
     order = model.order
 

@@ -1,0 +1,84 @@
+import re
+
+import duckdb
+import pytest
+from conftest import SF_DIR
+
+from almanac.llm import licenses
+from almanac.llm.oracle import oracle_sql
+from almanac.llm.queries import queries
+
+
+def grams(text):
+    w = re.findall(r"[^\W_]+", text.lower())
+    return set(zip(w, w[1:], strict=False))
+
+
+def brute_force(docs, templates=licenses.TEMPLATES, dice=0.8):
+    out = []
+    for doc_id, text in docs:
+        units = [("line", i, t) for i, t in enumerate((text or "").split("\n"), 1)]
+        units += [
+            ("paragraph", i, t)
+            for i, t in enumerate(re.split(r"\n[ \t\r]*\n", text or ""), 1) if "\n" in t.strip(" ")
+        ]
+        for unit, number, part in units:
+            own, best = grams(part), []
+            for k, (name, template) in enumerate(templates):
+                other = grams(template)
+                if own and other:
+                    common = len(own & other)
+                    value = 2.0 * common / (len(own) + len(other))
+                    if value >= dice:
+                        best.append((-value, name, k, common))
+            if best:
+                value, name, _, common = min(best)
+                out.append((doc_id, unit, number, name, common, -value))
+    return sorted(out, key=str)
+
+
+def found(df, **options):
+    return sorted((tuple(r) for r in licenses.scan(df, **options).collect()), key=str)
+
+
+MIT = "Released under the MIT License."
+ROWS = [
+    (1, f"text\n{MIT}\nmore"), (1, f"text\n{MIT}\nmore"), (2, None), (3, ""), (4, "word"),
+    (None, MIT.upper()), (5, "Released   under (the) MIT -- license!!"), (6, "Released under an MIT License"),
+    (7, "This work is licensed\nunder the GNU General\nPublic License, version 3."),
+    (8, "a\n\nThis work is licensed\nunder the GNU General\nPublic License, version 3.\n \nb"),
+    (9, "lorem ipsum dolor " * 20_000 + "\n" + MIT), (10, "\n".join([MIT] * 300)),
+]
+
+
+def test_edge_cases(texts):
+    assert found(texts(ROWS)) == brute_force(ROWS)
+    assert found(texts([])) == []
+
+
+def test_ties_and_templates(texts):
+    rows = [(1, "alpha beta gamma"), (2, "one")]
+    both = [("b", "alpha beta gamma"), ("a", "ALPHA beta, gamma"), ("c", "one"), ("d", "")]
+    assert found(texts(rows), templates=both) == [(1, "line", 1, "a", 2, 1.0)]
+    assert found(texts(rows), templates=[("c", "one")]) == []
+
+
+def test_bounds_lose_nothing(texts):
+    words = "the quick brown fox jumps over a lazy dog and runs far away from here".split()
+    template = [("t", " ".join(words[:8]))]
+    rows = [(k, " ".join(words[a:b])) for k, (a, b) in enumerate(
+        (a, b) for a in range(8) for b in range(a + 1, len(words) + 1)
+    )]
+    for dice in (0.5, 0.8, 1.0):
+        assert found(texts(rows), templates=template, dice=dice) == brute_force(rows, template, dice)
+
+
+@pytest.mark.parametrize("sf", [SF_DIR, "/root/testdata/sf0.01"])
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    out = queries()["op2_licenses"](spark, sf)
+    sql = con.execute(oracle_sql()["op2_licenses"])
+    columns = [c[0] for c in sql.description]
+    assert sorted(columns) == sorted(out.columns)
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(sql.fetchall())

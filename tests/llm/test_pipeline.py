@@ -1,0 +1,68 @@
+import hashlib
+import re
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from almanac.llm import decontaminate
+from almanac.llm.common import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_each_stage_on_what_was_kept(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        held.append(stored(stage(spark, held[-1], sf), name.replace(" ", "-")))
+    ids = [{r["doc_id"] for r in df.select("doc_id").collect()} for df in held]
+    assert all(after <= before for before, after in zip(ids, ids[1:], strict=False))
+    assert all(df.columns == COLUMNS for df in held[:-1])
+    clean = {i for i, t in labels.items() if t == 0}
+    assert len(clean - ids[1]) <= 0.05 * len(clean)
+    texts = [r["text"] for r in held[2].collect()]
+    assert len({" ".join(t.lower().split()) for t in texts}) == len(texts)
+    words = [" ".join(decontaminate.words_of(i)) for i in items]
+    for r in held[3].collect():
+        own = " ".join(decontaminate.words_of(r["text"]))
+        assert not any(f" {w} " in f" {own} " for w in words)
+    for r in held[4].collect():
+        assert not re.search(r"[a-z]@[a-z]+[0-9]*\.example", r["text"]) and r["n_chars"] == len(r["text"])
+    assert ids[4] == ids[3] and ids[5] == ids[4]
+    last = held[5].join(held[4].select("doc_id", "text"), "doc_id")
+    wrong = last.where(F.sha2("text", 256) != F.col("decoded_sha256"))
+    assert wrong.count() == 0
+    row = last.first()
+    assert row["ids_sha256"] == hashlib.sha256(bytes(row["ids"])).hexdigest()
+    assert row["n_tokens"] * 4 == len(row["ids"])
+
+
+def test_run_and_edge_cases(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = [(None, None, None, None, None), (-1, None, "en", None, None), (-2, "", None, "s", 0), (-2, "", None, "s", 0),
+           (-3, "the and is of in er th " * 6_000, "en", "s", 1)]
+    rows = own.unionByName(spark.createDataFrame(odd, own.schema)).withColumn("score", F.lit("x"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    out = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(out) == len(set(out)) and None in out and -3 in out and -2 in out and -1 not in out
+    rows.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = list(__spark_entry__.queries())
+    assert "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "simhash near-dedup", "benchmark decontamination", "pii", "byte-level bpe"
+    ]

@@ -1,0 +1,74 @@
+import numpy as np
+from conftest import SF_DIR
+from pyspark.sql import functions as F
+
+from almanac.llm import quality
+from almanac.llm.queries import queries
+
+
+def test_identity_equals_all_pairs():
+    draw = np.random.default_rng(0)
+    m = quality.Machine(0.3, draw.normal(size=quality.SLOTS), draw.normal(size=(quality.SLOTS, quality.RANK)))
+    rows = [draw.choice(quality.SLOTS, n, replace=False) for n in (1, 5, 9)]
+    vals = [draw.normal(size=len(r)) for r in rows]
+    size = np.array([len(r) for r in rows])
+    margins, _, _ = quality._margins(m, np.concatenate(rows), np.concatenate(vals), np.cumsum(size) - size)
+    for got, s, x in zip(margins, rows, vals, strict=True):
+        pairs = sum(
+            m.factors[s[i]] @ m.factors[s[j]] * x[i] * x[j]
+            for i in range(len(s)) for j in range(i + 1, len(s))
+        )
+        assert np.isclose(got, m.bias + m.linear[s] @ x + pairs)
+
+
+def test_learns_an_interaction():
+    """Two features that mean something only together."""
+    draw = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(1500):
+        a, b = draw.integers(2, size=2)
+        rows.append((np.array([10 + a, 20 + b, 30]), np.ones(3)))
+        y.append(float(a ^ b))
+    m = quality._fit(rows, np.array(y))
+    flat = [quality._margins(m, s, x, np.array([0]))[0][0] > 0 for s, x in rows[:200]]
+    assert np.mean(np.array(flat) == (np.array(y[:200]) == 1)) > 0.95
+
+
+def test_edge_cases(spark, texts):
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(40)] + [(None, 1), (41, None), (42, 7), (43, 1)], "doc_id long, quality int"
+    )
+    docs = [(i, "good plain words here" if i % 2 else "BAD!! ### $$$ BAD!!") for i in range(40)]
+    docs += [(41, "x"), (42, None), (43, ""), (None, "good plain words"), (1, "good plain words here"), (50, "good plain words here " * 9000)]
+    df = texts(docs)
+    machine = quality.fit(df, labels)
+    out = df.select("doc_id", quality.score(df, machine).alias("s")).collect()
+    assert len(out) == len(docs) and all(0 <= r["s"] <= 1 for r in out)
+    by = {r["doc_id"]: r["s"] for r in out}
+    assert by[1] > 0.5 > by[2] and by[50] > by[2]
+    empty = texts([])
+    assert empty.select(quality.score(empty, machine)).count() == 0
+    nothing = quality.fit(empty, labels)
+    assert 0 <= df.select(quality.score(df, nothing)).first()[0] <= 1
+    with_length = df.withColumn("n_chars", F.lit(None).cast("long"))
+    assert with_length.select(quality.score(with_length, machine)).count() == len(docs)
+
+
+def test_sample_is_bounded(spark, texts, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    df = texts([(i, "a" if i % 2 else "B!!") for i in range(40)])
+    seen = []
+    monkeypatch.setattr(quality, "_fit", lambda rows, y: seen.append(len(y)))
+    quality.fit(df, labels)
+    assert seen == [5]
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = queries()["op3_quality"](spark, sf)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 10_000
+    rows = out.where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+    assert queries()["op3_quality"](spark, SF_DIR).where("score between 0 and 1").count() == 200
