@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from almanac.schema import KEY_COLUMNS
 
-# Fixed value: a decimal number, with an optional exponent.
-NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# Fixed value: a decimal number with an optional exponent, or an infinite one.
+NUMBER_PATTERN = (
+    r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+)
 
 
 def _text_columns(df: DataFrame, exclude: Iterable[str]) -> list[str]:
@@ -30,11 +32,13 @@ def _is_number(name: str) -> Column:
 def numeric_profile(df: DataFrame, exclude: Iterable[str] = KEY_COLUMNS) -> DataFrame:
     """One row per text column: how many values it has, how many are numbers, and the verdict.
 
+    Empty text is a missing value. ``nan`` and other words are text here, unlike in a measure,
+    where ``to_measure`` knows that a number is meant: here it is what decides the type.
     All columns are counted in one pass over the data.
     """
     columns = _text_columns(df, exclude)
     counts = df.agg(
-        *(F.count(c).alias(f"v_{i}") for i, c in enumerate(columns)),
+        *(F.count_if(F.col(c) != "").alias(f"v_{i}") for i, c in enumerate(columns)),
         *(F.count_if(_is_number(c)).alias(f"n_{i}") for i, c in enumerate(columns)),
     )
     entries = F.array(
@@ -61,4 +65,6 @@ def assign_numeric(df: DataFrame, exclude: Iterable[str] = KEY_COLUMNS) -> DataF
     if not _text_columns(df, exclude):
         return df
     numeric = {r["column"] for r in numeric_profile(df, exclude).collect() if r["is_numeric"]}
-    return df.withColumns({c: F.trim(c).cast("double") for c in df.columns if c in numeric})
+    return df.withColumns(
+        {c: F.trim(F.nullif(c, F.lit(""))).cast("double") for c in df.columns if c in numeric}
+    )

@@ -20,9 +20,19 @@ def union_records(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def one_label(stations: DataFrame) -> DataFrame:
+    """One label per station: of several the last one in the order of text. Rows without a station
+    are left out."""
+    return (
+        stations.where(F.col("STATION").isNotNull())
+        .groupBy("STATION")
+        .agg(F.max("NAME").alias("NAME"))
+    )
+
+
 def padding_rows(stations: DataFrame, taken: DataFrame, start: Day, end: Day) -> DataFrame:
     """Empty rows for the days of the range that ``taken`` (STATION, DATE) does not have."""
-    spine = calendar_spine(stations.select("STATION", "NAME"), start, end)
+    spine = calendar_spine(one_label(stations), start, end)
     return conform_daily(spine.join(taken.distinct(), KEYS, "left_anti"))
 
 
@@ -46,7 +56,7 @@ def keep_last(rows: DataFrame, order: str) -> DataFrame:
     already (window group limit), so a day with very many copies does not end up in one task.
     """
     values = [F.col(c).desc_nulls_last() for c in rows.columns if c not in (*KEYS, order)]
-    latest = Window.partitionBy(*KEYS).orderBy(F.col(order).desc(), *values)
+    latest = Window.partitionBy(*KEYS).orderBy(F.col(order).desc_nulls_last(), *values)
     return rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") == 1).drop("_n")
 
 
@@ -60,19 +70,30 @@ def upsert_rows(
     fetched: DataFrame,
     archive_is_unique: bool = False,
     stations: DataFrame | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Archive and fetched rows, one per station and day; fetched rows win. Rows without a
-    station are left out. ``stations`` (STATION, NAME) labels the fetched rows.
+    station or a day are left out. ``stations`` (STATION, NAME) labels the fetched rows.
+
+    ``order`` is the column of ``fetched`` that tells which of several copies came last, such as
+    the time it was fetched (``_metadata.file_modification_time``); the last one stays, and a
+    missing time is the earliest. Without it, and between copies of the same time, the values
+    decide: the result is the same on each run, but it need not be what came last.
 
     The archive is only filtered against the fetched keys. With ``archive_is_unique`` (true for
     any archive this function wrote) it is not shuffled at all when the fetched keys are small
     enough for Spark to broadcast; else its own copies are removed first.
     """
-    has_station = F.col("STATION").isNotNull()
-    archive = conform_daily(archive).where(has_station)
-    fetched = conform_daily(fetched).where(has_station)
+    has_key = F.col("STATION").isNotNull() & F.col("DATE").isNotNull()
+    archive = conform_daily(archive).where(has_key)
     old = archive if archive_is_unique else unique_days(archive)
-    new = unique_days(fetched)
+    if order is None:
+        fetched = conform_daily(fetched).where(has_key)
+        new = unique_days(fetched)
+    else:
+        came = fetched.withColumn("_came", F.col(order))
+        fetched = conform_daily(came, keep=("_came",)).where(has_key)
+        new = keep_last(fetched, "_came").drop("_came")
     if stations is not None:
         new = label_stations(new, stations)
     kept = old.join(fetched.select(*KEYS).distinct(), KEYS, "left_anti")
@@ -81,7 +102,7 @@ def upsert_rows(
 
 def label_stations(rows: DataFrame, stations: DataFrame) -> DataFrame:
     """Put the label of ``stations`` (STATION, NAME) on rows that come without one."""
-    labels = stations.select("STATION", F.col("NAME").alias("_name"))
+    labels = one_label(stations).withColumnRenamed("NAME", "_name")
     name = F.coalesce("_name", "NAME").alias("NAME")
     return rows.join(labels, "STATION", "left").select(
         *(name if c == "NAME" else c for c in rows.columns)

@@ -10,20 +10,18 @@ from almanac import schema
 from almanac.functions import as_date_column, mean_of_present, to_measure
 from almanac.functions.dates import LEAP_DAY_TEXT
 
-# How many names an error message may show.
-NAMES_IN_MESSAGE = 20
-
 
 def with_constants(df: DataFrame, **values: str | None) -> DataFrame:
     """Add text columns of one value each, such as the station and its label."""
     return df.withColumns({c: F.lit(v).cast("string") for c, v in values.items()})
 
 
-def conform_daily(df: DataFrame) -> DataFrame:
+def conform_daily(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The daily table in its fixed layout and types.
 
     Columns are picked by name, absent ones become null, ``SNOW`` stays if it is there and any
-    other column (a saved index too) is dropped. Dates and numbers may come as text.
+    other column (a saved index too) but those to ``keep`` is dropped. Dates and numbers may come
+    as text.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
 
@@ -41,6 +39,7 @@ def conform_daily(df: DataFrame) -> DataFrame:
         text("NAME"),
         date,
         *(measure(m) for m in schema.measures_of(types)),
+        *keep,
     )
 
 
@@ -82,8 +81,7 @@ def station_names(df: DataFrame) -> DataFrame:
 def validate_location(df: DataFrame, location: str) -> DataFrame:
     """Raise ``ValueError`` when no label matches. Runs a job; stops at the first match."""
     if at_location(df, location).select("NAME").isEmpty():
-        known = [r.NAME for r in station_names(df).take(NAMES_IN_MESSAGE)]
-        raise ValueError(f"no location matches {location!r}; the data holds names such as {known}")
+        raise ValueError(f"no location matches {location!r}; station_names lists those there are")
     return df
 
 

@@ -34,15 +34,17 @@ def upsert_daily(
     end: Day,
     pad: bool = True,
     archive_is_unique: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
     """Archive, fetched rows and empty rows for the rest of the range, one per station and day.
 
-    Fetched rows win over archive rows, archive rows over empty ones. ``stations`` (STATION,
-    NAME) gives the labels. Running it again with the same rows changes nothing.
+    Fetched rows win over archive rows, archive rows over empty ones; of several fetched ones that
+    with the highest ``order``, see ``upsert_rows``. ``stations`` (STATION, NAME) gives the labels.
+    Running it again with the same rows changes nothing.
     """
     if archive is None:
         archive = fetched.limit(0)
-    merged = upsert_rows(archive, fetched, archive_is_unique, stations)
+    merged = upsert_rows(archive, fetched, archive_is_unique, stations, order)
     if not pad:
         return merged
     parts = (between_days(conform_daily(p), start, end) for p in (archive, fetched))

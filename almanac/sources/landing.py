@@ -9,23 +9,33 @@ from pyspark.sql import types as T
 from almanac.schema import SERVICE_RECORD
 
 
+def _records(body: Column, record: T.StructType = SERVICE_RECORD) -> Column:
+    """The records of a body; null unless it is a JSON array of nothing but records. An object, such
+    as an error of the service, is none, and neither is an array whose elements have neither a
+    station nor a day."""
+    parsed = F.from_json(body, T.ArrayType(record))
+    keys = [c for c in ("STATION", "DATE") if c in record.fieldNames()] or record.fieldNames()
+    fine = F.forall(parsed, lambda r: F.coalesce(*(r[k].cast("string") for k in keys)).isNotNull())
+    return F.when(F.ltrim(body).startswith("[") & fine, parsed)
+
+
+def _bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A body for each file: a response holds as many rows as a request may ask for."""
+    return spark.read.text(path, wholetext=True)
+
+
 def read_service_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All records of all landed files. An empty or malformed body adds no rows."""
-    return (
-        spark.read.schema(SERVICE_RECORD)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(path)
-    )
+    """All records of all landed files. A body that ``rejected_bodies`` lists adds no rows, and
+    neither does an empty array."""
+    return _bodies(spark, path).select(F.inline(_records(F.col("value"))))
 
 
 def rejected_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The bodies that are blank or malformed, with the file each is from. Spark does not open
-    files of zero bytes, so those are not listed."""
-    records = F.from_json("value", T.ArrayType(SERVICE_RECORD))
+    """The bodies that are blank, malformed or no array of records, with the file each is from.
+    Spark does not open files of zero bytes, so those are not listed."""
     return (
-        spark.read.text(path, wholetext=True)
-        .where(records.isNull())
+        _bodies(spark, path)
+        .where(_records(F.col("value")).isNull())
         .select(F.input_file_name().alias("file"), F.col("value").alias("body"))
     )
 
@@ -34,9 +44,9 @@ def decode_records(
     df: DataFrame, body: str = "body", record: T.StructType = SERVICE_RECORD
 ) -> DataFrame:
     """Rows of the record arrays held as JSON text in one column; other columns are repeated.
-    Text that is not such an array adds no rows."""
+    Text that is no array of records adds no rows."""
     others = [c for c in df.columns if c != body]
-    return df.select(*others, F.inline(F.from_json(body, T.ArrayType(record))))
+    return df.select(*others, F.inline(_records(F.col(body), record)))
 
 
 def json_value(body: str, name: str, data_type: str) -> Column:

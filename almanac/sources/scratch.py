@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder all executors share. Only a session
-    on a single machine may go without that setting; it gets a local temporary folder."""
+    """A new path in a folder that all executors share: ``spark.checkpoint.dir``, and in a session
+    without that setting the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.mkdtemp(prefix='run-')}/{name}"
+    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

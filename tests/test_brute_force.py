@@ -40,7 +40,7 @@ def station_climatology(rows, start, end, window):
 
 @pytest.fixture(scope="module")
 def regions(spark):
-    df = t.stored_daily(spark, SF_DIR, "region")
+    df = t.station_daily(spark, SF_DIR, "region")
     return df, load(df.toPandas())
 
 

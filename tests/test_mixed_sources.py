@@ -1,0 +1,134 @@
+"""Archives whose files differ, text that is no date, and fetched copies."""
+
+import json
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from almanac import read_daily, upsert_daily, write_daily
+from almanac.operators import inference, merge
+from almanac.sources import decode_records, read_service_records, rejected_bodies
+from workload import tables as t
+
+from conftest import plan_of, rows_of
+
+
+def test_csv_columns_are_found_by_name_in_each_file(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("STATION,NAME,DATE,PRCP,TMAX,TMIN\nA,x,2001-01-01,1,2,3\n")
+    (tmp_path / "b.csv").write_text("TMIN,TMAX,PRCP,DATE,NAME,STATION\n3,2,1,2001-01-01,x,B\n")
+    (tmp_path / "c.csv").write_text("STATION,NAME,DATE,PRCP,SNOW,TMAX,TMIN\nC,x,2001-01-01,1,9,2,3\n")
+    df = read_daily(spark, str(tmp_path), "csv")
+    assert rows_of(df, "STATION", "PRCP", "TMAX", "TMIN", "SNOW") == [
+        ("A", 1.0, 2.0, 3.0, None), ("B", 1.0, 2.0, 3.0, None), ("C", 1.0, 2.0, 3.0, 9.0)
+    ]
+    cut = read_daily(spark, str(tmp_path), "csv", start="2001-01-02")
+    assert cut.count() == 0 and cut.columns == df.columns
+
+
+def test_snow_stays_if_any_file_has_it(spark, daily, tmp_path):
+    path = str(tmp_path)
+    daily([{"STATION": "A", "DATE": "2001-01-01", "PRCP": 1}]).write.mode("append").parquet(path)
+    daily([{"STATION": "B", "DATE": "2001-01-01", "SNOW": 5}]).write.mode("append").parquet(path)
+    assert rows_of(read_daily(spark, path), "STATION", "PRCP", "SNOW") == [
+        ("A", 1.0, None), ("B", None, 5.0)
+    ]
+    pd.DataFrame(
+        {"STATION": ["C"], "NAME": ["x"], "DATE": ["2001-01-02"], "PRCP": [3], "SNWD": [None], "TAVG": [None], "TMAX": [1], "TMIN": [0]}
+    ).to_parquet(f"{path}/text.parquet")
+    mixed = read_daily(spark, path)
+    assert rows_of(mixed, "STATION", "DATE", "PRCP", "SNOW") == [
+        ("A", "2001-01-01", 1.0, None), ("B", "2001-01-01", None, 5.0), ("C", "2001-01-02", 3.0, None)
+    ]
+    assert rows_of(read_daily(spark, path, start="2001-01-02"), "STATION") == [("C",)]
+
+
+def text_dates(spark, path, dates):
+    rows = [("A", "x", d) for d in dates]
+    spark.createDataFrame(rows, "STATION string, NAME string, DATE string").write.parquet(path)
+
+
+def test_bounds_do_not_change_which_dates_are_valid(spark, tmp_path):
+    short = str(tmp_path / "short")
+    text_dates(spark, short, ["2000-1-5", "2000-01-06", None, "2000-02-01 10:00:00"])
+    assert rows_of(read_daily(spark, short, start="2000-01-01", end="2000-01-31"), "DATE") == [
+        ("2000-01-05",), ("2000-01-06",)
+    ]
+    bad = str(tmp_path / "bad")
+    text_dates(spark, bad, ["2000-01-05", "bad"])
+    for bounds in ({}, {"start": "2000-01-01", "end": "2000-01-31"}, {"end": "1999-01-01"}):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            read_daily(spark, bad, **bounds).collect()
+    iso = str(tmp_path / "iso")
+    text_dates(spark, iso, ["2000-01-05", "2000-03-05T00:00:00"])
+    assert "LessThan(DATE,2000-02-01)" in plan_of(read_daily(spark, iso, end="2000-01-31"))
+
+
+def test_a_column_called_year_is_just_a_column(spark, daily, tmp_path):
+    df = daily([{"DATE": "2000-01-05", "PRCP": 1}]).withColumn("YEAR", F.lit(2001))
+    df.write.parquet(str(tmp_path / "a"))
+    assert read_daily(spark, str(tmp_path / "a"), start="2000-01-01", end="2000-12-31").count() == 1
+    write_daily(df.drop("YEAR"), str(tmp_path / "b"), by_year=True)
+    assert read_daily(spark, str(tmp_path / "b"), start="2001-01-01").count() == 0
+
+
+def test_long_keys_stay_whole(spark):
+    keys = spark.createDataFrame([(12345678901,), (12345678902,), (7,)], "user_id long")
+    ids = [r[0] for r in keys.select(t.station_id("user_id", 9)).collect()]
+    assert ids == ["ST12345678901", "ST12345678902", "ST000000007"]
+
+
+BODIES = {
+    "good": '[{"STATION":"A","DATE":"2001-01-01","TMAX":"2"}]', "empty": "[]", "page": "<html>no</html>",
+    "error": '{"errorCode":400,"errors":[]}', "numbers": "[1, 2]", "others": '[{"foo":1}]',
+    "half": '[{"STATION":"A","DATE":"2001-01-02"}, {"foo":1}]', "cut": '[{"STATION":"A","DATE":"20', "blank": " \n",
+    "record": '{"STATION":"A","DATE":"2001-01-03"}',
+}
+
+
+def test_error_objects_are_no_records(spark, tmp_path):
+    for name, body in BODIES.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    path = str(tmp_path)
+    assert rows_of(read_service_records(spark, path), "STATION", "DATE", "TMAX") == [("A", "2001-01-01", "2")]
+    assert read_daily(spark, path, "json").count() == 1
+    names = {r.file.rsplit("/", 1)[1].split(".")[0] for r in rejected_bodies(spark, path).collect()}
+    assert names == set(BODIES) - {"good", "empty"}
+    column = spark.createDataFrame(list(BODIES.items()), "name string, body string")
+    assert rows_of(decode_records(column), "name", "DATE") == [("good", "2001-01-01")]
+    json.loads(BODIES["error"])
+
+
+def test_the_row_that_came_last_stays(spark, daily):
+    archive = daily([{"DATE": "2001-01-01", "PRCP": 1}, {"DATE": "2001-01-02", "PRCP": 5}])
+    fetched = daily([{"DATE": "2001-01-01", "PRCP": p} for p in (9, 2, 4)]).withColumn(
+        "came", F.when(F.col("PRCP") == 2, 3).when(F.col("PRCP") == 9, 1)
+    )
+    for rows in (fetched, fetched.repartition(3)):
+        out = merge.upsert_rows(archive, rows, order="came")
+        assert rows_of(out, "DATE", "PRCP") == [("2001-01-01", 2.0), ("2001-01-02", 5.0)]
+
+
+def test_upsert_again_changes_nothing(spark, daily, tmp_path):
+    archive = daily([{"DATE": "2001-01-01", "PRCP": 1}, {"DATE": None, "PRCP": 3}])
+    fetched = daily([{"DATE": "2001-01-02", "PRCP": 2}, {"DATE": None, "PRCP": 4}, {"STATION": None, "DATE": "2001-01-03"}])
+    labels = spark.createDataFrame([("A", "Alpha"), ("A", "Beta"), (None, "x"), ("B", "b")], "STATION string, NAME string")
+    for n in range(3):
+        out = upsert_daily(archive, fetched, labels, "2001-01-01", "2001-01-03")
+        found = rows_of(out, "STATION", "DATE", "NAME", "PRCP")
+        assert len(found) == 6 and len({r[:2] for r in found}) == 6
+        if n:
+            assert found == before
+        before = found
+        out.write.parquet(str(tmp_path / str(n)))
+        archive = spark.read.parquet(str(tmp_path / str(n)))
+
+
+def test_numbers_as_the_inference_knows_them(spark):
+    rows = [("1", "1", "1", "1", " 2 ", ""), ("", "inf", "nan", " ", "1e5", None), (None, "-Infinity", "2", "3", ".5", "")]
+    df = spark.createDataFrame(rows, "empty string, infinite string, nan string, space string, plain string, none string")
+    found = {r["column"]: r["is_numeric"] for r in inference.numeric_profile(df, ()).collect()}
+    assert found == {"empty": True, "infinite": True, "nan": False, "space": False, "plain": True, "none": True}
+    out = inference.assign_numeric(df, ())
+    assert [r[0] for r in out.select("empty").collect()] == [1.0, None, None]
+    assert [r[0] for r in out.select("infinite").collect()] == [1.0, float("inf"), float("-inf")]

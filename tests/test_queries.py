@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from workload import oracle, queries
 
 from conftest import SF_DIR
 
-SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+SQL = oracle.oracle_sql()
+QUERIES = queries.queries()
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,8 @@ def in_order(rows, names):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

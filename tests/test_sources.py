@@ -64,7 +64,7 @@ def test_folders_per_year_are_pruned(spark, daily, tmp_path):
     assert rows_of(read_daily(spark, path), *df.columns) == rows_of(df, *df.columns)
     cut = read_daily(spark, path, start="1993-06-01", end="1994-12-31")
     assert rows_of(cut, "DATE") == [("1993-06-01",), ("1994-06-01",)]
-    assert "PartitionFilters: [isnotnull(YEAR" in plan_of(cut)
+    assert "PartitionFilters: [isnotnull(almanac_year" in plan_of(cut)
 
 
 @pytest.mark.parametrize("quote_all", [True, False])

@@ -10,7 +10,7 @@ from workload import tables as t
 from workload.queries import DENSE
 
 _SUPPLIER_DAYS = """
-SELECT 'ST' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS STATION,
+SELECT 'ST' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(length(CAST(s_suppkey AS VARCHAR)), 12) AS INTEGER), '0') AS STATION,
        s_name || ', ' || n_name || ', ' || r_name AS NAME,
        {measures}
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -18,7 +18,7 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 GROUP BY s_suppkey, s_name, n_name, r_name, CAST(l_shipdate AS DATE)
 """
 _REGION_DAYS = """
-SELECT 'ST' || lpad(CAST(n_regionkey AS VARCHAR), 3, '0') AS STATION,
+SELECT 'ST' || lpad(CAST(n_regionkey AS VARCHAR), CAST(greatest(length(CAST(n_regionkey AS VARCHAR)), 3) AS INTEGER), '0') AS STATION,
        r_name AS NAME,
        {measures}
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -453,9 +453,41 @@ WHERE NOT EXISTS (SELECT 1 FROM sd a WHERE a.STATION = w.STATION AND a.DATE = d.
         ),
         "csv_roundtrip": _with((), f"{row} FROM sd"),
         "parquet_roundtrip": _with((), f"{row} FROM sd WHERE {_BASELINE}"),
+        "mixed_parquet": _with((), f"{row} FROM ({_MIXED})"),
+        "mixed_csv": _with((), f"{row} FROM ({_MIXED})"),
+        "text_dates_in_range": _with((), f"{row} FROM sd WHERE {_BASELINE}"),
+        "upsert_newest": _with(
+            ("arch", "fetched"),
+            f"""{row} FROM (
+  SELECT *, row_number() OVER (PARTITION BY STATION, DATE ORDER BY rank DESC) AS n FROM (
+    SELECT *, 1 AS rank FROM arch UNION ALL BY NAME
+    SELECT * REPLACE (NULL AS NAME, PRCP - 1 AS PRCP), 2 AS rank FROM fetched)
+) WHERE n = 1""",
+        ),
+        "upsert_relabelled": _with(
+            ("arch", "fetched", "who"),
+            f"""{row} FROM (
+  SELECT *, row_number() OVER (PARTITION BY STATION, DATE ORDER BY rank DESC) AS n FROM (
+    SELECT *, 1 AS rank FROM arch UNION ALL BY NAME
+    SELECT * REPLACE ('zz ' || NAME AS NAME), 2 AS rank FROM fetched
+    UNION ALL BY NAME SELECT w.STATION, 'zz ' || w.NAME AS NAME, d.DATE, 0 AS rank
+    FROM who w CROSS JOIN {_days(*t.YEAR)} d)
+) WHERE n = 1""",
+        ),
+        "landed_records": _with(
+            (), f"SELECT STATION, CAST(NULL AS VARCHAR) AS NAME, DATE, {rs(ROW[3:])} FROM sd"
+        ),
+        "landed_rejects": _with((), _REJECTS),
     }
 
 
+# Odd months come without snow.
+_MIXED = "SELECT * REPLACE (CASE WHEN month(DATE) % 2 = 0 THEN SNOW END AS SNOW) FROM sd"
+_REJECTS = """SELECT unnest(['<html>' || r || '</html>', '{"errorCode":400,"station":"' || r || '"}',
+  '["' || r || '"]', '[{"other":"' || r || '"}]', '[{"STATION":"' || r]) AS body
+FROM (SELECT right(STATION, 3) AS r FROM sd GROUP BY 1)"""
+
+
 def _gridded(station: str) -> str:
     kelvin = ", ".join(
         r(f"avg(CASE WHEN event_type = '{e}' THEN value END) - 273.15", c)
@@ -468,7 +500,7 @@ FROM events WHERE value IS NOT NULL GROUP BY ALL"""
 
 
 def _on_tables() -> dict[str, str]:
-    point = "'ST' || lpad(CAST(user_id AS VARCHAR), 9, '0')"
+    point = "'ST' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 9) AS INTEGER), '0')"
     quantity = "CAST(l_quantity AS VARCHAR)"
     columns = {
         "order": "CAST(l_orderkey AS VARCHAR)",
@@ -476,10 +508,16 @@ def _on_tables() -> dict[str, str]:
         "mixed": f"CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE {quantity} END",
         "partly_missing": f"CASE WHEN l_linestatus = 'F' THEN {quantity} END",
         "flag": "l_returnflag",
+        "with_empty": f"CASE WHEN l_linenumber = 7 THEN '' ELSE {quantity} END",
+        "infinite": f"CASE WHEN l_linenumber = 7 THEN '-Infinity' ELSE {quantity} END",
+        "not_a_number": f"CASE WHEN l_linenumber = 7 THEN 'nan' ELSE {quantity} END",
     }
+    value = "nullif({}, '')"
+    number = "CASE WHEN {} <> 'nan' THEN TRY_CAST({} AS DOUBLE) END"
     profile = " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({e}) AS n_values, count(TRY_CAST({e} AS DOUBLE)) AS n_numbers,
-  count({e}) = count(TRY_CAST({e} AS DOUBLE)) AS is_numeric FROM lineitem"""
+        f"""SELECT '{c}' AS "column", count({value.format(e)}) AS n_values,
+  count({number.format(e, e)}) AS n_numbers,
+  count({value.format(e)}) = count({number.format(e, e)}) AS is_numeric FROM lineitem"""
         for c, e in columns.items()
     )
     return {
@@ -488,6 +526,9 @@ FROM (SELECT event_type, TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) A
       FROM events) GROUP BY event_type""",
         "numeric_inference": profile,
         "gridded_era5": _gridded(point),
+        "landed_pairs": f"""SELECT {point} AS STATION, key, {r('value')} FROM (
+  SELECT user_id, strftime(ts, '%Y%m%d') || '_' || event_type AS key, value
+  FROM events WHERE value IS NOT NULL)""",
         "gridded_era5_one_point": _gridded("''"),
         "gridded_sst": f"""SELECT STATION, '' AS NAME, DATE, {r('t', 'TAVG')}, {r('t', 'TMAX')}, {r('t', 'TMIN')},
   CAST(NULL AS DOUBLE) AS PRCP, CAST(NULL AS DOUBLE) AS SNWD

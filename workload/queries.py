@@ -17,13 +17,14 @@ from almanac import (
     normalize_long,
     prepare_daily,
     read_daily,
+    read_pairs,
     upsert_daily,
     write_csv,
     write_daily,
 )
 from almanac.operators import bands, calendar, departures, gaps, inference, merge
 from almanac.operators import prepare, records, smoothing, snow, statistics
-from almanac.sources import decode_records, json_value
+from almanac.sources import decode_records, json_value, read_service_records, rejected_bodies
 from almanac.sources.scratch import scratch_path
 from workload import tables as t
 
@@ -259,6 +260,75 @@ def parquet_roundtrip(daily):
     return read_daily(spark, path, start=t.BASELINE[0], end=t.BASELINE[1])
 
 
+def _two_kinds(daily):
+    """Odd months without snow and with dates as text, even ones with snow, in another order."""
+    even = F.month("DATE") % 2 == 0
+    text = F.col("DATE").cast("string").alias("DATE")
+    odd = daily.where(~even).select("STATION", "NAME", text, "PRCP", "SNWD", "TAVG", "TMAX", "TMIN")
+    return odd, daily.where(even).select("TMIN", "SNOW", "TMAX", "TAVG", "SNWD", "PRCP", "DATE", "NAME", "STATION")
+
+
+def mixed_parquet(daily):
+    spark = daily.sparkSession
+    path = scratch_path(spark, "mixed-parquet")
+    for part in _two_kinds(daily):
+        part.write.mode("append").parquet(path)
+    return read_daily(spark, path)
+
+
+def mixed_csv(daily):
+    spark = daily.sparkSession
+    path = scratch_path(spark, "mixed-csv")
+    for part in _two_kinds(daily):
+        part.write.mode("append").option("header", True).csv(path)
+    return read_daily(spark, path, "csv")
+
+
+def text_dates_in_range(daily):
+    """Every tenth day is written without leading zeros."""
+    spark = daily.sparkSession
+    path = scratch_path(spark, "text-dates")
+    short = F.date_format("DATE", "yyyy-M-d")
+    text = F.when(F.dayofyear("DATE") % 10 == 0, short).otherwise(F.col("DATE").cast("string"))
+    daily.withColumn("DATE", text).write.parquet(path)
+    return read_daily(spark, path, start=t.BASELINE[0], end=t.BASELINE[1])
+
+
+def upsert_newest(daily):
+    """Each fetched row is followed by a correction downwards."""
+    first = t.fetched(daily).withColumn("came", F.lit(1))
+    then = first.withColumns({"came": F.lit(2), "PRCP": F.col("PRCP") - 1})
+    return merge.upsert_rows(t.archive(daily), then.unionByName(first), order="came")
+
+
+def upsert_relabelled(daily):
+    """The labels of the stations have changed; the old ones are still listed."""
+    old = daily.select("STATION", "NAME").distinct()
+    new = old.withColumn("NAME", F.concat(F.lit("zz "), "NAME"))
+    undated = t.fetched(daily).limit(5).withColumn("DATE", F.lit(None).cast("date"))
+    return upsert_daily(
+        t.archive(daily), t.fetched(daily).unionByName(undated), old.unionByName(new), *t.YEAR
+    )
+
+
+def _landed(daily):
+    path = scratch_path(daily.sparkSession, "landed")
+    t.write_bodies(t.service_bodies(daily).unionByName(t.rejected(daily)), path)
+    return path
+
+
+def landed_records(daily):
+    return prepare.conform_daily(read_service_records(daily.sparkSession, _landed(daily)))
+
+
+def landed_rejects(daily):
+    """The labels that ``service_bodies`` breaks on purpose are left out."""
+    found = rejected_bodies(daily.sparkSession, _landed(daily)).select(
+        F.regexp_replace("body", "\n$", "").alias("body")
+    )
+    return found.where(~F.col("body").contains(", ")).select("body")
+
+
 # Queries on other tables.
 
 
@@ -276,6 +346,17 @@ def numeric_inference(spark, sf_dir):
     return inference.numeric_profile(t.text_lines(spark, sf_dir))
 
 
+def landed_pairs(spark, sf_dir):
+    """Events as extracts of a grid point, a file of lines for each event type and point."""
+    key = F.concat_ws("_", F.date_format("ts", "yyyyMMdd"), "event_type")
+    pairs = t.table(spark, sf_dir, "events").select(
+        t.station_id("user_id", 9).alias("STATION"), key.alias("key"), "value"
+    )
+    path = scratch_path(spark, "landed-pairs")
+    pairs.where(F.col("value").isNotNull()).write.option("header", True).csv(path)
+    return rounded(read_pairs(spark, path, "csv"))
+
+
 def gridded_era5(spark, sf_dir):
     return rounded(normalize_gridded(t.gridded_pairs(spark, sf_dir), "era5"))
 
@@ -333,6 +414,13 @@ ON_DAILY: dict[str, OnDaily] = {
     "long_pivot_padded": long_pivot_padded,
     "csv_roundtrip": csv_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
+    "mixed_parquet": mixed_parquet,
+    "mixed_csv": mixed_csv,
+    "text_dates_in_range": text_dates_in_range,
+    "upsert_newest": upsert_newest,
+    "upsert_relabelled": upsert_relabelled,
+    "landed_records": landed_records,
+    "landed_rejects": landed_rejects,
 }
 
 # The ones that a full calendar of days shows more of: also run with regions as stations.
@@ -359,6 +447,7 @@ DENSE = (
 ON_TABLES: dict[str, Query] = {
     "landing_json": landing_json,
     "numeric_inference": numeric_inference,
+    "landed_pairs": landed_pairs,
     "gridded_era5": gridded_era5,
     "gridded_era5_one_point": gridded_era5_one_point,
     "gridded_sst": gridded_sst,
@@ -366,7 +455,7 @@ ON_TABLES: dict[str, Query] = {
 
 
 def _on(level: str, query: OnDaily) -> Query:
-    return lambda spark, sf_dir: rounded(query(t.stored_daily(spark, sf_dir, level)))
+    return lambda spark, sf_dir: rounded(query(t.station_daily(spark, sf_dir, level)))
 
 
 def queries() -> dict[str, Query]:

@@ -9,10 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from almanac import read_daily, write_daily
-from almanac.sources.scratch import scratch_path
 
 # Parameters of the queries.
 BASELINE = ("1996-01-01", "1999-12-31")
@@ -34,16 +30,9 @@ ERA5_FEATURES = {
 }
 
 
-_schemas: dict[str, StructType] = {}
-_stored: dict[tuple[str, str, str], str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A generated table. Its schema is looked up in the file once and then given."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """A generated table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def station_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") -> DataFrame:
@@ -75,9 +64,9 @@ def station_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") ->
             F.min("tmin").alias("tmin"),
             F.sum("snow").alias("snow"),
         )
-        station, name = _station_id("n_regionkey", 3), F.col("r_name")
+        station, name = station_id("n_regionkey", 3), F.col("r_name")
     else:
-        station = _station_id("l_suppkey", 12)
+        station = station_id("l_suppkey", 12)
         name = F.concat_ws(", ", "s_name", "n_name", "r_name")
     return rows.select(
         station.alias("STATION"),
@@ -92,27 +81,10 @@ def station_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") ->
     )
 
 
-def store_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") -> str:
-    """Derive the daily table and write it as an archive, sorted by station and day."""
-    path = scratch_path(spark, f"daily-{level}")
-    write_daily(station_daily(spark, sf_dir, level), path, clustered=True)
-    return path
-
-
-def stored_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") -> DataFrame:
-    """The daily table read from an archive, written by the first query of a session.
-
-    A series reads the history, the baseline and the range: from the archive these are three
-    pruned scans, where each would otherwise group the order lines again.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, level)
-    if key not in _stored:
-        _stored[key] = store_daily(spark, sf_dir, level)
-    return read_daily(spark, _stored[key])
-
-
-def _station_id(key: str, digits: int):
-    return F.concat(F.lit("ST"), F.lpad(F.col(key).cast("string"), digits, "0"))
+def station_id(key: str, digits: int):
+    """At least so many digits; a longer key stays whole."""
+    text = F.col(key).cast("string")
+    return F.concat(F.lit("ST"), F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0")))
 
 
 def archive(daily: DataFrame) -> DataFrame:
@@ -154,6 +126,32 @@ def service_bodies(daily: DataFrame) -> DataFrame:
     return good.unionByName(broken)
 
 
+def rejected(daily: DataFrame) -> DataFrame:
+    """Bodies that are no records, five of each kind for some stations: a page, an error object,
+    arrays of something else, and one that was cut off."""
+    r = F.col("r")
+    return (
+        daily.select(F.right("STATION", F.lit(3)).alias("r"))
+        .distinct()
+        .select(
+            F.explode(
+                F.array(
+                    F.concat(F.lit("<html>"), r, F.lit("</html>")),
+                    F.concat(F.lit('{"errorCode":400,"station":"'), r, F.lit('"}')),
+                    F.concat(F.lit('["'), r, F.lit('"]')),
+                    F.concat(F.lit('[{"other":"'), r, F.lit('"}]')),
+                    F.concat(F.lit('[{"STATION":"'), r),
+                )
+            ).alias("body")
+        )
+    )
+
+
+def write_bodies(bodies: DataFrame, path: str) -> None:
+    """A file for each body."""
+    bodies.write.option("maxRecordsPerFile", 1).text(path)
+
+
 def long_records(daily: DataFrame) -> DataFrame:
     """One row per station, day and data type, in tenths; missing values have no row."""
     entries = F.array(
@@ -172,7 +170,7 @@ def gridded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as key/value pairs of a reanalysis extract; each user is a grid point."""
     names = F.create_map(*(F.lit(x) for pair in ERA5_FEATURES.items() for x in pair))
     return table(spark, sf_dir, "events").select(
-        _station_id("user_id", 9).alias("STATION"),
+        station_id("user_id", 9).alias("STATION"),
         F.concat_ws("_", F.date_format("ts", "yyyyMMdd"), names[F.col("event_type")]).alias("key"),
         "value",
     )
@@ -182,7 +180,7 @@ def sst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as key/value pairs of a sea-surface extract: views are ``sst``, others are not."""
     feature = F.when(F.col("event_type") == "view", F.lit("sst")).otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select(
-        _station_id("user_id", 9).alias("STATION"),
+        station_id("user_id", 9).alias("STATION"),
         F.concat_ws("_", F.date_format("ts", "yyyyMMdd"), feature).alias("key"),
         "value",
     )
@@ -197,4 +195,8 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(quantity).alias("mixed"),
         F.when(F.col("l_linestatus") == "F", quantity).alias("partly_missing"),
         F.col("l_returnflag").alias("flag"),
+        *(
+            F.when(F.col("l_linenumber") == 7, F.lit(odd)).otherwise(quantity).alias(name)
+            for name, odd in (("with_empty", ""), ("infinite", "-Infinity"), ("not_a_number", "nan"))
+        ),
     )
