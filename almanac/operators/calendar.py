@@ -13,7 +13,7 @@ from almanac.functions import day_key, nan_to_null, parse_day, parse_day_key
 from almanac.operators.statistics import Day
 
 
-def _days(first: Column, last: Column) -> Column:
+def days_between(first: Column, last: Column) -> Column:
     """Every day from first to last; none if last is earlier."""
     step = F.expr("interval 1 day")
     return F.when(first <= last, F.sequence(first, last, step)).otherwise(
@@ -23,7 +23,7 @@ def _days(first: Column, last: Column) -> Column:
 
 def calendar_spine(stations: DataFrame, start: Day, end: Day) -> DataFrame:
     """One row per given row of ``stations`` and day of the closed interval."""
-    days = _days(F.lit(parse_day(start)), F.lit(parse_day(end)))
+    days = days_between(F.lit(parse_day(start)), F.lit(parse_day(end)))
     return stations.select(*stations.columns, F.explode(days).alias("DATE"))
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions import nan_to_null
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -48,6 +50,25 @@ def join_month_climate(monthly: DataFrame, climate: DataFrame) -> DataFrame:
     return monthly.join(renamed, ["STATION", "Month"], "left")
 
 
+def join_complete_climate(monthly: DataFrame, climate: DataFrame) -> DataFrame:
+    """The same without the stations that have a climate month without a precipitation value.
+
+    The climate becomes one row for each station, with its months as a map of twelve at most, so
+    that it is computed once for the gate and the join.
+    """
+    values = [c for c in climate.columns if c not in ("STATION", "Month")]
+    month = F.struct("Month", F.struct(*values))
+    stations = climate.groupBy("STATION").agg(
+        F.map_from_entries(F.collect_list(month)).alias("_climate"),
+        F.bool_or(nan_to_null(F.col("prcp_sum")).isNull()).alias("_incomplete"),
+    )
+    joined = monthly.join(stations, "STATION", "left")
+    return joined.where(~F.coalesce("_incomplete", F.lit(False))).select(
+        *monthly.columns,
+        *(F.col("_climate")[F.col("Month")][c].alias(f"{c}_clim") for c in values),
+    )
+
+
 def departures(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import parse_day
-from almanac.operators.calendar import calendar_spine
 from almanac.operators.statistics import Day, between_days
 from almanac.schema import measures_of
 
@@ -33,10 +32,10 @@ def days_present(
 def missing_days(
     archive: DataFrame, stations: DataFrame, start: Day, end: Day, padded: bool = True
 ) -> DataFrame:
-    """Requested days the archive does not have."""
-    spine = calendar_spine(stations.select("STATION").distinct(), start, end)
-    present = days_present(archive, start, end, padded).distinct()
-    return spine.join(present, ["STATION", "DATE"], "left_anti")
+    """Requested days the archive does not have: the days of the missing ranges."""
+    ranges = missing_ranges(archive, stations, start, end, padded)
+    days = F.sequence("range_start", "range_end", F.expr("interval 1 day"))
+    return ranges.select("STATION", F.explode(days).alias("DATE"))
 
 
 def contiguous_ranges(days: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def missing_ranges(
 ) -> DataFrame:
     """Runs of missing days, read off as the gaps between the runs of days that are there.
 
-    Equals ``contiguous_ranges(missing_days(...))`` but never builds the calendar: each station
+    Never builds the calendar: each station
     adds the days before and after the range as sentinels, and one window compares neighbours.
     """
     wanted = stations.select("STATION").distinct()

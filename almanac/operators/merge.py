@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.operators.calendar import calendar_spine
+from almanac.functions import parse_day
+from almanac.operators.calendar import days_between
 from almanac.operators.prepare import conform_daily
 from almanac.operators.statistics import Day, between_days
 
@@ -32,8 +33,18 @@ def one_label(stations: DataFrame) -> DataFrame:
 
 def padding_rows(stations: DataFrame, taken: DataFrame, start: Day, end: Day) -> DataFrame:
     """Empty rows for the days of the range that ``taken`` (STATION, DATE) does not have."""
-    spine = calendar_spine(one_label(stations), start, end)
-    return conform_daily(spine.join(taken.distinct(), KEYS, "left_anti"))
+    inside = between_days(taken.where(F.col("STATION").isNotNull()), start, end)
+    # A set of days for each station, as many as the range has at most; copies of a day are gone
+    # before the shuffle.
+    days = inside.groupBy("STATION").agg(F.collect_set("DATE").alias("_taken"))
+    every = days_between(F.lit(parse_day(start)), F.lit(parse_day(end)))
+    none = F.array().cast("array<date>")
+    missing = F.array_except(every, F.coalesce("_taken", none))
+    return conform_daily(
+        one_label(stations)
+        .join(days, "STATION", "left")
+        .select("STATION", "NAME", F.explode(missing).alias("DATE"))
+    )
 
 
 def pad_calendar(rows: DataFrame, stations: DataFrame, start: Day, end: Day) -> DataFrame:
@@ -41,11 +52,10 @@ def pad_calendar(rows: DataFrame, stations: DataFrame, start: Day, end: Day) ->
 
     ``stations`` (STATION, NAME) gives the label of the empty rows; rows outside the range stay.
     This is the full outer join of rows and calendar, made of two parts so that the rows
-    themselves are not shuffled: only their distinct keys meet the calendar.
+    themselves are not shuffled: only their days are, as a set for each station.
     """
     rows = conform_daily(rows)
-    taken = between_days(rows, start, end).select(*KEYS)
-    return union_records(rows, padding_rows(stations, taken, start, end))
+    return union_records(rows, padding_rows(stations, rows.select(*KEYS), start, end))
 
 
 def keep_last(rows: DataFrame, order: str) -> DataFrame:
@@ -65,6 +75,27 @@ def unique_days(rows: DataFrame) -> DataFrame:
     return keep_last(rows.withColumn("_order", F.lit(0)), "_order").drop("_order")
 
 
+def single_days(rows: DataFrame) -> DataFrame:
+    """One row per station and day. Equal copies are reduced, before any shuffle; several rows of
+    a day that differ, such as those of pooled stations, are an error when the rows are read:
+    ``unique_days`` or a mean have to decide first. Rows without a station or a day stay."""
+    values = [c for c in rows.columns if c not in KEYS]
+    has_key = F.col("STATION").isNotNull() & F.col("DATE").isNotNull()
+    grouped = rows.where(has_key).groupBy(*KEYS).agg(
+        F.count("*").alias("_n"),
+        *(F.max(c).alias(c) for c in values),
+        *(F.min(c).alias(f"_low_{c}") for c in values),
+        *(F.count(c).alias(f"_n_{c}") for c in values),
+    )
+    differ = F.lit(False)
+    for c in values:
+        some = (F.col(f"_n_{c}") > 0) & (F.col(f"_n_{c}") < F.col("_n"))
+        differ = differ | some | ~F.col(c).eqNullSafe(F.col(f"_low_{c}"))
+    text = F.concat_ws(" ", F.lit("rows that differ for"), *KEYS)
+    checked = grouped.where(F.when(differ, F.raise_error(text).cast("boolean")).otherwise(True))
+    return checked.select(*rows.columns).unionByName(rows.where(~has_key))
+
+
 def upsert_rows(
     archive: DataFrame,
     fetched: DataFrame,

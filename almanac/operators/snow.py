@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import millimetres_to_centimetres
+from almanac.operators.merge import single_days
 from almanac.schema import SNOW
 
 
 def cumulative_snowfall(df: DataFrame) -> DataFrame:
     """Running snowfall in mm and cm per station; missing on days without a value, while the
-    total goes on. Rows must be unique per station and day, so a station has at most one row
-    per day of the range."""
+    total goes on. Rows must be unique per station and day (``merge.single_days`` sees to it), so
+    that a station has at most one row per day of the range."""
     so_far = (
         Window.partitionBy("STATION")
         .orderBy("DATE")
@@ -48,7 +49,8 @@ def snow_accumulation(df: DataFrame) -> DataFrame:
     """Cumulative snowfall of the rows, the last day with snowfall, and the parts it makes."""
     last = _last_day().over(Window.partitionBy("STATION"))
     return (
-        df.transform(cumulative_snowfall)
+        df.transform(single_days)
+        .transform(cumulative_snowfall)
         .withColumn("last_snow_date", last)
         .transform(split_at_last_snowfall)
     )

@@ -16,7 +16,6 @@ from almanac.functions import (
     format_day_key,
     format_month_key,
     month_key,
-    nan_to_null,
     parse_day,
 )
 from almanac.functions.dates import LEAP_DAY
@@ -168,13 +167,3 @@ def require_baseline(df: DataFrame, end: Day = BASELINE_END) -> DataFrame:
             "baseline_status tells at which stations"
         )
     return df
-
-
-def stations_with_incomplete_precipitation(climate: DataFrame) -> DataFrame:
-    """Stations with a climate month that has no precipitation value."""
-    return (
-        climate.groupBy("STATION")
-        .agg(F.bool_or(nan_to_null(F.col("prcp_sum")).isNull()).alias("_missing"))
-        .where("_missing")
-        .select("STATION")
-    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from almanac.operators.gaps import chunk_ranges, missing_ranges
 from almanac.operators.merge import KEYS, padding_rows, union_records, upsert_rows
 from almanac.operators.prepare import conform_daily
-from almanac.operators.statistics import Day, between_days
+from almanac.operators.statistics import Day
 
 
 def backfill_plan(
@@ -47,6 +47,5 @@ def upsert_daily(
     merged = upsert_rows(archive, fetched, archive_is_unique, stations, order)
     if not pad:
         return merged
-    parts = (between_days(conform_daily(p), start, end) for p in (archive, fetched))
-    taken = union_records(*(p.select(*KEYS) for p in parts))
+    taken = union_records(*(conform_daily(p).select(*KEYS) for p in (archive, fetched)))
     return union_records(merged, padding_rows(stations, taken, start, end))

@@ -13,6 +13,7 @@ from almanac.operators.calendar import (
     station_calendar,
     with_day_key,
 )
+from almanac.operators.merge import single_days
 from almanac.operators.prepare import ensure_prepared
 from almanac.operators.records import extremes_by_day, flag_records
 from almanac.operators.smoothing import circular_mean, impute_feb29
@@ -71,7 +72,8 @@ def daily_series(
 
     ``records`` may be a stored table of record extremes; with ``True`` they are computed from the
     whole history. Days after a station's last row have climate values but ``in_data_range`` is
-    false. Snow columns are left out if the table has no SNOW. ``strict`` makes a calendar day
+    false. Copies of a row are reduced, several rows of a day that differ are an error (pooled
+    stations have such). Snow columns are left out if the table has no SNOW. ``strict`` makes a calendar day
     that is missing from the climatology an error.
     """
     df = ensure_prepared(df)
@@ -82,10 +84,10 @@ def daily_series(
         # The last day with snowfall goes along with the bounds, and the running total is made on
         # the rows that exist: neither needs a window over the whole calendar.
         bounds = bounds.join(last_snowfall(observed), "STATION", "left")
-        observed = cumulative_snowfall(observed.select(*columns, SNOW))
+        observed = cumulative_snowfall(single_days(observed.select(*columns, SNOW)))
         spine = split_at_last_snowfall(station_calendar(bounds, start, end))
     else:
-        observed = observed.select(*columns)
+        observed = single_days(observed.select(*columns))
         spine = station_calendar(bounds, start, end)
     out = join_observations(with_day_key(spine), observed)
     out = join_climatology(out, climatology.withColumn("_in_climate", F.lit(True)))

@@ -9,6 +9,7 @@ from almanac.functions import parse_day
 from almanac.operators.departures import (
     choose_metric,
     departures,
+    join_complete_climate,
     join_month_climate,
     value_class,
     with_month_parts,
@@ -22,7 +23,6 @@ from almanac.operators.statistics import (
     monthly_aggregate,
     monthly_climate,
     require_baseline,
-    stations_with_incomplete_precipitation,
 )
 
 
@@ -50,11 +50,11 @@ def monthly_series(
         require_baseline(df, baseline_end)
     climate = monthly_climate(df, baseline_start, baseline_end)
     monthly = with_month_parts(monthly_aggregate(df, end=end))
-    out = departures(join_month_climate(monthly, climate))
     if metric.value_column == "prcp_diff":
-        # Keyed by station like the window below, so the two share a shuffle.
-        gate = stations_with_incomplete_precipitation(climate)
-        out = out.join(gate, "STATION", "left_anti")
+        out = join_complete_climate(monthly, climate)
+    else:
+        out = join_month_climate(monthly, climate)
+    out = departures(out)
     if trailing:
         out = trailing_mean(out, metric.value_column, trailing)
     out = value_class(out, metric)

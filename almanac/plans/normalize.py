@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import hundredths, kelvin_to_celsius, metres_to_millimetres, tenths
-from almanac.operators.merge import pad_calendar
+from almanac.operators.merge import padding_rows, union_records
 from almanac.operators.prepare import conform_daily, with_constants
 from almanac.operators.reshape import (
     parse_compact_day,
@@ -95,5 +95,7 @@ def normalize_long(
     daily = conform_daily(with_constants(scaled, NAME=name))
     if start is None or end is None:
         return daily
-    stations = with_constants(daily.select("STATION").distinct(), NAME=name)
-    return pad_calendar(daily, stations, start, end)
+    # The days come from the records, so that these are pivoted once.
+    taken = dated.select("STATION", "DATE")
+    stations = with_constants(taken.select("STATION").distinct(), NAME=name)
+    return union_records(daily, padding_rows(stations, taken, start, end))

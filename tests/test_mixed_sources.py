@@ -132,3 +132,39 @@ def test_numbers_as_the_inference_knows_them(spark):
     out = inference.assign_numeric(df, ())
     assert [r[0] for r in out.select("empty").collect()] == [1.0, None, None]
     assert [r[0] for r in out.select("infinite").collect()] == [1.0, float("inf"), float("-inf")]
+
+
+def test_copies_of_a_day(spark, daily):
+    from almanac import daily_climatology, daily_series
+    from almanac.operators.prepare import pool_stations
+    from almanac.operators.snow import snow_accumulation
+
+    rows = [{"DATE": f"2001-01-0{d}", "TMAX": d, "TMIN": 0, "SNOW": d} for d in range(1, 5)]
+    once, twice = daily(rows), daily(rows + rows[1:3] * 2)
+    climate = daily_climatology(once, "2001-01-01", "2001-12-31", window=1)
+    series = [daily_series(df, climate, "2001-01-01", "2001-01-04") for df in (once, twice)]
+    assert rows_of(series[1], "DATE", "TMEAN", "snow_acc") == rows_of(series[0], "DATE", "TMEAN", "snow_acc")
+    assert rows_of(snow_accumulation(twice), "DATE", "snow_acc") == rows_of(snow_accumulation(once), "DATE", "snow_acc")
+    other = daily([{**r, "STATION": "B", "SNOW": 9} for r in rows])
+    pooled = pool_stations(once.unionByName(other))
+    with pytest.raises(Exception, match="rows that differ for"):
+        daily_series(pooled, climate, "2001-01-01", "2001-01-04").collect()
+    with pytest.raises(Exception, match="rows that differ for"):
+        snow_accumulation(pooled).collect()
+
+
+@pytest.mark.parametrize(
+    "name,scans",
+    [("long_pivot_padded", 3), ("monthly_precipitation_anomaly", 2), ("upsert_padded", 7), ("missing_days", 2)],
+)
+def test_scans_of_the_merged_plans(spark, name, scans):
+    """The records are pivoted once, the climate of a month is computed once, and padding takes the
+    stations and the days only."""
+    from workload.queries import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(queries()[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("lineitem.parquet") <= scans
