@@ -34,6 +34,8 @@ MOST_CELLS = 512
 BLOCK = 4_096
 _SLACK = 1e-6  # bounds are taken with room for rounding; links are exact
 _PAIRS = 50_000
+#: A list of pairs is worth it if it leaves out all but one of so many; else all are compared.
+_DROPS = 16
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -129,6 +131,35 @@ class _Side:
         self.begin, self.count = np.cumsum(count) - count, count
 
 
+def _bounded(ca: np.ndarray, ra: np.ndarray, cb: np.ndarray, rb: np.ndarray, reach: float,
+             pairs: np.ndarray) -> np.ndarray:
+    """Those pairs of nodes that are not further apart than both radii and ``reach``."""
+    stay = [pairs[:0]]
+    for c in range(0, len(pairs), _PAIRS):
+        x, y = pairs[c : c + _PAIRS].T
+        far = np.sqrt(((ca[x] - cb[y]) ** 2).sum(axis=1))
+        stay.append(pairs[c : c + _PAIRS][far <= ra[x] + rb[y] + reach + _SLACK])
+    return np.concatenate(stay)
+
+
+def _all_bounded(ca: np.ndarray, ra: np.ndarray, cb: np.ndarray, rb: np.ndarray, reach: float,
+                 last: bool) -> np.ndarray | None:
+    """The same of all pairs of a level, by products of matrices in single precision first. None if
+    the level drops too few to be worth it, and is not the last."""
+    found, n = [np.zeros((0, 2), np.int64)], 0
+    ca32, cb32 = ca.astype(np.float32), cb.T.astype(np.float32)
+    far = np.minimum(ra + rb.max() + reach + 1e-3, 2.0)  # 1e-3: single precision
+    least = (1 - far**2 / 2).astype(np.float32)[:, None]
+    for c in range(0, len(ca), 1024):
+        near = np.argwhere(ca32[c : c + 1024] @ cb32 >= least[c : c + 1024])
+        n += len(near)
+        if not last and _DROPS * n > len(ca) * len(cb):
+            return None
+        near[:, 0] += c
+        found.append(near)
+    return _bounded(ca, ra, cb, rb, reach, np.concatenate(found))
+
+
 def _leaf_pairs(a: _Side, b: _Side, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of leaves that may link, and whether all their members do."""
     pairs, depth = None, max(len(a.levels), len(b.levels))
@@ -136,22 +167,17 @@ def _leaf_pairs(a: _Side, b: _Side, reach: float) -> tuple[np.ndarray, np.ndarra
         ka = max(0, step - depth + len(a.levels))
         kb = max(0, step - depth + len(b.levels))
         (ca, ra, above_a), (cb, rb, above_b) = a.levels[ka], b.levels[kb]
-        if pairs is None:
-            far = _distances(ca.astype(np.float32), cb.astype(np.float32))
-            found = far <= ra[:, None] + rb[None, :] + reach + 1e-3
-            pairs = np.argwhere(found)
-            continue
-        stay = []
-        # The side with fewer levels waits until both are as fine.
-        sons_a = _sons(above_a) if step - depth + len(a.levels) > 0 else None
-        sons_b = _sons(above_b) if step - depth + len(b.levels) > 0 else None
-        for c in range(0, len(pairs), _PAIRS):
-            own = _expand(pairs[c : c + _PAIRS], sons_a, sons_b)
-            for d in range(0, len(own), _PAIRS):
-                x, y = own[d : d + _PAIRS].T
-                far = np.sqrt(((ca[x] - cb[y]) ** 2).sum(axis=1))
-                stay.append(own[d : d + _PAIRS][far <= ra[x] + rb[y] + reach + _SLACK])
-        pairs = np.concatenate(stay) if stay else pairs[:0]
+        if pairs is not None:
+            # The side with fewer levels waits until both are as fine.
+            sons_a = _sons(above_a) if step - depth + len(a.levels) > 0 else None
+            sons_b = _sons(above_b) if step - depth + len(b.levels) > 0 else None
+            size = np.ones(len(pairs), np.int64)
+            for sons, own in ((sons_a, pairs[:, 0]), (sons_b, pairs[:, 1])):
+                size *= 1 if sons is None else sons[2][own]
+            if _DROPS * int(size.sum()) <= len(ca) * len(cb):
+                pairs = _bounded(ca, ra, cb, rb, reach, _expand(pairs, sons_a, sons_b))
+                continue
+        pairs = _all_bounded(ca, ra, cb, rb, reach, last=step == depth - 1)
     (ca, ra, _), (cb, rb, _) = a.levels[-1], b.levels[-1]
     whole = np.zeros(len(pairs), bool)
     for c in range(0, len(pairs), _PAIRS):
