@@ -155,7 +155,7 @@ def test_copies_of_a_day(spark, daily):
 
 @pytest.mark.parametrize(
     "name,scans",
-    [("long_pivot_padded", 3), ("monthly_precipitation_anomaly", 2), ("upsert_padded", 7), ("missing_days", 2)],
+    [("long_pivot_padded", 3), ("monthly_precipitation_anomaly", 2), ("upsert_padded", 7), ("missing_days", 3)],
 )
 def test_scans_of_the_merged_plans(spark, name, scans):
     """The records are pivoted once, the climate of a month is computed once, and padding takes the
