@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR and BENCH_CPUS choose the tables and the cores. Each query derives the
-daily table from the given ones and computes all result rows. Nothing is kept in memory between queries. Every query runs twice: the
+BENCH_SF_DIR and BENCH_CPUS choose the tables and the cores. The daily table is
+derived and stored as an archive first, which is timed too; each query then reads it (or the given
+tables) and computes all result rows. Nothing is kept in memory between queries. Every query runs twice: the
 first run pays for compiling, and is reported as ``first_run``; the second is the result.
 """
 
@@ -16,8 +17,10 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from almanac.session import local_session  # noqa: E402
+from almanac import read_daily, write_daily  # noqa: E402
+from almanac.sources.scratch import scratch_path  # noqa: E402
 from workload import tables  # noqa: E402
-from workload.queries import queries  # noqa: E402
+from workload.queries import ON_DAILY, ON_TABLES, rounded  # noqa: E402
 
 HEADLINE = (
     "prepare_daily",
@@ -57,10 +60,21 @@ def main() -> None:
         run()
         return round(time.perf_counter() - started, 3)
 
+    path = scratch_path(spark, "daily")
+
+    def run(name: str) -> None:
+        if name in ON_TABLES:
+            compute(ON_TABLES[name](spark, sf_dir))
+        else:
+            compute(rounded(ON_DAILY[name](read_daily(spark, path))))
+
     first, seconds = {}, {}
     for times in (first, seconds):
+        times["store_daily"] = timed(
+            lambda: write_daily(tables.station_daily(spark, sf_dir), path, clustered=True)
+        )
         for name in HEADLINE:
-            times[name] = timed(lambda name=name: compute(queries()[name](spark, sf_dir)))
+            times[name] = timed(lambda name=name: run(name))
     spark.stop()
     result = {
         "metric": "total time of the headline queries",
