@@ -33,7 +33,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import stored_by, text_bytes
+from almanac.llm.common import release, stored_by, text_bytes
 
 #: Words of a block: bounds the memory of a task. A longer text is a block of its own.
 BLOCK_WORDS = 3_000_000
@@ -210,6 +210,8 @@ def _pack(shares: int, pattern: str):
                 n += len(found)
         if sequences:
             yield from rows(close(ids, sequences, index))
+        ids, sequences, index = [], [], {}
+        release()
 
     return of_partition
 
@@ -241,6 +243,9 @@ def _encode_share(data: bytes):
                     ["block", "share", "payload"],
                 )
 
+        known.clear()
+        release()
+
     return of_share
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,12 @@ def stored_by(df: DataFrame, name: str, key: str, buckets: int, **options: str)
     return spark.table(title)
 
 
+def release() -> None:
+    """Give memory that Arrow holds for later back, at the end of a task that used much: Python
+    processes outlive their tasks, and those of several stages share an executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: which rows are held out of learning."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

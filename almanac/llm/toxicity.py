@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import stored, text_bytes
+from almanac.llm.common import release, stored, text_bytes
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -40,7 +40,7 @@ CHANCE_RATIO = 3.0
 PASSAGE_WORDS = 100
 FEATURES = 4
 WORD = re.compile(r"\w+")
-_KNOWN_WORDS = 400_000  # ratios remembered by a task
+_KNOWN_WORDS = 200_000  # ratios and counts remembered by a task
 
 
 def words_of(data: bytes) -> list[str]:
@@ -88,6 +88,7 @@ def count_sequences(rows: DataFrame, order: int = ORDER) -> DataFrame:
             if sum(map(len, words.values())) > _KNOWN_WORDS:
                 yield from flush()
         yield from flush()
+        release()
 
     schema = "gram string, part int, toxic long, ordinary long"
     made = rows.select("text", "toxic", "part").mapInArrow(of_partition, schema)
@@ -210,6 +211,8 @@ def features(text: Column, model: Model) -> Column:
                 if len(known) > _KNOWN_WORDS:
                     known.clear()
             yield pa.array(out, pa.list_(pa.float64()))
+        known.clear()
+        release()
 
     return of_batches(text_bytes(text))
 
