@@ -98,9 +98,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    score = toxicity.score(F.col("text"), model)
-    return docs.select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score.alias("score")
+    return toxicity.with_score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score"
     ).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 

@@ -10,12 +10,17 @@ worst passage. A logistic curve turns these into a score.
 Where neither class has seen a sequence the shared part cancels, and the ratio is that of the
 weights with which both back off. So a model is one table, of seen sequences and of contexts.
 Counts cover all rows to learn from. They are aggregated in each task and then by sequence.
+
+The table grows with the texts and stays stored. Texts become blocks of distinct words and packed
+word numbers; the distinct sequences of each block meet the table in a shuffle, their ratios return
+to the block, and each word of it gets its sum. So nothing of the model is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import release, stored, text_bytes
+from almanac.llm.bpe import _joined, _packed, _planes, _unpacked
+from almanac.llm.common import release, stored, stored_by, text_bytes
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Bound of what is sent to every task. A model with more entries is made of lower order.
+#: Bound of what the column functions send to every task; the table functions have none.
 MAX_ENTRIES = 1_000_000
+#: Words of a block of texts; a longer text is a block by itself.
+BLOCK_WORDS = 2_000_000
 #: Rows to fit the two weights and the offset of the curve on: a bounded sample by hash.
 CURVE_ROWS = 20_000
 #: The worst words that are looked at by themselves, and the ratio that chance rarely exceeds.
@@ -158,13 +166,23 @@ def ratios(counts: DataFrame, order: int, discount: float = DISCOUNT) -> DataFra
 
 @dataclass
 class Model:
-    """Ratios as an Arrow stream; the curve's offset and its weight of each feature."""
+    """Ratios as a stored table; the curve's offset and its weight of each feature."""
 
     order: int
-    table: bytes
+    ratios: DataFrame
     curve: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
 
 
+def _table(model: Model) -> bytes:
+    """The ratios as an Arrow stream, of a model that every task can hold."""
+    if (n := model.ratios.count()) > MAX_ENTRIES:
+        raise ValueError(f"{n} entries are too many for a column function: use with_score")
+    table, out = model.ratios.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 @lru_cache(maxsize=2)
 def _lookup(data: bytes) -> dict[str, float]:
     table = pa.ipc.open_stream(data).read_all()
@@ -192,8 +210,8 @@ def _features(values: np.ndarray) -> tuple[float, ...]:
 
 def features(text: Column, model: Model) -> Column:
     """Mean ratio of the words, of the worst fiftieth, of the worst one, and the mean excess of the
-    worst passage."""
-    sent = SparkSession.active().sparkContext.broadcast(model.table)
+    worst passage. For a model that every task can hold; ``with_features`` takes any."""
+    sent = SparkSession.active().sparkContext.broadcast(_table(model))
     order = model.order
 
     @F.arrow_udf("array<double>")
@@ -217,19 +235,136 @@ def features(text: Column, model: Model) -> Column:
     return of_batches(text_bytes(text))
 
 
-def _model(counts: DataFrame) -> Model:
-    for order in range(ORDER, 1, -1):
-        cut = counts.groupBy(F.substring("gram", ORDER - order + 1, order).alias("gram")).agg(
-            F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+BLOCKS = "block long, gram string, payload binary"
+
+
+def _pack(order: int):
+    """Rows of texts and further columns to blocks. A block has a row without a sequence, with the
+    further columns, the distinct words and the texts as numbers of these, and a row for each
+    distinct sequence of its words."""
+
+    def rows(block: int, grams: list, payload: bytes | None = None) -> pa.RecordBatch:
+        n = len(grams)
+        return pa.record_batch(
+            [
+                pa.array(np.full(n, block, np.int64)),
+                pa.array(grams, pa.string()),
+                pa.array([payload] * n, pa.binary()),
+            ],
+            ["block", "gram", "payload"],
+        )
+
+    def close(keys: list, texts: list, index: dict) -> Iterator[pa.RecordBatch]:
+        block = uuid.uuid4().int >> 65
+        codes = np.concatenate(texts)
+        often = np.argsort(-np.bincount(codes, minlength=len(index)), kind="stable")
+        rank = np.empty(len(index), np.int64)
+        rank[often] = np.arange(len(index))
+        names = list(index)
+        parts = (
+            pa.Table.from_batches(keys).combine_chunks().to_batches()[0].columns,
+            [pa.array([len(x) for x in texts], pa.int32())],
+            [pa.array([names[i] for i in often], pa.string())],
+            _planes(rank[codes]),
         )
-        found = stored(ratios(stored(cut, "sequences"), order), "ratios")
-        if found.count() <= MAX_ENTRIES:
-            table = found.toArrow()
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, table.schema) as writer:
-                writer.write_table(table)
-            return Model(order, out.getvalue().to_pybytes())
-    raise ValueError("even pairs of letters exceed the bound of the model")
+        yield rows(block, [None], b"".join(
+            len(x).to_bytes(8, "little") + x for x in (_packed(*own) for own in parts)
+        ))
+        grams = sorted({gram for word in names for gram in sequences(word, order)})
+        for a in range(0, len(grams), 50_000):
+            yield rows(block, grams[a : a + 50_000])
+
+    def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, index, n = [], [], {}, 0
+        for batch in batches:
+            first, further = 0, batch.select(range(1, batch.num_columns))
+            for k, data in enumerate(batch.column(0)):
+                found = words_of(data.as_py())
+                if texts and n + len(found) > BLOCK_WORDS:
+                    if k > first:
+                        keys.append(further.slice(first, k - first))
+                    yield from close(keys, texts, index)
+                    keys, texts, index, n, first = [], [], {}, 0, k
+                add = index.setdefault
+                texts.append(
+                    np.fromiter((add(x, len(index)) for x in found), np.uint32, len(found))
+                )
+                n += len(found)
+            if batch.num_rows > first:
+                keys.append(further.slice(first))
+        if texts:
+            yield from close(keys, texts, index)
+        keys, texts, index = [], [], {}
+        release()
+
+    return of_partition
+
+
+def _of_block(names: list[str], order: int):
+    """The further columns of a block and the features of its texts, by the ratios of its sequences."""
+
+    def of_block(block: pa.Table, ratios: pa.Table) -> pa.Table:
+        if block.num_rows != 1:
+            raise RuntimeError("ratios came back for a block that is not there, or twice")
+        payload, parts = block.column("payload")[0].as_py(), []
+        while payload:
+            size = int.from_bytes(payload[:8], "little")
+            parts.append(payload[8 : 8 + size])
+            payload = payload[8 + size :]
+        keys, lengths, words = (_unpacked(x) for x in parts[:3])
+        lengths, codes = lengths.column(0).to_numpy(), _joined(_unpacked(parts[3]), 0)
+        # A sequence that did not come back is an error here.
+        of = dict(zip(ratios.column("gram").to_pylist(), ratios.column("ratio").to_pylist(), strict=True))
+        words = words.column(0).to_pylist()
+        ratio = np.fromiter((sum(of[g] for g in sequences(w, order)) for w in words), float, len(words))
+        ends = np.cumsum(lengths, dtype=np.int64)
+        x = [_features(ratio[codes[a:b]]) for a, b in zip(ends - lengths, ends, strict=True)]
+        return pa.table(
+            [*keys.columns, pa.array(x, pa.list_(pa.float64()))], names=[*names, "x"]
+        )
+
+    return of_block
+
+
+def with_features(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The columns but the text, and ``x``, the features of the text. Every row comes back, also
+    repeated ones."""
+    kept = rows.drop(text_col)
+    names = [f"k{i}" for i in range(len(kept.columns))]
+    picked = rows.select(
+        text_bytes(text_col), *(F.col(f"`{c}`").alias(k) for c, k in zip(kept.columns, names, strict=True))
+    )
+    partitions = picked.rdd.getNumPartitions()
+    blocks = stored_by(
+        picked.mapInArrow(_pack(model.order), BLOCKS), "blocks", "block", max(8, partitions), compression="zstd"
+    )
+    grams = blocks.where("gram is not null").select("gram", F.col("block").alias("of"))
+    seen = model.ratios.select(F.col("key").alias("gram"), "ratio")
+    unseen = model.ratios.select(F.col("key").alias("context"), F.col("ratio").alias("back"))
+    # Each sequence is looked up once, so that the contexts of many blocks do not meet in a task.
+    found = (
+        grams.select("gram").distinct()
+        .join(seen.hint("merge"), "gram", "left")
+        .withColumn("context", F.substring("gram", 1, model.order - 1))
+        .join(unseen.hint("merge"), "context", "left")
+        .select("gram", F.coalesce("ratio", "back", F.lit(0.0)).alias("ratio"))
+    )
+    back = grams.join(found.hint("merge"), "gram").select("of", "gram", "ratio")
+    types = [f.dataType.simpleString() for f in kept.schema.fields]
+    schema = ", ".join(f"{k} {t}" for k, t in zip([*names, "x"], [*types, "array<double>"], strict=True))
+    found = (
+        blocks.where("gram is null").select("block", "payload").groupBy("block")
+        .cogroup(back.groupBy("of"))
+        .applyInArrow(_of_block(names, model.order), schema)
+    )
+    return found.select(*(F.col(k).alias(c) for c, k in zip(kept.columns, names, strict=True)), "x")
+
+
+def _model(counts: DataFrame) -> Model:
+    own = counts.groupBy("gram").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+    )
+    return Model(ORDER, stored(ratios(stored(own, "sequences"), ORDER), "ratios"))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -261,20 +396,30 @@ def fit(rows: DataFrame, id_col: str = "doc_id") -> Model:
     counts = stored(count_sequences(labelled), "counts")
     rest = _model(counts.where("part = 0"))
     sample = labelled.where("part = 1").orderBy("_at").limit(CURVE_ROWS)
-    found = sample.select(features(F.col("text"), rest).alias("x"), "toxic").toArrow()
-    x = np.array(found.column(0).to_pylist(), float).reshape(-1, FEATURES)
-    y = np.array(found.column(1).to_pylist(), float)
+    found = with_features(sample.select("text", "toxic"), rest).toArrow()
+    x = np.array(found.column("x").to_pylist(), float).reshape(-1, FEATURES)
+    y = np.array(found.column("toxic").to_pylist(), float)
     model = _model(counts)
     if 0 < y.sum() < len(y):
         model.curve = _fit_curve(x, y)
     return model
 
 
-def score(text: Column, model: Model) -> Column:
-    """From 0 to 1, higher for toxic texts. Missing and empty texts get the score of no words."""
-    x = features(text, model)
+def _on_curve(x: Column, model: Model) -> Column:
     terms = F.zip_with(
         x, F.array(*(F.lit(w) for w in model.curve[1:])), lambda a, w: a * w
     )
     total = F.aggregate(terms, F.lit(model.curve[0]), lambda a, t: a + t)
     return 1 / (1 + F.exp(-total))
+
+
+def with_score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The columns but the text, and ``score``: from 0 to 1, higher for toxic texts. Missing and
+    empty texts get the score of no words. Takes a model of any size."""
+    found = with_features(rows, model, text_col)
+    return found.select(*found.columns[:-1], _on_curve(F.col("x"), model).alias("score"))
+
+
+def score(text: Column, model: Model) -> Column:
+    """As ``with_score``, for a model that every task can hold."""
+    return _on_curve(features(text, model), model)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import decontaminate, pii, simhash, toxicity
-from almanac.llm.common import stored, table
+from almanac.llm.common import stored, table, text_bytes
 from almanac.llm.queries import TOXIC_FROM, encoded, toxicity_model
 
 #: SQL can express neither the learned stages nor the edit distance to every window.
@@ -20,7 +20,11 @@ ORACLE_SQL = None
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxic score go."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return docs.where(toxicity.score(F.col("text"), model) < TOXIC_FROM)
+    # The score is a function of the text alone.
+    digest = F.sha2(text_bytes("text"), 256)
+    scored = toxicity.with_score(docs.select("text", digest.alias("_text")), model)
+    bad = stored(scored.where(F.col("score") >= TOXIC_FROM).select("_text").distinct(), "toxic")
+    return docs.withColumn("_text", digest).join(bad, "_text", "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

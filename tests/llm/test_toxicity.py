@@ -114,6 +114,19 @@ def test_model_falls_back_to_lower_orders(spark, monkeypatch):
     assert toxicity._model(counts).order == 3
 
 
+def test_tables_of_any_size_score_as_columns_do(spark, texts, model, monkeypatch):
+    """Above the bound of what tasks can hold the order stays 5 and so do all scores."""
+    plain = "tarino seltata zorgux " * 40
+    docs = texts([(1, plain), (1, plain), (2, None), (3, ""), (None, "vexpuz ĝü " + "x1" * 3000), (4, plain * 50)], extra=False)
+    expected = sorted(docs.select(F.coalesce("doc_id", F.lit(0)), toxicity.score(F.col("text"), model)).collect())
+    monkeypatch.setattr(toxicity, "MAX_ENTRIES", 20)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 200)
+    found = sorted(toxicity.with_score(docs, model).select(F.coalesce("doc_id", F.lit(0)), "score").collect())
+    assert [r[0] for r in found] == [r[0] for r in expected] and model.order == 5
+    assert all(math.isclose(a[1], b[1], abs_tol=1e-9) for a, b in zip(found, expected, strict=True))
+    assert toxicity.with_score(texts([], extra=False), model).count() == 0
+
+
 def test_registered_on_held_out_rows(spark):
     out = queries()["op10_toxicity"](spark, SF_DIR)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
