@@ -1,19 +1,22 @@
 """Benchmark decontamination by edit distance.
 
-An item is found in a text if some window of the text, as many words long as the item, is within a
-fifth of the item's words of it in edit distance (insertions, deletions and replacements of
-words; case and punctuation do not count).
+An item is found in a text if some stretch of the text, of any length, is within a fifth of the
+item's words of it in edit distance (insertions, deletions and replacements of words; case and
+punctuation do not count). Such a stretch is at most a fifth shorter or longer than the item.
 
 The CGK embedding maps edit distance to Hamming distance: a random walk reads the words of a
 string, writes the current one at each of three times as many steps, and moves on or not by a
 random bit of step and word. Strings with few edits meet again after each of them, so most of
 what they write is the same. Bit-sampling LSH draws some steps of a walk and looks up windows that
 wrote the same there as an item; that is repeated, with other walks and steps, until the target
-recall is reached for edits at the threshold. Candidates are verified by exact edit distance.
+recall is reached for edits at the threshold. Windows are as long as the item, from the first word of
+a stretch on, padded past the end of the text. Candidates are verified by the exact edit distance of
+the item to the best stretch around the window.
 
 Only windows with enough pairs of neighbouring words that occur in items of their length are
-embedded. An edit spoils two pairs of an item at most, so a window within the threshold keeps the
-others, and this loses none.
+embedded. A deletion or replacement spoils two pairs of an item at most, an insertion one, and the
+window cuts off at most one pair for each insertion. So the window where a stretch within the
+threshold starts keeps the others, and this loses none.
 
 Items are a stated query set: they are taken in blocks of bounded size, each of which meets all
 texts in place. Texts are not shuffled.
@@ -73,6 +76,21 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def stretch_distances(a: np.ndarray, b: np.ndarray, from_first: bool = False) -> np.ndarray:
+    """Edit distances of rows of ``a`` to the best stretch of rows of ``b``, or to the best one that
+    starts at the first word."""
+    pairs, n = a.shape
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
+    row = np.tile(steps if from_first else np.zeros_like(steps), (pairs, 1))
+    for i in range(n):
+        best = np.empty_like(row)
+        best[:, 0] = i + 1
+        replaced = row[:, :-1] + (a[:, i : i + 1] != b)
+        best[:, 1:] = np.minimum(replaced, row[:, 1:] + 1)
+        row = np.minimum.accumulate(best - steps, axis=1) + steps
+    return row.min(axis=1)
+
+
 def walk(strings: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
     """CGK embedding of rows of word codes, padded on the right: what each wrote in twice as many
     steps as it has words (later steps mostly find the string at its end), -1 past its end."""
@@ -228,8 +246,10 @@ def _dense_starts(pairs: np.ndarray, n: int, least: int) -> np.ndarray:
 
 
 def _windows(codes: np.ndarray, ends: np.ndarray, items: _Items) -> Iterator[tuple]:
-    """``(text, first word, codes)`` of the windows to embed. ``codes`` are those of all texts in a
-    row, -1 for words that no item has; ``ends`` where each text ends."""
+    """``(text, first word, region)`` of the windows to embed. ``codes`` are those of all texts in a
+    row, -1 for words that no item has; ``ends`` where each text ends. With ``k`` edits allowed, a
+    region has the ``k`` words before a window of ``n``, the window and the ``2 k`` words after it,
+    -2 outside the text."""
     both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
     pair = codes[both] * len(items.codes) + codes[both + 1]
     number = np.searchsorted(items.pairs, pair)
@@ -243,34 +263,51 @@ def _windows(codes: np.ndarray, ends: np.ndarray, items: _Items) -> Iterator[tup
         else:
             least = n - 1 - 2 * allowed_edits(n, items.similarity)
             starts = _dense_starts(both[items.in_length[n][number]], n, least)
-        starts = starts[(starts >= 0) & (starts + n <= len(codes))]
-        text = np.searchsorted(ends, starts, "right")
-        inside = ends[text] >= starts + n
+        starts = starts[(starts >= 0) & (starts < len(codes))]
+        text, k = np.searchsorted(ends, starts, "right"), allowed_edits(n, items.similarity)
+        inside = ends[text] >= starts + n - k
         for t, at in zip(text[inside].tolist(), starts[inside].tolist(), strict=True):
-            yield t, at - int(begin[t]), codes[at : at + n]
+            region = np.full(n + 3 * k, -2, np.int64)
+            low, high = max(at - k, int(begin[t])), min(at + n + 2 * k, int(ends[t]))
+            region[low - at + k : high - at + k] = codes[low:high]
+            yield t, at - int(begin[t]), region
 
 
 def _verified(windows: list[tuple], items: _Items, tables: list) -> dict[tuple, tuple]:
-    """Of windows ``(row, first word, codes)`` by row and item: fewest edits, first word."""
-    same: dict[bytes, list] = {}  # equal windows are embedded and compared once
-    for row, at, window in windows:
-        same.setdefault(window.tobytes(), []).append((row, at))
+    """Of windows ``(row, first word, region)`` by row and item: fewest edits, first word of the
+    stretch."""
+    same: dict[bytes, list] = {}  # equal regions are embedded and compared once
+    for row, at, region in windows:
+        same.setdefault(region.tobytes(), []).append((row, at))
     own = [np.frombuffer(w, np.int64) for w in same]
     places = list(same.values())
+    edits_of = {n: allowed_edits(n, items.similarity) for n in items.by_length}
+    words_in = {n + 3 * k: n for n, k in edits_of.items()}  # one length for each region's
     best: dict[tuple, tuple] = {}
     for a in range(0, len(own), WINDOWS_AT_ONCE):
-        strings, lengths = _padded(own[a : a + WINDOWS_AT_ONCE])
+        regions = own[a : a + WINDOWS_AT_ONCE]
+        sizes = [words_in[len(r)] for r in regions]
+        strings, lengths = _padded(
+            [np.maximum(r[edits_of[n] :][:n], -1) for r, n in zip(regions, sizes, strict=True)]
+        )
         pairs = _pairs_of(strings, lengths, items, tables)
         pairs = pairs[lengths[pairs[:, 0]] == items.lengths[pairs[:, 1]]]
         for n in np.unique(lengths[pairs[:, 0]]).tolist():
             numbers, words = items.by_length[n]
-            of_n = pairs[lengths[pairs[:, 0]] == n]
+            of_n, most = pairs[lengths[pairs[:, 0]] == n], edits_of[n]
             for c in range(0, len(of_n), PAIRS_AT_ONCE):
                 w, i = of_n[c : c + PAIRS_AT_ONCE].T
-                edits = edit_distances(strings[w, :n], words[np.searchsorted(numbers, i)])
-                for k in np.flatnonzero(edits <= allowed_edits(n, items.similarity)):
+                item = words[np.searchsorted(numbers, i)]
+                around = np.stack([regions[j] for j in w])
+                edits = stretch_distances(item, around)
+                hit = np.flatnonzero(edits <= most)
+                first = np.full(len(w), -1)
+                for start in range(4 * most, -1, -1):  # the first of equal ones stays
+                    equal = stretch_distances(item[hit], around[hit, start:], True) == edits[hit]
+                    first[hit[equal & (around[hit, start] > -2)]] = start
+                for k in hit:
                     for row, at in places[a + w[k]]:
-                        value = (int(edits[k]), at)
+                        value = (int(edits[k]), at - most + int(first[k]))
                         if value < best.get((row, int(i[k])), (n + 1, 0)):
                             best[row, int(i[k])] = value
     return best
@@ -346,10 +383,10 @@ def contaminated(
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``(doc_id, item_id, edits, first_word)``: each text and item found in it, with the fewest
-    edits and the number of the word where that window starts (the first of equal ones).
+    edits and the number of the word where that stretch starts (the first of equal ones).
 
     Items without words or without an id are never found; equal items are each found. Missing,
-    empty and shorter texts hold no window. Repeated rows give repeated results, a row without
+    empty and much shorter texts hold no stretch. Repeated rows give repeated results, a row without
     an id gives results without one. Other columns are not looked at.
     """
     spark = docs.sparkSession

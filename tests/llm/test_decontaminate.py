@@ -140,3 +140,40 @@ def test_query_equals_brute_force(spark):
         near = [(i, t) for i, t in items if len(own & pairs[i]) >= 0.55 * len(pairs[i])]
         expected |= brute_force([(doc_id, text)], near) if near else set()
     assert found == expected and found
+
+
+def brute_force_of_stretches(docs, items):
+    """Stretches of all lengths within the allowed edits of the item's."""
+    out = set()
+    for doc_id, text in docs:
+        words = d.words_of(text)
+        for item_id, item in items:
+            own = d.words_of(item)
+            n, k = len(own), d.allowed_edits(len(own), 0.8)
+            found = [
+                (plain_distance(words[i : i + m], own), i)
+                for m in range(n - k, n + k + 1) for i in range(len(words) - m + 1)
+            ]
+            if found and min(found)[0] <= k:
+                out.add((doc_id, item_id, *min(found)))
+    return out
+
+
+def test_insertions_and_deletions(spark):
+    """Copies with words put in or left out are found, also where the text ends with them."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    items, docs = [], []
+    for i in range(24):
+        own = [word() for _ in range(20)]
+        items.append((i, " ".join(own)))
+        for _ in range(3):
+            k = draw.randrange(len(own) // 2)
+            own.insert(k, word()) if i % 2 else own.pop(k)
+        around = [word() for _ in range(6)] if i % 3 else []
+        docs.append((i, " ".join(around + own + around)))
+    found = found_in(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string"))
+    expected = brute_force_of_stretches(docs, items)
+    assert len(expected) == len(items) and {r[2] for r in expected} <= {1, 2, 3}
+    assert found <= expected and len(found) >= 0.95 * len(items)
