@@ -78,5 +78,60 @@ FROM fits WHERE place = 1
 """
 
 
+FILTER_AUDIT = """
+WITH RECURSIVE filters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+own AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+), failed AS (
+    SELECT doc_id, part,
+           CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text)
+                  THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS mask
+    FROM own
+), marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+    FROM labels GROUP BY doc_id
+), cells AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good,
+           count(*) FILTER (toxic) AS toxic
+    FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+), orders(filter_order, applied) AS (
+    SELECT '', 0
+    UNION ALL
+    SELECT filter_order || letter, applied | bit FROM orders, filters WHERE applied & bit = 0
+), steps AS (
+    SELECT filter_order, step, bit,
+           (SELECT sum(b.bit) FROM filters b
+            WHERE contains(substr(filter_order, 1, step - 1), b.letter)) AS before
+    FROM orders, range(1, 6) AS r(step), filters
+    WHERE applied = 31 AND letter = substr(filter_order, step, 1)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+           coalesce(sum(n) FILTER (mask & (coalesce(before, 0)::INT | bit) = 0), 0) AS kept,
+           coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT = 0), 0)
+               AS removed,
+           coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT <> 0), 0)
+               AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT = 0), 0)
+               AS good_lost,
+           coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT = 0), 0)
+               AS toxic_lost
+    FROM steps, cells GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": LICENSES, "op9_url_filter": URL_FILTER}
+    return {"op2_licenses": LICENSES, "op9_url_filter": URL_FILTER,
+            "op12_filter_audit": FILTER_AUDIT}

@@ -12,6 +12,8 @@ from almanac.llm import (
     bpe,
     cover_tree,
     decontaminate,
+    filter_audit,
+    language,
     licenses,
     pii,
     quality,
@@ -19,6 +21,7 @@ from almanac.llm import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 from almanac.llm.common import fold, shared_path, table
 
@@ -157,6 +160,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model = language.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return docs.select(
+        "doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model).alias("p")
+    ).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"),
+        F.col("p.accepted").alias("accepted"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -169,4 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_language": op11_language,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_whitening": op13_whitening,
     }
