@@ -81,9 +81,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
             F.max((F.col(c).eqNullSafe(1)).cast("long")).alias(name)
             for c, name in (("quality", "good"), ("toxic", "toxic"))
         ))
-        .withColumn("deal", F.lit(0))
+        .withColumn("deal", F.lit(0).cast("long"))
     )
-    deal = F.when(F.col("doc_id").isNull(), F.crc32("digest").cast("int")).otherwise(0)
+    deal = F.when(F.col("doc_id").isNull(), F.crc32("digest")).otherwise(0)
     joined = rows.withColumn("deal", deal).join(marks, ["doc_id", "deal"], "left")
     return joined.fillna(0, ["good", "toxic"]).drop("deal")
 

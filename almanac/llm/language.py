@@ -40,7 +40,7 @@ SLOTS, WIDTH = 1 << 16, 8
 ORDERS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 16, 4.0
 #: A part of the sample that calibrates, and the share of accepted predictions to be right there.
-KEPT_BACK, RIGHT = 0.2, 0.99
+KEPT_BACK, RIGHT, LEAST_KEPT = 0.2, 0.99, 20
 UNDETERMINED = "und"
 #: Characters looked at in one go: bounds the memory of a task.
 _PIECE = 400_000
@@ -84,11 +84,32 @@ def _slots(text: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Characters of texts in a row, a mark before and after each; where each begins, and its
-    number. A long text comes in pieces that overlap, so that no subword is lost or counted twice."""
+@dataclass
+class _Run:
+    """Characters of pieces of texts in a row; where each piece begins, of which text it is, and
+    whether it is that text's last one."""
+
+    text: np.ndarray
+    begin: np.ndarray
+    number: np.ndarray
+    last: np.ndarray
+
+    def slots(self) -> Iterator[np.ndarray]:
+        """Slots of each order. What reaches out of a piece is none, and what begins where pieces
+        overlap belongs to the next one."""
+        end = np.append(self.begin[1:], len(self.text))
+        for n, slots in zip(ORDERS, _slots(self.text), strict=False):
+            for back in range(1, max(ORDERS)):
+                at = (end if back < n else end[~self.last]) - back
+                slots[at[(at >= 0) & (at < len(slots))]] = SLOTS
+            yield slots
+
+
+def _runs(texts: list[bytes]) -> Iterator[_Run]:
+    """Texts with a mark before and after each. A long text comes in pieces that overlap, so that no
+    subword is lost."""
     lower, over = _lower(), max(ORDERS) - 1
-    parts, begin, number, size = [], [], [], 0
+    parts, begin, number, last, size = [], [], [], [], 0
     for k, data in enumerate(texts):
         points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         own = np.zeros(len(points) + 2, np.uint64)
@@ -98,21 +119,13 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             parts.append(piece)
             begin.append(size)
             number.append(k)
+            last.append(a + _PIECE + over >= len(own))
             size += len(piece)
             if size >= _PIECE:
-                yield np.concatenate(parts), np.array(begin), np.array(number)
-                parts, begin, number, size = [], [], [], 0
+                yield _Run(np.concatenate(parts), np.array(begin), np.array(number), np.array(last))
+                parts, begin, number, last, size = [], [], [], [], 0
     if parts:
-        yield np.concatenate(parts), np.array(begin), np.array(number)
-
-
-def _within(slots: np.ndarray, begin: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Subwords that would reach from one piece into the next are none."""
-    last = np.append(begin[1:], size)
-    for back in range(1, n):
-        at = last - back
-        slots[at[(at >= 0) & (at < len(slots))]] = SLOTS
-    return slots
+        yield _Run(np.concatenate(parts), np.array(begin), np.array(number), np.array(last))
 
 
 @dataclass
@@ -129,13 +142,12 @@ def _averages(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """The average of the rows of ``table`` over the subwords of each text."""
     total = np.zeros((len(texts), table.shape[1]))
     count = np.zeros(len(texts))
-    for text, begin, number in _pieces(texts):
-        for n, slots in zip(ORDERS, _slots(text), strict=False):
-            slots = _within(slots, begin, len(text), n)
-            own = begin < len(slots)
-            at = begin[own]
-            np.add.at(total, number[own], np.add.reduceat(table[slots], at, axis=0, dtype=float))
-            np.add.at(count, number[own], np.add.reduceat((slots < SLOTS).astype(np.int64), at))
+    for run in _runs(texts):
+        for slots in run.slots():
+            own = run.begin < len(slots)
+            at, of = run.begin[own], run.number[own]
+            np.add.at(total, of, np.add.reduceat(table[slots], at, axis=0, dtype=float))
+            np.add.at(count, of, np.add.reduceat((slots < SLOTS).astype(np.int64), at))
     return total / np.maximum(count, 1)[:, None]
 
 
@@ -151,9 +163,9 @@ def probabilities(texts: list[bytes], m: Model) -> np.ndarray:
 def _counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a text and the share each has of its subwords."""
     total = np.zeros(SLOTS + 1, np.int64)
-    for text, begin, _ in _pieces([data]):
-        for n, slots in zip(ORDERS, _slots(text), strict=False):
-            total += np.bincount(_within(slots, begin, len(text), n), minlength=SLOTS + 1)
+    for run in _runs([data]):
+        for slots in run.slots():
+            total += np.bincount(slots, minlength=SLOTS + 1)
     used = np.flatnonzero(total[:SLOTS])
     return used, total[used] / max(1, total[:SLOTS].sum())
 
@@ -249,7 +261,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id") -> Model | None:
     number = {name: k for k, name in enumerate(languages)}
     rows, y = [r[2:] for r in taken], np.array([number[r[1]] for r in taken])
     kept = np.random.default_rng(3).random(len(y)) < KEPT_BACK
-    if kept.all() or len(set(y[~kept])) < len(languages):
+    if kept.sum() < LEAST_KEPT or len(set(y[~kept])) < len(languages):
         kept[:] = False  # too few to keep any back: probabilities stay as they are
     learn = np.flatnonzero(~kept)
     m = train([rows[i] for i in learn], y[learn], languages)

@@ -1,0 +1,163 @@
+import itertools
+import random
+import re
+
+import pytest
+from conftest import SF_DIR
+
+from almanac.llm import filter_audit
+from almanac.llm.queries import queries
+
+NAMES = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
+
+
+def brute_force(docs, labels):
+    """Each order is applied to each document."""
+    out = {}
+    marks = {}
+    for doc_id, quality, toxic in labels:
+        good, bad = marks.get(doc_id, (False, False))
+        marks[doc_id] = (good or quality == 1, bad or toxic == 1)
+    first = {}
+    for doc_id, text, _ in docs:
+        if doc_id is not None:
+            text = text or ""
+            first[text] = min(first.get(text, doc_id), doc_id)
+    failed = []
+    for doc_id, text, lang in docs:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        own = set()
+        if len(words) < 100:
+            own.add("A")
+        if 100 * len(set(words)) < 80 * len(words):
+            own.add("B")
+        if 100 * len(re.findall("[A-Z]", text)) > 10 * len(text):
+            own.add("C")
+        if re.search("[#$%&*|]", text):
+            own.add("D")
+        if doc_id is not None and first[text] < doc_id:
+            own.add("E")
+        failed.append((lang or "", own, *(marks.get(doc_id, (False, False)) if doc_id is not None else (False, False))))
+    parts = {f[0] for f in failed}
+    for part in parts:
+        mine = [f for f in failed if f[0] == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = mine
+            for step, letter in enumerate(order, 1):
+                gone = [f for f in left if letter in f[1]]
+                fails = [f for f in mine if letter in f[1]]
+                left = [f for f in left if letter not in f[1]]
+                shapley[letter] += len(gone)
+                out[part, "".join(order), step] = [
+                    len(left), len(gone), len(fails) - len(gone),
+                    sum(f[1] == {letter} for f in mine), sum(f[2] for f in gone),
+                    sum(f[3] for f in gone),
+                ]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(shapley[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def found(df):
+    rows = df.collect()
+    out = {(r["part"], r["filter_order"], r["step"]): tuple(r[n] for n in (*NAMES, "shapley")) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(
+        [(*r, "x", "x", 7, "x") for r in rows],
+        "doc_id long, text string, lang string, part string, digest string, n long, mask string",
+    )
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(
+        [(*r, "x", 3) for r in rows], "doc_id long, quality int, toxic int, part string, good int"
+    )
+
+
+LONG = " ".join(f"w{i}" for i in range(120))
+DOCS = [
+    (1, None, "en"), (2, "", "en"), (3, "", None), (None, "", ""), (4, LONG, "de"), (9, LONG, "en"),
+    (9, LONG, "en"), (9, LONG, "de"), (None, LONG, "de"), (None, LONG, "de"), (5, LONG + " #", "de"),
+    (6, LONG.upper(), None), (7, "a b\x0bc\x85d a a a a a a", "fr"), (8, "AB ÄÖ 漢字", "fr"),
+    (10, "same word " * 30_000, "en"), (11, "same word " * 30_000, "en"), (4, "other 50% of it", "de"),
+]
+LABELS = [
+    (1, 1, 0), (2, 0, 1), (3, None, None), (4, 1, 1), (9, 1, 0), (9, 0, 1), (None, 1, 1), (11, 1, 1),
+    (10, 2, 5), (99, 1, 1),
+]
+
+
+def test_all_orders_equal_brute_force(spark):
+    got = found(filter_audit.audit(documents(spark, DOCS), labelled(spark, LABELS)))
+    assert got == brute_force(DOCS, LABELS)
+
+
+def test_random_tables(spark):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["a", "B#", "CC", "d", f"{k}"]) for _ in range(draw.choice([3, 99, 100, 101, 130])))
+             for k in range(12)] + [LONG, LONG + " x"]
+    docs = [(draw.choice([None, *range(40)]), draw.choice([None, *texts]), draw.choice(["en", "de", None]))
+            for _ in range(300)]
+    labels = [(draw.randrange(45), draw.choice([0, 1, None]), draw.choice([0, 1, None])) for _ in range(60)]
+    got = found(filter_audit.audit(documents(spark, docs), labelled(spark, labels)))
+    assert got == brute_force(docs, labels)
+
+
+def test_empty_tables(spark):
+    assert filter_audit.audit(documents(spark, []), labelled(spark, LABELS)).count() == 0
+    got = found(filter_audit.audit(documents(spark, DOCS[:3]), labelled(spark, [])))
+    assert got == brute_force(DOCS[:3], [])
+
+
+def test_identities(spark):
+    """What an order keeps does not depend on it; what its filters remove adds up."""
+    rows = queries()["op12_filter_audit"](spark, SF_DIR).collect()
+    by_order = {}
+    for r in rows:
+        by_order.setdefault((r["part"], r["filter_order"]), {})[r["step"]] = r
+    docs = {r["lang"] or "": r["count"] for r in
+            spark.read.parquet(f"{SF_DIR}/documents.parquet").groupBy("lang").count().collect()}
+    assert len(by_order) == 120 * len(docs)
+    last = {}
+    for (part, _), steps in by_order.items():
+        left = docs[part]
+        for k in range(1, 6):
+            left -= steps[k]["removed"]
+            assert steps[k]["kept"] == left
+            assert steps[k]["unique_fails"] <= steps[k]["removed"]
+        assert last.setdefault(part, left) == left
+
+
+def test_query_equals_brute_force(spark):
+    read = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/{t}.parquet").select(*c).collect()]
+    expected = brute_force(read("documents", "doc_id", "text", "lang"), read("labels", "doc_id", "quality", "toxic"))
+    assert found(queries()["op12_filter_audit"](spark, SF_DIR)) == expected
+
+
+def test_other_filters(spark):
+    """Cells of any filters can be audited; the row limit of recursion is left as it was."""
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    cells = spark.createDataFrame(
+        [(str(p), m, m + 1, 0, 0) for p in range(40) for m in range(4)],
+        "part string, mask int, n long, good long, toxic long",
+    )
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        rows = filter_audit.all_orders(cells, "XY").collect()
+        assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "100"
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    one = {(r["filter_order"], r["step"]): (r["kept"], r["removed"], r["redundant"], r["shapley"])
+           for r in rows if r["part"] == "7"}
+    assert one == {("XY", 1): (4, 6, 0, 8), ("XY", 2): (1, 3, 4, 10),
+                   ("YX", 1): (3, 7, 0, 10), ("YX", 2): (1, 2, 4, 8)}
+    for letters in ("", "XX", "ABCDEFGH"):
+        with pytest.raises(ValueError):
+            filter_audit.all_orders(cells, letters)
