@@ -16,7 +16,12 @@ the item to the best stretch around the window.
 Only windows with enough pairs of neighbouring words that occur in items of their length are
 embedded. A deletion or replacement spoils two pairs of an item at most, an insertion one, and the
 window cuts off at most one pair for each insertion. So the window where a stretch within the
-threshold starts keeps the others, and this loses none.
+threshold starts keeps the others, and this loses none. Where an item is so long that no reasonable
+number of lookups reaches the target, all windows that keep enough pairs are candidates: an exact way,
+and a cheap one, as few windows keep more than half of the pairs of a long item.
+
+Candidates of a text and an item that lie next to each other are verified together, by one edit
+distance of the item to the best stretch of their joint surroundings.
 
 Items are a stated query set: they are taken in blocks of bounded size, each of which meets all
 texts in place. Texts are not shuffled.
@@ -28,6 +33,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +50,10 @@ LOOKUPS_PER_WALK = 6
 #: Items sent to the tasks at once, and words of theirs.
 BLOCK_ITEMS = 2_000
 BLOCK_WORDS = 200_000
-#: Embedded windows and compared pairs at once: bounds the memory of a task.
-WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 20_000
-MOST_REPEATS = 400
+#: Words of embedded windows and cells of compared pairs at once: bounds the memory of a task.
+WINDOW_WORDS, PAIR_CELLS = 1_000_000, 2_000_000
+#: Items that would need more lookups are searched exactly.
+MOST_REPEATS = 120
 TRIALS = 500
 WORD = re.compile(r"\w+")
 _SEED = 20240229
@@ -60,35 +67,29 @@ def allowed_edits(n: int, similarity: float) -> int:
     return int(np.floor((1 - similarity) * n + 1e-9))
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of rows of ``a`` and ``b`` (pairs x words)."""
+def best_stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of ``a`` the edit distance to the best stretch of the row of ``b``, and where that
+    starts, the first of equally good ones. What is -2 in ``b`` is outside its text."""
     pairs, n = a.shape
     m = b.shape[1]
-    row = np.tile(np.arange(m + 1, dtype=np.int32), (pairs, 1))
-    steps = np.arange(m + 1, dtype=np.int32)
+    # One number for edits and start, so that one pass finds the least of both, edits first.
+    edit = m + 1
+    kind = np.int32 if (2 * n + m + 2) * edit < 2**31 else np.int64
+    steps = np.arange(m + 1, dtype=kind)
+    row = np.tile(steps, (pairs, 1))
+    inside = np.flatnonzero((b == -2).any(axis=1))
+    for k in inside:  # no stretch starts before its text
+        row[k, : int(np.argmax(b[k] != -2))] = (n + 1) * edit
     for i in range(n):
         best = np.empty_like(row)
-        best[:, 0] = i + 1
-        replaced = row[:, :-1] + (a[:, i : i + 1] != b)
-        best[:, 1:] = np.minimum(replaced, row[:, 1:] + 1)
-        # Insertions: the least of best[k] + (j - k) over k <= j.
-        row = np.minimum.accumulate(best - steps, axis=1) + steps
-    return row[:, -1]
-
-
-def stretch_distances(a: np.ndarray, b: np.ndarray, from_first: bool = False) -> np.ndarray:
-    """Edit distances of rows of ``a`` to the best stretch of rows of ``b``, or to the best one that
-    starts at the first word."""
-    pairs, n = a.shape
-    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
-    row = np.tile(steps if from_first else np.zeros_like(steps), (pairs, 1))
-    for i in range(n):
-        best = np.empty_like(row)
-        best[:, 0] = i + 1
-        replaced = row[:, :-1] + (a[:, i : i + 1] != b)
-        best[:, 1:] = np.minimum(replaced, row[:, 1:] + 1)
-        row = np.minimum.accumulate(best - steps, axis=1) + steps
-    return row.min(axis=1)
+        best[:, 0] = row[:, 0] + edit
+        replaced = row[:, :-1] + (a[:, i : i + 1] != b) * kind(edit)
+        np.minimum(replaced, row[:, 1:] + kind(edit), out=best[:, 1:])
+        # Insertions: the least of best[k] + (j - k) edits over k <= j.
+        best -= steps * kind(edit)
+        row = np.minimum.accumulate(best, axis=1)
+        row += steps * kind(edit)
+    return np.divmod(row.min(axis=1), edit)
 
 
 def walk(strings: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
@@ -123,9 +124,10 @@ def _lookup_keys(embedded: np.ndarray, lengths: np.ndarray, lookup: int) -> np.n
 
 
 @lru_cache(maxsize=512)
-def repeats_for(n: int, edits: int, recall: float) -> int:
+def repeats_for(n: int, edits: int, recall: float) -> int | None:
     """Lookups needed for strings of ``n`` words at ``edits`` edits, from simulated ones: random
-    strings, edited at random, looked up with the walks of the first lookups."""
+    strings, edited at random, looked up with the walks of the first lookups. None if
+    ``MOST_REPEATS`` do not reach the recall."""
     if edits == 0:
         return 1
     draw = np.random.default_rng([_SEED, n, edits])
@@ -153,7 +155,7 @@ def repeats_for(n: int, edits: int, recall: float) -> int:
         missed &= own[0] != own[1]
         if missed.mean() <= 1 - recall:
             return lookup + 1
-    return MOST_REPEATS
+    return None
 
 
 @dataclass
@@ -164,10 +166,10 @@ class _Items:
     pairs: np.ndarray  # sorted, code of the first word times number of words plus the second
     in_length: dict[int, np.ndarray]  # which of these occur in items of a length
     ids: np.ndarray
-    lengths: np.ndarray
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # numbers of items, their words
     similarity: float
-    repeats: dict[int, int]
+    repeats: dict[int, int]  # lookups by length; a longer item is searched exactly
+    tables: list[tuple[np.ndarray, np.ndarray]]  # for each lookup: sorted keys, their items
 
 
 def _prepare(rows: list[tuple[int, str]], similarity: float, recall: float) -> _Items:
@@ -179,51 +181,50 @@ def _prepare(rows: list[tuple[int, str]], similarity: float, recall: float) -> _
             groups.setdefault(len(words), []).append((k, words))
     by_length = {
         n: (np.array([k for k, _ in own]), np.array([w for _, w in own], np.int64))
-        for n, own in groups.items()
+        for n, own in sorted(groups.items())
     }
     own = {n: w[:, :-1].ravel() * len(codes) + w[:, 1:].ravel() for n, (_, w) in by_length.items()}
     pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *own.values()]))
     in_length = {n: np.isin(pairs, p) for n, p in own.items()}
-    repeats = {n: repeats_for(n, allowed_edits(n, similarity), recall) for n in by_length}
+    counts: dict[int, int] = {}
+    for n in by_length:
+        repeats = repeats_for(n, allowed_edits(n, similarity), recall)
+        if repeats is None:
+            break  # longer ones need still more
+        counts[n] = repeats
+    looked_up = [by_length[n] for n in counts]
+    numbers = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in looked_up)])
+    tables = []
+    for own, keys in _lookups([w for _, w in looked_up], counts):
+        order = np.argsort(keys, kind="stable")
+        tables.append((keys[order], numbers[own][order]))
     ids = np.array([i for i, _ in rows], np.int64)
-    lengths = np.array([len(words_of(text)) for _, text in rows], np.int64)
-    return _Items(codes, pairs, in_length, ids, lengths, by_length, similarity, repeats)
-
-
-def _lookups(strings: np.ndarray, lengths: np.ndarray, items: _Items) -> Iterator[tuple]:
-    """For each lookup the rows that take part and their keys."""
-    repeats = np.array([items.repeats[n] for n in lengths.tolist()], np.int64)
-    for lookup in range(int(repeats.max(initial=0))):
-        rows = np.flatnonzero(repeats > lookup)
+    return _Items(codes, pairs, in_length, ids, by_length, similarity, counts, tables)
+
+
+def _lookups(groups: list[np.ndarray], repeats: dict[int, int]) -> Iterator[tuple]:
+    """For each lookup the strings that take part, and their keys. A group has strings of one
+    length; they are numbered through."""
+    lengths = np.array([g.shape[1] for g in groups for _ in range(len(g))], np.int64)
+    strings = np.full((len(lengths), int(lengths.max(initial=1))), -1, np.int64)
+    at = 0
+    for g in groups:
+        strings[at : at + len(g), : g.shape[1]] = g
+        at += len(g)
+    own = np.array([repeats[n] for n in lengths.tolist()], np.int64)
+    for lookup in range(int(own.max(initial=0))):
+        rows = np.flatnonzero(own > lookup)
         if lookup % LOOKUPS_PER_WALK == 0:
             walked = rows
             wrote = walk(strings[rows], lengths[rows], lookup // LOOKUPS_PER_WALK)
-        yield rows, _lookup_keys(wrote[:, np.isin(walked, rows)], lengths[rows], lookup)
+        here = wrote if len(rows) == len(walked) else wrote[:, np.isin(walked, rows)]
+        yield rows, _lookup_keys(here, lengths[rows], lookup)
 
 
-def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) for r in rows], np.int64)
-    out = np.full((len(rows), int(lengths.max(initial=1))), -1, np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out, lengths
-
-
-def _tables(items: _Items) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each lookup: sorted keys, and the items that wrote them."""
-    numbers = [k for own, _ in items.by_length.values() for k in own.tolist()]
-    strings, lengths = _padded([w for _, own in items.by_length.values() for w in own])
-    out = []
-    for rows, keys in _lookups(strings, lengths, items):
-        order = np.argsort(keys, kind="stable")
-        out.append((keys[order], np.array(numbers)[rows[order]]))
-    return out
-
-
-def _pairs_of(windows: np.ndarray, lengths: np.ndarray, items: _Items, tables: list) -> np.ndarray:
+def _found_by_lookups(groups: list[np.ndarray], items: _Items) -> tuple[np.ndarray, np.ndarray]:
     """Candidates: numbers of window and item, each pair once."""
     found, size = [np.zeros(0, np.int64)], len(items.ids)
-    for (rows, own), (keys, number) in zip(_lookups(windows, lengths, items), tables, strict=False):
+    for (rows, own), (keys, number) in zip(_lookups(groups, items.repeats), items.tables, strict=False):
         low = np.searchsorted(keys, own, "left")
         count = np.searchsorted(keys, own, "right") - low
         hit = np.flatnonzero(count)
@@ -231,12 +232,12 @@ def _pairs_of(windows: np.ndarray, lengths: np.ndarray, items: _Items, tables: l
         before = np.cumsum(n) - n
         at = np.repeat(low[hit] - before, n) + np.arange(int(n.sum()))
         found.append(np.repeat(rows[hit], n) * size + number[at])
-    return np.stack(np.divmod(np.unique(np.concatenate(found)), size), axis=1)
+    return np.divmod(np.unique(np.concatenate(found)), size)
 
 
 def _dense_starts(pairs: np.ndarray, n: int, least: int) -> np.ndarray:
     """Starts of windows of ``n`` words that hold at least ``least`` of the pairs, given by the
-    sorted places of their first words. Any two words or more have ``least`` above zero."""
+    sorted places of their first words; ``least`` is above zero."""
     if len(pairs) < least:
         return np.zeros(0, np.int64)
     first, last = pairs[: len(pairs) - least + 1], pairs[least - 1 :]
@@ -245,71 +246,119 @@ def _dense_starts(pairs: np.ndarray, n: int, least: int) -> np.ndarray:
     return np.unique(np.repeat(low - before, size) + np.arange(int(size.sum())))
 
 
-def _windows(codes: np.ndarray, ends: np.ndarray, items: _Items) -> Iterator[tuple]:
-    """``(text, first word, region)`` of the windows to embed. ``codes`` are those of all texts in a
-    row, -1 for words that no item has; ``ends`` where each text ends. With ``k`` edits allowed, a
-    region has the ``k`` words before a window of ``n``, the window and the ``2 k`` words after it,
-    -2 outside the text."""
+def _windows(codes: np.ndarray, ends: np.ndarray, items: _Items) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length of items the starts of the windows to look at. ``codes`` are those of all
+    texts in a row, -1 for words that no item has; ``ends`` where each text ends."""
     both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
     pair = codes[both] * len(items.codes) + codes[both + 1]
     number = np.searchsorted(items.pairs, pair)
     hit = number < len(items.pairs)
     hit[hit] = items.pairs[number[hit]] == pair[hit]
     both, number = both[hit], number[hit]
-    begin = np.concatenate(([0], ends[:-1]))
     for n in items.by_length:
+        k = allowed_edits(n, items.similarity)
+        least = n - 1 - 2 * k
         if n == 1:
             starts = np.flatnonzero(codes >= 0)
+        elif least < 1:  # not with a similarity of 0.8
+            starts = np.arange(len(codes))
         else:
-            least = n - 1 - 2 * allowed_edits(n, items.similarity)
             starts = _dense_starts(both[items.in_length[n][number]], n, least)
         starts = starts[(starts >= 0) & (starts < len(codes))]
-        text, k = np.searchsorted(ends, starts, "right"), allowed_edits(n, items.similarity)
-        inside = ends[text] >= starts + n - k
-        for t, at in zip(text[inside].tolist(), starts[inside].tolist(), strict=True):
-            region = np.full(n + 3 * k, -2, np.int64)
-            low, high = max(at - k, int(begin[t])), min(at + n + 2 * k, int(ends[t]))
-            region[low - at + k : high - at + k] = codes[low:high]
-            yield t, at - int(begin[t]), region
-
-
-def _verified(windows: list[tuple], items: _Items, tables: list) -> dict[tuple, tuple]:
-    """Of windows ``(row, first word, region)`` by row and item: fewest edits, first word of the
-    stretch."""
-    same: dict[bytes, list] = {}  # equal regions are embedded and compared once
-    for row, at, region in windows:
-        same.setdefault(region.tobytes(), []).append((row, at))
-    own = [np.frombuffer(w, np.int64) for w in same]
-    places = list(same.values())
-    edits_of = {n: allowed_edits(n, items.similarity) for n in items.by_length}
-    words_in = {n + 3 * k: n for n, k in edits_of.items()}  # one length for each region's
+        # A window may reach past the end of its text, but for the edits allowed.
+        yield n, starts[ends[np.searchsorted(ends, starts, "right")] >= starts + n - k]
+
+
+def _around(codes: np.ndarray, low: np.ndarray, size: int, begin: np.ndarray, end: np.ndarray,
+            outside: int) -> np.ndarray:
+    """Rows of ``size`` words from ``low`` on, as far as they are from ``begin`` to ``end``."""
+    place = low[:, None] + np.arange(size)
+    fine = (place >= begin[:, None]) & (place < end[:, None])
+    return np.where(fine, codes[np.clip(place, 0, len(codes) - 1)], outside)
+
+
+def _candidates(codes: np.ndarray, ends: np.ndarray, items: _Items) -> Iterator[tuple]:
+    """``(n, starts, items)``: places of windows and the numbers of the items they may hold."""
+    waiting: list[tuple] = []  # of one length each: windows, and the places that have them
+    words, longest = 0, max(items.repeats, default=1)  # rows are padded to the longest
+    for n, starts in _windows(codes, ends, items):
+        numbers = items.by_length[n][0]
+        at_once = max(1, WINDOW_WORDS // max(longest, len(numbers)))
+        for a in range(0, len(starts), at_once):
+            own = starts[a : a + at_once]
+            if n not in items.repeats:
+                yield n, np.repeat(own, len(numbers)), np.tile(numbers, len(own))
+                continue
+            windows = _around(codes, own, n, own, ends[np.searchsorted(ends, own, "right")], -1)
+            # Equal windows are embedded once.
+            rows = np.ascontiguousarray(windows).view(np.dtype((np.void, 8 * n))).ravel()
+            _, first, of = np.unique(rows, return_index=True, return_inverse=True)
+            waiting.append((windows[first], own, of))
+            words += len(first) * longest
+            if words >= WINDOW_WORDS:
+                yield from _looked_up(waiting, items)
+                waiting, words = [], 0
+    yield from _looked_up(waiting, items)
+
+
+def _looked_up(waiting: list[tuple], items: _Items) -> Iterator[tuple]:
+    if not waiting:
+        return
+    window, item = _found_by_lookups([w for w, _, _ in waiting], items)
+    before = 0
+    for windows, places, of in waiting:
+        here = (window >= before) & (window < before + len(windows))
+        own, number = window[here] - before, item[here]
+        before += len(windows)
+        order, count = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(windows))
+        start, each = np.cumsum(count) - count, count[own]
+        at = np.repeat(start[own] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        starts, number, n = places[order[at]], np.repeat(number, each), windows.shape[1]
+        fits = np.isin(number, items.by_length[n][0])  # keys hold the length, but are hashes
+        yield n, starts[fits], number[fits]
+
+
+def _verified(codes: np.ndarray, ends: np.ndarray, items: _Items) -> dict[tuple, tuple]:
+    """By text and item: fewest edits, first word of the stretch."""
+    begin = np.concatenate(([0], ends[:-1]))
     best: dict[tuple, tuple] = {}
-    for a in range(0, len(own), WINDOWS_AT_ONCE):
-        regions = own[a : a + WINDOWS_AT_ONCE]
-        sizes = [words_in[len(r)] for r in regions]
-        strings, lengths = _padded(
-            [np.maximum(r[edits_of[n] :][:n], -1) for r, n in zip(regions, sizes, strict=True)]
-        )
-        pairs = _pairs_of(strings, lengths, items, tables)
-        pairs = pairs[lengths[pairs[:, 0]] == items.lengths[pairs[:, 1]]]
-        for n in np.unique(lengths[pairs[:, 0]]).tolist():
-            numbers, words = items.by_length[n]
-            of_n, most = pairs[lengths[pairs[:, 0]] == n], edits_of[n]
-            for c in range(0, len(of_n), PAIRS_AT_ONCE):
-                w, i = of_n[c : c + PAIRS_AT_ONCE].T
-                item = words[np.searchsorted(numbers, i)]
-                around = np.stack([regions[j] for j in w])
-                edits = stretch_distances(item, around)
-                hit = np.flatnonzero(edits <= most)
-                first = np.full(len(w), -1)
-                for start in range(4 * most, -1, -1):  # the first of equal ones stays
-                    equal = stretch_distances(item[hit], around[hit, start:], True) == edits[hit]
-                    first[hit[equal & (around[hit, start] > -2)]] = start
-                for k in hit:
-                    for row, at in places[a + w[k]]:
-                        value = (int(edits[k]), at - most + int(first[k]))
-                        if value < best.get((row, int(i[k])), (n + 1, 0)):
-                            best[row, int(i[k])] = value
+    seen: dict[tuple, tuple] = {}  # equal surroundings are compared once
+    for n, starts, numbers in _candidates(codes, ends, items):
+        k = allowed_edits(n, items.similarity)
+        text = np.searchsorted(ends, starts, "right")
+        order = np.lexsort((starts, numbers, text))
+        starts, numbers, text = starts[order], numbers[order], text[order]
+        apart = (np.diff(text) != 0) | (np.diff(numbers) != 0) | (np.diff(starts) > n)
+        first = np.concatenate(([0], np.flatnonzero(apart) + 1))[: len(starts)]
+        last = np.concatenate((first[1:], [len(starts)]))[: len(first)] - 1
+        text, number = text[first], numbers[first]
+        low = np.maximum(starts[first] - k, begin[text])
+        size = np.minimum(starts[last] + n + 2 * k, ends[text]) - low
+        words = items.by_length[n][1][np.searchsorted(items.by_length[n][0], number)]
+        jobs: dict[tuple, list] = {}
+        for j in range(len(first)):
+            key = (int(number[j]), codes[low[j] : low[j] + size[j]].tobytes())
+            jobs.setdefault(key, []).append(j)
+        todo = sorted((key for key in jobs if key not in seen), key=lambda key: len(key[1]))
+        while todo:  # those of like sizes together
+            width = len(todo[0][1]) // 8
+            take = max(1, PAIR_CELLS // (2 * width))
+            part, todo = todo[:take], todo[take:]
+            here = [key for key in part if len(key[1]) <= 16 * width]
+            todo = part[len(here) :] + todo
+            own = np.array([jobs[key][0] for key in here])
+            around = _around(codes, low[own], int(size[own].max()), low[own], (low + size)[own], -2)
+            for key, edits, at in zip(here, *best_stretches(words[own], around), strict=True):
+                seen[key] = (int(edits), int(at))
+        for key, places in jobs.items():
+            edits, at = seen[key]
+            if edits > k:
+                continue
+            for j in places:
+                value = (edits, int(low[j] - begin[text[j]]) + at)
+                own_key = (int(text[j]), key[0])
+                if value < best.get(own_key, (n + 1, 0)):
+                    best[own_key] = value
     return best
 
 
@@ -320,20 +369,16 @@ WORDS_AT_ONCE = 500_000
 def _contaminated(sent):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: _Items = sent.value
-        tables, get = _tables(items), items.codes.get
-        windows: list[tuple] = []  # with the ids of their texts
-        ids, parts, n, row = [], [], 0, 0
-
-        def collect() -> None:
-            found = _windows(np.concatenate(parts), np.cumsum([len(x) for x in parts]), items)
-            windows.extend(((row + t, ids[t]), at, own) for t, at, own in found)
+        get, unknown = items.codes.get, repeat(-1)
+        ids, parts, n = [], [], 0
 
-        def done() -> Iterator[pa.RecordBatch]:
-            best = sorted(_verified(windows, items, tables).items(), key=lambda x: (x[0][0][0], x[0][1]))
+        def found() -> Iterator[pa.RecordBatch]:
+            ends = np.cumsum([len(x) for x in parts])
+            best = sorted(_verified(np.concatenate(parts), ends, items).items())
             if best:
                 yield pa.record_batch(
                     [
-                        pa.array([text[1] for (text, _), _ in best], pa.int64()),
+                        pa.array([ids[text] for (text, _), _ in best], pa.int64()),
                         pa.array([int(items.ids[i]) for (_, i), _ in best], pa.int64()),
                         pa.array([edits for _, (edits, _) in best], pa.int32()),
                         pa.array([at for _, (_, at) in best], pa.int64()),
@@ -346,19 +391,14 @@ def _contaminated(sent):
                 words = words_of(data.as_py().decode("utf-8", "replace"))
                 if not words:
                     continue
-                parts.append(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
+                parts.append(np.array(list(map(get, words, unknown)), np.int64))
                 ids.append(doc_id.as_py())
                 n += len(words)
                 if n >= WORDS_AT_ONCE:
-                    collect()
-                    row += len(ids)
+                    yield from found()
                     ids, parts, n = [], [], 0
-                if len(windows) >= WINDOWS_AT_ONCE:
-                    yield from done()
-                    windows.clear()
         if parts:
-            collect()
-        yield from done()
+            yield from found()
 
     return of_partition
 

@@ -17,19 +17,28 @@ def plain_distance(x, y):
     return row[-1]
 
 
+def best_stretch(words, own):
+    """Fewest edits of any stretch, and the first place where one with so few starts."""
+    row = [(0, j) for j in range(len(words) + 1)]
+    for i, c in enumerate(own, 1):
+        before, row = row, [(i, 0)]
+        for j, e in enumerate(words, 1):
+            row.append(min((before[j][0] + 1, before[j][1]), (row[-1][0] + 1, row[-1][1]),
+                           (before[j - 1][0] + (c != e), before[j - 1][1])))
+    return min(row)
+
+
 def brute_force(docs, items, similarity=0.8):
+    """All items against all texts, stretches of any length."""
     out = set()
     for doc_id, text in docs:
         words = d.words_of(text or "")
         for item_id, item in items:
             own = d.words_of(item or "")
-            n = len(own)
-            if item_id is None or not own or n > len(words):
+            if item_id is None or not own or not words:
                 continue
-            edits, at = min(
-                (plain_distance(words[i : i + n], own), i) for i in range(len(words) - n + 1)
-            )
-            if edits <= d.allowed_edits(n, similarity):
+            edits, at = best_stretch(words, own)
+            if edits <= d.allowed_edits(len(own), similarity):
                 out.add((doc_id, item_id, edits, at))
     return out
 
@@ -38,15 +47,23 @@ def found_in(docs_df, items_df, **options):
     return {tuple(r) for r in d.contaminated(docs_df, items_df, **options).collect()}
 
 
-def test_edit_distances():
+def test_best_stretches():
+    """In one pass, with what is outside a text left out; brute force tries all stretches."""
     draw = np.random.default_rng(0)
-    a, b = draw.integers(0, 4, (300, 9)), draw.integers(0, 4, (300, 7))
-    expected = [plain_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)]
-    assert d.edit_distances(a, b).tolist() == expected
+    a, b = draw.integers(0, 4, (200, 7)), draw.integers(0, 4, (200, 13))
+    cut = [(draw.integers(0, 4), draw.integers(9, 14)) for _ in b]
+    for row, (low, high) in zip(b, cut, strict=True):
+        row[:low] = row[high:] = -2
+    edits, at = d.best_stretches(a, b)
+    for k, (low, high) in enumerate(cut):
+        x, y = a[k].tolist(), b[k].tolist()
+        every = [(plain_distance(x, y[i:j]), i) for i in range(low, high + 1) for j in range(i, high + 1)]
+        assert (edits[k], at[k]) == min(every)
+        assert best_stretch(y[low:high], x) == (edits[k], at[k] - low)
 
 
 def test_windows_lose_nothing():
-    """Every window within the threshold passes the pair filter."""
+    """The window where a stretch within the threshold starts passes the pair filter."""
     draw = random.Random(2)
     for _ in range(300):
         n = draw.randint(1, 14)
@@ -59,29 +76,42 @@ def test_windows_lose_nothing():
         text = [draw.choice("abz") for _ in range(5)] + own + ["z"] * 6
         items = d._prepare([(1, " ".join(item))], 0.8, 0.9)
         codes = np.array([items.codes.get(w, -1) for w in text])
-        starts = {at for _, at, _ in d._windows(codes, np.array([len(text)]), items)}
+        ((_, starts),) = d._windows(codes, np.array([len(text)]), items)
+        k = d.allowed_edits(n, 0.8)
         for at in range(len(text) - n + 1):
-            if plain_distance(text[at : at + n], item) <= d.allowed_edits(n, 0.8):
+            if any(plain_distance(text[at : at + m], item) <= k for m in range(n - k, n + k + 1)):
                 assert at in starts
 
 
-def test_recall_at_the_threshold(spark):
-    """Planted passages with as many edits as allowed are nearly all found."""
-    draw = random.Random(4)
+def edited(words, edits, draw, word):
+    own = list(words)
+    for _ in range(edits):
+        k = draw.randrange(len(own))
+        draw.choice((lambda: own.__setitem__(k, word()), lambda: own.insert(k, word()), lambda: own.pop(k)))()
+    return own
+
+
+@pytest.mark.parametrize("n,count", [(12, 60), (60, 40), (400, 12), (1000, 6)])
+def test_recall_at_the_threshold(spark, n, count):
+    """Planted passages with as many edits as allowed are nearly all found, whatever their length."""
+    draw = random.Random(n)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(4))
-    items = [(i, " ".join(word() for _ in range(draw.randint(12, 45)))) for i in range(60)]
+    items = [(i, " ".join(word() for _ in range(n))) for i in range(count)]
     docs = []
     for i, text in items:
-        own = text.split()
-        for k in draw.sample(range(len(own)), d.allowed_edits(len(own), 0.8)):
-            own[k] = word()
+        own = edited(text.split(), d.allowed_edits(n, 0.8), draw, word)
         docs.append((i, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])))
-    docs += [(100 + i, " ".join(word() for _ in range(200))) for i in range(30)]
+    docs += [(count + i, " ".join(word() for _ in range(200))) for i in range(30)]
     found = found_in(spark.createDataFrame(docs, "doc_id long, text string"),
                      spark.createDataFrame(items, "item_id long, text string"))
-    assert found <= brute_force(docs, items)
-    assert {(r[0], r[1]) for r in found} >= {(i, i) for i, _ in items[:0]}
-    assert len([r for r in found if r[0] == r[1]]) >= 0.95 * len(items)
+    expected = brute_force([(i, t) for i, t in docs if n < 100 or i < count],
+                           items) if n < 100 else {r for i in range(count) for r in brute_force(docs[i : i + 1], items[i : i + 1])}
+    assert {(i, i) for i in range(count)} <= {r[:2] for r in expected}
+    assert found <= expected and len(found) >= 0.95 * len(expected)
+    if d.repeats_for(n, d.allowed_edits(n, 0.8), d.TARGET_RECALL) is None:
+        assert found == expected  # the exact way
+    else:
+        assert n < 200
 
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve"
@@ -124,7 +154,21 @@ def test_remove(spark, texts):
 @pytest.mark.parametrize("n,edits", [(12, 2), (30, 6), (55, 11)])
 def test_repeats_reach_the_target(n, edits):
     low, high = d.repeats_for(n, edits, 0.9), d.repeats_for(n, edits, 0.99)
-    assert 1 <= low <= high < d.MOST_REPEATS
+    assert 1 <= low <= high <= d.MOST_REPEATS
+
+
+def test_exact_way_equals_brute_force(spark, monkeypatch):
+    """As if no number of lookups were enough, in small pieces, with repeated words."""
+    monkeypatch.setattr(d, "repeats_for", lambda *_: None)
+    for name in ("WINDOW_WORDS", "PAIR_CELLS", "WORDS_AT_ONCE"):
+        monkeypatch.setattr(d, name, 50)
+    draw = random.Random(5)
+    items = [(i, " ".join(draw.choice("abcdef") for _ in range(draw.randint(1, 12)))) for i in range(12)]
+    docs = [(i, " ".join(draw.choice("abcdefxyz") for _ in range(draw.randint(0, 60)))) for i in range(30)]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string").coalesce(2),
+              spark.createDataFrame(items, "item_id long, text string"))
+    assert found_in(*frames) == brute_force(docs, items)
+    assert found_in(*frames, similarity=0.5) == brute_force(docs, items, 0.5)
 
 
 def test_query_equals_brute_force(spark):
@@ -137,28 +181,11 @@ def test_query_equals_brute_force(spark):
     for doc_id, text in docs:
         w = d.words_of(text)
         own = set(zip(w, w[1:], strict=False))
-        near = [(i, t) for i, t in items if len(own & pairs[i]) >= 0.55 * len(pairs[i])]
+        near = [(i, t) for i, t in items if len(own & pairs[i]) >= 0.5 * len(pairs[i])]
         expected |= brute_force([(doc_id, text)], near) if near else set()
     assert found == expected and found
 
 
-def brute_force_of_stretches(docs, items):
-    """Stretches of all lengths within the allowed edits of the item's."""
-    out = set()
-    for doc_id, text in docs:
-        words = d.words_of(text)
-        for item_id, item in items:
-            own = d.words_of(item)
-            n, k = len(own), d.allowed_edits(len(own), 0.8)
-            found = [
-                (plain_distance(words[i : i + m], own), i)
-                for m in range(n - k, n + k + 1) for i in range(len(words) - m + 1)
-            ]
-            if found and min(found)[0] <= k:
-                out.add((doc_id, item_id, *min(found)))
-    return out
-
-
 def test_insertions_and_deletions(spark):
     """Copies with words put in or left out are found, also where the text ends with them."""
     draw = random.Random(8)
@@ -174,6 +201,6 @@ def test_insertions_and_deletions(spark):
         docs.append((i, " ".join(around + own + around)))
     found = found_in(spark.createDataFrame(docs, "doc_id long, text string"),
                      spark.createDataFrame(items, "item_id long, text string"))
-    expected = brute_force_of_stretches(docs, items)
+    expected = brute_force(docs, items)
     assert len(expected) == len(items) and {r[2] for r in expected} <= {1, 2, 3}
     assert found <= expected and len(found) >= 0.95 * len(items)
