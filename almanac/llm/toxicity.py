@@ -24,11 +24,10 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.bpe import _joined, _packed, _planes, _unpacked
@@ -36,11 +35,9 @@ from almanac.llm.common import release, stored, stored_by, text_bytes
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Bound of what the column functions send to every task; the table functions have none.
-MAX_ENTRIES = 1_000_000
 #: Words of a block of texts; a longer text is a block by itself.
 BLOCK_WORDS = 2_000_000
-#: Rows to fit the two weights and the offset of the curve on: a bounded sample by hash.
+#: Rows to fit the weights and the offset of the curve on, about: a bounded sample by hash.
 CURVE_ROWS = 20_000
 #: The worst words that are looked at by themselves, and the ratio that chance rarely exceeds.
 WORST_SHARE = 0.02
@@ -48,7 +45,7 @@ CHANCE_RATIO = 3.0
 PASSAGE_WORDS = 100
 FEATURES = 4
 WORD = re.compile(r"\w+")
-_KNOWN_WORDS = 200_000  # ratios and counts remembered by a task
+_KNOWN_WORDS = 200_000  # counts remembered by a task
 
 
 def words_of(data: bytes) -> list[str]:
@@ -173,30 +170,6 @@ class Model:
     curve: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
 
 
-def _table(model: Model) -> bytes:
-    """The ratios as an Arrow stream, of a model that every task can hold."""
-    if (n := model.ratios.count()) > MAX_ENTRIES:
-        raise ValueError(f"{n} entries are too many for a column function: use with_score")
-    table, out = model.ratios.toArrow(), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema) as writer:
-        writer.write_table(table)
-    return out.getvalue().to_pybytes()
-
-
-@lru_cache(maxsize=2)
-def _lookup(data: bytes) -> dict[str, float]:
-    table = pa.ipc.open_stream(data).read_all()
-    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
-
-
-def _word_ratio(word: str, order: int, table: dict[str, float]) -> float:
-    total = 0.0
-    for gram in sequences(word, order):
-        value = table.get(gram)
-        total += table.get(gram[:-1], 0.0) if value is None else value
-    return total
-
-
 def _features(values: np.ndarray) -> tuple[float, ...]:
     n = len(values)
     if n == 0:
@@ -208,33 +181,6 @@ def _features(values: np.ndarray) -> tuple[float, ...]:
     return float(values.mean()), float(worst.mean()), float(values.max()), passage
 
 
-def features(text: Column, model: Model) -> Column:
-    """Mean ratio of the words, of the worst fiftieth, of the worst one, and the mean excess of the
-    worst passage. For a model that every task can hold; ``with_features`` takes any."""
-    sent = SparkSession.active().sparkContext.broadcast(_table(model))
-    order = model.order
-
-    @F.arrow_udf("array<double>")
-    def of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = _lookup(sent.value)
-        known: dict[str, float] = {}
-        for batch in batches:
-            out = []
-            for data in batch:
-                words = words_of(data.as_py())
-                for word in set(words).difference(known):
-                    known[word] = _word_ratio(word, order, table)
-                values = np.fromiter(map(known.__getitem__, words), float, len(words))
-                out.append(_features(values))
-                if len(known) > _KNOWN_WORDS:
-                    known.clear()
-            yield pa.array(out, pa.list_(pa.float64()))
-        known.clear()
-        release()
-
-    return of_batches(text_bytes(text))
-
-
 BLOCKS = "block long, gram string, payload binary"
 
 
@@ -327,12 +273,13 @@ def _of_block(names: list[str], order: int):
 
 
 def with_features(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns but the text, and ``x``, the features of the text. Every row comes back, also
-    repeated ones."""
-    kept = rows.drop(text_col)
-    names = [f"k{i}" for i in range(len(kept.columns))]
+    """The columns but the text, renamed ``k0``, ``k1`` and so on, and ``x``, the features of the
+    text: mean ratio of the words, of the worst fiftieth, of the worst one, and the mean excess of
+    the worst passage. Every row comes back, also repeated ones."""
+    kept = [c for c in rows.columns if c != text_col]
+    names = [f"k{i}" for i in range(len(kept))]
     picked = rows.select(
-        text_bytes(text_col), *(F.col(f"`{c}`").alias(k) for c, k in zip(kept.columns, names, strict=True))
+        text_bytes(text_col), *(F.col(_quoted(c)).alias(k) for c, k in zip(kept, names, strict=True))
     )
     partitions = picked.rdd.getNumPartitions()
     blocks = stored_by(
@@ -350,14 +297,17 @@ def with_features(rows: DataFrame, model: Model, text_col: str = "text") -> Data
         .select("gram", F.coalesce("ratio", "back", F.lit(0.0)).alias("ratio"))
     )
     back = grams.join(found.hint("merge"), "gram").select("of", "gram", "ratio")
-    types = [f.dataType.simpleString() for f in kept.schema.fields]
+    types = [f.dataType.simpleString() for f in picked.schema.fields[1:]]
     schema = ", ".join(f"{k} {t}" for k, t in zip([*names, "x"], [*types, "array<double>"], strict=True))
-    found = (
+    return (
         blocks.where("gram is null").select("block", "payload").groupBy("block")
         .cogroup(back.groupBy("of"))
         .applyInArrow(_of_block(names, model.order), schema)
     )
-    return found.select(*(F.col(k).alias(c) for c, k in zip(kept.columns, names, strict=True)), "x")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _model(counts: DataFrame) -> Model:
@@ -367,16 +317,17 @@ def _model(counts: DataFrame) -> Model:
     return Model(ORDER, stored(ratios(stored(own, "sequences"), ORDER), "ratios"))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton's method, with a small ridge."""
-    mean, std = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+def _fit_curve(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, with a small ridge. Rows count so many times."""
+    mean = np.average(x, axis=0, weights=count)
+    std = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=count)) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / std]
     w = np.zeros(FEATURES + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         ridge = 0.05 * np.r_[0.0, np.ones(FEATURES)]
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-6)
-        step = np.linalg.solve(hess, z.T @ (y - p) - ridge * w)
+        hess = (z * (count * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-6)
+        step = np.linalg.solve(hess, z.T @ (count * (y - p)) - ridge * w)
         w += np.clip(step, -4, 4)
     slope = w[1:] / std
     return (float(w[0] - slope @ mean), *map(float, slope))
@@ -384,24 +335,29 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def fit(rows: DataFrame, id_col: str = "doc_id") -> Model:
     """Learn from ``(doc_id, text, toxic 0/1)``. Rows without a label, or with another, teach
-    nothing. The curve is fitted on every fourth row by hash, ``CURVE_ROWS`` of them at most, with
-    a model of the other rows; the final model counts all rows."""
+    nothing. The curve is fitted on every fourth row by hash, or on about ``CURVE_ROWS`` of them if
+    there are more, with a model of the other rows; the final model counts all rows. Rows that
+    repeat come to the driver as one with a number. Without rows of both labels, as with an empty
+    table, the curve is that of no evidence."""
     part = (F.pmod(F.xxhash64(F.col(id_col)), F.lit(4)) == 0).cast("int")
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     labelled = rows.where(F.col("toxic").isin(0, 1)).select(
-        F.xxhash64(F.col(id_col), F.lit(7)).alias("_at"),
+        place.alias("_at"),
         text_bytes("text").alias("text"),
         (F.col("toxic") == 1).alias("toxic"),
         part.alias("part"),
     )
     counts = stored(count_sequences(labelled), "counts")
     rest = _model(counts.where("part = 0"))
-    sample = labelled.where("part = 1").orderBy("_at").limit(CURVE_ROWS)
-    found = with_features(sample.select("text", "toxic"), rest).toArrow()
+    apart = labelled.where("part = 1")
+    rate = CURVE_ROWS / max(1, apart.count())
+    sample = apart.where(F.col("_at") < rate)
+    found = with_features(sample.select("text", "toxic"), rest).groupBy("x", "k0").count().toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    y = np.array(found.column("toxic").to_pylist(), float)
+    y = np.array(found.column("k0").to_pylist(), float)
     model = _model(counts)
     if 0 < y.sum() < len(y):
-        model.curve = _fit_curve(x, y)
+        model.curve = _fit_curve(x, y, found.column("count").to_numpy())
     return model
 
 
@@ -414,12 +370,13 @@ def _on_curve(x: Column, model: Model) -> Column:
 
 
 def with_score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns but the text, and ``score``: from 0 to 1, higher for toxic texts. Missing and
-    empty texts get the score of no words. Takes a model of any size."""
+    """The columns but the text, and ``score``: from 0 to 1, higher for toxic texts; a column of
+    that name gives way to it, any other stays whatever its name. Missing and empty texts get the
+    score of no words, repeated rows come back as often, an empty table empty. Takes a model of any
+    size."""
     found = with_features(rows, model, text_col)
-    return found.select(*found.columns[:-1], _on_curve(F.col("x"), model).alias("score"))
-
-
-def score(text: Column, model: Model) -> Column:
-    """As ``with_score``, for a model that every task can hold."""
-    return _on_curve(features(text, model), model)
+    kept = [(k, c) for k, c in zip(found.columns, (c for c in rows.columns if c != text_col), strict=False)
+            if c != "score"]
+    return found.select(
+        *(F.col(k).alias(c) for k, c in kept), _on_curve(F.col("x"), model).alias("score")
+    )

@@ -83,48 +83,93 @@ def model(spark):
     return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
 
 
+def scored(docs, model):
+    """``{(doc_id, length): scores}``"""
+    with_length = docs.withColumn("len", F.length("text"))
+    out = {}
+    for r in toxicity.with_score(with_length, model).collect():
+        out.setdefault((r["doc_id"], r["len"]), []).append(r["score"])
+    return out
+
+
 def test_rare_expressions_and_edge_cases(texts, model):
     plain = "tarino seltata " * 30
-    docs = texts([
+    rows = [
         (1, plain), (2, plain + "zorgux " * 3), (3, plain + "ZORGUXEN! vexpuz zorgux, " * 2 + plain), (4, None), (5, ""),
         (6, plain * 300), (6, plain * 300 + "vexpuz " * 200), (None, plain), (1, plain),
-    ])
-    score = {}
-    for r in docs.select("doc_id", F.length("text").alias("len"), toxicity.score(F.col("text"), model).alias("s")).collect():
-        score.setdefault((r["doc_id"], r["len"]), set()).add(r["s"])
-    one = {k: next(iter(v)) for k, v in score.items()}
-    assert all(len(v) == 1 and 0 <= next(iter(v)) <= 1 for v in score.values())
+    ]
+    score = scored(texts(rows), model)
+    assert sum(map(len, score.values())) == len(rows)
+    assert all(len(set(v)) == 1 and 0 <= v[0] <= 1 for v in score.values())
+    one = {k: v[0] for k, v in score.items()}
     assert one[1, 450] < 0.3 and all(s > 0.3 for (i, _), s in one.items() if i in (2, 3))
     assert one[4, None] == one[5, 0] < 0.3
     assert sorted(s > 0.3 for (i, _), s in one.items() if i == 6) == [False, True]
-    assert texts([]).select(toxicity.score(F.col("text"), model)).count() == 0
+    assert toxicity.with_score(texts([]), model).count() == 0
+
+
+def test_columns_of_any_name_stay(spark, model):
+    """Those that the operator uses inside, with dots and quotes; an own ``score`` gives way."""
+    names = ("x", "k0", "gram", "block", "of", "a.b", "c`d", "score", "toxic")
+    docs = spark.createDataFrame([(1, "zorgux zorgux", *names)], ["doc_id", "text", *names])
+    out = toxicity.with_score(docs, model)
+    assert out.columns == ["doc_id", *(n for n in names if n != "score"), "score"]
+    (row,) = out.collect()
+    assert row[:-1] == (1, *(n for n in names if n != "score")) and row[-1] > 0.3
 
 
 def test_nothing_to_learn_from(spark, texts):
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.fit(empty)
-    rows = texts([(1, "some words")]).select(toxicity.score(F.col("text"), model)).collect()
-    assert 0 <= rows[0][0] <= 1
-
-
-def test_model_falls_back_to_lower_orders(spark, monkeypatch):
-    rows = [(f"{a}{b}{c}{d}{e}", 0, 1, 2) for a in "ab" for b in "ab" for c in "ab" for d in "ab" for e in "ab"]
-    counts = spark.createDataFrame(rows, "gram string, part int, toxic long, ordinary long")
-    monkeypatch.setattr(toxicity, "MAX_ENTRIES", 20)
-    assert toxicity._model(counts).order == 3
+    (found,) = scored(texts([(1, "some words")]), model).values()
+    assert 0 <= found[0] <= 1
 
 
-def test_tables_of_any_size_score_as_columns_do(spark, texts, model, monkeypatch):
-    """Above the bound of what tasks can hold the order stays 5 and so do all scores."""
+def test_scores_equal_plain_sums(spark, texts, model, monkeypatch):
+    """Every text by itself, from the collected ratios, whatever blocks the texts fall into."""
     plain = "tarino seltata zorgux " * 40
-    docs = texts([(1, plain), (1, plain), (2, None), (3, ""), (None, "vexpuz ĝü " + "x1" * 3000), (4, plain * 50)], extra=False)
-    expected = sorted(docs.select(F.coalesce("doc_id", F.lit(0)), toxicity.score(F.col("text"), model)).collect())
-    monkeypatch.setattr(toxicity, "MAX_ENTRIES", 20)
-    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 200)
-    found = sorted(toxicity.with_score(docs, model).select(F.coalesce("doc_id", F.lit(0)), "score").collect())
-    assert [r[0] for r in found] == [r[0] for r in expected] and model.order == 5
-    assert all(math.isclose(a[1], b[1], abs_tol=1e-9) for a, b in zip(found, expected, strict=True))
-    assert toxicity.with_score(texts([], extra=False), model).count() == 0
+    rows = [(1, plain), (1, plain), (2, None), (3, ""), (7, "vexpuz ĝü " + "x1" * 3000), (4, plain * 50)]
+    ratio = {r["key"]: r["ratio"] for r in model.ratios.collect()}
+
+    def expected(text):
+        values = [
+            sum(ratio.get(g, ratio.get(g[:-1], 0.0)) for g in toxicity.sequences(w, 5))
+            for w in toxicity.words_of((text or "").encode())
+        ]
+        n = len(values)
+        if n == 0:
+            x = (0.0,) * 4
+        else:
+            worst = sorted(values)[-max(1, math.ceil(toxicity.WORST_SHARE * n)):]
+            over = [max(v - toxicity.CHANCE_RATIO, 0) for v in values]
+            size = min(n, toxicity.PASSAGE_WORDS)
+            passage = max(sum(over[i : i + size]) for i in range(n - size + 1)) / size
+            x = (sum(values) / n, sum(worst) / len(worst), max(values), passage)
+        offset, *weights = model.curve
+        return 1 / (1 + math.exp(-offset - sum(a * b for a, b in zip(x, weights, strict=True))))
+
+    for words in (200, 2_000_000):
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", words)
+        found = scored(texts(rows).coalesce(2), model)
+        assert len(found[1, len(plain)]) == 2
+        for doc_id, text in rows:
+            got = found[doc_id, None if text is None else len(text)][0]
+            assert math.isclose(got, expected(text), abs_tol=1e-9)
+
+
+def test_sample_of_the_curve(spark, monkeypatch):
+    """A sample of rows by hash, without a sort; repeated rows count as often as they are there."""
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice(("ta", "ri", "zorg")) for _ in range(5)), i % 2) for i in range(300)]
+    rows += [(4, "ta ri", 0)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    real = toxicity._fit_curve
+    monkeypatch.setattr(toxicity, "_fit_curve", lambda x, y, n: seen.append(n) or real(x, y, n))
+    toxicity.fit(df)
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 20)
+    toxicity.fit(df)
+    assert sum(seen[0]) > sum(seen[1]) and 5 <= sum(seen[1]) <= 75
 
 
 def test_registered_on_held_out_rows(spark):
