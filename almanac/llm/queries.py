@@ -49,6 +49,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a row is kept from learning; one without an id is not."""
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learnt from the labelled documents that are not held out. Labels grow with the documents, so
     both are shuffled, at any size."""
@@ -102,7 +107,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_score(docs.select("doc_id", "text"), model).select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score"
+        "doc_id", held_out(4, 2), "score"
     ).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
@@ -115,7 +120,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
     return docs.select(
         "doc_id",
-        (fold("doc_id", 3) == 1).alias("held_out"),
+        held_out(3, 1),
         quality.score(docs, quality.fit(docs, labels)).alias("score"),
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -162,10 +167,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    model = language.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    model = language.fit(docs.where(~held_out(5, 0)).select("doc_id", "text", "lang"))
     return docs.select(
-        "doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model).alias("p")
+        "doc_id", held_out(5, 0), language.predict(F.col("text"), model).alias("p")
     ).select(
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"),
         F.col("p.accepted").alias("accepted"),
