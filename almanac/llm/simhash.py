@@ -151,9 +151,19 @@ def near_duplicates(
     component is that of the rows with ids, or missing where there are none. Repeated rows stay
     repeated. Other columns are not looked at.
     """
+    return _classes(docs, id_col, text_col, size, max_bits).drop("digest")
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, max_bits: int) -> DataFrame:
+    """As ``near_duplicates``, with the digest of the text."""
     prints = stored(
         docs.select(
-            F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), size).alias("fp")
+            F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest"),
+            fingerprint(F.col(text_col), size).alias("fp"),
         ),
         "prints",
     )
@@ -169,24 +179,29 @@ def near_duplicates(
     classes = points.join(reached, F.col("first") == F.col("id"), "left").select(
         "fp", F.coalesce("component", "first").alias("component_id")
     )
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id, with all its columns. Of rows
-    that share an id the one with the least text stays; rows without an id all stay."""
-    classes = stored(near_duplicates(docs, id_col, text_col), "classes")
-    ids = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.min("component_id").alias("component")
+    """Of each group of near duplicates the row with the smallest id, with all its columns. An id
+    that repeats with different texts is judged text by text; of its rows that would stay, the one
+    with the least text does. Rows without an id all stay."""
+    rows = stored(_classes(docs, id_col, text_col, SHINGLE, MAX_BITS), "classes")
+    texts = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "digest").agg(
+        F.count("*").alias("n"),
+        F.first(F.col("doc_id") == F.col("component_id")).alias("stays"),  # one for each text
     )
-    go = ids.where((F.col("doc_id") != F.col("component")) | (F.col("n") > 1))
-    again = ids.where((F.col("doc_id") == F.col("component")) & (F.col("n") > 1))
-    own = docs.where(F.col(id_col).isNotNull())
-    named = docs.columns
-    once = docs.join(go.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
-    repeated = own.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    best = repeated.groupBy(id_col).agg(
-        F.min_by(F.struct(*(F.col(f"`{c}`") for c in named)), F.coalesce(text_col, F.lit("")))
-        .alias("_row")
+    repeated = texts.where("stays").groupBy("doc_id").agg(F.sum("n").alias("rows")).where("rows > 1")
+    several = texts.where("stays").join(repeated, "doc_id", "left_semi")
+    keys = lambda t: t.select(F.col("doc_id").alias(row_id), F.col("digest").alias(digest))
+    taken = {c.lower() for c in docs.columns}
+    row_id, digest = (next(f"_{x}{i}" for i in range(len(taken) + 1) if f"_{x}{i}" not in taken)
+                      for x in ("id", "digest"))
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    own = docs.select(*quoted, F.col(id_col).alias(row_id), _digest(text_col).alias(digest))
+    go = keys(texts.where("not stays").select("doc_id", "digest").unionByName(several.select("doc_id", "digest")))
+    once = own.join(go, [row_id, digest], "left_anti").select(*quoted)
+    best = own.join(keys(several), [row_id, digest], "left_semi").groupBy(row_id).agg(
+        F.min_by(F.struct(*quoted), F.coalesce(text_col, F.lit(""))).alias("_row")
     )
-    return once.select(*named).unionByName(best.select("_row.*"))
+    return once.unionByName(best.select("_row.*"))

@@ -110,6 +110,17 @@ def test_keep_first(texts):
     assert simhash.keep_first(texts([])).count() == 0
 
 
+def test_keep_first_judges_texts_of_an_id_apart(spark):
+    """Every group keeps one row, also if an id is in two groups; columns may have any name."""
+    a, b = "one text of some words that repeats", "another one, about quite different things"
+    rows = [(2, a, "p"), (5, a, "q"), (5, b, "r"), (9, b, "s"), (9, b, "t"), (7, "x", "u"), (7, "", "v"), (7, "", "w")]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "_id0"]).withColumn("a.b", F.col("_id0")).withColumn("digest", F.lit(1))
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+    assert found == [(2, a), (5, b), (7, "")]
+
+
 def test_bits_out_of_range(spark):
     with pytest.raises(ValueError):
         simhash.close_pairs(spark.createDataFrame([(1,)], "fp long"), 9)
