@@ -149,8 +149,9 @@ WITH RECURSIVE prefixes(part, taken, applied, step, steps) AS (
                'good_lost', {_total("good", _REMOVED)},
                'toxic_lost', {_total("toxic", _REMOVED)}))
     FROM prefixes p
-    JOIN {{filters}} f ON p.applied & f.bit = 0
     JOIN {{cells}} c ON c.part = p.part
+    LATERAL VIEW explode(array({{filters}})) t AS f
+    WHERE p.applied & f.bit = 0
 ), orders AS (
     SELECT part, taken AS filter_order, place + 1 AS step, m.*
     FROM prefixes LATERAL VIEW posexplode(steps) AS place, m
@@ -166,7 +167,8 @@ def all_orders(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
     shapley)`` for each part, order of the letters and step, from the cells of ``mask_cells`` or
     others like them, where the bit of a letter is given by its place. ``shapley`` is what the filter
     of the step removes, summed over all orders."""
-    if not 0 < len(letters) <= MOST_FILTERS or len(set(letters)) < len(letters):
+    fine = 0 < len(letters) <= MOST_FILTERS and len(set(letters)) == len(letters)
+    if not (fine and letters.isalnum()):
         raise ValueError(f"1 to {MOST_FILTERS} different letters are needed, not {letters!r}")
     spark: SparkSession = cells.sparkSession
     by_part = stored(
@@ -175,9 +177,7 @@ def all_orders(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
         ).coalesce(1),
         "mask-cells",
     )
-    filters = spark.createDataFrame(
-        [(k, 1 << i) for i, k in enumerate(letters)], "letter string, bit int"
-    )
+    filters = ", ".join(f"struct('{k}' AS letter, {1 << i} AS bit)" for i, k in enumerate(letters))
     # Spark ends a recursion of too many rows; this one has so many prefixes for each part.
     prefixes, n = 1, 1
     for k in range(len(letters), 0, -1):
@@ -188,7 +188,7 @@ def all_orders(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
     if 0 <= int(before) < needed:
         spark.conf.set(_LIMIT, str(needed))
     try:
-        found = spark.sql(_ORDERS, cells=by_part, filters=filters, most=len(letters))
+        found = spark.sql(_ORDERS.replace("{filters}", filters), cells=by_part, most=len(letters))
         return stored(found, "filter-orders")
     finally:
         spark.conf.set(_LIMIT, before)
