@@ -22,9 +22,9 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     # The score is a function of the text alone.
     digest = F.sha2(text_bytes("text"), 256)
-    scored = toxicity.with_score(docs.select("text", digest.alias("_text")), model)
-    bad = stored(scored.where(F.col("score") >= TOXIC_FROM).select("_text").distinct(), "toxic")
-    return docs.withColumn("_text", digest).join(bad, "_text", "left_anti").select(*docs.columns)
+    scored = toxicity.with_score(docs.select("text", digest.alias("digest")), model)
+    bad = stored(scored.where(F.col("score") >= TOXIC_FROM).select("digest").distinct(), "toxic")
+    return docs.join(bad, digest == bad["digest"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
