@@ -4,14 +4,20 @@ an archive, for all stations at once."""
 from almanac.operators.prepare import prepare_daily
 from almanac.plans import (
     backfill_plan,
+    backfill_plan_from_index,
+    climatology_from_state,
     daily_climatology,
     daily_series,
     monthly_series,
     normalize_gridded,
     normalize_long,
+    rebuild_months,
     upsert_daily,
+    upsert_daily_with_changes,
+    upsert_published,
 )
 from almanac.sources import (
+    VersionedTable,
     read_archive,
     read_daily,
     read_pairs,
@@ -21,7 +27,10 @@ from almanac.sources import (
 )
 
 __all__ = [
+    "VersionedTable",
     "backfill_plan",
+    "backfill_plan_from_index",
+    "climatology_from_state",
     "daily_climatology",
     "daily_series",
     "monthly_series",
@@ -32,7 +41,10 @@ __all__ = [
     "read_daily",
     "read_pairs",
     "read_service_records",
+    "rebuild_months",
     "upsert_daily",
+    "upsert_daily_with_changes",
+    "upsert_published",
     "write_csv",
     "write_daily",
 ]

@@ -55,34 +55,40 @@ def _length():
     return F.datediff("range_end", "range_start") + 1
 
 
-def runs_within_months(days: DataFrame) -> DataFrame:
-    """Runs of consecutive days, cut at the ends of months: one bit per day of a month, grouped
-    by station and month.
-
-    The bits are combined before the shuffle, so what is shuffled and sorted later is about one
-    row per station and month instead of one per day, and copies of a day vanish on the way.
-    """
+def month_sets(days: DataFrame) -> DataFrame:
+    """``(STATION, month, bits)``: the days of a month that are there, as one bit each from the first
+    on. Bits are combined before the shuffle, so copies of a day vanish on the way."""
     bit = F.expr("shiftleft(1L, dayofmonth(DATE) - 1)")
-    months = days.groupBy("STATION", F.trunc("DATE", "month").alias("_month")).agg(
-        F.bit_or(bit).alias("_bits")
+    return days.groupBy("STATION", F.trunc("DATE", "month").alias("month")).agg(
+        F.bit_or(bit).alias("bits")
     )
-    firsts = F.expr("_bits & ~shiftleft(_bits, 1)")
-    lasts = F.expr("_bits & ~shiftright(_bits, 1)")
+
+
+def runs_of_months(months: DataFrame) -> DataFrame:
+    """Runs of consecutive days of sets of days, cut at the ends of months."""
+    firsts = F.expr("bits & ~shiftleft(bits, 1)")
+    lasts = F.expr("bits & ~shiftright(bits, 1)")
 
     def days_of(bits):
         return F.filter(F.sequence(F.lit(0), F.lit(30)), lambda d: F.getbit(bits, d) == 1)
 
     runs = F.arrays_zip(days_of(firsts).alias("first"), days_of(lasts).alias("last"))
-    return months.select("STATION", "_month", F.inline(runs)).select(
+    return months.where("bits <> 0").select("STATION", "month", F.inline(runs)).select(
         "STATION",
-        F.date_add("_month", F.col("first")).alias("run_start"),
-        F.date_add("_month", F.col("last")).alias("run_end"),
+        F.date_add("month", F.col("first")).alias("run_start"),
+        F.date_add("month", F.col("last")).alias("run_end"),
     )
 
 
-def missing_ranges(
-    archive: DataFrame, stations: DataFrame, start: Day, end: Day, padded: bool = True
-) -> DataFrame:
+def runs_within_months(days: DataFrame) -> DataFrame:
+    """Runs of consecutive days, cut at the ends of months.
+
+    What is shuffled and sorted later is about one row per station and month instead of one per day.
+    """
+    return runs_of_months(month_sets(days))
+
+
+def gaps_between_runs(runs: DataFrame, stations: DataFrame, start: Day, end: Day) -> DataFrame:
     """Runs of missing days, read off as the gaps between the runs of days that are there.
 
     Never builds the calendar: each station
@@ -96,8 +102,7 @@ def missing_ranges(
         .select("STATION", outside.alias("run_start"))
         .withColumn("run_end", F.col("run_start"))
     )
-    present = runs_within_months(days_present(archive, start, end, padded))
-    present = present.join(wanted, "STATION", "left_semi")
+    present = runs.join(wanted, "STATION", "left_semi")
     previous = F.lag("run_end").over(Window.partitionBy("STATION").orderBy("run_start"))
     return (
         present.unionByName(sentinels)
@@ -112,6 +117,14 @@ def missing_ranges(
     )
 
 
+def missing_ranges(
+    archive: DataFrame, stations: DataFrame, start: Day, end: Day, padded: bool = True
+) -> DataFrame:
+    """Runs of days in the range that the archive does not have, for each station."""
+    present = runs_within_months(days_present(archive, start, end, padded))
+    return gaps_between_runs(present, stations, start, end)
+
+
 def chunk_days(n_datatypes: int) -> int:
     """How many days fit into one request."""
     size = ROWS_PER_REQUEST // n_datatypes if n_datatypes > 0 else 0

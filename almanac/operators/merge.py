@@ -115,20 +115,83 @@ def upsert_rows(
     any archive this function wrote) it is not shuffled at all when the fetched keys are small
     enough for Spark to broadcast; else its own copies are removed first.
     """
+    old = _archive_rows(archive, archive_is_unique)
+    new = winning_rows(fetched, stations, order)
+    has_key = F.col("STATION").isNotNull() & F.col("DATE").isNotNull()
+    keys = conform_daily(fetched).where(has_key).select(*KEYS).distinct()
+    return union_records(old.join(keys, KEYS, "left_anti"), new)
+
+
+def _archive_rows(archive: DataFrame, unique: bool) -> DataFrame:
+    rows = conform_daily(archive).where(F.col("STATION").isNotNull() & F.col("DATE").isNotNull())
+    return rows if unique else unique_days(rows)
+
+
+def winning_rows(
+    fetched: DataFrame, stations: DataFrame | None = None, order: str | None = None
+) -> DataFrame:
+    """The fetched rows that an upsert brings in: one per station and day, labelled. See
+    ``upsert_rows`` for which of several copies that is."""
     has_key = F.col("STATION").isNotNull() & F.col("DATE").isNotNull()
-    archive = conform_daily(archive).where(has_key)
-    old = archive if archive_is_unique else unique_days(archive)
     if order is None:
-        fetched = conform_daily(fetched).where(has_key)
-        new = unique_days(fetched)
+        new = unique_days(conform_daily(fetched).where(has_key))
     else:
-        came = fetched.withColumn("_came", F.col(order))
-        fetched = conform_daily(came, keep=("_came",)).where(has_key)
-        new = keep_last(fetched, "_came").drop("_came")
-    if stations is not None:
-        new = label_stations(new, stations)
-    kept = old.join(fetched.select(*KEYS).distinct(), KEYS, "left_anti")
-    return union_records(kept, new)
+        came = conform_daily(fetched.withColumn("_came", F.col(order)), keep=("_came",))
+        new = keep_last(came.where(has_key), "_came").drop("_came")
+    return new if stations is None else label_stations(new, stations)
+
+
+#: What an upsert does to a day, in the column ``change``; null where nothing changed.
+ADDED, CORRECTED, RELABELLED, PADDED = "added", "corrected", "relabelled", "padded"
+
+
+def upsert_with_changes(
+    archive: DataFrame,
+    fetched: DataFrame,
+    archive_is_unique: bool = False,
+    stations: DataFrame | None = None,
+    order: str | None = None,
+) -> DataFrame:
+    """As ``upsert_rows``, with a column ``change`` that tells what the fetched rows did to each day.
+
+    Merging and comparing are one full outer join, so the archive is read once; it is shuffled,
+    unlike in ``upsert_rows``. Give the years that the batch touches only.
+    """
+    old = _archive_rows(archive, archive_is_unique)
+    new = winning_rows(fetched, stations, order)
+    columns = [*old.columns, *(c for c in new.columns if c not in old.columns)]
+    values = [c for c in columns if c not in (*KEYS, "NAME")]
+
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        own = (F.col(c) if c in rows.columns else F.lit(None).cast("double") for c in columns if c not in KEYS)
+        names = (f"{prefix}{c}" for c in columns if c not in KEYS)
+        return rows.select(
+            *KEYS, *(x.alias(n) for x, n in zip(own, names, strict=True)), F.lit(True).alias(f"{prefix}here")
+        )
+
+    both = side(old, "_old_").join(side(new, "_new_"), KEYS, "full")
+    fetched_here, known = F.col("_new_here").isNotNull(), F.col("_old_here").isNotNull()
+    same = F.lit(True)
+    for c in values:
+        same = same & F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}"))
+    change = F.when(fetched_here & ~known, ADDED).when(fetched_here & ~same, CORRECTED).when(
+        fetched_here & ~F.col("_old_NAME").eqNullSafe(F.col("_new_NAME")), RELABELLED
+    )
+    return both.select(
+        *(
+            F.col(c) if c in KEYS
+            else F.when(fetched_here, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c)
+            for c in columns
+        ),
+        change.alias("change"),
+    )
+
+
+def changed_months(changed: DataFrame) -> DataFrame:
+    """``(STATION, DATE_YM)``: months in which a day was added, corrected or padded. Labels are no
+    part of the statistics."""
+    touched = changed.where(F.col("change").isin(ADDED, CORRECTED, PADDED))
+    return touched.select("STATION", F.date_format("DATE", "yyyy-MM").alias("DATE_YM")).distinct()
 
 
 def label_stations(rows: DataFrame, stations: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from almanac.sources.landing import (
     read_service_records,
     rejected_bodies,
 )
+from almanac.sources.versions import ConflictError, VersionedTable
 
 __all__ = [
+    "ConflictError",
+    "VersionedTable",
     "decode_records",
     "json_value",
     "read_archive",

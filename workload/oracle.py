@@ -262,6 +262,149 @@ GROUP BY STATION, run""",
     }
 
 
+def _completeness() -> dict[str, str]:
+    """Every day of every station, and whether the archive has it."""
+    ctes = {
+        "days": f"""
+SELECT w.STATION, d.DATE, strftime(d.DATE, '%Y-%m') AS DATE_YM, p.DATE IS NOT NULL AS has
+FROM (SELECT DISTINCT STATION FROM sd) w CROSS JOIN {_days(*t.REPORT)} d
+LEFT JOIN (SELECT DISTINCT STATION, DATE FROM arch
+           WHERE coalesce(PRCP, SNWD, TAVG, TMAX, TMIN, SNOW) IS NOT NULL) p
+  ON p.STATION = w.STATION AND p.DATE = d.DATE""",
+        "gaps": """
+SELECT STATION, min(DATE) AS low, max(DATE) AS high, count(*) AS n FROM (
+  SELECT *, DATE - CAST(row_number() OVER (PARTITION BY STATION ORDER BY DATE) AS INTEGER) AS run
+  FROM days WHERE NOT has) GROUP BY STATION, run""",
+        "cut": """
+SELECT STATION, DATE_YM, max(n) AS n FROM (
+  SELECT STATION, DATE_YM, count(*) AS n FROM (
+    SELECT *, DATE - CAST(row_number() OVER (PARTITION BY STATION, DATE_YM ORDER BY DATE) AS INTEGER)
+             AS run FROM days WHERE NOT has) GROUP BY STATION, DATE_YM, run)
+GROUP BY STATION, DATE_YM""",
+        "poor": """
+SELECT STATION, min(s) AS s FROM (
+  SELECT STATION, avg(CAST(has AS INTEGER)) AS s FROM days GROUP BY STATION, month(DATE))
+GROUP BY STATION""",
+    }
+    share = "count(*) FILTER (has) / CAST(count(*) AS DOUBLE)"
+    return {
+        "completeness_months": _with(
+            ("arch",),
+            f"""SELECT d.STATION, d.DATE_YM, CAST(count(*) AS INTEGER) AS n_days,
+  CAST(count(*) FILTER (has) AS INTEGER) AS n_present,
+  CAST(count(*) FILTER (NOT has) AS INTEGER) AS n_missing, {r(share, 'share')},
+  CAST(coalesce(any_value(cut.n), 0) AS INTEGER) AS longest_gap
+FROM days d LEFT JOIN cut ON cut.STATION = d.STATION AND cut.DATE_YM = d.DATE_YM
+GROUP BY d.STATION, d.DATE_YM""",
+            ctes,
+        ),
+        "completeness_days": _with(
+            ("arch",),
+            f"""SELECT STATION, strftime(DATE, '%m-%d') AS DATE_MD, count(*) AS n_years,
+  count(*) FILTER (has) AS n_present, {r(share, 'share')}
+FROM days GROUP BY STATION, strftime(DATE, '%m-%d')""",
+            ctes,
+        ),
+        "completeness_stations": _with(
+            ("arch",),
+            f"""SELECT d.STATION, count(*) AS n_days, count(*) FILTER (has) AS n_present,
+  {r(share, 'share')}, min(DATE) FILTER (has) AS first_date, max(DATE) FILTER (has) AS last_date,
+  CAST(coalesce(any_value(g.n), 0) AS INTEGER) AS longest_gap, {r('any_value(poor.s)', 'poorest_month')},
+  CASE WHEN count(*) FILTER (has) = count(*) THEN 'complete'
+       WHEN count(*) FILTER (has) = 0 THEN 'no data'
+       WHEN {share} >= {t.LEAST_SHARE} AND any_value(poor.s) >= {t.LEAST_SHARE} THEN 'usable'
+       ELSE 'incomplete' END AS verdict
+FROM days d LEFT JOIN (SELECT STATION, max(n) AS n FROM gaps GROUP BY STATION) g ON g.STATION = d.STATION
+LEFT JOIN poor ON poor.STATION = d.STATION GROUP BY d.STATION""",
+            ctes,
+        ),
+    }
+
+
+_EMPTIED = """
+SELECT * REPLACE ({}) FROM fetched""".format(
+    ", ".join(f"CASE WHEN day(DATE) <> 2 THEN {c} END AS {c}" for c in ROW[3:])
+)
+_HAS_DATA = "coalesce(PRCP, SNWD, TAVG, TMAX, TMIN, SNOW) IS NOT NULL"
+# Archive rows that no fetched row replaces, and the fetched ones.
+_MERGED = """
+SELECT * FROM arch a WHERE NOT EXISTS (
+  SELECT 1 FROM {0} f WHERE f.STATION = a.STATION AND f.DATE = a.DATE)
+UNION ALL BY NAME SELECT * FROM {0}"""
+_BITS = """SELECT STATION, CAST(date_trunc('month', DATE) AS DATE) AS month,
+  CAST(bit_or(CAST(1 AS BIGINT) << (day(DATE) - 1)) AS BIGINT) AS bits
+FROM merged WHERE {} GROUP BY 1, 2""".format(_HAS_DATA)
+
+
+def _state(span: tuple[str, str], merged: str | None = None, source: str = "") -> str:
+    base = (
+        f"SELECT * FROM prep WHERE DATE BETWEEN DATE '{span[0]}' AND DATE '{span[1]}' "
+        "AND DATE_MD <> '02-29'"
+    )
+    select = f"SELECT STATION, DATE_MD, {rs(DAILY_STATS)} FROM clim"
+    if merged is None:
+        return _with(_CLIM, select, {"base": base})
+    prep = _CTES["prep"].replace("FROM sd", f"FROM ({source})")
+    rest = {name: _CTES[name] for name in _CLIM}
+    return _with(
+        ("arch", "fetched", "who"), select, {"merged": merged, **rest, "prep": prep, "base": base}
+    )
+
+
+def _upkeep(row: str, monthly: str) -> dict[str, str]:
+    in_year = f"{_days(*t.YEAR)}"
+    empty = {"emptied": _EMPTIED, "merged": _MERGED.format("emptied")}
+    full = {"merged": _MERGED.format("fetched")}
+    chunk = 1000 // len(t.DATATYPES)
+    gaps = {
+        **empty,
+        **{k: v for k, v in _gaps("1990-01-01", "2001-12-31").items() if k != "arch"},
+    }
+    gaps["miss"] = gaps["miss"].replace("FROM arch a WHERE", f"FROM merged a WHERE {_HAS_DATA} AND")
+    padded = f"""SELECT w.STATION, w.NAME, d.DATE FROM who w CROSS JOIN {in_year} d
+WHERE NOT EXISTS (SELECT 1 FROM merged a WHERE a.STATION = w.STATION AND a.DATE = d.DATE)"""
+    differ = " OR ".join(f"a.{c} IS DISTINCT FROM f.{c}" for c in ROW[3:])
+    return {
+        "presence_after_upsert": _with(("arch", "fetched"), _BITS, empty),
+        "index_published": _with(("arch", "fetched"), _BITS, full),
+        "backfill_from_index": _with(
+            ("arch", "fetched"),
+            f"""SELECT STATION, range_start, range_end, range_start + CAST(i AS INTEGER) AS chunk_start,
+  least(range_start + CAST(i AS INTEGER) + {chunk - 1}, range_end) AS chunk_end
+FROM (SELECT *, unnest(generate_series(0, n_days - 1, {chunk})) AS i FROM ranges)""",
+            gaps,
+        ),
+        "upsert_changes": _with(
+            ("arch", "fetched", "who"),
+            f"""SELECT f.STATION, f.DATE, CASE WHEN a.DATE IS NULL THEN 'added' ELSE 'corrected' END AS change
+FROM emptied f LEFT JOIN arch a ON a.STATION = f.STATION AND a.DATE = f.DATE
+WHERE a.DATE IS NULL OR {differ}
+UNION ALL SELECT STATION, DATE, 'padded' AS change FROM ({padded})""",
+            empty,
+        ),
+        "months_rebuilt": _with(
+            ("arch", "fetched", "who"),
+            f"SELECT STATION, DATE_YM, {rs(MONTH_STATS)} FROM mon",
+            {
+                **empty,
+                "prep": _CTES["prep"].replace("FROM sd", f"FROM (SELECT * FROM merged UNION ALL BY NAME {padded})"),
+                "mon": monthly,
+            },
+        ),
+        "archive_published": _with(
+            ("arch", "fetched", "who"),
+            f"{row} FROM (SELECT * FROM merged UNION ALL BY NAME {padded})",
+            full,
+        ),
+        "climatology_published": _state(
+            t.LONG_BASELINE, full["merged"], f"SELECT * FROM merged UNION ALL BY NAME {padded}"
+        ),
+        "climatology_from_state": _state(t.BASELINE),
+        "climatology_from_state_cut": _state(t.CUT_BASELINE),
+        "climatology_from_state_long": _state(t.LONG_BASELINE),
+    }
+
+
 def _on_daily() -> dict[str, str]:
     prepared = f"""SELECT STATION, NAME, DATE, {rs(ROW[3:])}, DATE_MD, DATE_YM, DATE_M, {r('TMEAN')}
 FROM prep"""
@@ -478,6 +621,8 @@ WHERE NOT EXISTS (SELECT 1 FROM sd a WHERE a.STATION = w.STATION AND a.DATE = d.
             (), f"SELECT STATION, CAST(NULL AS VARCHAR) AS NAME, DATE, {rs(ROW[3:])} FROM sd"
         ),
         "landed_rejects": _with((), _REJECTS),
+        **_completeness(),
+        **_upkeep(row, monthly["mon"]),
     }
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from almanac import (
     backfill_plan,
+    backfill_plan_from_index,
+    climatology_from_state,
     daily_climatology,
     daily_series,
     monthly_series,
@@ -18,12 +20,16 @@ from almanac import (
     prepare_daily,
     read_daily,
     read_pairs,
+    rebuild_months,
     upsert_daily,
+    upsert_daily_with_changes,
+    upsert_published,
     write_csv,
     write_daily,
 )
-from almanac.operators import bands, calendar, departures, gaps, inference, merge
-from almanac.operators import prepare, records, smoothing, snow, statistics
+from almanac.operators import bands, calendar, completeness, departures, gaps, inference, merge
+from almanac.operators import prepare, presence, records, smoothing, snow, statistics
+from almanac.plans import upkeep
 from almanac.sources import decode_records, json_value, read_service_records, rejected_bodies
 from almanac.sources.scratch import scratch_path
 from workload import tables as t
@@ -218,6 +224,93 @@ def backfill_chunks(daily):
     )
 
 
+def completeness_months(daily):
+    index = presence.presence_index(t.archive(daily))
+    return completeness.completeness_by_month(index, daily, *t.REPORT)
+
+
+def completeness_days(daily):
+    index = presence.presence_index(t.archive(daily))
+    return completeness.completeness_by_day(index, daily, *t.REPORT)
+
+
+def completeness_stations(daily):
+    index = presence.presence_index(t.archive(daily))
+    return completeness.completeness_by_station(index, daily, *t.REPORT, least=t.LEAST_SHARE)
+
+
+def _index_after_upsert(daily):
+    """Kept up from the batch alone."""
+    changes = presence.presence_changes(merge.winning_rows(t.emptied(t.fetched(daily))))
+    return presence.update_presence(presence.presence_index(t.archive(daily)), changes)
+
+
+def presence_after_upsert(daily):
+    return _index_after_upsert(daily)
+
+
+def backfill_from_index(daily):
+    return backfill_plan_from_index(
+        _index_after_upsert(daily), daily.select("STATION"), "1990-01-01", "2001-12-31", t.DATATYPES
+    )
+
+
+def _with_changes(daily):
+    everyone = daily.select("STATION", "NAME").distinct()
+    return upsert_daily_with_changes(
+        t.archive(daily), t.emptied(t.fetched(daily)), everyone, *t.YEAR, archive_is_unique=True
+    )
+
+
+def upsert_changes(daily):
+    return _with_changes(daily).where("change is not null").select("STATION", "DATE", "change")
+
+
+def months_rebuilt(daily):
+    """The months that the changes touch are made anew, those of the archive stay."""
+    merged = _with_changes(daily)
+    before = statistics.monthly_aggregate(prepare_daily(t.archive(daily)))
+    return rebuild_months(before, merged, merged.where("change is not null"))
+
+
+def _published(daily):
+    """Archive, index and state of the archive, then a batch."""
+    spark, path = daily.sparkSession, scratch_path(daily.sparkSession, "published")
+    tables = (upkeep.archive_table(spark, f"{path}/days"), upkeep.index_table(spark, f"{path}/index"),
+              upkeep.state_table(spark, f"{path}/state"))
+    for publish, table in zip(
+        (upkeep.publish_archive, upkeep.publish_index, upkeep.publish_state), tables, strict=True
+    ):
+        publish(t.archive(daily), table)
+    archive, index, state = tables
+    everyone = daily.select("STATION", "NAME").distinct()
+    upsert_published(archive, t.fetched(daily), everyone, *t.YEAR, index=index, state=state)
+    return tables
+
+
+def archive_published(daily):
+    return _published(daily)[0].read().drop("almanac_year")
+
+
+def index_published(daily):
+    return _published(daily)[1].read().drop("almanac_year")
+
+
+def climatology_published(daily):
+    """Over a baseline that holds the year of the batch."""
+    return climatology_from_state(_published(daily)[2].read(), *t.LONG_BASELINE, window=t.WINDOW)
+
+
+def _from_state(span):
+    def query(daily):
+        spark = daily.sparkSession
+        table = upkeep.state_table(spark, scratch_path(spark, "state"))
+        upkeep.publish_state(daily, table)
+        return climatology_from_state(table.read(), *span, window=t.WINDOW)
+
+    return query
+
+
 def pad_calendar(daily):
     everyone = daily.select("STATION", "NAME").distinct()
     return merge.pad_calendar(t.archive(daily), everyone, *t.YEAR)
@@ -406,6 +499,19 @@ ON_DAILY: dict[str, OnDaily] = {
     "missing_ranges": missing_ranges,
     "contiguous_ranges": contiguous_ranges,
     "backfill_chunks": backfill_chunks,
+    "completeness_months": completeness_months,
+    "completeness_days": completeness_days,
+    "completeness_stations": completeness_stations,
+    "presence_after_upsert": presence_after_upsert,
+    "backfill_from_index": backfill_from_index,
+    "upsert_changes": upsert_changes,
+    "months_rebuilt": months_rebuilt,
+    "archive_published": archive_published,
+    "index_published": index_published,
+    "climatology_published": climatology_published,
+    "climatology_from_state": _from_state(t.BASELINE),
+    "climatology_from_state_cut": _from_state(t.CUT_BASELINE),
+    "climatology_from_state_long": _from_state(t.LONG_BASELINE),
     "pad_calendar": pad_calendar,
     "upsert_keep_last": upsert_keep_last,
     "upsert_padded": upsert_padded,
@@ -441,6 +547,12 @@ DENSE = (
     "monthly_trailing",
     "missing_ranges",
     "backfill_chunks",
+    "completeness_months",
+    "completeness_days",
+    "completeness_stations",
+    "backfill_from_index",
+    "climatology_published",
+    "climatology_from_state_cut",
     "upsert_padded",
 )
 

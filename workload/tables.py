@@ -18,6 +18,10 @@ PAST_END = ("2001-01-01", "2001-12-31")
 WINDOW = 7
 TRAILING = 12
 STATUS_END = "2001-10-25"
+CUT_BASELINE = ("1994-03-15", "2000-10-02")
+LONG_BASELINE = ("1993-01-01", "2000-12-31")
+REPORT = ("1996-02-03", "1999-12-11")
+LEAST_SHARE = 0.25
 DATATYPES = ("TMIN", "TMAX", "PRCP", "SNOW")
 
 # Event types stand for the features of a reanalysis extract.
@@ -108,6 +112,13 @@ def fetched(daily: DataFrame) -> DataFrame:
     )
 
 
+def emptied(fetched: DataFrame) -> DataFrame:
+    """The fetched rows, where those of the second of a month turn out to hold no data."""
+    measures = ("PRCP", "SNWD", "TAVG", "TMAX", "TMIN", "SNOW")
+    keep = F.dayofmonth("DATE") != 2
+    return fetched.withColumns({c: F.when(keep, F.col(c)) for c in measures})
+
+
 def service_bodies(daily: DataFrame) -> DataFrame:
     """Service responses, a JSON array per station and month, and as many broken ones."""
     record = F.struct(
