@@ -2,21 +2,25 @@
 
 Writing: each task writes archives of bounded size, one gzip member a record. A member tells its
 compressed and its full size in a field of its header (subfield ``sl``), so that a reader can pass
-over it. The names of the archives that tasks have committed go into a manifest; what failed or
-repeated attempts leave behind is not in it and is never read.
+over it. The names of the archives that tasks have committed go into a manifest, one for each write;
+what failed or repeated attempts leave behind is in none and is never read. Overwriting replaces the
+manifests and removes the archives they name.
 
-Reading: a partition is some archives of together bounded size. Equality and membership conditions
-on record type and headers are pushed into the source. Of each record only the headers are
-decompressed first; if they don't meet the conditions, or no payload is asked for, the rest is
-passed over without being decompressed.
+Reading: a partition is some archives of together bounded size: those that the manifests of a folder
+name or, in a folder without any, all its files ``*.warc`` and ``*.warc.gz``, also in folders below;
+the path may be one such file, too. Equality and membership conditions on record type and headers
+are pushed into the source. Of each record only the headers are looked at first; if they don't meet
+the conditions, or no payload is asked for, the rest is passed over: not decompressed in archives
+written here, not kept in compressed ones of other writers, not read in plain ones.
+
+The payload is what follows the HTTP headers in a block of ``application/http``, and the whole block
+of any other record. It is given as it is archived: transfer and content encodings stay.
 
 Paths are opened by ``pyarrow.fs``, with the schemes it knows (local files, object stores, HDFS).
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import json
 import struct
 import uuid
@@ -39,7 +43,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-MANIFEST = "_archives.json"
+from almanac.llm.common import stored
+
+MANIFEST = "_archives-{}.json"
 ROLL_BYTES = 128 << 20
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
@@ -62,17 +68,16 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 COLUMNS = ", ".join(f"{c} string" for c in HEADERS) + ", content_length long, payload binary"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 SHA-1, as in ``WARC-Payload-Digest``; missing data count as empty."""
+#: The digits of base 32, as Spark writes them and as the format has them.
+_DIGITS, _LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-    @F.arrow_udf("string")
-    def of_batch(values: pa.Array) -> pa.Array:
-        return pa.array(
-            (base64.b32encode(hashlib.sha1(v.as_py()).digest()).decode() for v in values),
-            pa.string(),
-        )
 
-    return of_batch(F.coalesce(data.cast("binary"), F.lit(b"")))
+def base32_sha1(data: Column) -> Column:
+    """Bare upper-case base32 SHA-1, as in ``WARC-Payload-Digest``; missing data count as empty."""
+    digest = F.sha1(F.coalesce(data.cast("binary"), F.lit(b"")))
+    # Five bytes are eight digits.
+    parts = (F.lpad(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4))
+    return F.translate(F.concat(*parts), _DIGITS, _LETTERS)
 
 
 def _clean(value: str) -> str:
@@ -115,9 +120,23 @@ class _Written(WriterCommitMessage):
     archives: list[tuple[str, int, int]]  # name, bytes, records
 
 
+def _manifests(system: pafs.FileSystem, base: str) -> list[str]:
+    """Paths of the manifests of a folder."""
+    found = system.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    before, after = MANIFEST.split("{}")
+    return sorted(
+        i.path for i in found if i.base_name.startswith(before) and i.base_name.endswith(after)
+    )
+
+
+def _archives_of(system: pafs.FileSystem, manifest: str) -> list[tuple[str, int, int]]:
+    with system.open_input_stream(manifest, compression=None) as f:
+        return [tuple(a) for a in json.loads(f.read())]
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, roll: int):
-        self.path, self.roll = path, roll
+    def __init__(self, path: str, roll: int, overwrite: bool = False):
+        self.path, self.roll, self.overwrite = path, roll, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, base = pafs.FileSystem.from_uri(self.path)
@@ -146,8 +165,15 @@ class _Writer(DataSourceArrowWriter):
         system, base = pafs.FileSystem.from_uri(self.path)
         system.create_dir(base, recursive=True)
         archives = [a for m in messages if m for a in m.archives]
-        with system.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
+        before = _manifests(system, base) if self.overwrite else []
+        name = MANIFEST.format(uuid.uuid4().hex)
+        with system.open_output_stream(f"{base}/{name}", compression=None) as out:
             out.write(json.dumps(archives).encode())
+        for manifest in before:
+            names = [a[0] for a in _archives_of(system, manifest)]
+            system.delete_file(manifest)
+            for old in names:
+                system.delete_file(f"{base}/{old}")
 
     def abort(self, messages: list[_Written | None]) -> None:
         system, base = pafs.FileSystem.from_uri(self.path)
@@ -183,42 +209,81 @@ class _Stream:
             self.at += n
 
 
-def _members(file) -> Iterator[tuple[bytes, object]]:
-    """For each gzip member its first bytes, and a function that gives all of it. The caller may
-    leave that uncalled; the member is then passed over."""
+class _Inflated:
+    """What a compressed file holds, as a file. Its gzip members follow one another, whatever they
+    hold: a record each, as the format wants, or many."""
+
+    def __init__(self, file):
+        self.file, self.unpack, self.rest, self.ended = file, None, b"", False
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while len(out) < n and not self.ended:
+            self.rest = self.rest or self.file.read(_CHUNK)
+            if not self.rest:
+                if self.unpack is not None:
+                    raise ValueError("an archive ends within a record")
+                self.ended = True
+                break
+            if self.unpack is None:
+                self.unpack = zlib.decompressobj(31)
+            out += self.unpack.decompress(self.rest, n - len(out))
+            self.rest = self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.rest, self.unpack = self.unpack.unused_data, None
+        return out
+
+    def seek(self, n: int, _whence: int) -> None:
+        while n > 0 and (got := len(self.read(min(n, _CHUNK)))):
+            n -= got
+
+
+def _plain(file) -> Iterator[tuple[bytes, object]]:
+    """For each record of uncompressed ones its headers, and a function that gives all of it."""
+    stream = _Stream(file)
+    while True:
+        while stream.fill(1) and stream.buffer[stream.at : stream.at + 1] in b"\r\n":
+            stream.skip(1)
+        if not stream.fill(1):
+            return
+        size = _HEAD
+        while (end := stream.buffer.find(b"\r\n\r\n", stream.at)) < 0:
+            if not stream.fill(size):
+                raise ValueError("a record without an end of its headers")
+            size = len(stream.buffer) - stream.at + _HEAD
+        head = stream.buffer[stream.at : end + 4]
+        lines, start = _headers(head)
+        whole_size = start + int(lines.get("content-length", 0))
+
+        def whole(size: int = whole_size) -> bytes:
+            if not stream.fill(size):
+                raise ValueError("an archive ends within a record")
+            return stream.buffer[stream.at : stream.at + size]
+
+        yield head, whole
+        stream.skip(whole_size)
+
+
+def _records(file) -> Iterator[tuple[bytes, object]]:
+    """For each record its first bytes, and a function that gives all of it. The caller may leave
+    that uncalled; the record is then passed over. Of members written here the size is known."""
     stream = _Stream(file)
     while stream.fill(1):
         stream.fill(_HEAD)
         start = stream.buffer[stream.at : stream.at + _HEAD]
-        size = 0
-        if start[3:4] == b"\x04" and start[12:14] == b"sl":
-            size = struct.unpack("<Q", start[16:24])[0]
-        unpack = zlib.decompressobj(31)
-        head = unpack.decompress(start, _HEAD)
-        if size:
-            def whole(size: int = size) -> bytes:
-                if not stream.fill(size):
-                    raise ValueError("an archive ends within a record")
-                return zlib.decompress(stream.buffer[stream.at : stream.at + size], 31)
-
-            yield head, whole
-            stream.skip(size)
-            continue
-        parts = [head]
-        stream.at += len(start)
-        rest = unpack.unconsumed_tail
-        while not unpack.eof:
-            parts.append(unpack.decompress(rest))
-            rest = b""
-            if not unpack.eof:
-                if not stream.fill(1):
-                    raise ValueError("an archive ends within a record")
-                rest = stream.buffer[stream.at :]
-                stream.at = len(stream.buffer)
-        left = unpack.unused_data
-        stream.buffer, stream.at = left + stream.buffer[stream.at :], 0
-        data = b"".join(parts)
-        yield data[:_HEAD], lambda data=data: data
+        if not (start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl"):
+            file.seek(stream.at - len(stream.buffer), 1)
+            yield from _plain(_Inflated(file) if start[:2] == b"\x1f\x8b" else file)
+            return
+        size = struct.unpack("<Q", start[16:24])[0]
+
+        def whole(size: int = size) -> bytes:
+            if not stream.fill(size):
+                raise ValueError("an archive ends within a record")
+            return zlib.decompress(stream.buffer[stream.at : stream.at + size], 31)
+
+        yield zlib.decompressobj(31).decompress(start, _HEAD), whole
+        stream.skip(size)
 
 
 def _headers(head: bytes) -> tuple[dict[str, str], int] | None:
@@ -247,26 +312,35 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Archives]:
         system, base = pafs.FileSystem.from_uri(self.path)
-        with system.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
-            archives = json.loads(f.read())
+        if system.get_file_info(base).type == pafs.FileType.File:
+            return [_Archives((base,))]
+        if manifests := _manifests(system, base):
+            archives = [
+                (f"{base}/{name}", n) for m in manifests for name, n, _ in _archives_of(system, m)
+            ]
+        else:
+            found = system.get_file_info(pafs.FileSelector(base, recursive=True))
+            archives = sorted(
+                (i.path, i.size) for i in found if i.base_name.endswith((".warc", ".warc.gz"))
+            )
         out, own, size = [], [], 0
-        for name, n, _ in archives:
+        for path, n in archives:
             if own and size + n > PARTITION_BYTES:
                 out.append(_Archives(tuple(own)))
                 own, size = [], 0
-            own.append(name)
+            own.append(path)
             size += n
         return [*out, _Archives(tuple(own))] if own or not out else out
 
     def read(self, partition: _Archives) -> Iterator[pa.RecordBatch]:
-        system, base = pafs.FileSystem.from_uri(self.path)
+        system, _ = pafs.FileSystem.from_uri(self.path)
         types = {c: pa.string() for c in HEADERS}
         types |= {"content_length": pa.int64(), "payload": pa.binary()}
         schema = pa.schema([(c, types[c]) for c in self.columns])
         rows, size = [], 0
-        for name in partition.paths:
-            with system.open_input_file(f"{base}/{name}") as file:
-                for head, whole in _members(file):
+        for path in partition.paths:
+            with system.open_input_file(path) as file:
+                for head, whole in _records(file):
                     row = self._row(head, whole)
                     if row is None:
                         continue
@@ -301,7 +375,8 @@ class _Reader(DataSourceReader):
         if "payload" in self.columns:
             data = whole() if data is None else data
             block = data[start : start + length]
-            row["payload"] = block.partition(b"\r\n\r\n")[2]
+            http = lines.get("content-type", "").lower().startswith("application/http")
+            row["payload"] = block.partition(b"\r\n\r\n")[2] if http else block
         return row
 
 
@@ -319,23 +394,24 @@ class WarcDataSource(DataSource):
         return _Reader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("roll_bytes", ROLL_BYTES)))
+        return _Writer(self.options["path"], int(self.options.get("roll_bytes", ROLL_BYTES)), overwrite)
 
 
 def _as_uri(path: str) -> str:
     return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write records, with the columns of ``COLUMNS`` but ``content_length``, to a new folder.
-    A record without a type is a response; missing payloads are empty."""
+def write_warc(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Write records, with the columns of ``COLUMNS`` but ``content_length``, to a folder: ``append``
+    adds to those written there before, ``overwrite`` replaces them. A record without a type is a
+    response; missing payloads are empty, records may repeat, an empty table adds none."""
     records.sparkSession.dataSource.register(WarcDataSource)
     columns = [F.col(c).cast("string").alias(c) for c in HEADERS if c != "warc_type"]
     records.select(
         F.coalesce("warc_type", F.lit("response")).alias("warc_type"),
         *columns,
         F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"),
-    ).write.format("warc").mode("append").option("path", _as_uri(path)).save()
+    ).write.format("warc").mode(mode).option("path", _as_uri(path)).save()
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -353,13 +429,20 @@ def page_records(
     """Records of pages: of those with equal payloads of at least ``least`` bytes the one with the
     smallest id is a response, the others are revisits that refer to it; smaller ones are all
     responses. A missing payload is empty, a page without an id is a response of its own. Repeated
-    rows are repeated records. What is shuffled by payload are digests, not payloads."""
+    rows are repeated records, an empty table gives none.
+
+    Which pages are copies is decided on a stored table of ids, sizes and digests, made in one scan.
+    The pages then meet the revisits by id and digest, which moves whole payloads unless the
+    revisits are few enough for Spark to send them around."""
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     own = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).cast("string").alias("target_uri"),
-        F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    large = own.where((F.octet_length("payload") >= least) & F.col("id").isNotNull())
+        payload.alias("payload"),
+        base32_sha1(payload).alias("payload_digest"),
+    )
+    marks = stored(own.select("id", "payload_digest", F.octet_length("payload").alias("size")), "pages")
+    large = marks.where((F.col("size") >= least) & F.col("id").isNotNull())
     copies = (
         large.select("payload_digest", "id").groupBy("payload_digest")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))

@@ -64,9 +64,9 @@ def test_unwanted_payloads_are_not_decompressed(monkeypatch):
     unpacked = []
     real = zlib.decompress
     monkeypatch.setattr(warc.zlib, "decompress", lambda x, w: unpacked.append(len(x)) or real(x, w))
-    heads = [head for head, _ in warc._members(io.BytesIO(data))]
+    heads = [head for head, _ in warc._records(io.BytesIO(data))]
     assert len(heads) == 5 and not unpacked
-    assert [len(whole()) > 0 for _, whole in warc._members(io.BytesIO(data))] == [True] * 5
+    assert [len(whole()) > 0 for _, whole in warc._records(io.BytesIO(data))] == [True] * 5
 
 
 def test_other_gzip_members_can_be_read():
@@ -74,17 +74,22 @@ def test_other_gzip_members_can_be_read():
     texts = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\n" + bytes([k]) * 5 + b"\r\n\r\n" for k in range(65, 70)]
     texts.append(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3000000\r\n\r\n" + bytes(range(250)) * 12_000)
     data = b"".join(gzip.compress(t) for t in texts)
-    assert [whole() for _, whole in warc._members(io.BytesIO(data))] == texts
+    cut = [t.rstrip(b"\r\n") if k < 5 else t for k, t in enumerate(texts)]
+    packed = (data, gzip.compress(b"".join(texts)), gzip.compress(b"".join(texts[:2])) + gzip.compress(b"".join(texts[2:])), b"".join(texts))
+    for file in packed:  # a member for each record, one for all, two, none
+        assert [whole()[: len(c)] for (_, whole), c in zip(warc._records(io.BytesIO(file)), cut, strict=True)] == cut
+        assert [head[:15] for head, _ in warc._records(io.BytesIO(file))] == [b"WARC/1.1\r\nWARC-"] * 6
     # The format's own readers take our members.
     ours = warc._record(dict.fromkeys(warc.HEADERS) | {"warc_type": "response", "payload": b"x"})
     assert gzip.decompress(ours).startswith(b"WARC/1.1\r\nWARC-Type: response")
     with pytest.raises(ValueError, match="ends within"):
-        [whole() for _, whole in warc._members(io.BytesIO(data[:-500]))]
+        [whole() for _, whole in warc._records(io.BytesIO(data[:-500]))]
 
 
 def test_only_committed_archives_are_read(spark, tmp_path):
     warc.write_warc(record(spark, ROWS[:1]), str(tmp_path))
-    names = json.loads((tmp_path / warc.MANIFEST).read_text())
+    (manifest,) = tmp_path.glob(warc.MANIFEST.format("*"))
+    names = json.loads(manifest.read_text())
     (tmp_path / "left-behind.warc.gz").write_bytes((tmp_path / names[0][0]).read_bytes())
     assert warc.read_warc(spark, str(tmp_path)).count() == 1
 
@@ -97,10 +102,58 @@ def test_archives_roll(spark, tmp_path):
     )
     spark.dataSource.register(warc.WarcDataSource)
     many.coalesce(1).write.format("warc").mode("append").option("path", f"file://{tmp_path}").option("roll_bytes", 5000).save()
-    assert len(json.loads((tmp_path / warc.MANIFEST).read_text())) > 3
+    (manifest,) = tmp_path.glob(warc.MANIFEST.format("*"))
+    assert len(json.loads(manifest.read_text())) > 3
     assert warc.read_warc(spark, str(tmp_path)).distinct().count() == 300
 
 
+def test_appending_keeps_and_overwriting_replaces(spark, tmp_path):
+    path = str(tmp_path)
+    ids = lambda: sorted(r["record_id"] for r in warc.read_warc(spark, path).collect())
+    warc.write_warc(record(spark, ROWS[:1]), path)
+    warc.write_warc(record(spark, ROWS[1:2]), path)
+    assert ids() == ["urn:a", "urn:b"]
+    warc.write_warc(record(spark, ROWS[2:3]), path, mode="overwrite")
+    assert ids() == ["urn:c"] and len(list(tmp_path.glob("*.warc.gz"))) == 1
+    warc.write_warc(record(spark, []), path)
+    assert ids() == ["urn:c"]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A folder without manifests: plain and compressed files, also below; all record types keep
+    their payload."""
+
+    def other(kind, name, content_type, block):
+        return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\nContent-Type: {content_type}\r\n"
+                f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    info = other("warcinfo", "i", "application/warc-fields", b"software: x\r\n\r\nformat: y")
+    page = other("response", "r", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore")
+    asked = other("request", "q", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n")
+    plain = other("resource", "s", "text/plain", b"hello")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "a.warc").write_bytes(info + page)
+    (tmp_path / "below" / "b.warc.gz").write_bytes(gzip.compress(plain) + gzip.compress(asked))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(other("metadata", "m", "text/x", b"") + plain))
+    (tmp_path / "notes.txt").write_text("no archive")
+    found = sorted((r["record_id"], r["warc_type"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert found == [
+        ("urn:i", "warcinfo", b"software: x\r\n\r\nformat: y"), ("urn:m", "metadata", b""), ("urn:q", "request", b""),
+        ("urn:r", "response", b"body\r\n\r\nmore"), ("urn:s", "resource", b"hello"), ("urn:s", "resource", b"hello"),
+    ]
+    some = warc.read_warc(spark, str(tmp_path), payload=False).where("warc_type = 'resource'")
+    assert some.count() == 2
+    assert warc.read_warc(spark, str(tmp_path / "a.warc")).count() == 2
+
+
+def test_digest_is_native(spark):
+    data = [b"", b"a", b"\x00" * 20, "ü".encode() * 999, None]
+    df = spark.createDataFrame([(d,) for d in data], "d binary")
+    got = df.select("d", warc.base32_sha1(F.col("d")).alias("x"))
+    assert {r["x"] for r in got.collect()} == {digest(d or b"") for d in data}
+    assert "EvalPython" not in plan_of(got)
+
+
 def plain_pages(rows, least=0):
     first = {}
     for i, _, html in rows:
