@@ -5,7 +5,8 @@ The field labels the tokens that hold a digit or an ``@`` (all others are certai
 so that the chain of a document falls apart at them). Neighbouring tokens share a potential, and so
 do distant ones that repeat or resemble each other: a number that was recognised in one place
 speaks for the same digits elsewhere, written in a way the patterns don't know. Sum-product
-messages pass along both kinds of edges until they settle, for all documents of a batch at once.
+messages pass along both kinds of edges until those of a document settle; all documents of a batch
+are worked on at once, but none waits for or depends on another.
 Tokens within a pattern's span are held at its kind. Others become spans where their marginal is
 high enough.
 
@@ -28,11 +29,13 @@ from almanac.llm.common import text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
-#: Documents to learn from, a bounded sample by hash.
-SAMPLE_DOCS = 10_000
+#: Documents to learn from, about, a sample by hash; and tokens of them, at most.
+SAMPLE_DOCS, SAMPLE_TOKENS = 10_000, 1_000_000
 #: Marginal from which a token becomes a span.
 SURE = 0.9
-ROUNDS, SETTLED, DAMPING = 30, 1e-3, 0.3
+#: A document's messages have settled when none moves further. They are damped; after every so
+#: many rounds half of what they still move is left, so that those that swing come to rest, too.
+SETTLED, DAMPING, PATIENCE = 1e-3, 0.3, 30
 SHAPES = 64
 _HELD = 30.0
 
@@ -141,7 +144,7 @@ class _Graph:
 def _graph(texts: list[str], found: list[list[tuple]]) -> _Graph:
     spans, features, label, chain, skip = [], [], [], [], []
     for doc, text in enumerate(texts):
-        own, seen = _tokens(text), {}
+        own, hubs = _tokens(text), {}
         bases = sorted((a, b, k) for k, a, b in found[doc])
         at = 0
         for i, (a, b) in enumerate(own):
@@ -162,10 +165,10 @@ def _graph(texts: list[str], found: list[list[tuple]]) -> _Graph:
                 ("same", token.strip(_EDGE + "()").lower()),
                 ("digits", digits if len(digits) >= 6 else ""),
             }:
-                if key[1]:
-                    if key in seen:  # repeats are linked one to the next, so links stay linear
-                        skip.append((seen[key], len(spans)))
-                    seen[key] = len(spans)
+                # Repeats are linked to the first of them: any two are two links apart, and there
+                # are fewer links than tokens.
+                if key[1] and hubs.setdefault(key, len(spans)) != len(spans):
+                    skip.append((hubs[key], len(spans)))
             spans.append((doc, a, b))
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return _Graph(
@@ -186,29 +189,38 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(node: np.ndarray, edges: np.ndarray, tables: np.ndarray) -> np.ndarray:
+def marginals(
+    node: np.ndarray, edges: np.ndarray, tables: np.ndarray, document: np.ndarray | None = None
+) -> np.ndarray:
     """Loopy sum-product: marginals of ``node`` (tokens x labels, logs) under pairwise ``tables``
-    (edges x labels x labels, logs). Exact where the edges make no loop."""
+    (edges x labels x labels, logs). Exact where the edges make no loop. Each ``document`` settles
+    by itself, whatever others are looked at with it."""
     n, width = node.shape
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     table = np.concatenate([tables, tables.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(source), width))
+    of = np.zeros(len(source), np.int64) if document is None else document[source]
 
-    def belief() -> np.ndarray:
-        sums = [np.bincount(target, message[:, k], minlength=n) for k in range(width)]
-        return node + np.stack(sums, axis=1) if len(source) else node
+    def belief(on: np.ndarray) -> np.ndarray:
+        sums = [np.bincount(target[on], message[on, k], minlength=n) for k in range(width)]
+        return node + np.stack(sums, axis=1)
 
-    for _ in range(ROUNDS):
-        out = belief()[source] - message[back]
-        new = _log_sum(out[:, :, None] + table, axis=1)
+    active, damping, rounds = np.arange(len(source)), DAMPING, 0
+    while len(active):
+        out = belief(active)[source[active]] - message[back[active]]
+        new = _log_sum(out[:, :, None] + table[active], axis=1)
         new -= _log_sum(new, axis=1)[:, None]
-        change = np.abs(new - message).max(initial=0.0)
-        message = DAMPING * message + (1 - DAMPING) * new
-        if change < SETTLED:
-            break
-    total = belief()
+        step = (1 - damping) * (new - message[active])
+        message[active] += step
+        moved = np.zeros(int(of.max()) + 1)
+        np.maximum.at(moved, of[active], np.abs(step).max(axis=1))
+        active = active[moved[of[active]] >= SETTLED]
+        rounds += 1
+        if rounds % PATIENCE == 0:
+            damping = (1 + damping) / 2
+    total = belief(np.arange(len(source)))
     return np.exp(total - _log_sum(total, axis=1)[:, None])
 
 
@@ -228,7 +240,7 @@ def _added(g: _Graph, model: Model, texts: list[str]) -> list[list[tuple]]:
     node[held] = -_HELD
     node[held, g.label[held]] = _HELD
     edges, tables = _edges(g, model)
-    p = marginals(node, edges, tables)
+    p = marginals(node, edges, tables, np.array([d for d, _, _ in g.spans], np.int64))
     best = p.argmax(axis=1)
     sure = (g.label == 0) & (best > 0) & (p.max(axis=1) >= SURE)
     joined = set(map(tuple, g.chain.tolist()))
@@ -363,15 +375,15 @@ def _learn(g: _Graph, steps: int = 300, ridge: float = 0.3) -> Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn the potentials from what the patterns find in ``SAMPLE_DOCS`` documents at most, among
-    those with a digit or an ``@``. What comes to the driver are the tokens' features."""
+    """Learn the potentials from what the patterns find in about ``SAMPLE_DOCS`` documents, among
+    those with a digit or an ``@``. What comes to the driver are the features of ``SAMPLE_TOKENS``
+    tokens at most: the last document that would go beyond ends the sample. Repeated rows may be in
+    it as often; without such documents nothing is learned and no span is added."""
     text = F.col(text_col)
-    sample = (
-        docs.where(text.rlike("[0-9@]"))
-        .select(text_bytes(text).alias("text"), F.xxhash64(id_col, text_col).alias("at"))
-        .orderBy("at")
-        .limit(SAMPLE_DOCS)
-    )
+    named = docs.where(text.rlike("[0-9@]"))
+    rate = SAMPLE_DOCS / max(1, named.count())
+    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = named.where(place < rate).select(text_bytes(text).alias("text"))
     kind = "struct<f:array<array<int>>,y:array<int>,chain:array<array<int>>,skip:array<array<int>>>"
 
     @F.arrow_udf(kind)
@@ -386,16 +398,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         return pa.array(out, pa.struct([("f", pa.list_(ints)), ("y", ints),
                                         ("chain", pa.list_(ints)), ("skip", pa.list_(ints))]))
 
-    features, label, chain, skip, n = [], [], [], [], 0
+    parts, n = [], 0
     for row in sample.select(of_batch("text").alias("g")).toLocalIterator():
         g = row["g"]
-        features += g["f"]
-        label += g["y"]
-        chain += [[a + n, b + n] for a, b in g["chain"]]
-        skip += [[a + n, b + n] for a, b in g["skip"]]
+        if n and n + len(g["y"]) > SAMPLE_TOKENS:
+            break
+        pairs = [np.array(g[k], np.int64).reshape(-1, 2) + n for k in ("chain", "skip")]
+        parts.append((np.array(g["f"], np.int32).reshape(-1, len(_SIZES)), np.array(g["y"], np.int64), *pairs))
         n += len(g["y"])
-    pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return _learn(_Graph(
-        [], np.array(features, np.int64).reshape(-1, len(_SIZES)), np.array(label, np.int64),
-        pairs(chain), pairs(skip),
-    ))
+    none = (np.zeros((0, len(_SIZES)), np.int32), np.zeros(0, np.int64), *[np.zeros((0, 2), np.int64)] * 2)
+    return _learn(_Graph([], *map(np.concatenate, zip(none, *parts, strict=True))))
