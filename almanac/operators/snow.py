@@ -45,11 +45,15 @@ def split_at_last_snowfall(df: DataFrame) -> DataFrame:
     )
 
 
-def snow_accumulation(df: DataFrame) -> DataFrame:
-    """Cumulative snowfall of the rows, the last day with snowfall, and the parts it makes."""
+def snow_accumulation(df: DataFrame, days_are_unique: bool = False) -> DataFrame:
+    """Cumulative snowfall of the rows, the last day with snowfall, and the parts it makes.
+
+    ``days_are_unique`` (true for any archive that an upsert wrote) leaves out the grouping that
+    reduces copies of a day and finds days that differ.
+    """
     last = _last_day().over(Window.partitionBy("STATION"))
     return (
-        df.transform(single_days)
+        (df if days_are_unique else single_days(df))
         .transform(cumulative_snowfall)
         .withColumn("last_snow_date", last)
         .transform(split_at_last_snowfall)

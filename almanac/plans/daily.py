@@ -66,6 +66,7 @@ def daily_series(
     records: bool | DataFrame = True,
     snow: bool = True,
     strict: bool = False,
+    days_are_unique: bool = False,
 ) -> DataFrame:
     """Every station and day of the range with observation, climate, bands, envelopes, no-data
     flags and, if wanted, record flags and cumulative snowfall.
@@ -74,20 +75,22 @@ def daily_series(
     whole history. Days after a station's last row have climate values but ``in_data_range`` is
     false. Copies of a row are reduced, several rows of a day that differ are an error (pooled
     stations have such). Snow columns are left out if the table has no SNOW. ``strict`` makes a calendar day
-    that is missing from the climatology an error.
+    that is missing from the climatology an error. ``days_are_unique`` (true for any archive that an
+    upsert wrote) leaves out the grouping that looks for copies.
     """
     df = ensure_prepared(df)
     observed = keyed(between_days(df, start, end))
     columns = ["STATION", "DATE", "PRCP", "TMAX", "TMIN", "TMEAN"]
     bounds = date_bounds(df)
+    one_each = (lambda rows: rows) if days_are_unique else single_days
     if snow and SNOW in df.columns:
         # The last day with snowfall goes along with the bounds, and the running total is made on
         # the rows that exist: neither needs a window over the whole calendar.
         bounds = bounds.join(last_snowfall(observed), "STATION", "left")
-        observed = cumulative_snowfall(single_days(observed.select(*columns, SNOW)))
+        observed = cumulative_snowfall(one_each(observed.select(*columns, SNOW)))
         spine = split_at_last_snowfall(station_calendar(bounds, start, end))
     else:
-        observed = single_days(observed.select(*columns))
+        observed = one_each(observed.select(*columns))
         spine = station_calendar(bounds, start, end)
     out = join_observations(with_day_key(spine), observed)
     out = join_climatology(out, climatology.withColumn("_in_climate", F.lit(True)))

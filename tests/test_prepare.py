@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +76,16 @@ def test_numeric_inference_is_all_or_nothing_and_spares_keys(spark):
 def test_numeric_inference_rejects_what_only_java_reads_as_number(spark):
     df = spark.createDataFrame([("1d", "0x1p3")], "a string, b string")
     assert inference.numeric_profile(df).where(F.col("is_numeric")).count() == 0
+
+
+def test_numbers_are_what_the_rule_says(spark):
+    """Against the rule as a pattern, on texts of all kinds."""
+    rule = re.compile(r"\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*")
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("0123456789+-.eEdDfFxXinaNI \t\n") for _ in range(draw.randint(0, 6))) for _ in range(4000)]
+    texts += ["1d", "1f", "0x1p3", "0x10", "1e5", "1E-5", ".5", "5.", ".", "-", "+.5e3", "nan", "NaN", "-inf", "+Infinity", "infinit", "1e999",
+              "1e999f", "inff", " inf ", "\x0b7\x0c", "1 2", "1_000", "1,5", "é", "٣", "--1", "1e", "e1", "infinity1", "1inf"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["n"] for r in df.select("t", inference._is_number("t").alias("n")).collect()}
+    wrong = {t for t in texts if got[t] != bool(rule.fullmatch(t))}
+    assert not wrong, sorted(wrong)[:20]

@@ -630,7 +630,8 @@ WHERE NOT EXISTS (SELECT 1 FROM sd a WHERE a.STATION = w.STATION AND a.DATE = d.
 _MIXED = "SELECT * REPLACE (CASE WHEN month(DATE) % 2 = 0 THEN SNOW END AS SNOW) FROM sd"
 _REJECTS = """SELECT unnest(['<html>' || r || '</html>', '{"errorCode":400,"station":"' || r || '"}',
   '["' || r || '"]', '[{"other":"' || r || '"}]', '[{"STATION":"' || r]) AS body
-FROM (SELECT right(STATION, 3) AS r FROM sd GROUP BY 1)"""
+FROM (SELECT STATION AS r FROM sd GROUP BY 1)
+UNION ALL SELECT '<html>' || NAME || '</html>' AS body FROM (SELECT DISTINCT NAME FROM sd)"""
 
 
 def _gridded(station: str) -> str:

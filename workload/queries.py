@@ -55,7 +55,7 @@ def _climatology(daily: DataFrame, window: int = t.WINDOW) -> DataFrame:
 
 
 def _series(daily: DataFrame, span: tuple[str, str]) -> DataFrame:
-    return daily_series(daily, _climatology(daily), *span)
+    return daily_series(daily, _climatology(daily), *span, days_are_unique=True)
 
 
 def _monthly(information: str, anomaly: bool) -> OnDaily:
@@ -160,7 +160,7 @@ def record_days(daily):
 
 def snow_accumulation(daily):
     rows = statistics.between_days(daily, *t.WINTER).select("STATION", "DATE", "SNOW")
-    return snow.snow_accumulation(rows)
+    return snow.snow_accumulation(rows, days_are_unique=True)
 
 
 def monthly_stats(daily):
@@ -398,7 +398,7 @@ def upsert_relabelled(daily):
     """The labels of the stations have changed; the old ones are still listed."""
     old = daily.select("STATION", "NAME").distinct()
     new = old.withColumn("NAME", F.concat(F.lit("zz "), "NAME"))
-    undated = t.fetched(daily).limit(5).withColumn("DATE", F.lit(None).cast("date"))
+    undated = t.fetched(daily).withColumn("DATE", F.lit(None).cast("date"))
     return upsert_daily(
         t.archive(daily), t.fetched(daily).unionByName(undated), old.unionByName(new), *t.YEAR
     )
@@ -415,11 +415,9 @@ def landed_records(daily):
 
 
 def landed_rejects(daily):
-    """The labels that ``service_bodies`` breaks on purpose are left out."""
-    found = rejected_bodies(daily.sparkSession, _landed(daily)).select(
+    return rejected_bodies(daily.sparkSession, _landed(daily)).select(
         F.regexp_replace("body", "\n$", "").alias("body")
     )
-    return found.where(~F.col("body").contains(", ")).select("body")
 
 
 # Queries on other tables.

@@ -120,14 +120,14 @@ def emptied(fetched: DataFrame) -> DataFrame:
 
 
 def service_bodies(daily: DataFrame) -> DataFrame:
-    """Service responses, a JSON array per station and month, and as many broken ones."""
+    """Service responses, a JSON array per station and year, and a broken one per station."""
     record = F.struct(
         "STATION",
         F.date_format("DATE", "yyyy-MM-dd").alias("DATE"),
         *(F.col(c).cast("string").alias(c) for c in DATATYPES),
     )
     good = (
-        daily.groupBy("STATION", F.trunc("DATE", "month").alias("m"))
+        daily.groupBy("STATION", F.year("DATE").alias("y"))
         .agg(F.to_json(F.collect_list(record)).alias("body"))
         .select("body")
     )
@@ -138,11 +138,11 @@ def service_bodies(daily: DataFrame) -> DataFrame:
 
 
 def rejected(daily: DataFrame) -> DataFrame:
-    """Bodies that are no records, five of each kind for some stations: a page, an error object,
-    arrays of something else, and one that was cut off."""
+    """Bodies that are no records, of each kind one per station: a page, an error object, arrays of
+    something else, and one that was cut off."""
     r = F.col("r")
     return (
-        daily.select(F.right("STATION", F.lit(3)).alias("r"))
+        daily.select(F.col("STATION").alias("r"))
         .distinct()
         .select(
             F.explode(
