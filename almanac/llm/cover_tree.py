@@ -10,8 +10,9 @@ levels to fine ones: a pair of nodes further apart than both radii and ``e`` is
 farthest members are within ``e`` links as a whole, and what remains is verified by exact cosines
 in double precision. So all links are found, and none below the threshold.
 
-Equal vectors are one point with a number. Of a link's vectors only counts leave a task, and one
-row for each vector with the smallest id it reaches there.
+Equal vectors are one point, with a number of its own (ids may repeat with other vectors) and how
+many they are. Of a link's vectors only counts leave a task, and one row for each point with the
+first one, by smallest id, that it reaches there.
 """
 
 from __future__ import annotations
@@ -254,7 +255,7 @@ def _links(a: _Side, b: _Side, na: np.ndarray, nb: np.ndarray, ids_a: np.ndarray
 
 
 def _lows(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each id among the links the smallest id reached."""
+    """For each number among the links the smallest one reached."""
     ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     x, y = at[: len(u)], at[len(u) :]
     low = np.arange(len(ids))
@@ -300,26 +301,36 @@ def _by_pair(width: int, cosine: float):
                 first.setdefault(k, i)
             lead = np.array([place.get(k, first[k]) for k in path.tolist()])
             own.append(lead)
-        return _Side(points, own), rows.column("n").to_numpy(), rows.column("id").to_numpy()
+        return (_Side(points, own), *(rows.column(c).to_numpy() for c in ("n", "id", "point")))
 
     def of_pair(key: tuple, rows: pa.Table) -> pa.Table:
         is_left = rows.column("right").to_numpy() == 0
         left = rows.filter(pa.array(is_left))
         right = rows.filter(pa.array(~is_left))
         same = key[0].as_py() == key[2].as_py() and key[1].as_py() == key[3].as_py()
-        out = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
+        out = pa.schema([(c, pa.int64()) for c in ("id", "point", "links", "low_id", "low_point")])
         if left.num_rows == 0 or (right.num_rows == 0 and not same):
             return out.empty_table()
-        a, na, ids_a = side(left)
-        b, nb, ids_b = (a, na, ids_a) if same else side(right)
-        count_a, count_b, u, v = _links(a, b, na, nb, ids_a, ids_b, cosine, same)
-        ids, low = _lows(u, v)
-        every = np.concatenate([ids_a, ids_b])
-        count = np.concatenate([count_a, count_b])
-        some = count > 0
-        every, at = np.unique(every[some], return_inverse=True)
-        total = np.bincount(at, count[some], minlength=len(every)).astype(np.int64)
-        return pa.table([every, total, low[np.searchsorted(ids, every)]], schema=out)
+        a, na, ids_a, points_a = side(left)
+        b, nb, ids_b, points_b = (a, na, ids_a, points_a) if same else side(right)
+        # Points by rank: by id, then number.
+        ids, points = np.concatenate([ids_a, ids_b]), np.concatenate([points_a, points_b])
+        points, first, at = np.unique(points, return_index=True, return_inverse=True)
+        order = np.lexsort((points, ids[first]))
+        ids, points = ids[first][order], points[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        every = rank[at]
+        count_a, count_b, u, v = _links(
+            a, b, na, nb, every[: len(ids_a)], every[len(ids_a) :], cosine, same
+        )
+        linked, low = _lows(u, v)
+        total = np.bincount(every, np.concatenate([count_a, count_b]), minlength=len(ids))
+        some = np.flatnonzero(total)
+        low = low[np.searchsorted(linked, some)]
+        return pa.table(
+            [ids[some], points[some], total[some].astype(np.int64), ids[low], points[low]], schema=out
+        )
 
     return of_pair
 
@@ -333,8 +344,9 @@ def near_duplicates(
 
     Vectors that are missing, empty, zero, or hold a missing or non-finite component link with
     nothing, nor do vectors without an id (their component is missing). Shorter vectors count as
-    ending in zeros. A repeated row is another vector with the same id. Other columns are not
-    looked at.
+    ending in zeros. A repeated row is another vector with the same id, and so is a row with the
+    same id and another vector: each has the links of its own vector. An empty table gives no rows.
+    Other columns are not looked at.
     """
     if not 0 < cosine < 1:
         raise ValueError("the cosine has to be between 0 and 1")
@@ -343,7 +355,9 @@ def near_duplicates(
     )
     fine = all_rows.where(_usable(F.col("vector")) & F.col("vec_id").isNotNull())
     points = stored(
-        fine.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "points"
+        fine.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+        .withColumn("point", F.monotonically_increasing_id()),
+        "points",
     )
     total, width = points.agg(F.count("*"), F.max(F.size("vector"))).first()
     spark = vectors.sparkSession
@@ -362,11 +376,11 @@ def near_duplicates(
                 yield pa.record_batch(
                     [*batch.columns, pa.array(own, pa.int32()),
                      pa.array(far[np.arange(len(own)), own])],
-                    ["vector", "id", "n", "cell", "far"],
+                    ["vector", "id", "n", "point", "cell", "far"],
                 )
 
     kind = points.schema["vector"].dataType.simpleString()
-    base = f"vector {kind}, id long, n long"
+    base = f"vector {kind}, id long, n long, point long"
     assigned = points.mapInArrow(assign, f"{base}, cell int, far double")
     assigned = stored(assigned, "cells")
     about = {r["cell"]: (r["size"], r["radius"]) for r in assigned.groupBy("cell").agg(
@@ -400,23 +414,27 @@ def near_duplicates(
             for c in range(0, len(row), 20_000):
                 part = slice(c, c + 20_000)
                 keys = [pa.array(x[part], pa.int32()) for x in (a, i, b, j)]
-                sent = batch.select(["vector", "id", "n", "levels", "place"]).take(
+                sent = batch.select(["vector", "id", "n", "point", "levels", "place"]).take(
                     pa.array(row[part])
                 )
                 yield pa.record_batch(
                     [*sent.columns, *keys, pa.array(right[part].astype(np.int32))],
-                    ["vector", "id", "n", "levels", "place", "a", "i", "b", "j", "right"],
+                    ["vector", "id", "n", "point", "levels", "place", "a", "i", "b", "j", "right"],
                 )
 
     keyed = f"{base}, levels array<int>, place int, a int, i int, b int, j int, right int"
     found = stored(
         trees.mapInArrow(send, keyed).groupBy("a", "i", "b", "j")
-        .applyInArrow(_by_pair(width, cosine), "id long, links long, low long"),
+        .applyInArrow(_by_pair(width, cosine), "id long, point long, links long, low_id long, low_point long"),
         "links",
     )
-    reached = components(found.select(F.col("id").alias("u"), F.col("low").alias("v")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    points = points.join(links, "id", "left").join(reached, "id", "left")
+    # Points in the order of ids: the first of a component has its smallest id.
+    reached = components(found.select(
+        F.struct(F.col("id"), F.col("point")).alias("u"),
+        F.struct(F.col("low_id").alias("id"), F.col("low_point").alias("point")).alias("v"),
+    )).select(F.col("id.point").alias("point"), F.col("component.id").alias("component"))
+    links = found.groupBy("point").agg(F.sum("links").alias("links"))
+    points = points.join(links, "point", "left").join(reached, "point", "left")
     owners = fine.join(
         points.select(
             "vector", F.col("id").alias("first"), "n", F.coalesce("links", F.lit(0)).alias("links"),

@@ -107,3 +107,16 @@ def test_query_equals_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()]
     out = queries()["op6_embeddings"](spark, SF_DIR).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == sorted(brute_force(rows))
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_ids_that_repeat_with_other_vectors(spark, block, monkeypatch):
+    """Each row has the links of its own vector, and the smallest id that this one reaches."""
+    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.01, 0.0]), (2, [0.0, 1.0, 0.01]),
+            (5, [0.0, 1.0, 0.0]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, -1.0]), (1, [0.0, 0.0, -1.0])]
+    assert found(frame(spark, rows)) == sorted(brute_force(rows), key=str)
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(6, 8))
+    rows = [(int(draw.integers(12)), [float(np.float32(x)) for x in base[k % 6] + 0.03 * draw.normal(size=8)]) for k in range(60)]
+    assert found(frame(spark, rows)) == sorted(brute_force(rows), key=str)
