@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -50,6 +51,13 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Files of shuffles stay on the executors' disks until the driver's JVM finds that no plan uses
+    them. Ask it to look now, after a step whose results are stored."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: which rows are held out of learning."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.bpe import _joined, _packed, _planes, _unpacked
-from almanac.llm.common import release, stored, stored_by, text_bytes
+from almanac.llm.common import clear_shuffles, release, stored, stored_by, text_bytes
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -65,26 +65,27 @@ def count_sequences(rows: DataFrame, order: int = ORDER) -> DataFrame:
         words: dict[tuple, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams: Counter = Counter()
             for (toxic, part), own in words.items():
+                grams: dict[str, int] = {}
+                get = grams.get
                 for word, n in own.items():
                     for gram in sequences(word, order):
-                        grams[gram, part, toxic] += n
+                        grams[gram] = get(gram, 0) + n
+                keys = list(grams)
+                count = np.fromiter(grams.values(), np.int64, len(grams))
+                for a in range(0, len(keys), 50_000):
+                    at = slice(a, a + 50_000)
+                    none = np.zeros(len(count[at]), np.int64)
+                    yield pa.record_batch(
+                        [
+                            pa.array(keys[at], pa.string()),
+                            pa.array(np.full(len(none), part, np.int32)),
+                            pa.array(count[at] if toxic else none),
+                            pa.array(none if toxic else count[at]),
+                        ],
+                        ["gram", "part", "toxic", "ordinary"],
+                    )
             words.clear()
-            keys = list(grams)
-            count = np.fromiter(grams.values(), np.int64, len(grams))
-            toxic = np.fromiter((k[2] for k in keys), bool, len(keys))
-            for a in range(0, len(keys), 50_000):
-                own = slice(a, a + 50_000)
-                yield pa.record_batch(
-                    [
-                        pa.array([k[0] for k in keys[own]], pa.string()),
-                        pa.array([k[1] for k in keys[own]], pa.int32()),
-                        pa.array(np.where(toxic, count, 0)[own]),
-                        pa.array(np.where(toxic, 0, count)[own]),
-                    ],
-                    ["gram", "part", "toxic", "ordinary"],
-                )
 
         for batch in batches:
             for data, toxic, part in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -216,7 +217,10 @@ def _pack(order: int):
         yield rows(block, [None], b"".join(
             len(x).to_bytes(8, "little") + x for x in (_packed(*own) for own in parts)
         ))
-        grams = sorted({gram for word in names for gram in sequences(word, order)})
+        distinct: set[str] = set()
+        for word in names:
+            distinct.update(sequences(word, order))
+        grams = sorted(distinct)
         for a in range(0, len(grams), 50_000):
             yield rows(block, grams[a : a + 50_000])
 
@@ -231,10 +235,10 @@ def _pack(order: int):
                         keys.append(further.slice(first, k - first))
                     yield from close(keys, texts, index)
                     keys, texts, index, n, first = [], [], {}, 0, k
-                add = index.setdefault
-                texts.append(
-                    np.fromiter((add(x, len(index)) for x in found), np.uint32, len(found))
-                )
+                for word in dict.fromkeys(found):
+                    if word not in index:
+                        index[word] = len(index)
+                texts.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
                 n += len(found)
             if batch.num_rows > first:
                 keys.append(further.slice(first))
@@ -262,7 +266,8 @@ def _of_block(names: list[str], order: int):
         # A sequence that did not come back is an error here.
         of = dict(zip(ratios.column("gram").to_pylist(), ratios.column("ratio").to_pylist(), strict=True))
         words = words.column(0).to_pylist()
-        ratio = np.fromiter((sum(of[g] for g in sequences(w, order)) for w in words), float, len(words))
+        of_gram = of.__getitem__
+        ratio = np.fromiter((sum(map(of_gram, sequences(w, order))) for w in words), float, len(words))
         ends = np.cumsum(lengths, dtype=np.int64)
         x = [_features(ratio[codes[a:b]]) for a, b in zip(ends - lengths, ends, strict=True)]
         return pa.table(
@@ -358,6 +363,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id") -> Model:
     model = _model(counts)
     if 0 < y.sum() < len(y):
         model.curve = _fit_curve(x, y, found.column("count").to_numpy())
+    clear_shuffles(rows.sparkSession)
     return model
 
 
