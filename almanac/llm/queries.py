@@ -67,7 +67,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]*):", 1)
     # Only responses have a payload; of all records the headers are enough.
     bodies = (
-        warc.read_warc(spark, path).where("warc_type = 'response'")
+        warc.read_warc(spark, path, once=True).where("warc_type = 'response'")
         .select(
             F.col("record_id").alias("body"),
             F.octet_length("payload").cast("long").alias("payload_bytes"),

@@ -8,8 +8,10 @@ manifests and removes the archives they name.
 
 Reading: a partition is some archives of together bounded size: those that the manifests of a folder
 name or, in a folder without any, all its files ``*.warc`` and ``*.warc.gz``, also in folders below;
-the path may be one such file, too. Equality and membership conditions on record type and headers
-are pushed into the source. Of each record only the headers are looked at first; if they don't meet
+the path may be one such file, too. Conditions on record type and headers are pushed into the
+source: those that are given by name, and with ``once`` also the equality and membership conditions
+of a plan. Spark 4.1 keeps the latter with the source, for whatever else is done with the same
+DataFrame, which would lose records; so they are only taken from plans that use it once. Of each record only the headers are looked at first; if they don't meet
 the conditions, or no payload is asked for, the rest is passed over: not decompressed in archives
 written here, not kept in compressed ones of other writers, not read in plain ones.
 
@@ -25,7 +27,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -297,18 +299,9 @@ def _headers(head: bytes) -> tuple[dict[str, str], int] | None:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
+    def __init__(self, path: str, schema: StructType, wanted: dict[str, list[str]]):
         self.path, self.columns = path, schema.fieldNames()
-        self.wanted: dict[str, set[str]] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            own = f.attribute[0] if isinstance(f, (EqualTo, In)) else None
-            if own in HEADERS and len(f.attribute) == 1:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[own] = self.wanted.get(own, values) & values
-            else:
-                yield f
+        self.wanted = {name: set(values) for name, values in wanted.items()}
 
     def partitions(self) -> list[_Archives]:
         system, base = pafs.FileSystem.from_uri(self.path)
@@ -380,8 +373,22 @@ class _Reader(DataSourceReader):
         return row
 
 
+class _PushingReader(_Reader):
+    """Takes the conditions of the plan."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            own = f.attribute[0] if isinstance(f, (EqualTo, In)) else None
+            if own in HEADERS and len(f.attribute) == 1:
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted[own] = self.wanted.get(own, values) & values
+            else:
+                yield f
+
+
 class WarcDataSource(DataSource):
-    """``format("warc")`` with the option ``path``, a folder."""
+    """``format("warc")`` with the option ``path``, a folder; ``wanted`` (JSON) has the values of
+    columns that are asked for, and ``once`` says that conditions of the plan may be taken."""
 
     @classmethod
     def name(cls) -> str:
@@ -391,7 +398,8 @@ class WarcDataSource(DataSource):
         return COLUMNS
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema)
+        kind = _PushingReader if self.options.get("once") == "true" else _Reader
+        return kind(self.options["path"], schema, json.loads(self.options.get("wanted", "{}")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], int(self.options.get("roll_bytes", ROLL_BYTES)), overwrite)
@@ -414,12 +422,23 @@ def write_warc(records: DataFrame, path: str, mode: str = "append") -> None:
     ).write.format("warc").mode(mode).option("path", _as_uri(path)).save()
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of a folder. Turns on the session's push-down to Python sources."""
+def read_warc(
+    spark: SparkSession, path: str, payload: bool = True,
+    wanted: dict[str, Iterable[str]] | None = None, once: bool = False,
+) -> DataFrame:
+    """The records of a folder. ``wanted`` names values of columns (``warc_type`` and other headers):
+    the source gives the records that have one of them. With ``once`` it takes such conditions from
+    the plan, too; the result must then not be used more than once, in one plan or in several. That
+    turns on the session's push-down to Python sources."""
+    own = {name: sorted(values) for name, values in (wanted or {}).items()}
+    if not own.keys() <= HEADERS.keys():
+        raise ValueError(f"there are values of {', '.join(HEADERS)} only")
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if once:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     columns = COLUMNS if payload else COLUMNS.rsplit(",", 1)[0]
-    return spark.read.format("warc").schema(columns).option("path", _as_uri(path)).load()
+    reader = spark.read.format("warc").schema(columns).option("path", _as_uri(path))
+    return reader.option("wanted", json.dumps(own)).option("once", str(once).lower()).load()
 
 
 def page_records(

@@ -51,11 +51,28 @@ def test_round_trip(spark):
 def test_conditions_reach_the_source(spark):
     path = shared_path(spark, "t")
     warc.write_warc(record(spark, ROWS), path)
-    some = warc.read_warc(spark, path, payload=False).where("warc_type = 'revisit' and record_id in ('urn:b', 'q')")
+    some = warc.read_warc(spark, path, payload=False, once=True).where("warc_type = 'revisit' and record_id in ('urn:b', 'q')")
     assert [r["record_id"] for r in some.collect()] == ["urn:b"]
     assert "= revisit" not in plan_of(some)
-    rest = warc.read_warc(spark, path).where("length(target_uri) > 5000 and warc_type = 'response'")
+    rest = warc.read_warc(spark, path, once=True).where("length(target_uri) > 5000 and warc_type = 'response'")
     assert rest.count() == 1
+    named = warc.read_warc(spark, path, wanted={"warc_type": ["revisit"], "record_id": ["urn:b", "q"]})
+    assert [r["record_id"] for r in named.collect()] == ["urn:b"]
+    with pytest.raises(ValueError):
+        warc.read_warc(spark, path, wanted={"payload": ["x"]})
+
+
+def test_one_frame_in_several_places(spark):
+    """Conditions of one use do not reach another."""
+    path = shared_path(spark, "t")
+    warc.write_warc(record(spark, ROWS), path)
+    every = warc.read_warc(spark, path)
+    revisits = every.where("warc_type = 'revisit'").select("record_id")
+    assert (every.count(), revisits.count(), every.count()) == (5, 1, 5)
+    others = every.where("warc_type = 'response'").select("record_id")
+    assert revisits.union(others).count() == 5 and others.union(every.select("record_id")).count() == 9
+    named = warc.read_warc(spark, path, wanted={"warc_type": ["response"]})
+    assert named.where("record_id = 'urn:a'").count() == 1 and named.count() == 4
 
 
 def test_unwanted_payloads_are_not_decompressed(monkeypatch):
