@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from almanac.schema import SERVICE_RECORD
 
 
-def _records(body: Column, record: T.StructType = SERVICE_RECORD) -> Column:
+def records_in(body: Column, record: T.StructType = SERVICE_RECORD) -> Column:
     """The records of a body; null unless it is a JSON array of nothing but records. An object, such
     as an error of the service, is none, and neither is an array whose elements have neither a
     station nor a day."""
@@ -27,7 +27,7 @@ def _bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_service_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All records of all landed files. A body that ``rejected_bodies`` lists adds no rows, and
     neither does an empty array."""
-    return _bodies(spark, path).select(F.inline(_records(F.col("value"))))
+    return _bodies(spark, path).select(F.inline(records_in(F.col("value"))))
 
 
 def rejected_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def rejected_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Spark does not open files of zero bytes, so those are not listed."""
     return (
         _bodies(spark, path)
-        .where(_records(F.col("value")).isNull())
+        .where(records_in(F.col("value")).isNull())
         .select(F.input_file_name().alias("file"), F.col("value").alias("body"))
     )
 
@@ -46,7 +46,7 @@ def decode_records(
     """Rows of the record arrays held as JSON text in one column; other columns are repeated.
     Text that is no array of records adds no rows."""
     others = [c for c in df.columns if c != body]
-    return df.select(*others, F.inline(_records(F.col(body), record)))
+    return df.select(*others, F.inline(records_in(F.col(body), record)))
 
 
 def json_value(body: str, name: str, data_type: str) -> Column:

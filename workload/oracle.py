@@ -396,6 +396,14 @@ UNION ALL SELECT STATION, DATE, 'padded' AS change FROM ({padded})""",
             f"{row} FROM (SELECT * FROM merged UNION ALL BY NAME {padded})",
             full,
         ),
+        "registry_after_upsert": _with(
+            ("arch", "fetched", "who"),
+            f"""SELECT a.STATION, 'zz ' || max(w.NAME) AS NAME, min(a.DATE) AS first_date,
+  max(a.DATE) AS last_date, count(*) AS n_days
+FROM (SELECT STATION, DATE FROM merged UNION ALL SELECT STATION, DATE FROM ({padded})) a
+JOIN who w ON w.STATION = a.STATION GROUP BY a.STATION""",
+            empty,
+        ),
         "climatology_published": _state(
             t.LONG_BASELINE, full["merged"], f"SELECT * FROM merged UNION ALL BY NAME {padded}"
         ),
@@ -621,6 +629,40 @@ WHERE NOT EXISTS (SELECT 1 FROM sd a WHERE a.STATION = w.STATION AND a.DATE = d.
             (), f"SELECT STATION, CAST(NULL AS VARCHAR) AS NAME, DATE, {rs(ROW[3:])} FROM sd"
         ),
         "landed_rejects": _with((), _REJECTS),
+        "responses_in_range": _with(
+            (),
+            f"""SELECT STATION, CAST(NULL AS VARCHAR) AS NAME, DATE,
+  {rs(ROW[3:])} FROM sd WHERE year(DATE) = {t.YEAR[0][:4]}""",
+        ),
+        "responses_rejected": _with(
+            (),
+            """SELECT DISTINCT STATION, make_date(year(DATE), 1, 1) AS chunk_start,
+  make_date(year(DATE), 12, 31) AS chunk_end,
+  CAST(CASE WHEN year(DATE) = 1997 THEN 0 ELSE 13 END AS BIGINT) AS size
+FROM sd WHERE year(DATE) IN (1997, 1998)""",
+        ),
+        "requests_open": _with(
+            (),
+            """SELECT DISTINCT STATION, make_date(year(DATE), 1, 1) AS chunk_start,
+  make_date(year(DATE), 12, 31) AS chunk_end
+FROM sd WHERE year(DATE) IN (1997, 1998)
+UNION ALL SELECT DISTINCT STATION, DATE '2002-01-01', DATE '2002-12-31' FROM sd""",
+        ),
+        "registry_of_stations": _with(
+            (),
+            """SELECT STATION, max(NAME) AS NAME, min(DATE) AS first_date, max(DATE) AS last_date,
+  count(*) AS n_days FROM sd GROUP BY STATION""",
+        ),
+        "location_by_registry": _with(
+            ("prep",),
+            f"""SELECT STATION, NAME, DATE, {r('TMEAN')} FROM prep
+WHERE regexp_matches(lower(NAME), 'nation_1.*asia')""",
+        ),
+        "climatology_in_order": _with(
+            _CLIM,
+            f"""SELECT STATION, DATE_MD, {r('tmean_doy_mean')},
+  row_number() OVER (ORDER BY STATION, DATE_MD) AS place FROM clim""",
+        ),
         **_completeness(),
         **_upkeep(row, monthly["mon"]),
     }
@@ -645,6 +687,20 @@ def _gridded(station: str) -> str:
 FROM events WHERE value IS NOT NULL GROUP BY ALL"""
 
 
+# Every station against every cell.
+_NEAREST = f"""
+SELECT STATION, arg_min(cell, (km, cell)) AS cell, min(km) AS km FROM (
+  SELECT STATION, cell, 2 * 6371.0088 * asin(sqrt(least(1.0,
+           pow(sin(radians(p.lat - c.lat) / 2), 2)
+           + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2)))) AS km
+  FROM (SELECT 'ST' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(length(CAST(s_suppkey AS VARCHAR)), 12) AS INTEGER), '0') AS STATION,
+               (s_suppkey * 37) % 1781 / 10.0 - 89.0 AS lat, (s_suppkey * 1013) % 3600 / 10.0 - 180.0 AS lon
+        FROM supplier) p
+  CROSS JOIN (SELECT DISTINCT user_id AS cell, CAST((user_id * 53) % 179 - 89 AS DOUBLE) AS lat,
+                     (user_id * 97) % 360 + 0.5 AS lon FROM events) c)
+WHERE km <= {t.REACH_KM} GROUP BY STATION"""
+
+
 def _on_tables() -> dict[str, str]:
     point = "'ST' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 9) AS INTEGER), '0')"
     quantity = "CAST(l_quantity AS VARCHAR)"
@@ -676,6 +732,10 @@ FROM (SELECT event_type, TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) A
   SELECT user_id, strftime(ts, '%Y%m%d') || '_' || event_type AS key, value
   FROM events WHERE value IS NOT NULL)""",
         "gridded_era5_one_point": _gridded("''"),
+        "nearest_cells": f"SELECT STATION, cell, round(km, 6) AS distance_km FROM ({_NEAREST})",
+        "point_extract": _gridded("n.STATION").replace(
+            "FROM events", f"FROM events JOIN ({_NEAREST}) n ON n.cell = user_id"
+        ),
         "gridded_sst": f"""SELECT STATION, '' AS NAME, DATE, {r('t', 'TAVG')}, {r('t', 'TMAX')}, {r('t', 'TMIN')},
   CAST(NULL AS DOUBLE) AS PRCP, CAST(NULL AS DOUBLE) AS SNWD
 FROM (SELECT {point} AS STATION, CAST(ts AS DATE) AS DATE, avg(value) * 0.01 AS t

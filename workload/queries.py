@@ -28,9 +28,11 @@ from almanac import (
     write_daily,
 )
 from almanac.operators import bands, calendar, completeness, departures, gaps, inference, merge
-from almanac.operators import prepare, presence, records, smoothing, snow, statistics
+from almanac.operators import points, prepare, presence, records, registry, smoothing, snow, statistics
 from almanac.plans import upkeep
 from almanac.sources import decode_records, json_value, read_service_records, rejected_bodies
+from almanac.sources import responses
+from almanac.sources.ordered import read_ordered, write_ordered
 from almanac.sources.scratch import scratch_path
 from workload import tables as t
 
@@ -420,9 +422,85 @@ def landed_rejects(daily):
     )
 
 
+def _responses(daily, **chosen):
+    path = scratch_path(daily.sparkSession, "responses")
+    responses.land_responses(t.responses(daily), path)
+    return responses.read_responses(daily.sparkSession, path, **chosen)
+
+
+def responses_in_range(daily):
+    """Only the files of the year are opened."""
+    found = _responses(daily, start=t.YEAR[0], end=t.YEAR[1])
+    return prepare.conform_daily(responses.response_records(found))
+
+
+def responses_rejected(daily):
+    """Files of zero bytes are among them."""
+    found = responses.rejected_responses(_responses(daily))
+    return found.select("STATION", "chunk_start", "chunk_end", "size")
+
+
+def requests_open(daily):
+    """What is left of a plan of requests for each year and station, one year more than asked for."""
+    asked = t.responses(daily).select("STATION", "chunk_start", "chunk_end")
+    later = daily.select(
+        "STATION", F.lit("2002-01-01").cast("date").alias("chunk_start"),
+        F.lit("2002-12-31").cast("date").alias("chunk_end"),
+    ).distinct()
+    return responses.open_requests(asked.unionByName(later), _responses(daily))
+
+
+def registry_of_stations(daily):
+    return registry.station_registry(daily)
+
+
+def registry_after_upsert(daily):
+    """Kept up from the change feed and the labels alone."""
+    old = registry.station_registry(t.archive(daily))
+    feed = _with_changes(daily).where("change is not null")
+    labels = daily.select("STATION", F.concat(F.lit("zz "), "NAME").alias("NAME")).distinct()
+    return registry.update_registry(old, feed, labels)
+
+
+def location_by_registry(daily):
+    """The days of an archive ordered by station, without reading its labels."""
+    spark, path = daily.sparkSession, scratch_path(daily.sparkSession, "registered")
+    write_daily(daily, f"{path}/days", clustered=True)
+    registry.station_registry(daily).write.parquet(f"{path}/stations")
+    found = registry.stations_at(spark.read.parquet(f"{path}/stations"), "Nation_1.*asia")
+    return prepare_daily(registry.days_of(read_daily(spark, f"{path}/days"), found)).select(
+        "STATION", "NAME", "DATE", "TMEAN"
+    )
+
+
+def climatology_in_order(daily):
+    """As a product whose files are in order; each row has its place."""
+    path = scratch_path(daily.sparkSession, "ordered")
+    climatology = _climatology(daily).select("STATION", "DATE_MD", "tmean_doy_mean")
+    write_ordered(climatology, path, ["STATION", "DATE_MD"])
+    return read_ordered(daily.sparkSession, path)
+
+
 # Queries on other tables.
 
 
+def nearest_cells(spark, sf_dir):
+    found = points.nearest_cells(t.places(spark, sf_dir), t.grid_cells(spark, sf_dir), t.REACH_KM)
+    return found.select("STATION", "cell", F.round("distance_km", 6).alias("distance_km"))
+
+
+def point_extract(spark, sf_dir):
+    """The daily rows of each station's nearest cell."""
+    near = points.nearest_cells(t.places(spark, sf_dir), t.grid_cells(spark, sf_dir), t.REACH_KM)
+    names = F.create_map(*(F.lit(x) for pair in t.ERA5_FEATURES.items() for x in pair))
+    values = t.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("cell"),
+        F.concat_ws("_", F.date_format("ts", "yyyyMMdd"), names[F.col("event_type")]).alias("key"),
+        "value",
+    )
+    return rounded(normalize_gridded(points.extract_points(values, near), "era5"))
+
+
 def landing_json(spark, sf_dir):
     """Sums of a field of the JSON text of the events."""
     k = json_value("props", "k", "bigint")
@@ -525,6 +603,13 @@ ON_DAILY: dict[str, OnDaily] = {
     "upsert_relabelled": upsert_relabelled,
     "landed_records": landed_records,
     "landed_rejects": landed_rejects,
+    "responses_in_range": responses_in_range,
+    "responses_rejected": responses_rejected,
+    "requests_open": requests_open,
+    "registry_of_stations": registry_of_stations,
+    "registry_after_upsert": registry_after_upsert,
+    "location_by_registry": location_by_registry,
+    "climatology_in_order": climatology_in_order,
 }
 
 # The ones that a full calendar of days shows more of: also run with regions as stations.
@@ -561,6 +646,8 @@ ON_TABLES: dict[str, Query] = {
     "gridded_era5": gridded_era5,
     "gridded_era5_one_point": gridded_era5_one_point,
     "gridded_sst": gridded_sst,
+    "nearest_cells": nearest_cells,
+    "point_extract": point_extract,
 }
 
 

@@ -20,6 +20,7 @@ TRAILING = 12
 STATUS_END = "2001-10-25"
 CUT_BASELINE = ("1994-03-15", "2000-10-02")
 LONG_BASELINE = ("1993-01-01", "2000-12-31")
+REACH_KM = 300.0
 REPORT = ("1996-02-03", "1999-12-11")
 LEAST_SHARE = 0.25
 DATATYPES = ("TMIN", "TMAX", "PRCP", "SNOW")
@@ -163,6 +164,43 @@ def write_bodies(bodies: DataFrame, path: str) -> None:
     bodies.write.option("maxRecordsPerFile", 1).text(path)
 
 
+def responses(daily: DataFrame) -> DataFrame:
+    """The answers to a request for each station and year: records, but a body of zero bytes for
+    1997 and a page for 1998."""
+    record = F.struct(
+        "STATION",
+        F.date_format("DATE", "yyyy-MM-dd").alias("DATE"),
+        *(F.col(c).cast("string").alias(c) for c in DATATYPES),
+    )
+    year = F.year("DATE").alias("y")
+    answers = daily.groupBy("STATION", year).agg(F.to_json(F.collect_list(record)).alias("body"))
+    body = F.when(F.col("y") == 1997, "").when(F.col("y") == 1998, "<html></html>").otherwise(F.col("body"))
+    return answers.select(
+        "STATION", F.make_date("y", F.lit(1), F.lit(1)).alias("chunk_start"),
+        F.make_date("y", F.lit(12), F.lit(31)).alias("chunk_end"), body.alias("body"),
+    )
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stations with a place, also near the poles and on both sides of the date line."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        station_id("s_suppkey", 12).alias("STATION"),
+        ((key * 37) % 1781 / 10 - 89.0).alias("lat"),
+        ((key * 1013) % 3600 / 10 - 180.0).alias("lon"),
+    )
+
+
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the events as cells of a grid, with longitudes from 0 to 360."""
+    key = F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("cell"),
+        ((key * 53) % 179 - 89).cast("double").alias("lat"),
+        ((key * 97) % 360 + 0.5).alias("lon"),
+    ).distinct()
+
+
 def long_records(daily: DataFrame) -> DataFrame:
     """One row per station, day and data type, in tenths; missing values have no row."""
     entries = F.array(
