@@ -54,9 +54,11 @@ def with_date_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def with_daily_mean(df: DataFrame) -> DataFrame:
-    """TMEAN, the mean of the day's minimum and maximum (or the one that is there)."""
-    return df.withColumn("TMEAN", mean_of_present(F.col("TMIN"), F.col("TMAX")))
+def with_daily_mean(df: DataFrame, use_average: bool = False) -> DataFrame:
+    """TMEAN, the mean of the day's minimum and maximum (or the one that is there).
+    ``use_average`` takes TAVG, the average that some stations report, where both are missing."""
+    mean = mean_of_present(F.col("TMIN"), F.col("TMAX"))
+    return df.withColumn("TMEAN", F.coalesce(mean, "TAVG") if use_average else mean)
 
 
 def without_leap_day(df: DataFrame) -> DataFrame:
@@ -95,8 +97,10 @@ def prepare_daily(
     location: str | None = None,
     remove_feb29: bool = False,
     strict: bool = False,
+    use_average: bool = False,
 ) -> DataFrame:
-    """Daily table with date keys and daily mean, ready for the statistics.
+    """Daily table with date keys and daily mean, ready for the statistics; ``use_average`` as in
+    ``with_daily_mean``.
 
     ``location`` keeps the stations whose label matches; ``strict`` makes a pattern without any
     match an error (this runs a job).
@@ -106,7 +110,7 @@ def prepare_daily(
         if strict:
             validate_location(out, location)
         out = at_location(out, location)
-    out = out.transform(with_date_keys).transform(with_daily_mean)
+    out = with_daily_mean(with_date_keys(out), use_average)
     return without_leap_day(out) if remove_feb29 else out
 
 

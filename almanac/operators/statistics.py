@@ -167,3 +167,13 @@ def require_baseline(df: DataFrame, end: Day = BASELINE_END) -> DataFrame:
             "baseline_status tells at which stations"
         )
     return df
+
+
+def with_checked_baseline(result: DataFrame, df: DataFrame, end: Day = BASELINE_END) -> DataFrame:
+    """A result by station, where a station whose rows in ``df`` do not reach the end of the baseline
+    is an error when the result is read. Nothing runs before that."""
+    text = F.concat_ws(
+        " ", F.lit(f"not enough data for climate normals up to {parse_day(end)} at"), "STATION"
+    )
+    fine = F.when(F.col("baseline_valid"), True).otherwise(F.raise_error(text).cast("boolean"))
+    return result.join(baseline_status(df, end).where(fine).select("STATION"), "STATION", "left_semi")

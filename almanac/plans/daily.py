@@ -32,6 +32,7 @@ from almanac.operators.statistics import (
     date_bounds,
     keyed,
     require_baseline,
+    with_checked_baseline,
 )
 from almanac.schema import SNOW
 
@@ -42,17 +43,20 @@ def daily_climatology(
     end: Day = BASELINE_END,
     window: int = 7,
     impute: bool = True,
-    strict: bool = False,
+    strict: bool | str = False,
 ) -> DataFrame:
     """Per station and calendar day: statistics over the baseline, 29 February imputed, then
-    smoothed. ``strict`` makes a baseline the data does not reach an error (runs a job).
+    smoothed. ``strict`` makes a baseline the data does not reach an error: at once, by a job of its
+    own, or with ``"on_read"`` in the job that reads the result.
 
     The result is the natural table to write once and use for many series.
     """
     df = ensure_prepared(df)
-    if strict:
+    if strict and strict != "on_read":
         require_baseline(df, end)
     climatology = daily_statistics(baseline_days(df, start, end))
+    if strict == "on_read":
+        climatology = with_checked_baseline(climatology, df, end)
     if impute:
         climatology = impute_feb29(climatology)
     return circular_mean(climatology, window)

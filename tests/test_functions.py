@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from almanac.sources.scratch import scratch_path
 from almanac.functions import (
     format_day_key,
     format_month_key,
@@ -87,3 +88,24 @@ def test_bad_arguments():
         parse_day(20000229)
     assert parse_month("2000-02") == dt.date(2000, 2, 1)
     assert parse_month(dt.date(2000, 2, 9)) == dt.date(2000, 2, 1)
+
+
+class _Session:
+    """As much of a session as the choice of the shared folder asks for."""
+
+    def __init__(self, **settings):
+        self.settings, self.conf = {k.replace("_", "."): v for k, v in settings.items()}, self
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_shared_folder():
+    warehouse = {"spark_sql_warehouse_dir": "file:/data/warehouse"}
+    path = scratch_path(_Session(spark_master="local[4]", **warehouse), "x")
+    assert path.startswith("file:/data/warehouse/_shared/x-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(_Session(spark_master="yarn", **warehouse), "x")
+    shared = scratch_path(_Session(spark_master="yarn", spark_checkpoint_dir="hdfs://n/s/", **warehouse), "x")
+    assert shared.startswith("hdfs://n/s/x-")
+    assert scratch_path(_Session(spark_master="yarn", spark_sql_warehouse_dir="s3a://b/w"), "x").startswith("s3a://b/w/_shared/")

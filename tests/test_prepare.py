@@ -89,3 +89,10 @@ def test_numbers_are_what_the_rule_says(spark):
     got = {r["t"]: r["n"] for r in df.select("t", inference._is_number("t").alias("n")).collect()}
     wrong = {t for t in texts if got[t] != bool(rule.fullmatch(t))}
     assert not wrong, sorted(wrong)[:20]
+
+
+def test_reported_average_where_both_extremes_are_missing(daily):
+    rows = [{"DATE": "1996-01-01", "TAVG": 5.0}, {"DATE": "1996-01-02", "TAVG": 5.0, "TMIN": 1.0}, {"DATE": "1996-01-03"}]
+    plain, average = prepare_daily(daily(rows)), prepare_daily(daily(rows), use_average=True)
+    assert rows_of(plain, "DATE", "TMEAN") == [("1996-01-01", None), ("1996-01-02", 1.0), ("1996-01-03", None)]
+    assert rows_of(average, "DATE", "TMEAN") == [("1996-01-01", 5.0), ("1996-01-02", 1.0), ("1996-01-03", None)]

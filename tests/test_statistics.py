@@ -201,3 +201,17 @@ def test_rows_without_station_or_day_are_in_no_group(daily):
     assert rows_of(daily_series(df, clim, "2001-01-01", "2001-01-02"), "STATION", "DATE") == [
         ("A", "2001-01-01"), ("A", "2001-01-02"),
     ]
+
+
+def test_baseline_checked_when_the_result_is_read(spark, daily):
+    """No job before that; one station that falls short is enough."""
+    full = [{"STATION": s, "DATE": f"{y}-05-01", "TMIN": 1.0} for s in "AB" for y in (1996, 2000)]
+    spark.sparkContext.setJobGroup("checked", "")
+    fine = daily_climatology(daily(full), "1996-01-01", "2000-01-01", window=1, impute=False, strict="on_read")
+    short = daily_climatology(daily([*full, {"STATION": "C", "DATE": "1996-05-01", "TMIN": 1.0}]),
+                              "1996-01-01", "2000-01-01", window=1, impute=False, strict="on_read")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("checked")
+    spark.sparkContext.setJobGroup("others", "")
+    assert rows_of(fine, "STATION", "tmean_doy_mean") == [("A", 1.0), ("B", 1.0)]
+    with pytest.raises(Exception, match="not enough data .* at C"):
+        short.collect()

@@ -455,6 +455,7 @@ WHERE regexp_matches(lower(NAME), 'nation_1.*asia')""",
         "daily_climatology_raw": _with(_CLIM[:3], f"{clim_row} FROM raw"),
         "daily_climatology_feb29": _with(_CLIM[:4], f"{clim_row} FROM leap"),
         "daily_climatology_smooth": _with(_CLIM, f"{clim_row} FROM clim"),
+        "daily_climatology_checked": _with(_CLIM, f"{clim_row} FROM clim"),
         "daily_climatology_even_window": _with(_CLIM[:4], f"{clim_row} FROM leap"),
         "daily_climatology_pooled": _with(
             _CLIM, f"{clim_row} FROM clim", sd="SELECT * REPLACE ('' AS STATION) FROM daily"
@@ -732,6 +733,7 @@ FROM (SELECT event_type, TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) A
   SELECT user_id, strftime(ts, '%Y%m%d') || '_' || event_type AS key, value
   FROM events WHERE value IS NOT NULL)""",
         "gridded_era5_one_point": _gridded("''"),
+        "gridded_from_maps": _gridded(point),
         "nearest_cells": f"SELECT STATION, cell, round(km, 6) AS distance_km FROM ({_NEAREST})",
         "point_extract": _gridded("n.STATION").replace(
             "FROM events", f"FROM events JOIN ({_NEAREST}) n ON n.cell = user_id"

@@ -28,7 +28,8 @@ from almanac import (
     write_daily,
 )
 from almanac.operators import bands, calendar, completeness, departures, gaps, inference, merge
-from almanac.operators import points, prepare, presence, records, registry, smoothing, snow, statistics
+from almanac.operators import points, prepare, presence, records, registry, reshape, smoothing, snow
+from almanac.operators import statistics
 from almanac.plans import upkeep
 from almanac.sources import decode_records, json_value, read_service_records, rejected_bodies
 from almanac.sources import responses
@@ -122,6 +123,11 @@ def daily_climatology_even_window(daily):
     return _climatology(daily, window=6)
 
 
+def daily_climatology_checked(daily):
+    """The check of the baseline is part of the job that reads the result."""
+    return daily_climatology(daily, *t.BASELINE, window=t.WINDOW, strict="on_read")
+
+
 def daily_climatology_pooled(daily):
     return _climatology(prepare.pool_stations(daily))
 
@@ -534,6 +540,12 @@ def gridded_era5_one_point(spark, sf_dir):
     return rounded(normalize_gridded(t.gridded_pairs(spark, sf_dir).drop("STATION"), "era5"))
 
 
+def gridded_from_maps(spark, sf_dir):
+    """The same extracts as maps from key to value."""
+    maps = t.gridded_pairs(spark, sf_dir).select("STATION", F.create_map("key", "value").alias("pairs"))
+    return rounded(normalize_gridded(reshape.explode_pairs(maps), "era5"))
+
+
 def gridded_sst(spark, sf_dir):
     return rounded(normalize_gridded(t.sst_pairs(spark, sf_dir), "oisst"))
 
@@ -550,6 +562,7 @@ ON_DAILY: dict[str, OnDaily] = {
     "daily_climatology_feb29": daily_climatology_feb29,
     "daily_climatology_smooth": daily_climatology_smooth,
     "daily_climatology_even_window": daily_climatology_even_window,
+    "daily_climatology_checked": daily_climatology_checked,
     "daily_climatology_pooled": daily_climatology_pooled,
     "observed_vs_climate": observed_vs_climate,
     "std_bands": std_bands,
@@ -645,6 +658,7 @@ ON_TABLES: dict[str, Query] = {
     "landed_pairs": landed_pairs,
     "gridded_era5": gridded_era5,
     "gridded_era5_one_point": gridded_era5_one_point,
+    "gridded_from_maps": gridded_from_maps,
     "gridded_sst": gridded_sst,
     "nearest_cells": nearest_cells,
     "point_extract": point_extract,
