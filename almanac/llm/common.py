@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
-import uuid
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.sources.scratch import scratch_path
+
 MAX_ROUNDS = 60
+_TITLE = re.compile("almanac_[0-9a-f]{32}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share: ``spark.checkpoint.dir``. A session without
-    that setting gets one below its warehouse, which executors share as well."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder all executors share, see ``scratch_path``."""
+    return scratch_path(spark, name)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -36,7 +36,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def stored_by(df: DataFrame, name: str, key: str, buckets: int, **options: str) -> DataFrame:
     """As ``stored``, in buckets of a key: grouping what is read by the key needs no shuffle. Spark
-    keeps buckets for tables only, so this leaves one in the catalog, over the folder."""
+    keeps buckets for tables only, so this leaves one in the catalog, over the folder, until
+    ``forget_tables`` is called."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     title = f"almanac_{path.rsplit('-', 1)[1]}"
@@ -45,6 +46,15 @@ def stored_by(df: DataFrame, name: str, key: str, buckets: int, **options: str)
     return spark.table(title)
 
 
+def forget_tables(spark: SparkSession) -> int:
+    """Take the tables that ``stored_by`` left out of the catalog, once their queries have run; their
+    files stay where they are. Gives their number."""
+    names = [t.name for t in spark.catalog.listTables() if _TITLE.fullmatch(t.name)]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(names)
+
+
 def release() -> None:
     """Give memory that Arrow holds for later back, at the end of a task that used much: Python
     processes outlive their tasks, and those of several stages share an executor."""

@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from almanac.llm import bpe
+from almanac.llm.common import forget_tables, stored_by
 from almanac.llm.queries import queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -99,3 +100,10 @@ def test_registered(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wrong = out.join(docs, "doc_id").where(F.sha2("text", 256) != F.col("decoded_sha256"))
     assert (out.count(), wrong.count()) == (docs.count(), 0)
+
+
+def test_tables_are_forgotten_but_not_their_files(spark):
+    kept = stored_by(spark.range(10), "some", "id", 2)
+    files = kept.inputFiles()
+    assert forget_tables(spark) >= 1 and forget_tables(spark) == 0
+    assert spark.read.parquet(*files).count() == 10
