@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm.licenses import DICE, TEMPLATES
+from almanac.llm.licenses import DICE, GAP, TEMPLATES
 
 
 def _quoted(text: str) -> str:
@@ -39,11 +39,39 @@ templates AS (
     FROM own JOIN templates
       ON len(b) BETWEEN len(t) * {DICE} / (2 - {DICE}) - 1e-9
                     AND len(t) * (2 - {DICE}) / {DICE} + 1e-9
+), bags AS (
+    SELECT template, license, tsize, bigram, count(*) AS often
+    FROM (SELECT template, license, len(w) - 1 AS tsize,
+                 unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram
+          FROM (SELECT template, license, {_WORDS.format('text')} AS w FROM given) WHERE len(w) > 1)
+    GROUP BY ALL
+), placed AS (
+    SELECT doc_id, unnest(range(1, len(w))) AS nth,
+           unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram
+    FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) WHERE len(w) > 1
+), hits AS (
+    SELECT *, nth - lag(nth) OVER (PARTITION BY doc_id, template ORDER BY nth) AS away
+    FROM placed JOIN bags USING (bigram)
+), cut AS (
+    SELECT *, sum(CASE WHEN away <= {GAP + 1} THEN 0 ELSE 1 END)
+                OVER (PARTITION BY doc_id, template ORDER BY nth) AS run
+    FROM hits
+), shared AS (
+    SELECT doc_id, template, license, tsize, run, least(count(*), any_value(often)) AS n,
+           min(nth) AS first, max(nth) AS last
+    FROM cut GROUP BY doc_id, template, license, tsize, run, bigram
+), run_scores AS (
+    SELECT doc_id, template, license, min(first) AS number, CAST(sum(n) AS BIGINT) AS common,
+           2.0::DOUBLE * sum(n) / (max(last) - min(first) + 1 + tsize) AS dice
+    FROM shared GROUP BY doc_id, template, license, tsize, run
 )
 SELECT doc_id, unit, number, license, common, dice
 FROM scored WHERE dice >= {DICE}
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number
                            ORDER BY dice DESC, license, template) = 1
+UNION ALL
+SELECT doc_id, 'run', number, license, common, dice FROM run_scores WHERE dice >= {DICE}
+QUALIFY row_number() OVER (PARTITION BY doc_id, number ORDER BY dice DESC, license, template) = 1
 """
 
 URL_FILTER = """

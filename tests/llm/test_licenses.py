@@ -1,4 +1,6 @@
 import re
+import textwrap
+from collections import Counter
 
 import duckdb
 import pytest
@@ -34,9 +36,27 @@ def brute_force(docs, templates=licenses.TEMPLATES, dice=0.8):
             if best:
                 value, name, _, common = min(best)
                 out.append((doc_id, unit, number, name, common, -value))
+        out += [(doc_id, "run", *r) for r in runs_of(text or "", templates, dice)]
     return sorted(out, key=str)
 
 
+def runs_of(text, templates, dice):
+    """Word by word."""
+    pairs = lambda t: list(zip(w := re.findall(r"[^\W_]+", t.lower()), w[1:], strict=False))
+    own, best = pairs(text), {}
+    for k, (name, template) in enumerate(templates):
+        bag = Counter(pairs(template))
+        at = [i for i, p in enumerate(own) if p in bag]
+        starts = [j for j in range(len(at)) if j == 0 or at[j] - at[j - 1] > licenses.GAP + 1]
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=False):
+            run = own[at[a] : at[b - 1] + 1]
+            common = sum((Counter(run) & bag).values())
+            value = 2.0 * common / (len(run) + sum(bag.values()))
+            if value >= dice:
+                best.setdefault(at[a] + 1, []).append((-value, name, k, common))
+    return [(number, name, common, -value) for number, rows in best.items() for value, name, _, common in [min(rows)]]
+
+
 def found(df, **options):
     return sorted((tuple(r) for r in licenses.scan(df, **options).collect()), key=str)
 
@@ -59,7 +79,7 @@ def test_edge_cases(texts):
 def test_ties_and_templates(texts):
     rows = [(1, "alpha beta gamma"), (2, "one")]
     both = [("b", "alpha beta gamma"), ("a", "ALPHA beta, gamma"), ("c", "one"), ("d", "")]
-    assert found(texts(rows), templates=both) == [(1, "line", 1, "a", 2, 1.0)]
+    assert found(texts(rows), templates=both) == [(1, "line", 1, "a", 2, 1.0), (1, "run", 1, "a", 2, 1.0)]
     assert found(texts(rows), templates=[("c", "one")]) == []
 
 
@@ -73,6 +93,27 @@ def test_bounds_lose_nothing(texts):
         assert found(texts(rows), templates=template, dice=dice) == brute_force(rows, template, dice)
 
 
+def test_whole_embedded_and_wrapped_licences(texts):
+    """Whole texts in paragraphs, wrapped notices, notices within longer lines, and none."""
+    by_name = {}
+    for name, text in licenses.TEMPLATES:
+        by_name[name] = max(by_name.get(name, ""), text, key=len)
+    prose = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt"
+    rows, expected = [], []
+    for i, name in enumerate(("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "Apache-2.0", "GPL-3.0")):
+        whole = by_name[name].replace(". ", ".\n\n")
+        rows.append((i, "Copyright (c) 2024 Somebody\n\n" + "\n".join(textwrap.wrap(whole, 60)) + "\n"))
+        rows.append((100 + i, f"{prose}\n# {prose} " + "\n# ".join(textwrap.wrap(by_name[name], 40)) + f" {prose} {prose}"))
+        expected += [(i, name), (100 + i, name)]
+    rows += [(200, prose * 50), (201, "of the software and the use of this software in the documentation " * 20),
+             (202, f"{prose} Released under\nthe MIT License. {prose}")]
+    expected.append((202, "MIT"))
+    got = found(texts(rows))
+    assert got == brute_force(rows)
+    assert {(r[0], r[3]) for r in got if r[1] == "run" and r[5] > 0.9} >= set(expected)
+    assert not {r[0] for r in got} & {200, 201}
+
+
 @pytest.mark.parametrize("sf", [SF_DIR, "/root/testdata/sf0.01"])
 def test_query_equals_sql(spark, sf):
     con = duckdb.connect()
