@@ -30,6 +30,27 @@ def extremes_by_day(df: DataFrame) -> DataFrame:
     )
 
 
+def extremes_and_bounds(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``extremes_by_day``, and first and last day of each station, of one grouping of the history.
+
+    Each of the two also looks at the columns of the other, or Spark would leave those out there,
+    and group and shuffle the history twice. As it is the shuffle of one serves both.
+    """
+    days = keyed(df).groupBy("STATION", day_key(F.col("DATE")).alias("_day")).agg(
+        F.max("TMEAN").alias("record_max"),
+        F.min("TMEAN").alias("record_min"),
+        F.min("DATE").alias("first_date"),
+        F.max("DATE").alias("last_date"),
+    ).where("_day is not null")  # as the join by day asks of its side
+    extremes = days.where("first_date <= last_date").drop("first_date", "last_date")
+    bounds = days.groupBy("STATION").agg(
+        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+        F.max("record_max").alias("_high"), F.min("record_min").alias("_low"),
+    )
+    seen = F.coalesce("first_date", "last_date").isNotNull() | (F.col("_high") >= F.col("_low"))
+    return extremes, bounds.where(seen).drop("_high", "_low")
+
+
 def flag_records(df: DataFrame, extremes: DataFrame) -> DataFrame:
     """Flag the days that equal a record. Ties are all flagged, a missing mean never is.
 

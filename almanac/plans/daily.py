@@ -15,7 +15,7 @@ from almanac.operators.calendar import (
 )
 from almanac.operators.merge import single_days
 from almanac.operators.prepare import ensure_prepared
-from almanac.operators.records import extremes_by_day, flag_records
+from almanac.operators.records import extremes_and_bounds, flag_records
 from almanac.operators.smoothing import circular_mean, impute_feb29
 from almanac.operators.snow import (
     cumulative_snowfall,
@@ -85,7 +85,10 @@ def daily_series(
     df = ensure_prepared(df)
     observed = keyed(between_days(df, start, end))
     columns = ["STATION", "DATE", "PRCP", "TMAX", "TMIN", "TMEAN"]
-    bounds = date_bounds(df)
+    if records is True:
+        records, bounds = extremes_and_bounds(df)
+    else:
+        bounds = date_bounds(df)
     one_each = (lambda rows: rows) if days_are_unique else single_days
     if snow and SNOW in df.columns:
         # The last day with snowfall goes along with the bounds, and the running total is made on
@@ -105,7 +108,5 @@ def daily_series(
     out = out.drop("_in_climate")
     if isinstance(records, DataFrame):
         out = flag_records(out, records)
-    elif records:
-        out = flag_records(out, extremes_by_day(df))
     out = out.drop("_day")
     return out.transform(std_bands).transform(envelopes).transform(no_data_flags)
