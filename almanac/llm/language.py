@@ -36,6 +36,8 @@ from almanac.llm.common import text_bytes
 #: Rows to learn from at most, and slots that occur in them, all together.
 SAMPLE_ROWS = 2_400
 SAMPLE_SLOTS = 8_000_000
+#: Partitions that the sample is gathered in: the driver asks for one after the other.
+SAMPLE_PARTS = 16
 SLOTS, WIDTH = 1 << 16, 8
 ORDERS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 16, 4.0
@@ -247,7 +249,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id") -> Model | None:
 
     found = _sample(docs, id_col).mapInArrow(
         counted, "lang string, place double, slots array<int>, shares array<float>"
-    )
+    ).repartition(SAMPLE_PARTS, "place")
     taken, size = [], 0
     for r in found.toLocalIterator():  # ends at the bound, however many rows there are
         size += len(r["slots"])

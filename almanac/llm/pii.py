@@ -30,7 +30,7 @@ from almanac.llm.common import text_bytes
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
 #: Documents to learn from, about, a sample by hash; and tokens of them, at most.
-SAMPLE_DOCS, SAMPLE_TOKENS = 10_000, 1_000_000
+SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_PARTS = 10_000, 1_000_000, 16
 #: Marginal from which a token becomes a span.
 SURE = 0.9
 #: A document's messages have settled when none moves further. They are damped; after every so
@@ -383,7 +383,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     named = docs.where(text.rlike("[0-9@]"))
     rate = SAMPLE_DOCS / max(1, named.count())
     place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = named.where(place < rate).select(text_bytes(text).alias("text"))
+    sample = named.where(place < rate).select(text_bytes(text).alias("text"), place.alias("place"))
     kind = "struct<f:array<array<int>>,y:array<int>,chain:array<array<int>>,skip:array<array<int>>>"
 
     @F.arrow_udf(kind)
@@ -398,11 +398,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         return pa.array(out, pa.struct([("f", pa.list_(ints)), ("y", ints),
                                         ("chain", pa.list_(ints)), ("skip", pa.list_(ints))]))
 
-    parts, n = [], 0
-    for row in sample.select(of_batch("text").alias("g")).toLocalIterator():
-        g = row["g"]
-        if n and n + len(g["y"]) > SAMPLE_TOKENS:
+    # Gathered in a few partitions first: the driver asks for one after the other.
+    graphs = sample.select(of_batch("text").alias("g"), "place").repartition(SAMPLE_PARTS, "place")
+    rows, parts, n = [], [], 0
+    for row in graphs.toLocalIterator():
+        if n and n + len(row["g"]["y"]) > SAMPLE_TOKENS:
             break
+        rows.append(row)
+        n += len(row["g"]["y"])
+    n = 0
+    for row in sorted(rows, key=lambda r: r["place"]):
+        g = row["g"]
         pairs = [np.array(g[k], np.int64).reshape(-1, 2) + n for k in ("chain", "skip")]
         parts.append((np.array(g["f"], np.int32).reshape(-1, len(_SIZES)), np.array(g["y"], np.int64), *pairs))
         n += len(g["y"])
