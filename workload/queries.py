@@ -281,32 +281,35 @@ def months_rebuilt(daily):
     return rebuild_months(before, merged, merged.where("change is not null"))
 
 
-def _published(daily):
-    """Archive, index and state of the archive, then a batch."""
+def _published(daily, *derived):
+    """The archive and tables derived from it, published, then a batch."""
     spark, path = daily.sparkSession, scratch_path(daily.sparkSession, "published")
-    tables = (upkeep.archive_table(spark, f"{path}/days"), upkeep.index_table(spark, f"{path}/index"),
-              upkeep.state_table(spark, f"{path}/state"))
-    for publish, table in zip(
-        (upkeep.publish_archive, upkeep.publish_index, upkeep.publish_state), tables, strict=True
+    archive = upkeep.archive_table(spark, f"{path}/days")
+    upkeep.publish_archive(t.archive(daily), archive)
+    made = {}
+    for name, table, publish in (
+        ("index", upkeep.index_table, upkeep.publish_index),
+        ("state", upkeep.state_table, upkeep.publish_state),
     ):
-        publish(t.archive(daily), table)
-    archive, index, state = tables
+        if name in derived:
+            made[name] = table(spark, f"{path}/{name}")
+            publish(t.archive(daily), made[name])
     everyone = daily.select("STATION", "NAME").distinct()
-    upsert_published(archive, t.fetched(daily), everyone, *t.YEAR, index=index, state=state)
-    return tables
+    upsert_published(archive, t.fetched(daily), everyone, *t.YEAR, **made)
+    return archive if not derived else made[derived[0]]
 
 
 def archive_published(daily):
-    return _published(daily)[0].read().drop("almanac_year")
+    return _published(daily).read().drop("almanac_year")
 
 
 def index_published(daily):
-    return _published(daily)[1].read().drop("almanac_year")
+    return _published(daily, "index").read().drop("almanac_year")
 
 
 def climatology_published(daily):
     """Over a baseline that holds the year of the batch."""
-    return climatology_from_state(_published(daily)[2].read(), *t.LONG_BASELINE, window=t.WINDOW)
+    return climatology_from_state(_published(daily, "state").read(), *t.LONG_BASELINE, window=t.WINDOW)
 
 
 def _from_state(span):
