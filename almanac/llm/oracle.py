@@ -160,6 +160,31 @@ FROM counted
 """
 
 
+#: All pairs of vectors; ids are unique in the given table.
+EMBEDDINGS = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END),
+                         'sum') = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+      ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reached(id, other) AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT id, b FROM reached JOIN links ON a = other
+), lowest AS (SELECT id, min(other) AS low FROM reached GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+       least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts c ON c.id = vec_id LEFT JOIN lowest l ON l.id = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op2_licenses": LICENSES, "op9_url_filter": URL_FILTER,
-            "op12_filter_audit": FILTER_AUDIT}
+            "op6_embeddings": EMBEDDINGS, "op12_filter_audit": FILTER_AUDIT}

@@ -159,7 +159,9 @@ def _metadata(docs: DataFrame) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Machine:
     """Learn from ``labels`` (id, quality 0/1) on ``SAMPLE_ROWS`` of its rows at most, and their
-    documents. Missing and other labels teach nothing."""
+    documents. Missing and other labels, and those of no document, teach nothing; repeated rows
+    count as often as they are in the sample; from empty tables comes a machine without a preference.
+    A text of any length is one sparse vector of bounded size."""
     sample = (
         labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
         .select(id_col, "quality")
@@ -178,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Machine:
 
 
 def score(docs: DataFrame, machine: Machine) -> Column:
-    """From 0 to 1, higher for better texts; a missing text is scored as an empty one."""
+    """From 0 to 1, higher for better texts; a missing text is scored as an empty one, a long one by
+    all its words, repeated rows alike, and an empty table has no scores."""
     sent = SparkSession.active().sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")

@@ -122,7 +122,8 @@ def parts(url: Column) -> dict[str, Column]:
 
 def judge(url: Column, rules: Sequence[Rule], otherwise: str = "allow") -> Column:
     """``struct<rule, verdict>``: the matching rule of highest rank (of equal ones the first) and
-    its verdict; no rule and ``otherwise`` where none matches, as for a missing URL."""
+    its verdict; no rule and ``otherwise`` where none matches, as for a missing URL. Equal URLs are
+    judged alike, a URL of any length by all its characters; an empty table has no verdicts."""
     automaton = Automaton(rules)
     ranked = sorted(range(len(automaton.rules)), key=lambda i: -automaton.rules[i].rank)
     names = [automaton.rules[i].name for i in ranked] + [None]

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from almanac.llm import bpe
@@ -107,3 +108,15 @@ def test_tables_are_forgotten_but_not_their_files(spark):
     files = kept.inputFiles()
     assert forget_tables(spark) >= 1 and forget_tables(spark) == 0
     assert spark.read.parquet(*files).count() == 10
+
+
+def test_query_equals_the_library(spark, reference):
+    """The ids of every document, and what they decode to."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    rows = queries()["op1_bpe"](spark, SF_DIR).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = reference.encode_ordinary(texts[r["doc_id"]])
+        packed = np.array(ids, "<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()

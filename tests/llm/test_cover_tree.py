@@ -1,10 +1,12 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SF_DIR
 
 from almanac.llm import cover_tree
+from almanac.llm.oracle import oracle_sql
 from almanac.llm.queries import queries
 
 
@@ -120,3 +122,14 @@ def test_ids_that_repeat_with_other_vectors(spark, block, monkeypatch):
     base = draw.normal(size=(6, 8))
     rows = [(int(draw.integers(12)), [float(np.float32(x)) for x in base[k % 6] + 0.03 * draw.normal(size=8)]) for k in range(60)]
     assert found(frame(spark, rows)) == sorted(brute_force(rows), key=str)
+
+
+def test_query_equals_sql(spark):
+    sf = SF_DIR.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    sql = con.execute(oracle_sql()["op6_embeddings"])
+    columns = [c[0] for c in sql.description]
+    out = queries()["op6_embeddings"](spark, sf)
+    assert sorted(columns) == sorted(out.columns)
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(sql.fetchall())

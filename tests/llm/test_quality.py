@@ -72,3 +72,18 @@ def test_held_out_accuracy(spark):
     rows = out.where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
     assert queries()["op3_quality"](spark, SF_DIR).where("score between 0 and 1").count() == 200
+
+
+def test_query_equals_the_sum_over_all_pairs(spark):
+    """Pair by pair, from the machine that the query fits."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("pmod(crc32(cast(doc_id as string)), 3) != 1")
+    m = quality.fit(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in queries()["op3_quality"](spark, SF_DIR).collect()}
+    rows = docs.select("doc_id", "text", "n_chars").orderBy(F.length("text")).limit(60).collect()
+    for r in rows[::6]:
+        slots, values = quality._vector((r["text"] or "").encode(), r["n_chars"], {})
+        own = m.factors[np.array(slots)] * np.array(values)[:, None]
+        pairs = sum(float(own[i] @ own[j]) for i in range(len(slots)) for j in range(i + 1, len(slots)))
+        margin = m.bias + float(m.linear[np.array(slots)] @ np.array(values)) + pairs
+        assert np.isclose(scores[r["doc_id"]], 1 / (1 + np.exp(-margin)), atol=1e-6)
