@@ -158,7 +158,7 @@ TEMPLATES = (
 def words(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
     spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _once(**columns: Column) -> Column:
@@ -167,13 +167,17 @@ def _once(**columns: Column) -> Column:
     return F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
 
 
-def all_bigrams(own: Column) -> Column:
-    """The pairs of neighbouring words in their order, with a space between."""
+def all_bigrams(own: Column, only: Sequence[str] | None = None) -> Column:
+    """The pairs of neighbouring words in their order, with a space between; with ``only`` null for
+    those that begin with another word."""
     n = F.size(own)
+
+    def pair(a: Column, b: Column) -> Column:
+        both = F.concat(a, F.lit(" "), b)
+        return both if only is None else F.when(a.isin(*only), both)
+
     return F.zip_with(
-        F.slice(own, 1, F.greatest(n - 1, F.lit(0))),
-        F.slice(own, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
+        F.slice(own, 1, F.greatest(n - 1, F.lit(0))), F.slice(own, 2, F.greatest(n - 1, F.lit(0))), pair
     )
 
 
@@ -277,11 +281,14 @@ def _runs(docs: DataFrame, given: DataFrame, dice: float) -> DataFrame:
     known = [r[0] for r in bags.select("bigram").distinct().collect()]  # of the caller's templates
     if not known:
         known = [""]
-    numbered = F.transform(
-        all_bigrams(words(F.col("text"))), lambda b, i: F.struct(b.alias("bigram"), i.alias("at"))
+    begins = sorted({b.split(" ")[0] for b in known})
+    # Words that begin no bigram of a template are passed over without making theirs.
+    likely = all_bigrams(words(F.col("text")), only=begins)
+    placed = F.transform(
+        likely, lambda b, i: F.when(b.isin(known), F.struct(b.alias("bigram"), i.alias("at")))
     )
     hits = docs.select(
-        "doc_id", "row", F.inline(F.filter(numbered, lambda x: x["bigram"].isin(known)))
+        "doc_id", "row", F.inline(F.filter(placed, lambda x: x.isNotNull()))
     ).join(F.broadcast(bags), "bigram")
     along = Window.partitionBy("row", "template").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag("at").over(along) > GAP + 1, F.lit(True))
