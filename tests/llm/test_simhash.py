@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from conftest import SF_DIR
+from conftest import SF_DIR, plan_of
 from pyspark.sql import functions as F
 
 from almanac.llm import simhash
@@ -74,6 +74,12 @@ def test_all_close_pairs_are_found(spark):
         assert {tuple(sorted(p)) for p in found} == expected
 
 
+def test_cells_never_pass_through_the_driver(spark):
+    prints = spark.range(60).select(F.xxhash64("id").alias("fp"))  # of known and small size
+    plan = plan_of(simhash.close_pairs(prints))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_more_prints_get_a_finer_grid():
     sizes = [simhash.blocks_for(n) for n in (10, 10**6, 10**7, 10**9)]
     assert sizes == sorted(sizes) and sizes[0] == simhash.LEAST_BLOCKS and sizes[-1] > sizes[0]
