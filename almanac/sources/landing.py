@@ -1,4 +1,8 @@
-"""Landed responses of the daily-summaries service: JSON arrays of records."""
+"""Landed responses of the daily-summaries service: JSON arrays of records.
+
+A file holds one body, or many as a JSON text sequence (RFC 7464): each begins with the character RS,
+which no JSON text holds. Files have costs of their own, so very many bodies belong in sequences.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,9 @@ from pyspark.sql import types as T
 from almanac.schema import SERVICE_RECORD
 
 
+RS = "\x1e"
+
+
 def records_in(body: Column, record: T.StructType = SERVICE_RECORD) -> Column:
     """The records of a body; null unless it is a JSON array of nothing but records. An object, such
     as an error of the service, is none, and neither is an array whose elements have neither a
@@ -20,8 +27,14 @@ def records_in(body: Column, record: T.StructType = SERVICE_RECORD) -> Column:
 
 
 def _bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A body for each file: a response holds as many rows as a request may ask for."""
-    return spark.read.text(path, wholetext=True)
+    """The bodies of files that hold one each, and of sequences. What precedes the first of a sequence
+    is empty, and no body: a file of one body has at least a character."""
+    return spark.read.text(path, lineSep=RS).where("value != ''")
+
+
+def write_bodies(bodies: DataFrame, path: str, body: str = "body") -> None:
+    """Land bodies as sequences, a file for each partition."""
+    bodies.select(F.concat(F.lit(RS), body).alias("value")).write.text(path)
 
 
 def read_service_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -32,7 +45,7 @@ def read_service_records(spark: SparkSession, path: str | list[str]) -> DataFram
 
 def rejected_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The bodies that are blank, malformed or no array of records, with the file each is from.
-    Spark does not open files of zero bytes, so those are not listed."""
+    Files of zero bytes have no body, so those are not listed."""
     return (
         _bodies(spark, path)
         .where(records_in(F.col("value")).isNull())

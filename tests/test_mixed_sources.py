@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac import read_daily, upsert_daily, write_daily
 from almanac.operators import inference, merge
-from almanac.sources import decode_records, read_service_records, rejected_bodies
+from almanac.sources import decode_records, landing, read_service_records, rejected_bodies
 from workload import tables as t
 
 from conftest import plan_of, rows_of
@@ -86,6 +86,20 @@ BODIES = {
 }
 
 
+def test_sequences_of_bodies(spark, tmp_path):
+    """Beside a file of one body over several lines."""
+    path = str(tmp_path / "landed")
+    many = list(BODIES.values()) * 20
+    bodies = spark.createDataFrame([(b,) for b in many], "body string").repartition(3)
+    landing.write_bodies(bodies, path)
+    assert len(list((tmp_path / "landed").glob("part-*"))) <= 3
+    (tmp_path / "landed" / "one.json").write_text('[\n{"STATION":"B",\n"DATE":"2001-01-02"}\n]\n')
+    found = rows_of(read_service_records(spark, path), "STATION", "DATE")
+    assert found == [("A", "2001-01-01")] * 20 + [("B", "2001-01-02")]
+    rejected = sorted(r.body for r in rejected_bodies(spark, path).collect())
+    assert rejected == sorted([f"{b}\n" for n, b in BODIES.items() if n not in ("good", "empty")] * 20)
+
+
 def test_error_objects_are_no_records(spark, tmp_path):
     for name, body in BODIES.items():
         (tmp_path / f"{name}.json").write_text(body)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.sources import landing
+
 # Parameters of the queries.
 BASELINE = ("1996-01-01", "1999-12-31")
 YEAR = ("2000-01-01", "2000-12-31")
@@ -160,8 +162,8 @@ def rejected(daily: DataFrame) -> DataFrame:
 
 
 def write_bodies(bodies: DataFrame, path: str) -> None:
-    """A file for each body."""
-    bodies.write.option("maxRecordsPerFile", 1).text(path)
+    """Sequences of bodies; tests of the sources have a file for each body."""
+    landing.write_bodies(bodies, path)
 
 
 def responses(daily: DataFrame) -> DataFrame:
