@@ -6,7 +6,7 @@ calendar days or one row per month, however many rows it was computed from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import full_frame_mean
@@ -26,13 +26,14 @@ def impute_feb29(climatology: DataFrame) -> DataFrame:
     A row the input may have for that day is replaced. Each station's first row carries the new
     one along, so the climatology is computed once and not a second time for a union. The old
     row is dropped here and not by a filter: that would be pushed below the grouping, where it
-    formats the date of every input row.
+    formats the date of every input row. All windows have one order, so the rows are sorted once.
     """
     names = _statistics(climatology)
-    station = Window.partitionBy("STATION")
+    ordered = Window.partitionBy("STATION").orderBy("DATE_MD")
+    station = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_neighbour = F.col("DATE_MD").isin(*LEAP_DAY_NEIGHBOURS)
     imputed = {f"_{c}": F.avg(F.when(is_neighbour, F.col(c))).over(station) for c in names}
-    is_first = F.row_number().over(station.orderBy("DATE_MD")) == 1
+    is_first = F.row_number().over(ordered) == 1
     is_old = F.col("DATE_MD") == LEAP_DAY_TEXT
     own, new = F.lit(False), F.lit(True)
     copies = (
@@ -59,8 +60,9 @@ def circular_mean(climatology: DataFrame, window: int = 7, strict: bool = False)
     """Trailing mean of ``window`` calendar days that wraps over New Year.
 
     Row i is the mean of rows i-window+1 .. i of its station, missing if any of them is. An even
-    window leaves the values as they are, or is an error if ``strict``. The rows that precede
-    the first one are copies of the last ones, made in place at positions 0, -1, ...
+    window leaves the values as they are, or is an error if ``strict``. What precedes the first row
+    are the last ones, found in a list that goes along: copies of them would have to be sorted in, and
+    a task would hold the rows once more.
     """
     if window < 1:
         raise ValueError("the window must be at least one day")
@@ -71,28 +73,34 @@ def circular_mean(climatology: DataFrame, window: int = 7, strict: bool = False)
     if window == 1:
         return climatology
     names = _statistics(climatology)
-    station = Window.partitionBy("STATION")
+    ordered = Window.partitionBy("STATION").orderBy("DATE_MD")
+    station = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     numbered = climatology.withColumns(
-        {
-            "_pos": F.row_number().over(station.orderBy("DATE_MD")),
-            "_rows": F.count("*").over(station),
-        }
+        {"_pos": F.row_number().over(ordered), "_rows": F.count(F.lit(1)).over(station)}
     )
-    wraps = F.col("_pos") > F.col("_rows") - (window - 1)
-    copies = F.when(wraps, F.array(F.col("_pos"), F.col("_pos") - F.col("_rows"))).otherwise(
-        F.array(F.col("_pos").cast("bigint"))
-    )
-    frame = station.orderBy("_at").rowsBetween(-(window - 1), Window.currentRow)
+    last = F.when(F.col("_pos") > F.col("_rows") - (window - 1), F.struct(*names))
+    first = F.when(F.col("_pos") < window, F.struct(*names))
+    missing = F.lit(window) - F.col("_pos")
+    wrapped = F.concat(F.slice("_last", -missing, missing), F.slice("_first", 1, F.col("_pos")))
+
+    def mean(name: str) -> Column:
+        value = F.col(name)
+        total = F.lit(0.0)
+        for k in range(window - 1, 0, -1):
+            total = total + F.lag(value, k).over(ordered)
+        over_new_year = F.aggregate("_wrapped", F.lit(0.0), lambda s, x: s + x[name])
+        return (
+            F.when(F.col("_pos") >= window, (total + value) / window)
+            .when(F.size("_wrapped") == window, over_new_year / window)
+            .alias(name)
+        )
+
     return (
-        numbered.select("STATION", "DATE_MD", *names, F.explode(copies).alias("_at"))
-        .select(
-            "STATION",
-            "DATE_MD",
-            "_at",
-            *(full_frame_mean(F.col(c), frame, window).alias(c) for c in names),
+        numbered.withColumns(
+            {"_last": F.collect_list(last).over(station), "_first": F.collect_list(first).over(station)}
         )
-        .where(F.col("_at") >= 1)
-        .select("STATION", "DATE_MD", *names)
+        .withColumn("_wrapped", F.when(missing > 0, wrapped))
+        .select("STATION", "DATE_MD", *map(mean, names))
     )
 
 

@@ -101,3 +101,10 @@ def test_records_and_bounds_share_a_scan_and_a_shuffle(stored, no_broadcast):
 def test_upsert_leaves_a_unique_archive_in_place_when_little_is_fetched(stored):
     plan = plan_of(products(stored)["upsert"])
     assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+
+
+def test_leap_day_and_moving_mean_sort_the_climatology_once_each(stored):
+    """Each further sort would hold all rows of a task again."""
+    ops = operators(plan_of(daily_climatology(stored, *t.BASELINE)))
+    assert sum(o == "Sort" or o.startswith("Sort ") for o in ops) == 2
+    assert sum(o.startswith("Generate") for o in ops) == 1
