@@ -6,7 +6,10 @@ in size: single years, pairs, fours and so on. Any baseline is a few blocks, at
 size, so 30 years are read as some six rows instead of 30, and the history is never read again. A
 new or corrected year changes one block of each size.
 
-Moments are merged by Chan's formula, which is stable: sums of squares are around their own mean.
+Moments are merged as by Chan's formula, which is stable: sums of squares are around their own mean.
+
+Rows of a block are put side by side by a sort and reduced by windows, in the order they are stored
+in: hardly two rows fall together on the way, so tables of groups would hold every row, made wide.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from almanac.functions import day_key, format_day_key, parse_day
@@ -38,12 +41,23 @@ def _measures_of_state(columns) -> list[str]:
     return [c[: -len("_n")] for c in columns if c.endswith("_n")]
 
 
+def _parent(level: int) -> Column:
+    """The first year of the block of a size that a (first) year lies in."""
+    return F.col("first_year") - F.pmod("first_year", F.lit(1 << level))
+
+
+def _with_block_keys(df: DataFrame) -> DataFrame:
+    df = keyed(ensure_prepared(df))
+    year = F.year("DATE").alias("first_year")
+    return df.select("STATION", day_key(F.col("DATE")).alias("_day"), year, *_measures(df.columns))
+
+
 def year_blocks(df: DataFrame) -> DataFrame:
     """The blocks of single years, from daily rows."""
-    df = ensure_prepared(df)
+    rows = _with_block_keys(df)
     stats = [
         x
-        for c in _measures(df.columns)
+        for c in _measures(rows.columns)
         for x in (
             F.count(c).alias(f"{c}_n"),
             F.avg(c).alias(f"{c}_mean"),
@@ -52,54 +66,85 @@ def year_blocks(df: DataFrame) -> DataFrame:
             F.max(c).alias(f"{c}_max"),
         )
     ]
-    return (
-        keyed(df)
-        .groupBy("STATION", day_key(F.col("DATE")).alias("_day"), F.year("DATE").alias("first_year"))
-        .agg(*stats)
-        .withColumn("level", F.lit(0))
-    )
-
-
-def _merged(a: Column, b: Column) -> Column:
-    """Chan's formula. A side without values changes nothing."""
-    n = a["n"] + b["n"]
-    apart = b["mean"] - a["mean"]
-    both = F.struct(
-        n.alias("n"),
-        (a["mean"] + apart * b["n"] / n).alias("mean"),
-        (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"),
-        F.least(a["min"], b["min"]).alias("min"),
-        F.greatest(a["max"], b["max"]).alias("max"),
-    )
-    return F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(both)
+    return rows.groupBy(*_KEYS, "first_year").agg(*stats).withColumn("level", F.lit(0))
+
+
+def _together(keys: list[str]) -> tuple[WindowSpec, WindowSpec]:
+    """The rows of a key, in no order of their own, and all of them as a frame."""
+    rows = Window.partitionBy(*keys).orderBy(keys[-1])
+    return rows, rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _one_each(rows: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """One row for each key, with aggregates over its rows."""
+    together, whole = _together(keys)
+    rows = rows.withColumns({name: each.over(whole) for name, each in aggregates.items()})
+    return rows.withColumn("_row", F.row_number().over(together)).where("_row = 1").drop("_row")
+
+
+def _side_by_side(rows: DataFrame, upwards: Column) -> DataFrame:
+    """A copy of each row for every size in ``upwards``, cut by block, station and day."""
+    rows = rows.select(*(c for c in rows.columns if c not in ("level", "_least")), F.explode(upwards).alias("level"))
+    first = F.expr("first_year - pmod(first_year, shiftleft(1, level))")
+    return rows.withColumn("first_year", first).repartitionByRange(*BLOCK, *_KEYS)
+
+
+def history_blocks(df: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """The blocks of all sizes, from daily rows, cut by block, station and day. Every row goes to its
+    block of each size as it is: that moves fewer bytes than blocks of half the size do."""
+    rows = _with_block_keys(df)
+    keys = [*BLOCK, *_KEYS]
+    spread = _side_by_side(rows, F.sequence(F.lit(0), F.lit(levels - 1)))
+    names = [f"{c}_{m}" for c in _measures(rows.columns) for m in _MOMENTS]
+    found = _one_each(spread, keys, {
+        f"{c}_{m}": each(c)
+        for c in _measures(rows.columns)
+        for m, each in zip(_MOMENTS, (F.count, F.avg, F.var_pop, F.min, F.max), strict=True)
+    })
+    found = found.withColumns({f"{c}_m2": F.col(f"{c}_m2") * F.col(f"{c}_n") for c in _measures(rows.columns)})
+    return found.select(*_KEYS, *names, *BLOCK)
 
 
 def merge_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key, of all its blocks; at most two of each size come together."""
+    """One row for each key, of all its blocks; at most two of each size come together. A block
+    without values changes nothing."""
     names = _measures_of_state(blocks.columns)
-    rows = blocks.groupBy(*keys).agg(
-        *(
-            F.sort_array(F.collect_list(F.struct(
-                "first_year", *(F.col(f"{c}_{m}").alias(m) for m in _MOMENTS)
-            ))).alias(c)
-            for c in names
-        )
-    )
-    empty = F.struct(
-        F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("double").alias(m) for m in _MOMENTS[1:])
-    )
-    part = lambda x: F.struct(*(x[m].alias(m) for m in _MOMENTS))
-    folded = rows.select(*keys, *(F.aggregate(c, empty, lambda s, x: _merged(s, part(x))).alias(c) for c in names))
-    return folded.select(*keys, *(F.col(f"{c}.{m}").alias(f"{c}_{m}") for c in names for m in _MOMENTS))
+    means, sums = {}, {}
+    for c in names:
+        n, mean, apart = F.col(f"{c}_n"), F.col(f"{c}_mean"), F.col(f"{c}_mean") - F.col(f"_{c}_mean")
+        means |= {f"_{c}_n": F.sum(n), f"_{c}_total": F.sum(mean * n)}
+        sums |= {
+            f"_{c}_m2": F.sum(F.col(f"{c}_m2") + n * apart * apart),
+            f"_{c}_min": F.min(f"{c}_min"),
+            f"_{c}_max": F.max(f"{c}_max"),
+        }
+    _, whole = _together(keys)
+    rows = blocks.withColumns({name: each.over(whole) for name, each in means.items()})
+    rows = rows.withColumns({f"_{c}_mean": F.try_divide(f"_{c}_total", f"_{c}_n") for c in names})
+    merged = _one_each(rows, keys, sums)
+    return merged.select(*keys, *(F.col(f"_{c}_{m}").alias(f"{c}_{m}") for c in names for m in _MOMENTS))
 
 
 def parent_blocks(children: DataFrame, level: int) -> DataFrame:
     """The blocks of a size, from those of half that size; all children of a block have to be there."""
-    first = F.col("first_year") - F.pmod("first_year", F.lit(1 << level))
-    merged = merge_blocks(children.withColumn("_parent", first), [*_KEYS, "_parent"])
+    merged = merge_blocks(children.withColumn("_parent", _parent(level)), [*_KEYS, "_parent"])
     return merged.withColumnRenamed("_parent", "first_year").withColumn("level", F.lit(level))
 
 
+def rebuilt_blocks(years: DataFrame, old: DataFrame, touched: Iterable[tuple[int, int]], levels: int) -> DataFrame:
+    """The blocks ``touched``, from the new single years in them and the stored blocks next to those:
+    what lies in a touched block without being touched. Each goes to all touched blocks it lies in."""
+    parts = [years.withColumn("_least", F.lit(0))]
+    for level in range(levels - 1):
+        same = [y for k, y in touched if k == level]
+        wanted = [y for k, y in touched if k == level + 1]
+        near = (F.col("level") == level) & _parent(level + 1).isin(wanted) & ~F.col("first_year").isin(same)
+        parts.append(old.where(near).withColumn("_least", F.lit(level + 1)))
+    pieces = reduce(DataFrame.unionByName, parts)
+    upwards = F.sequence(F.col("_least"), F.lit(levels - 1))
+    return merge_blocks(_side_by_side(pieces, upwards), [*BLOCK, *_KEYS])
+
+
 def cover(first: int, last: int, levels: int = LEVELS) -> list[tuple[int, int]]:
     """The fewest aligned blocks ``(level, first_year)`` that make up the years."""
     out, year = [], first
@@ -144,7 +189,8 @@ def baseline_blocks(state: DataFrame, start: Day, end: Day, levels: int = LEVELS
 
 def statistics_from_blocks(state: DataFrame, start: Day, end: Day, levels: int = LEVELS) -> DataFrame:
     """As ``statistics.daily_statistics`` of the baseline's days."""
-    rows = merge_blocks(baseline_blocks(state, start, end, levels), _KEYS)
+    # By station, as the steps that follow need them: a station has some blocks of 366 days.
+    rows = merge_blocks(baseline_blocks(state, start, end, levels).repartition("STATION"), _KEYS)
     std = lambda c: F.when(F.col(f"{c}_n") > 1, F.sqrt(F.col(f"{c}_m2") / (F.col(f"{c}_n") - 1)))
     stats = [
         F.col("TMEAN_mean").alias("tmean_doy_mean"),

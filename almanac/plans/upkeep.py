@@ -10,7 +10,8 @@ from almanac.operators.blocks import (
     BLOCK,
     LEVELS,
     blocks_holding,
-    parent_blocks,
+    history_blocks,
+    rebuilt_blocks,
     statistics_from_blocks,
     year_blocks,
 )
@@ -23,6 +24,8 @@ from almanac.sources.daily import YEAR
 from almanac.sources.scratch import scratch_path
 from almanac.sources.versions import VersionedTable
 
+_STATE_ORDER = ["STATION", "_day"]
+
 
 def archive_table(spark: SparkSession, path: str) -> VersionedTable:
     """Daily rows in a folder per year, ordered by station and day."""
@@ -61,35 +64,18 @@ def publish_index(rows: DataFrame, table: VersionedTable) -> None:
 
 
 def publish_state(df: DataFrame, table: VersionedTable, levels: int = LEVELS) -> None:
-    """The state of a whole history: one scan of it, then each size from the one before."""
-    _publish_blocks(_kept(year_blocks(df), "blocks"), table, None, levels)
-
-
-def _publish_blocks(years: DataFrame, table: VersionedTable, touched, levels: int) -> None:
-    """``years``: the blocks of single years that the batch touches. The siblings of touched blocks
-    come from the table."""
-    base = table.manifest()
-    old = None if touched is None or not base.schema else table.read(base.number)
-    sizes = [years]
-    for level in range(1, levels):
-        children = sizes[-1]
-        if old is not None:
-            same = [y for k, y in touched if k == level - 1]
-            wanted = [y for k, y in touched if k == level]
-            parent = F.col("first_year") - F.pmod("first_year", F.lit(1 << level))
-            near = (F.col("level") == level - 1) & parent.isin(wanted) & ~F.col("first_year").isin(same)
-            children = children.unionByName(old.where(near))
-        sizes.append(_kept(parent_blocks(children, level), "blocks"))
-    rows = sizes[0]
-    for more in sizes[1:]:
-        rows = rows.unionByName(more)
-    table.publish(rows, touched, base, ["STATION", "_day"])
+    """The state of a whole history: its rows are shuffled once for all sizes."""
+    table.publish(history_blocks(df, levels), order=_STATE_ORDER, cut=True)
 
 
 def update_state(year_rows: DataFrame, years: list[int], table: VersionedTable, levels: int = LEVELS) -> None:
     """Blocks of all sizes that hold the years, from the daily rows of just these years. What else
     is needed are the stored blocks next to them; the history is not read."""
-    _publish_blocks(_kept(year_blocks(year_rows), "blocks"), table, blocks_holding(years, levels), levels)
+    base = table.manifest()
+    touched = blocks_holding(years, levels)
+    new = year_blocks(year_rows)
+    old = table.read(base.number) if base.schema else new.where(F.lit(False))
+    table.publish(rebuilt_blocks(new, old, touched, levels), touched, base, _STATE_ORDER, cut=True)
 
 
 def climatology_from_state(

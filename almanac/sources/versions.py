@@ -85,18 +85,20 @@ class VersionedTable:
 
     def publish(
         self, rows: DataFrame, touched: Iterable[tuple] | None = None,
-        base: Manifest | None = None, order: Iterable[str] = (),
+        base: Manifest | None = None, order: Iterable[str] = (), cut: bool = False,
     ) -> Manifest:
         """Replace the partitions ``touched`` (values of the keys) by the rows, which have to lie in
         them; a touched partition without rows goes. Without ``touched`` the rows are the whole new
         table. ``base`` is the manifest that the rows were made from, if it was read before: if
         another one is newest by now, nothing is published. Rows are ordered within files by
-        ``order``, and the files cut by it.
+        ``order``, and the files cut by it. ``cut`` tells that the rows' partitions are cut by it
+        already: they are not shuffled then, and each partition has a file in every folder it fills.
         """
         base = self.manifest() if base is None else base
         version, order = uuid.uuid4().hex, list(order)
         if order:
-            rows = rows.repartitionByRange(*self.keys, *order).sortWithinPartitions(*self.keys, *order)
+            rows = rows if cut else rows.repartitionByRange(*self.keys, *order)
+            rows = rows.sortWithinPartitions(*self.keys, *order)
         columns = [c for c in rows.columns if c not in self.keys]
         rows = rows.select(*columns, *self.keys)  # as they are read back
         rows.write.partitionBy(*self.keys).parquet(f"{self.path}/data/{_VERSION}={version}")

@@ -124,3 +124,31 @@ def test_without_snow_and_empty(daily):
     assert r["tmean_doy_mean"] == 2.0 and r["tmean_doy_std"] is None and "snow_doy_mean" not in r.asDict()
     assert blocks.statistics_from_blocks(all_blocks(daily([]), 2), "1999-01-01", "1999-12-31", 2).count() == 0
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_state_is_made_without_tables_in_passing(spark, daily, tmp_path, monkeypatch):
+    """One shuffle serves all sizes: sizes stored and shuffled one after the other take most of the time."""
+    stored = []
+    monkeypatch.setattr(upkeep, "scratch_path", lambda spark, name: stored.append(name) or str(tmp_path / f"{name}{len(stored)}"))
+    draw = random.Random(5)
+    rows = history(draw)
+    table = upkeep.state_table(spark, str(tmp_path / "state"))
+    upkeep.publish_state(daily(rows), table)
+    later = [r for r in rows if r["DATE"][:4] not in ("1993", "2000")] + history(draw, (1993, 2000, 2010))
+    upkeep.update_state(daily([r for r in later if r["DATE"][:4] in ("1993", "2000", "2010")]), [1993, 2000, 2010], table)
+    assert stored == []
+    # Every block of every size is the one that the history has.
+    key = lambda r: (r["STATION"], r["_day"], r["level"], r["first_year"])
+    moments = [f"{c}_{m}" for c in ("TMEAN", "TMAX", "TMIN", "SNOW") for m in ("n", "mean", "m2", "min", "max")]
+    got, want = ({key(r): [r[c] for c in moments] for r in df.collect()} for df in (table.read(), all_blocks(daily(later))))
+    assert got.keys() == want.keys()
+    for k in got:
+        for c, x, y in zip(moments, got[k], want[k], strict=True):
+            assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-9)), (k, c, x, y)
+
+
+def test_blocks_and_baselines_are_made_by_built_in_aggregates(daily, tmp_path, spark):
+    table = upkeep.state_table(spark, str(tmp_path / "state"))
+    upkeep.publish_state(daily(history(random.Random(6))), table)
+    text = plan_of(blocks.statistics_from_blocks(table.read(), "1991-01-01", "2002-12-31"))
+    assert "collect_list" not in text and "lambda" not in text
