@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import full_frame_mean
 from almanac.functions.dates import LEAP_DAY_TEXT
+from almanac.operators.spread import spread
 
 # The calendar days 29 February is imputed from.
 LEAP_DAY_NEIGHBOURS = ("02-28", "03-01")
@@ -27,6 +28,7 @@ def impute_feb29(climatology: DataFrame) -> DataFrame:
     one along, so the climatology is computed once and not a second time for a union. The old
     row is dropped here and not by a filter: that would be pushed below the grouping, where it
     formats the date of every input row. All windows have one order, so the rows are sorted once.
+    The shuffle they need is one whose partitions stay small, as a moving mean sorts again behind it.
     """
     names = _statistics(climatology)
     ordered = Window.partitionBy("STATION").orderBy("DATE_MD")
@@ -46,7 +48,8 @@ def impute_feb29(climatology: DataFrame) -> DataFrame:
         return F.when(F.col("_new"), new_value).otherwise(F.col(name)).alias(name)
 
     return (
-        climatology.withColumns(imputed | {"_copies": copies})
+        spread(climatology, "STATION")
+        .withColumns(imputed | {"_copies": copies})
         .select("STATION", "DATE_MD", *names, *imputed, F.explode("_copies").alias("_new"))
         .select(
             "STATION",

@@ -22,6 +22,7 @@ from almanac.operators.snow import (
     last_snowfall,
     split_at_last_snowfall,
 )
+from almanac.operators.spread import spread
 from almanac.operators.statistics import (
     BASELINE_END,
     BASELINE_START,
@@ -100,6 +101,8 @@ def daily_series(
         observed = one_each(observed.select(*columns))
         spine = station_calendar(bounds, start, end)
     out = join_observations(with_day_key(spine), observed)
+    # A task of the joins by day holds days, climate and records, sorted, and those it groups.
+    out = spread(out, "STATION", "_day")
     out = join_climatology(out, climatology.withColumn("_in_climate", F.lit(True)))
     if strict:
         missing = F.raise_error(F.concat_ws(" ", F.lit("no climate for"), "STATION", "DATE_MD"))

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from almanac import backfill_plan, daily_climatology, daily_series, monthly_series, read_daily
 from almanac import upsert_daily, write_daily
@@ -108,3 +109,18 @@ def test_leap_day_and_moving_mean_sort_the_climatology_once_each(stored):
     ops = operators(plan_of(daily_climatology(stored, *t.BASELINE)))
     assert sum(o == "Sort" or o.startswith("Sort ") for o in ops) == 2
     assert sum(o.startswith("Generate") for o in ops) == 1
+
+
+def tasks_of(df):
+    """In how many tasks the last stage makes rows."""
+    return df.select("*", F.spark_partition_id().alias("_task")).select("_task").distinct().count()
+
+
+def test_stages_that_hold_their_rows_several_times_use_all_shuffle_partitions(spark, stored, no_broadcast):
+    """Few bytes would be put into one task, up to 64 MB of them."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    climatology = daily_climatology(stored, *t.BASELINE)
+    assert tasks_of(climatology) > 1
+    for span in (t.YEAR,):
+        assert tasks_of(daily_series(stored, climatology, *span, days_are_unique=True)) == partitions
+    assert tasks_of(t.station_daily(spark, SF_DIR)) > 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.operators.spread import spread
 from almanac.sources import landing
 
 # Parameters of the queries.
@@ -44,7 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def station_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") -> DataFrame:
     """The daily table. Lines are reduced to supplier days before they meet the dimensions, so
-    that a supplier with very many lines has one row per day by then."""
+    that a supplier with very many lines has one row per day by then. The days meet them spread by
+    supplier: else the task that reduces the lines also holds what a query groups of them."""
     date = F.col("l_shipdate").cast("date")
     winter = F.month(date).isin(11, 12, 1, 2, 3)
     number = F.col("l_linenumber")
@@ -63,7 +65,8 @@ def station_daily(spark: SparkSession, sf_dir: str, level: str = "supplier") ->
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    rows = per_supplier.join(place, F.col("l_suppkey") == F.col("s_suppkey"))
+    days = spread(per_supplier, "l_suppkey")
+    rows = days.join(place, F.col("l_suppkey") == F.col("s_suppkey"))
     if level == "region":
         rows = rows.groupBy("n_regionkey", "r_name", "DATE").agg(
             F.sum("prcp").alias("prcp"),
