@@ -3,18 +3,27 @@
 Cells and stations are cut into bins of latitude and longitude, and each station looks into the bins
 that hold any place within its reach, across the date line and around a pole if need be. So the
 join is one on equal bins, and its work follows the cells near stations, not all pairs.
+
+Bins are about as wide as they are high, so a station looks into some 25, and not into many more near
+a pole. Spark judges these rows by the few stations they come from, so it is told to shuffle them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.operators.spread import spread
+
 #: Mean radius of the earth in km, and the length of a degree along a meridian.
 EARTH_KM = 6371.0088
 DEGREE_KM = 111.195079735
 #: Size of a bin in degrees at least.
 LEAST_BIN = 0.25
+#: Degrees of longitude that a station looks further than it has to, for what is lost to rounding.
+SLACK = 1e-6
 
 
 def distance_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
@@ -42,29 +51,30 @@ def nearest_cells(
     if not reach_km > 0:
         raise ValueError("the reach has to be above zero")
     size = max(LEAST_BIN, reach_km / DEGREE_KM / 2)
-    around = int(360 // size)  # whole bins; the last one is a little larger
     degrees = reach_km / DEGREE_KM + 1e-9
+    # How many bins go around in each row, the fewer the nearer to a pole.
+    middles = (math.radians((i + 0.5) * size - 90) for i in range(int(180 / size) + 1))
+    around = F.get(F.lit([max(1, int(360 / size * math.cos(middle))) for middle in middles]), F.col("_row"))
     row = lambda lat: F.floor((lat + 90) / size).cast("int")
-    column = lambda lon: F.least(F.floor(_turned(lon) / size), F.lit(around - 1)).cast("int")
+    column = lambda lon: F.floor(lon * around / 360)
     grid = cells.where(F.col("lat").between(-90, 90) & F.col("lon").isNotNull()).select(
-        F.col(cell_id).alias("_cell"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-        row(F.col("lat")).alias("_row"), column(F.col("lon")).alias("_column"),
-    )
+        F.col(cell_id).alias("_cell"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), row(F.col("lat")).alias("_row")
+    ).withColumn("_column", F.least(column(_turned(F.col("_lon"))), around - 1).cast("int"))
+    # A task that reads a small file would make all the rows that its stations become.
     placed = stations.where(
         F.col("STATION").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").isNotNull()
-    ).select("STATION", "lat", "lon")
+    ).select("STATION", "lat", "lon").repartition("STATION")
+    rows = F.sequence(row(F.greatest(F.col("lat") - degrees, F.lit(-90.0))), row(F.least(F.col("lat") + degrees, F.lit(90.0))))
     # How far a circle on the sphere reaches east and west; around a pole it has all longitudes.
     top = F.abs("lat") + degrees
-    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(degrees))) / F.cos(F.radians("lat")))))
-    low, high = F.floor((F.col("lon") - wide) / size) - 1, F.floor((F.col("lon") + wide) / size) + 1
+    wide = SLACK + F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(degrees))) / F.cos(F.radians("lat")))))
+    low, high = column(F.col("lon") - wide), column(F.col("lon") + wide)
     everywhere = (top >= 90) | (high - low >= around - 1)
-    columns = F.when(everywhere, F.sequence(F.lit(0), F.lit(around - 1))).otherwise(
-        F.array_distinct(F.transform(F.sequence(low, high), lambda k: column(k * size + size / 2)))
-    )
-    rows = F.sequence(row(F.greatest(F.col("lat") - degrees, F.lit(-90.0))), row(F.least(F.col("lat") + degrees, F.lit(90.0))))
-    looked = placed.select("*", F.explode(rows).alias("_row"), columns.alias("_columns"))
-    looked = looked.select("STATION", "lat", "lon", "_row", F.explode("_columns").alias("_column"))
-    near = looked.join(grid, ["_row", "_column"]).select(
+    columns = F.sequence(F.when(everywhere, F.lit(0)).otherwise(low), F.when(everywhere, around - 1).otherwise(high))
+    looked = placed.select("*", F.explode(rows).alias("_row"))
+    looked = looked.select("*", around.alias("_around"), F.explode(columns).alias("_column"))
+    looked = looked.select("STATION", "lat", "lon", "_row", F.pmod("_column", "_around").cast("int").alias("_column"))
+    near = spread(looked, "_row", "_column").hint("merge").join(grid, ["_row", "_column"]).select(
         "STATION", "_cell", distance_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("km")
     )
     best = near.where(F.col("km") <= reach_km).groupBy("STATION").agg(

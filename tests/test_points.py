@@ -59,6 +59,33 @@ def test_missing_places_and_empty_grids(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_bins_of_stations_are_shuffled(spark):
+    # Each station becomes a row for every bin it looks into, so its table is not small any more.
+    place = (F.col("id") * 10.0).alias("lat"), (F.col("id") + 0.5).alias("lon")
+    stations = spark.range(9).select(F.concat(F.lit("S"), "id").alias("STATION"), *place)
+    near = points.nearest_cells(stations, spark.range(9).select(F.col("id").alias("cell"), *place), 300.0)
+    text = plan_of(near)
+    assert "Broadcast" not in text and "SortMergeJoin" in text
+    assert rows_of(near, "STATION", "cell") == [(f"S{i}", i) for i in range(9)]
+
+
+def test_rows_of_few_bins_around_a_pole(spark):
+    cells = [(i * 720 + k, (-90 + i / 4, k / 2)) for i in range(9) for k in range(720)]
+    stations = [(f"S{i}", (-90 + draw.random() * 2, draw.uniform(-720, 720))) for draw in [random.Random(3)] for i in range(40)]
+    found = points.nearest_cells(frame(spark, stations, "STATION string"), frame(spark, cells, "cell long"), 20.0)
+    got = {r["STATION"]: r["distance_km"] for r in found.collect()}
+    assert len(got) == len(stations)
+    for s, p in stations:
+        assert math.isclose(got[s], min(km(p, c) for _, c in cells), abs_tol=1e-5)
+
+
+def test_cells_without_a_place_on_the_globe(spark):
+    nan = float("nan")
+    cells = frame(spark, [(1, (95.0, 1.0)), (2, (-90.5, 1.0)), (3, (nan, 1.0)), (4, (1e12, 1.0)), (5, (1.0, 721.0)), (6, (90.0, 7.0))], "cell long")
+    stations = frame(spark, [("A", (1.0, 1.0)), ("B", (89.9, -170.0)), ("C", (nan, 1.0)), ("D", (-1e12, 1.0))], "STATION string")
+    assert rows_of(points.nearest_cells(stations, cells, 100.0), "STATION", "cell") == [("A", 5), ("B", 6)]
+
+
 def test_cells_serve_several_stations(spark):
     values = spark.createDataFrame([(1, "k", 2.0), (2, "k", 3.0), (3, "k", 4.0)], "cell long, key string, value double")
     matches = spark.createDataFrame([("A", 1, 0.5), ("B", 1, 0.7), ("C", 2, 0.1)], "STATION string, cell long, distance_km double")
