@@ -85,5 +85,6 @@ def nearest_cells(
 
 def extract_points(values: DataFrame, matches: DataFrame, cell_id: str = "cell") -> DataFrame:
     """The values of each station's cell, under the station's name. A cell may serve many stations.
-    Values of all other cells are left out before anything else is done with them."""
-    return values.join(matches.select("STATION", cell_id), cell_id).drop(cell_id)
+    Values of all other cells are left out before anything else is done with them. Both are shuffled:
+    Spark judges values by their packed files, which can be small."""
+    return values.hint("merge").join(matches.select("STATION", cell_id), cell_id).drop(cell_id)

@@ -11,8 +11,9 @@ from almanac.operators.merge import upsert_rows
 from almanac.plans import upsert_daily_with_changes
 from almanac.sources import read_daily, write_daily
 from almanac.sources.ordered import read_ordered, write_ordered
-from conftest import plan_of, rows_of
+from conftest import SF_DIR, plan_of, rows_of
 from test_presence import random_rows
+from workload.queries import ON_TABLES
 
 
 def km(a, b):
@@ -92,6 +93,11 @@ def test_cells_serve_several_stations(spark):
     assert rows_of(points.extract_points(values, matches), "STATION", "key", "value") == [("A", "k", 2.0), ("B", "k", 2.0), ("C", "k", 3.0)]
 
 
+def test_values_and_bins_of_an_extract_are_shuffled(spark):
+    text = plan_of(ON_TABLES["point_extract"](spark, SF_DIR))
+    assert "Broadcast" not in text and text.count(") SortMergeJoin") == 2
+
+
 def test_registry_and_its_upkeep(spark, daily):
     draw = random.Random(2)
     archive = daily([{**r, "NAME": f"name of {r['STATION']}"} for r in random_rows(draw, 60)])
